@@ -159,17 +159,18 @@ def _names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             starts, ends, before = block.words()
             values, bounds = shingles(block.hashes(starts, ends), before)
             found = [np.unique(values[bounds[i] : bounds[i + 1]]) for i in range(len(block))]
-            yield pa.record_batch([batch["doc_id"].slice(block.first, len(block)), pa.array([signature(s) if len(s) else None for s in found], pa.int64())], ["doc_id", "name"])
+            yield pa.record_batch([batch["doc_id"].slice(block.first, len(block)), batch["same"].slice(block.first, len(block)), pa.array([signature(s) if len(s) else None for s in found], pa.int64())], ["doc_id", "same", "name"])
 
 
 def near_duplicates(docs: DataFrame, work: Workspace | None = None) -> DataFrame:
     """doc_id, class_id (least id of its class) for each row: classes of texts joined by bands and verified Jaccard similarities of 0.75 or more."""
     work = work or Workspace(docs.sparkSession, "bands")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    meta = work.save(docs.mapInArrow(_names, "doc_id long, name long"), "names")
+    hashed = docs.withColumn("same", F.xxhash64(F.coalesce("text", F.lit(""))))
+    meta = work.save(hashed.mapInArrow(_names, "doc_id long, same long, name long"), "names")
     entries = docs.mapInArrow(_bands, "key long, name long, n int, pos int, late boolean").distinct()
     none = meta.where("false").select(F.col("name").alias("a"), F.col("name").alias("b"))
-    _, parts = linked_sets(entries, docs, meta, none, work)
+    _, parts = linked_sets(entries, docs, meta, none, work, ordered=False)
     named = meta.join(parts.withColumnRenamed("node", "name"), "name", "left").withColumn("class", F.coalesce("component", "name"))
     least = named.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("class_id"))
     return named.join(least, "class", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))

@@ -43,6 +43,8 @@ BOUNDARY_MAX = 24
 #: Lists of frequent shingles are cut so many ways while first links are sought.
 SALTS = 16
 FIRST_PARTNERS = 2
+#: So many ids of documents are broadcast at most (16 bytes each, with a text hash); more are joined by a shuffle.
+BROADCAST_IDS = 1 << 18
 
 
 def overlap(n: int, m: int) -> int:
@@ -166,19 +168,25 @@ def _named_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.record_batch([pa.array([k for k, _ in found], pa.int64()), pa.ListArray.from_arrays(bounds, np.concatenate([s for _, s in found]))], ["name", "members"])
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets link. Only one side's set travels with a pair."""
+def _verified(pairs: DataFrame, docs: DataFrame, meta: DataFrame, work: Workspace, name: str) -> DataFrame:
+    """The pairs (a, b) whose sets link. The sets are made anew from the texts of one document each; one side's set travels with a pair."""
+    names = pairs.select(F.explode(F.array("a", "b")).alias("name")).distinct()
+    needed = work.save(meta.join(names, "name", "left_semi").groupBy("name").agg(F.min(F.struct("doc_id", "same")).alias("x")).select("x.doc_id", "x.same").distinct(), f"{name}-ids")
+    small = needed.count() <= BROADCAST_IDS
+    hashed = docs.withColumn("same", F.xxhash64(F.coalesce("text", F.lit(""))))
+    chosen = hashed["doc_id"].eqNullSafe(needed["doc_id"]) & (hashed["same"] == needed["same"])
+    sets = work.save(hashed.join(F.broadcast(needed) if small else needed, chosen, "left_semi").mapInArrow(_named_sets, "name long, members array<long>"), name)
     left = sets.select(F.col("name").alias("a"), F.col("members").alias("x"))
     right = sets.select(F.col("name").alias("b"), F.col("members").alias("y"))
     shared = F.size(F.array_intersect("x", "y"))
-    return pairs.join(right, "b").join(left, "a").where(175 * shared >= 75 * (F.size("x") + F.size("y"))).select("a", "b")
+    return pairs.join(right, "b").join(left, "a").where(175 * shared >= 75 * (F.size("x") + F.size("y"))).select("a", "b").distinct()
 
 
-def linked_sets(entries: DataFrame, docs: DataFrame, meta: DataFrame, known: DataFrame, work: Workspace, boundary: int = 1) -> tuple[DataFrame, DataFrame]:
+def linked_sets(entries: DataFrame, docs: DataFrame, meta: DataFrame, known: DataFrame, work: Workspace, boundary: int = 1, ordered: bool = True) -> tuple[DataFrame, DataFrame]:
     """The links found (a, b), and (node, component), of sets that meet in lists.
 
     ``entries``: key, name, n (set size), pos (the place of the key in the set's order), late (whether the key is frequent). A list is
-    the entries of a key. ``meta``: doc_id and name of every row of ``docs``. ``known``: links (a, b) found before.
+    the entries of a key. ``ordered``: whether lists are those of prefixes under one order of all shingles. ``meta``: doc_id, same (text hash) and name of every row of ``docs``. ``known``: links (a, b) found before.
     """
     lists = Window.partitionBy("key", "salt").orderBy("n", "name")
     whole = lists.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
@@ -186,27 +194,34 @@ def linked_sets(entries: DataFrame, docs: DataFrame, meta: DataFrame, known: Dat
         entries.withColumn("salt", F.when(F.col("late"), F.pmod(F.xxhash64("key", "name"), F.lit(SALTS)).cast("int")).otherwise(0))
         .withColumns({"before": F.lag("name").over(lists), "first": F.first("name").over(whole), "first_n": F.first("n").over(whole), "before_n": F.lag("n").over(lists), "last": F.last("name").over(whole)})
         .where("(late or first <> last) and (before is null or before <> name)")
-        .drop("last", "salt", "late")
+        .drop("last", "salt")
     )
     entries = work.save(entries, "entries")
 
     def possible(n, m):
         return (4 * n >= 3 * m) & (4 * m >= 3 * n) & (F.greatest(n, m) >= boundary)
 
+    def need(n, m):
+        return F.ceil(3 * (n + m) / F.lit(7))
+
+    def after(n):
+        """How many elements follow a set's prefix."""
+        return F.ceil(3 * n / F.lit(4)) - 1
+
     partners = F.array(F.struct(F.col("first").alias("b"), F.col("first_n").alias("m")), F.struct(F.col("before").alias("b"), F.col("before_n").alias("m")))
     first = (
-        entries.select(F.col("name").alias("a"), "n", F.explode(F.array_distinct(partners)).alias("p"))
+        entries.select(F.col("name").alias("a"), "n", "late", F.explode(F.array_distinct(partners)).alias("p"))
         .where("p.b is not null and p.b <> a").where(possible(F.col("n"), F.col("p.m")))
-        .groupBy("a", F.col("p.b").alias("b")).agg(F.count("*").alias("k"))
-        .withColumn("r", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("k"), "b")))
+        .groupBy("a", "n", F.col("p.b").alias("b"), F.col("p.m").alias("m")).agg(F.count("*").alias("k"), F.max("late").alias("late"))
+    )
+    if ordered:  # in lists of few documents a pair that can link shares many keys; if its lists name others first, it comes up again below
+        first = first.where(F.col("late") | (2 * F.col("k") >= need(F.col("n"), F.col("m")) - F.least(after(F.col("n")), after(F.col("m")))))
+    first = (
+        first.withColumn("r", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("k"), "b")))
         .where(F.col("r") <= FIRST_PARTNERS).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     )
     first = work.save(first, "first-pairs")
-
-    needed = meta.join(entries.select("name").distinct(), "name", "left_semi").groupBy("name").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
-    sets = docs.join(needed, "doc_id", "left_semi").mapInArrow(_named_sets, "name long, members array<long>").groupBy("name").agg(F.first("members").alias("members"))
-    sets = work.save(sets, "members")
-    found = work.save(_verified(first, sets), "first-links").unionAll(known)
+    found = work.save(_verified(first, docs, meta, work, "first-members"), "first-links").unionAll(known)
     part = components(found, work, "first-components")
 
     now = entries.select("key", "name", "n", "pos").join(part.withColumnRenamed("node", "name"), "name", "left").withColumn("component", F.coalesce("component", "name"))
@@ -215,14 +230,20 @@ def linked_sets(entries: DataFrame, docs: DataFrame, meta: DataFrame, known: Dat
     mixed = work.save(now.join(groups, "key"), "mixed-lists")
     a, b = mixed.where("component <> main").alias("a"), mixed.drop("main").alias("b")
     an, bn = F.col("a.n"), F.col("b.n")
-    most = F.least(an - F.col("a.pos"), bn - F.col("b.pos"))
     apart = (F.col("a.component") != F.col("b.component")) & ((F.col("b.component") == F.col("a.main")) | (F.col("a.name") < F.col("b.name")))
+    side = lambda x, y: F.when(F.col("a.name") < F.col("b.name"), x).otherwise(y)
     rest = (
-        a.join(b, (F.col("a.key") == F.col("b.key")) & apart & possible(an, bn) & (7 * most >= 3 * (an + bn)))
-        .select(F.least("a.name", "b.name").alias("a"), F.greatest("a.name", "b.name").alias("b")).distinct()
+        a.join(b, (F.col("a.key") == F.col("b.key")) & apart & possible(an, bn))
+        .select(F.least("a.name", "b.name").alias("a"), F.greatest("a.name", "b.name").alias("b"), side(an, bn).alias("n"), side(bn, an).alias("m"), side(F.col("a.pos"), F.col("b.pos")).alias("i"), side(F.col("b.pos"), F.col("a.pos")).alias("j"))
+        .groupBy("a", "b", "n", "m").agg(F.count("*").alias("k"), F.max("i").alias("i"), F.max("j").alias("j"))
     )
-    rest = work.save(rest.join(first, ["a", "b"], "left_anti"), "other-pairs")
-    found = found.unionAll(work.save(_verified(rest, sets), "other-links"))
+    if ordered:
+        # k shared keys up to places i and j. Further shared ones follow both places, and the prefix of one of the sets
+        n, m, i, j = (F.col(c) for c in "nmij")
+        most = F.col("k") + F.greatest(F.least(after(n), m - j - 1), F.least(n - i - 1, after(m)))
+        rest = rest.where(most >= need(n, m))
+    rest = work.save(rest.select("a", "b").join(first, ["a", "b"], "left_anti"), "other-pairs")
+    found = found.unionAll(work.save(_verified(rest, docs, meta, work, "other-members"), "other-links"))
     return found, components(found, work, "components")
 
 
