@@ -63,8 +63,8 @@ def tilts(counts: DataFrame, goals: DataFrame, steps: int = STEPS) -> DataFrame:
     for _ in range(steps):
         w = words * F.exp(F.least(F.col("a") + F.col("b") * z, F.lit(20.0)))
         sums = (
-            base.alias("d").join(now.alias("t"), F.expr("d.source <=> t.source")).select("t.source", "size", "k", "mean", "a", "b")
-            .groupBy("source").agg(F.sum(w).alias("w"), F.sum(w * z).alias("wz"), F.sum(w * z * z).alias("wzz"))
+            base.alias("d").join(now.alias("t"), F.expr("d.source <=> t.source")).select("t.source", "size", "k", "source_size", "target", "mean", "a", "b")
+            .groupBy("source", "source_size", "target", "mean", "a", "b").agg(F.sum(w).alias("w"), F.sum(w * z).alias("wz"), F.sum(w * z * z).alias("wzz"))
         )
         # gradient: (w - target, wz); Hessian: ((w, wz), (wz, wzz))
         g, det = F.col("w") - F.col("target"), F.col("w") * F.col("wzz") - F.col("wz") * F.col("wz")
@@ -72,7 +72,7 @@ def tilts(counts: DataFrame, goals: DataFrame, steps: int = STEPS) -> DataFrame:
         da = F.when(flat, g / F.col("w")).otherwise((F.col("wzz") * g - F.col("wz") * F.col("wz")) / det)
         db = F.when(flat, F.lit(0.0)).otherwise((F.col("w") * F.col("wz") - F.col("wz") * g) / det)
         step = lambda d: F.greatest(F.lit(-1.0), F.least(F.lit(1.0), d))
-        now = now.alias("t").join(sums.alias("s"), F.expr("t.source <=> s.source")).select("t.source", "source_size", "target", "mean", (F.col("a") - step(da)).alias("a"), (F.col("b") - step(db)).alias("b"))
+        now = sums.select("source", "source_size", "target", "mean", (F.col("a") - step(da)).alias("a"), (F.col("b") - step(db)).alias("b"))
     return now
 
 
