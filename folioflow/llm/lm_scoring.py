@@ -127,34 +127,40 @@ def contexts(units: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return out
 
 
+def _summed(units: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    """The sum of the rows of each unit."""
+    order = np.argsort(units, kind="stable")
+    u = units[order]
+    first = np.flatnonzero(np.concatenate([[True], u[1:] != u[:-1]]))
+    out = np.zeros((n, values.shape[1]), np.float32)
+    out[u[first]] = np.add.reduceat(values[order], first, axis=0)
+    return out
+
+
 def train_on(p: Parameters, target: np.ndarray, context: np.ndarray, share: np.ndarray, state: dict) -> None:
     """One pass of noise-contrastive estimation with AdaGrad steps. All tokens of a step share their noise."""
     rng, log_noise = state["rng"], np.log(NOISE * share).astype(np.float32)
     for i in range(0, len(target), BATCH):
         w, c = target[i : i + BATCH], context[i : i + BATCH]
-        r = p.R[c]
-        q = np.einsum("bkd,kd->bd", r, p.C)
+        q = sum((p.R * p.C[k])[c[:, k]] for k in range(CONTEXT))
         noise = rng.choice(UNITS, NOISE, p=share)
-        s = np.einsum("bd,bd->b", q, p.Q[w]) + p.b[w] - log_noise[w]
-        t = q @ p.Q[noise].T + p.b[noise] - log_noise[noise]
-        gs = 1 / (1 + np.exp(-np.clip(s, -30, 30))) - 1
-        gt = 1 / (1 + np.exp(-np.clip(t, -30, 30)))
+        s = (q * p.Q[w]).sum(axis=1) + p.b[w] - log_noise[w]
+        t = q @ p.Q[noise].T + (p.b[noise] - log_noise[noise])
+        gs = 1 / (1 + np.exp(-s)) - 1
+        gt = 1 / (1 + np.exp(-t))
         gq = gs[:, None] * p.Q[w] + gt @ p.Q[noise]
         n = len(w)
-        ones = np.zeros((n, UNITS), np.float32)
-        ones[np.arange(n), w] = gs
-        dQ = ones.T @ q
-        db = ones.sum(axis=0)
+        both = _summed(w, np.column_stack([gs[:, None] * q, gs]), UNITS)
+        dQ, db = both[:, :-1], both[:, -1]
         np.add.at(dQ, noise, gt.T @ q)
         np.add.at(db, noise, gt.sum(axis=0))
-        dC = np.einsum("bd,bkd->kd", gq, r)
-        dR = np.zeros_like(p.R)
+        dR, dC = np.zeros_like(p.R), np.empty_like(p.C)
         for k in range(CONTEXT):
-            spread = np.zeros((n, UNITS + 1), np.float32)
-            spread[np.arange(n), c[:, k]] = 1
-            dR += spread.T @ (gq * p.C[k])
+            by_unit = _summed(c[:, k], gq, UNITS + 1)
+            dR += by_unit * p.C[k]
+            dC[k] = (by_unit * p.R).sum(axis=0)
         for name, x, g in (("R", p.R, dR), ("C", p.C, dC), ("Q", p.Q, dQ), ("b", p.b, db)):
-            g /= n
+            g = g / n
             seen = state.setdefault(name, np.full_like(x, 1e-4))
             seen += g * g
             x -= RATE * g / np.sqrt(seen)
