@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from .operators import dashboard, datasets, history, records
+
+QUERIES = {**dashboard.QUERIES, **history.QUERIES, **records.QUERIES, **datasets.QUERIES}
+ORACLES = {**dashboard.ORACLES, **history.ORACLES, **records.ORACLES, **datasets.ORACLES}

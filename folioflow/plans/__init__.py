@@ -1,0 +1 @@
+"""Plans made of several operators."""
