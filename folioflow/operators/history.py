@@ -69,7 +69,7 @@ def hist_cleanup(spark: SparkSession, d: str) -> DataFrame:
 
 def hist_part_search(spark: SparkSession, d: str) -> DataFrame:
     """Search by a folded part of a name, over the names of parts."""
-    return table(spark, d, "part").where(folded(F.col("p_name")).contains(folded(F.lit(" Steel ")))).select("p_partkey", folded(F.col("p_name")).alias("name"))
+    return table(spark, d, "part").where(folded(F.col("p_name")).contains(folded(F.lit("  Widget")))).select("p_partkey", folded(F.col("p_name")).alias("name"))
 
 
 QUERIES = {f.__name__: f for f in (hist_page, hist_search, hist_facets, hist_latest, hist_keys, hist_cleanup, hist_part_search)}
@@ -81,5 +81,5 @@ ORACLES = {
     "hist_latest": f"WITH {LEDGER_SQL} SELECT kind, id, saved_at, quality, n_warnings FROM (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY saved_at DESC, id DESC) AS r FROM ledger) WHERE r = 1",
     "hist_keys": "SELECT event_id AS id, rtrim(translate(to_base64(encode('db://extraction_history/' || event_id)), '+/', '-_'), '=') AS entry_key FROM events",
     "hist_cleanup": f"WITH {LEDGER_SQL} SELECT id, CASE WHEN status = 'error' THEN 'error' ELSE 'quality' END AS reason FROM ledger WHERE status = 'error' OR quality <= 0",
-    "hist_part_search": "SELECT p_partkey, trim(regexp_replace(lower(p_name), '\\s+', ' ', 'g')) AS name FROM part WHERE lower(p_name) LIKE '%steel%'",
+    "hist_part_search": "SELECT p_partkey, trim(regexp_replace(lower(p_name), '\\s+', ' ', 'g')) AS name FROM part WHERE lower(p_name) LIKE '%widget%'",
 }
