@@ -43,8 +43,8 @@ BOUNDARY_MAX = 24
 #: Lists of frequent shingles are cut so many ways while first links are sought.
 SALTS = 16
 FIRST_PARTNERS = 2
-#: Lists that would still need over FEW_PAIRS comparisons an entry get up to ROUNDS rounds of CHANCES tries, as long as FEW_LINKS of them link, before the rest is compared in full.
-FEW_PAIRS, ROUNDS, CHANCES, FEW_LINKS = 4, 6, 6, 0.01
+#: Lists with over LONG entries outside their main component get up to ROUNDS rounds of CHANCES tries for each, as long as FEW_LINKS of them link, before the rest is compared in full.
+LONG, ROUNDS, CHANCES, FEW_LINKS = 64, 6, 6, 0.01
 #: So many ids of documents are broadcast at most (16 bytes each, with a text hash); more are joined by a shuffle.
 BROADCAST_IDS = 1 << 18
 
@@ -226,35 +226,45 @@ def linked_sets(entries: DataFrame, docs: DataFrame, meta: DataFrame, known: Dat
     found = work.save(_verified(first, docs, meta, work, "first-members"), "first-links").unionAll(known)
     part = components(found, work, "first-components")
 
-    stalled = False
-    for k in range(ROUNDS + 1):
-        now = entries.select("key", "name", "n", "pos", "late").join(part.withColumnRenamed("node", "name"), "name", "left").withColumn("component", F.coalesce("component", "name"))
-        now = work.save(now, f"entries-{k}")
-        groups = (
+    keys = ["key", "name", "n", "pos", "late"]
+
+    def by_component(rows: DataFrame, tag: str) -> tuple[DataFrame, DataFrame]:
+        """The entries with their components; key, main component, its entries and all entries of each list of two components or more."""
+        now = rows.select(*keys).join(part.withColumnRenamed("node", "name"), "name", "left").withColumn("component", F.coalesce("component", "name"))
+        now = work.save(now, f"entries-{tag}")
+        lists = (
             now.groupBy("key", "component").agg(F.count("*").alias("k")).groupBy("key")
             .agg(F.count("*").alias("groups"), F.max_by("component", F.struct("k", "component")).alias("main"), F.max("k").alias("most"), F.sum("k").alias("size")).where("groups > 1").drop("groups")
         )
-        groups = work.save(groups, f"lists-{k}")
-        mixed = work.save(now.join(groups.select("key", "main"), "key"), f"mixed-{k}")
-        told = groups.agg(F.sum((F.col("size") - F.col("most")) * F.col("size").cast("double")).alias("pairs"), F.sum("size").alias("size")).first()
-        if k == ROUNDS or stalled or (told.pairs or 0) <= FEW_PAIRS * (told.size or 0):
-            break
-        # every entry outside its list's main component tries a few chance members of that
-        salt = F.when(F.col("late"), F.pmod(F.xxhash64("name", F.lit(k)), F.lit(SALTS)).cast("int")).otherwise(0)
-        chance = Window.partitionBy("key", "salt").orderBy(F.xxhash64("name", "key", F.lit(k))).rowsBetween(Window.unboundedPreceding, -1)
-        other = F.last(F.when(F.col("component") == F.col("main"), F.struct(F.col("name").alias("b"), F.col("n").alias("m"))), ignorenulls=True).over(chance)
-        tried = (
-            mixed.withColumn("salt", salt).withColumn("other", other).where("component <> main and other is not null").where(possible(F.col("n"), F.col("other.m")))
-            .groupBy(F.col("name").alias("a"), F.col("other.b").alias("b")).agg(F.count("*").alias("k"))
-            .withColumn("r", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("k"), "b"))).where(F.col("r") <= CHANCES)
-            .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        )
-        tried = work.save(tried, f"pairs-{k}")
-        more = work.save(_verified(tried, docs, meta, work, f"members-{k}"), f"links-{k}")
-        linked = more.count()
-        found = found.unionAll(more)
-        part = components(part.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(more), work, f"components-{k}")
-        stalled = linked < FEW_LINKS * tried.count()
+        return now, work.save(lists, f"lists-{tag}")
+
+    now, listed = by_component(entries, "first")
+    long = listed.where(F.col("size") - F.col("most") > LONG)
+    if not long.isEmpty():
+        some = work.save(now.join(long.select("key"), "key", "left_semi").select(*keys), "long-lists")
+        for k in range(ROUNDS):
+            # every entry outside its list's main component tries a few chance members of that
+            inside, mains = by_component(some, f"round-{k}")
+            salt = F.when(F.col("late"), F.pmod(F.xxhash64("name", F.lit(k)), F.lit(SALTS)).cast("int")).otherwise(0)
+            chance = Window.partitionBy("key", "salt").orderBy(F.xxhash64("name", "key", F.lit(k))).rowsBetween(Window.unboundedPreceding, -1)
+            other = F.last(F.when(F.col("component") == F.col("main"), F.struct(F.col("name").alias("b"), F.col("n").alias("m"))), ignorenulls=True).over(chance)
+            tried = (
+                inside.join(mains.select("key", "main"), "key").withColumn("salt", salt).withColumn("other", other).where("component <> main and other is not null").where(possible(F.col("n"), F.col("other.m")))
+                .groupBy(F.col("name").alias("a"), F.col("other.b").alias("b")).agg(F.count("*").alias("k"))
+                .withColumn("r", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("k"), "b"))).where(F.col("r") <= CHANCES)
+                .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+            )
+            tried = work.save(tried, f"pairs-{k}")
+            more = work.save(_verified(tried, docs, meta, work, f"members-{k}"), f"links-{k}")
+            found = found.unionAll(more)
+            part = components(part.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(more), work, f"components-{k}")
+            for used in (f"members-{k}", f"entries-round-{k}"):
+                work.drop(used)
+            if more.count() < FEW_LINKS * tried.count():
+                break
+        work.drop("entries-first")
+        now, listed = by_component(entries, "last")
+    mixed = work.save(now.join(listed.select("key", "main"), "key"), "mixed-lists")
     a, b = mixed.where("component <> main").alias("a"), mixed.drop("main").alias("b")
     an, bn = F.col("a.n"), F.col("b.n")
     apart = (F.col("a.component") != F.col("b.component")) & ((F.col("b.component") == F.col("a.main")) | (F.col("a.name") < F.col("b.name")))
@@ -271,6 +281,8 @@ def linked_sets(entries: DataFrame, docs: DataFrame, meta: DataFrame, known: Dat
         rest = rest.where(most >= need(n, m))
     rest = work.save(rest.select("a", "b").join(first, ["a", "b"], "left_anti"), "other-pairs")
     found = found.unionAll(work.save(_verified(rest, docs, meta, work, "other-members"), "other-links"))
+    for used in ("entries", "first-members", "other-members", "mixed-lists"):
+        work.drop(used)
     return found, components(found, work, "components")
 
 
