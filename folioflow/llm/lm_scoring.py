@@ -122,7 +122,7 @@ def contexts(units: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     at = np.arange(len(units)) - np.repeat(bounds[:-1], np.diff(bounds))
     out = np.full((len(units), CONTEXT), UNITS, np.int32)
     for k in range(CONTEXT):
-        out[k + 1 :, k] = units[: len(units) - k - 1]
+        out[k + 1 :, k] = units[: max(0, len(units) - k - 1)]
         out[at <= k, k] = UNITS
     return out
 
