@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .operators import dashboard, datasets, history, records
+from .operators import dashboard, datasets, history, payloads, records, routing
 
-QUERIES = {**dashboard.QUERIES, **history.QUERIES, **records.QUERIES, **datasets.QUERIES}
-ORACLES = {**dashboard.ORACLES, **history.ORACLES, **records.ORACLES, **datasets.ORACLES}
+QUERIES = {**dashboard.QUERIES, **history.QUERIES, **records.QUERIES, **datasets.QUERIES, **routing.QUERIES, **payloads.QUERIES}
+ORACLES = {**dashboard.ORACLES, **history.ORACLES, **records.ORACLES, **datasets.ORACLES, **routing.ORACLES, **payloads.ORACLES}

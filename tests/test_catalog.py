@@ -12,6 +12,8 @@ from folioflow import catalog
 from folioflow.functions.columns import band, folded, last_amount, url_key
 from folioflow.operators.datasets import split_by
 from folioflow.operators.history import page
+from folioflow.operators.payloads import leaves, with_match
+from folioflow.operators.routing import route
 from folioflow.sources.ledger import read_files, read_jsonl
 from folioflow.streaming.ingest import daily_counts
 
@@ -32,7 +34,7 @@ def same(df, sql):
     assert got == want
 
 
-@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
+@pytest.mark.parametrize("name", sorted(catalog.ORACLES))
 def test_query_matches_sql(spark, name):
     same(catalog.QUERIES[name](spark, DATA), catalog.ORACLES[name])
 
@@ -75,3 +77,37 @@ def test_sources_and_stream(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert spark.table("days").agg(F.sum("documents")).first()[0] == source.count()
+
+
+def brute_match(a, b):
+    import difflib
+    import re
+
+    if not a.strip() or not b.strip():
+        return not a.strip() and not b.strip()
+    x, y = re.sub("[^a-z0-9]+", " ", a.lower()).strip(), re.sub("[^a-z0-9]+", " ", b.lower()).strip()
+    p, q = x.replace(" ", ""), y.replace(" ", "")
+    return p == q != "" or (min(len(p), len(q)) >= 6 and (p in q or q in p)) or bool(x and y and difflib.SequenceMatcher(None, x, y).ratio() >= 0.92)
+
+
+def test_matched_names(spark):
+    rows = catalog.QUERIES["matched_names"](spark, DATA).collect()
+    assert len(rows) == 200 and {r["match"] for r in rows} == {True, False}
+    assert all(r["match"] == brute_match(r["expected"], r["actual"] or "") for r in rows)
+
+
+def test_match_of_amounts_and_blanks(spark):
+    rows = [("12,50 TND", "12.5", True), ("12.50", "12.52", False), (None, " ", True), ("x", None, False), ("n/a", "n a", True)]
+    got = with_match(spark.createDataFrame(rows, "a string, b string, want boolean"), "a", "b", amounts=True).collect()
+    assert [r["match"] for r in got] == [r[2] for r in rows]
+
+
+def test_leaves_of_odd_payloads(spark):
+    rows = [(1, '{"a": {"b": [1, "", {"c": true}]}, "d": []}'), (2, "no json"), (3, None), (4, "{}"), (5, "7")]
+    found = leaves(spark.createDataFrame(rows, "id int, p string"), "id", "p").collect()
+    assert sorted(map(tuple, found), key=str) == [(1, "a.b[0]", "1"), (1, "a.b[1]", None), (1, "a.b[2].c", "true"), (1, "d", None), (4, "", None), (5, "", "7")]
+
+
+def test_routes(spark):
+    rows = [("C:\\STEG\\x.pdf", "", "steg_invoice"), (None, None, "medical_lab_report"), ("a.jpg", "Invoice No 3, seller, IBAN", "supplier_invoice"), ("a.jpg", "MERCI, caisse, visa", "receipt"), ("invoice-ticket.pdf", "", "receipt"), ("a.txt", "merci caisse visa", "medical_lab_report")]
+    assert [r["routed"] for r in route(spark.createDataFrame(rows, "path string, text string, want string")).collect()] == [r[2] for r in rows]
