@@ -170,10 +170,10 @@ def _named_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.record_batch([pa.array([k for k, _ in found], pa.int64()), pa.ListArray.from_arrays(bounds, np.concatenate([s for _, s in found]))], ["name", "members"])
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, meta: DataFrame, work: Workspace, name: str) -> DataFrame:
-    """The pairs (a, b) whose sets link. The sets are made anew from the texts of one document each; one side's set travels with a pair."""
+def _verified(pairs: DataFrame, docs: DataFrame, carriers: DataFrame, work: Workspace, name: str) -> DataFrame:
+    """The pairs (a, b) whose sets link. The sets are made anew from the texts of one document each (``carriers``); one side's set travels with a pair."""
     names = pairs.select(F.explode(F.array("a", "b")).alias("name")).distinct()
-    needed = work.save(meta.join(names, "name", "left_semi").groupBy("name").agg(F.min(F.struct("doc_id", "same")).alias("x")).select("x.doc_id", "x.same").distinct(), f"{name}-ids")
+    needed = work.save(carriers.join(names, "name", "left_semi").select("doc_id", "same"), f"{name}-ids")
     small = needed.count() <= BROADCAST_IDS
     hashed = docs.withColumn("same", F.xxhash64(F.coalesce("text", F.lit(""))))
     chosen = hashed["doc_id"].eqNullSafe(needed["doc_id"]) & (hashed["same"] == needed["same"])
@@ -210,6 +210,7 @@ def linked_sets(entries: DataFrame, docs: DataFrame, meta: DataFrame, known: Dat
         """How many elements follow a set's prefix."""
         return F.ceil(3 * n / F.lit(4)) - 1
 
+    carriers = work.save(meta.where("name is not null").groupBy("name").agg(F.min(F.struct("doc_id", "same")).alias("x")).select("name", "x.doc_id", "x.same"), "carriers")
     partners = F.array(F.struct(F.col("first").alias("b"), F.col("first_n").alias("m")), F.struct(F.col("before").alias("b"), F.col("before_n").alias("m")))
     first = (
         entries.select(F.col("name").alias("a"), "n", "late", F.explode(F.array_distinct(partners)).alias("p"))
@@ -223,7 +224,7 @@ def linked_sets(entries: DataFrame, docs: DataFrame, meta: DataFrame, known: Dat
         .where(F.col("r") <= FIRST_PARTNERS).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     )
     first = work.save(first, "first-pairs")
-    found = work.save(_verified(first, docs, meta, work, "first-members"), "first-links").unionAll(known)
+    found = work.save(_verified(first, docs, carriers, work, "first-members"), "first-links").unionAll(known)
     part = components(found, work, "first-components")
 
     keys = ["key", "name", "n", "pos", "late"]
@@ -255,7 +256,7 @@ def linked_sets(entries: DataFrame, docs: DataFrame, meta: DataFrame, known: Dat
                 .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
             )
             tried = work.save(tried, f"pairs-{k}")
-            more = work.save(_verified(tried, docs, meta, work, f"members-{k}"), f"links-{k}")
+            more = work.save(_verified(tried, docs, carriers, work, f"members-{k}"), f"links-{k}")
             found = found.unionAll(more)
             part = components(part.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(more), work, f"components-{k}")
             for used in (f"members-{k}", f"entries-round-{k}"):
@@ -280,7 +281,7 @@ def linked_sets(entries: DataFrame, docs: DataFrame, meta: DataFrame, known: Dat
         most = F.col("k") + F.greatest(F.least(after(n), m - j - 1), F.least(n - i - 1, after(m)))
         rest = rest.where(most >= need(n, m))
     rest = work.save(rest.select("a", "b").join(first, ["a", "b"], "left_anti"), "other-pairs")
-    found = found.unionAll(work.save(_verified(rest, docs, meta, work, "other-members"), "other-links"))
+    found = found.unionAll(work.save(_verified(rest, docs, carriers, work, "other-members"), "other-links"))
     for used in ("entries", "first-members", "other-members", "mixed-lists"):
         work.drop(used)
     return found, components(found, work, "components")
