@@ -1,4 +1,4 @@
-"""Connected components by alternating large and small stars (Kiveris et al., 2014), over links that tasks have contracted."""
+"""Connected components by alternating small and large stars (Kiveris et al., 2014), over links that tasks have contracted."""
 
 from __future__ import annotations
 
@@ -64,7 +64,7 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     out = joined.where(F.col("b") > F.col("a")) if large else joined
     out = out.select(F.col("b").alias("a"), F.col("m").alias("b"))
     if not large:
-        out = out.unionAll(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
+        out = out.unionAll(least.select("a", F.col("m").alias("b")))
     return out.where("a <> b")
 
 
@@ -83,7 +83,8 @@ def components(edges: DataFrame, work: Workspace, name: str) -> DataFrame:
     """
     now, k = edges.where("a <> b").select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")), 0
     while True:
-        now = work.save(_star(_star(now.mapInArrow(_contracted, "a long, b long"), True), False), f"{name}-{k}")
+        # contracted links are stars already: small stars join their centres, then large ones flatten
+        now = work.save(_star(_star(now.mapInArrow(_contracted, "a long, b long"), False), True).distinct(), f"{name}-{k}")
         if k:
             work.drop(f"{name}-{k - 1}")
         if _flat(now):
