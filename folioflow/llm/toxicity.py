@@ -213,12 +213,12 @@ def fit(docs: DataFrame, labels: DataFrame, work: Workspace | None = None) -> Cl
     sample = work.save(marked.where(F.col("positive") | pick).select("text", "positive"), "sample")
 
     grouped = sample.where("positive").select("text").mapInArrow(_counted(None), "key long, n long").groupBy("key").agg(F.sum("n").alias("p"))
-    least = max(3, told.toxic // 250)
+    sizes = {r.positive: r["count"] for r in sample.groupBy("positive").count().collect()}
+    least = max(3, sizes.get(True, 0) // 250)  # of the positives that p is counted in, not of all labels
     common = grouped.where(F.col("p") >= least).orderBy(F.desc("p"), "key").limit(CANDIDATES).toPandas()
     index = docs.sparkSession.sparkContext.broadcast(KeyIndex(common["key"].to_numpy(np.int64)))
     other = sample.where("not positive").select("text").mapInArrow(_counted(index), "key long, n long").groupBy("key").agg(F.sum("n").alias("u")).toPandas()
     table = common.merge(other, on="key", how="left").fillna({"u": 0})
-    sizes = {r.positive: r["count"] for r in sample.groupBy("positive").count().collect()}
     a, b = (table.p + 0.5) / (sizes.get(True, 0) + 1), (table.u + 0.5) / (sizes.get(False, 0) + 1)
     # prior * a / b estimates the part of a feature's documents that is toxic; the best of those with enough of it stay
     table["gain"] = np.where(prior * a > PURITY * b, table.p * np.log(a / b), 0.0)

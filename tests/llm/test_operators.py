@@ -216,3 +216,12 @@ def test_toxicity(spark, docs, empty):
     assert len(odd) == len(ROWS) and all(0 <= r.score <= 1 for r in odd)
     assert toxicity.fit(docs, labels.limit(0)).model is None and toxicity.score(empty, model).collect() == []
     assert toxicity.without_toxic(docs, model).columns == docs.columns
+
+
+def test_toxicity_with_more_labels_than_the_sample(spark, monkeypatch):
+    """A feature's least count follows the positives in the bounded sample, not all toxic labels."""
+    monkeypatch.setattr(toxicity, "POSITIVES", 20)
+    many = spark.range(20_000).selectExpr("id AS doc_id", "concat('w', id % 97, ' v', id % 89, if(id % 2 = 1, ' vile nasty', '')) AS text")
+    model = toxicity.fit(many, many.selectExpr("doc_id", "CAST(doc_id % 2 AS int) AS toxic"))
+    got = toxicity.score(many, model).selectExpr("avg(CAST((score >= 0.5) = (doc_id % 2 = 1) AS int)) AS right").first()
+    assert len(model.keys) and got.right > 0.98
