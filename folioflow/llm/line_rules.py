@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .textblocks import _BYTE, _FOLDED, blocks, mix, powers
 from .workspace import Workspace
 
-#: A line is removed where it is in over LINE_DOCS documents of a host and in over LINE_SHARE of them.
+#: A line is removed where it is in over LINE_DOCS documents of a host and, in op7, in over LINE_SHARE of them.
 LINE_DOCS = 20
 LINE_SHARE = 0.01
 MIN_LEFT = 0.3
@@ -116,8 +116,11 @@ def _per_word(values: np.ndarray, before: np.ndarray) -> np.ndarray:
     return total[before[1:]] - total[before[:-1]]
 
 
-def line_rules(docs: DataFrame, work: Workspace | None = None, host: str = "source") -> DataFrame:
-    """All columns of ``docs`` but text, with the measures, n_words_left, base_failed and kept. The rows of ``docs`` are numbered as ``row``."""
+def line_rules(docs: DataFrame, work: Workspace | None = None, host: str = "source", share: float = LINE_SHARE) -> DataFrame:
+    """All columns of ``docs`` but text, with the measures, n_words_left, base_failed and kept. The rows of ``docs`` are numbered as ``row``.
+
+    ``share``: takes the place of LINE_SHARE; with 0 a line over LINE_DOCS is removed whatever the size of its host.
+    """
     work = work or Workspace(docs.sparkSession, "lines")
     ids = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col(host).cast("string").alias("host"), F.col("text").cast("string").alias("text"))
     # one pass over the texts: the id columns ride along as one packed column
@@ -127,8 +130,10 @@ def line_rules(docs: DataFrame, work: Workspace | None = None, host: str = "sour
     lines = measured.select("row", "doc_id", "host", "same", F.explode("lines").alias("l")).select("row", "doc_id", "host", "same", "l.line", "l.words")
     texts = lines.groupBy("host", "line", "same").agg(F.min("doc_id").alias("doc_id"))
     counts = texts.groupBy("host", "line").agg(F.count("*").alias("docs"), F.min(F.struct("doc_id", "same")).alias("first"))
-    hosts = measured.select("host", "same").distinct().groupBy("host").agg(F.count("*").alias("host_docs"))
-    common = counts.where(F.col("docs") > LINE_DOCS).join(hosts, counts["host"].eqNullSafe(hosts["host"])).where(F.col("docs") > LINE_SHARE * F.col("host_docs"))
+    common = counts.where(F.col("docs") > LINE_DOCS)
+    if share:
+        hosts = measured.select("host", "same").distinct().groupBy("host").agg(F.count("*").alias("host_docs"))
+        common = common.join(hosts, counts["host"].eqNullSafe(hosts["host"])).where(F.col("docs") > share * F.col("host_docs"))
     common = work.save(common.select(counts["host"].alias("host"), "line", F.col("first.same").alias("first")), "common")
     removed = (
         lines.alias("l").join(common.alias("c"), (F.col("l.line") == F.col("c.line")) & F.col("l.host").eqNullSafe(F.col("c.host")) & (F.col("l.same") != F.col("c.first")))
@@ -143,9 +148,12 @@ def line_rules(docs: DataFrame, work: Workspace | None = None, host: str = "sour
     )
 
 
-def without_rejected(docs: DataFrame, work: Workspace | None = None, host: str = "source") -> DataFrame:
-    """The rows of ``docs`` that are kept, with all their columns. A verdict is one on a text and its host, so it is joined by them."""
-    rejected = line_rules(docs, work, host).where("not kept").select(F.col("host").alias("_host"), F.col("same").alias("_same")).distinct()
+def without_rejected(docs: DataFrame, work: Workspace | None = None, host: str = "source", share: float = 0) -> DataFrame:
+    """The rows of ``docs`` that are kept, with all their columns. A verdict is one on a text and its host, so it is joined by them.
+
+    Lines over LINE_DOCS count as common in hosts of any size, unlike in op7, whose SQL asks for LINE_SHARE besides.
+    """
+    rejected = line_rules(docs, work, host, share).where("not kept").select(F.col("host").alias("_host"), F.col("same").alias("_same")).distinct()
     marked = docs.withColumns({"_host_of": F.col(host).cast("string"), "_same_of": F.xxhash64(F.col("text").cast("string"))})
     gone = marked["_host_of"].eqNullSafe(rejected["_host"]) & (marked["_same_of"] == rejected["_same"])
     return marked.join(rejected, gone, "left_anti").drop("_host_of", "_same_of")

@@ -180,6 +180,14 @@ def test_line_rules(spark, docs, empty):
     assert line_rules.without_rejected(docs).columns == docs.columns
 
 
+def test_common_lines_of_a_large_host(spark):
+    """The same lines in as many documents get the same verdict in a small and in a large host."""
+    own = lambda i, n: " ".join(f"{i}x{k}".translate(str.maketrans("0123456789", "abcdefghij")) for k in range(n))  # noqa: E731  digits are alike in lines
+    rows = [(i, f"{own('common', 60)}\n{own(i, 15 if i % 10_000 else 90)}", f"h{i // 10_000}") for i in (*range(30), *range(10_000, 10_030))] + [(i, own(i, 60), "h1") for i in range(20_000, 23_500)]
+    kept = [r.doc_id for r in line_rules.without_rejected(spark.createDataFrame(rows, "doc_id long, text string, source string")).select("doc_id").collect()]
+    assert sorted(i for i in kept if i < 20_000) == [0, 10_000] and len(kept) == 3502
+
+
 def test_urls(spark):
     rows = [(1, "http://A.Example.NET/en/x"), (2, "http://example.net/de/"), (3, "http://fakenet/"), (4, None), (5, "no scheme"), (6, "x://h.example.com/de/?q"), (7, "http://m.casino-win.org/a"), (7, "http://m.casino-win.org/a"), (8, "http://x.net")]
     pages = spark.createDataFrame([(*r, "x") for r in rows], "page_id long, url string, rule string")
