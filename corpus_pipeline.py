@@ -18,7 +18,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that fail a base rule or are depleted by the removal of common lines."""
+    """Drops documents that fail a base rule or are depleted by the removal of common lines; those lines go from the others."""
     return without_rejected(docs)
 
 

@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,6 +59,20 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield _block(block, batch["row"].slice(block.first, len(block)))
 
 
+def _lines(block, starts: np.ndarray, ends: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of the lines with a word: their first and last word, the text they are of, their number in the block and their normalised hash; also where lines end."""
+    ends_of_lines = np.flatnonzero(block.data == 10)
+    line_of_word = np.searchsorted(ends_of_lines, starts)
+    first = np.flatnonzero(np.concatenate([[True], (line_of_word[1:] != line_of_word[:-1]) | (text[1:] != text[:-1])])) if len(starts) else np.zeros(0, np.int64)
+    last = np.append(first[1:], len(starts)) - 1 if len(first) else first
+    # a polynomial over their words' hashes
+    folded = block.hashes(starts, ends, _FOLDED)
+    p, inverse = powers(len(folded))
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(folded * p[: len(folded)], dtype=np.uint64)])
+    hashes = mix((total[last + 1] - total[first]) * inverse[first] + (last + 1 - first).astype(np.uint64)).view(np.int64)
+    return first, last, text[first], line_of_word[first], ends_of_lines, hashes
+
+
 def _block(block, row) -> pa.RecordBatch:
     starts, ends, before = block.words()
     n = np.diff(before)
@@ -77,13 +92,7 @@ def _block(block, row) -> pa.RecordBatch:
         for k in range(3):
             repeated[at + k] = True
 
-    # lines with a word: their first and last word, and the text they are of
-    ends_of_lines = np.flatnonzero(block.data == 10)
-    line_of_word = np.searchsorted(ends_of_lines, starts)
-    first = np.flatnonzero(np.concatenate([[True], (line_of_word[1:] != line_of_word[:-1]) | (text[1:] != text[:-1])])) if len(starts) else np.zeros(0, np.int64)
-    last = np.append(first[1:], len(starts)) - 1 if len(first) else first
-    line_text = text[first]
-    k = np.searchsorted(ends_of_lines, starts[first])
+    first, last, line_text, k, ends_of_lines, lines = _lines(block, starts, ends, text)
     begin = np.maximum(np.where(k > 0, ends_of_lines[np.maximum(k - 1, 0)] + 1 if len(ends_of_lines) else 0, 0), block.bounds[line_text])
     close = np.where(k < len(ends_of_lines), ends_of_lines[np.minimum(k, max(len(ends_of_lines) - 1, 0))] if len(ends_of_lines) else len(block.data), len(block.data))
     close = np.minimum(close, block.bounds[line_text + 1])
@@ -93,12 +102,6 @@ def _block(block, row) -> pa.RecordBatch:
     again = np.zeros(len(keys), bool)
     if len(keys):
         again[order[1:]] = keys[order][1:] == keys[order][:-1]
-
-    # normalised lines: a polynomial over their words' hashes
-    folded = block.hashes(starts, ends, _FOLDED)
-    p, inverse = powers(len(folded))
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(folded * p[: len(folded)], dtype=np.uint64)])
-    lines = mix((total[last + 1] - total[first]) * inverse[first] + (last + 1 - first).astype(np.uint64)).view(np.int64)
     bounds = np.searchsorted(line_text, np.arange(len(block) + 1)).astype(np.int32)
 
     return pa.record_batch(
@@ -116,6 +119,37 @@ def _per_word(values: np.ndarray, before: np.ndarray) -> np.ndarray:
     return total[before[1:]] - total[before[:-1]]
 
 
+def _without(column: pa.Array, dropped: list[np.ndarray]) -> list[str]:
+    """The texts without the lines whose hashes are given for each."""
+    out = []
+    for block in blocks(column):
+        starts, ends, before = block.words()
+        text = np.repeat(np.arange(len(block)), np.diff(before))
+        _, _, line_text, k, ends_of_lines, hashes = _lines(block, starts, ends, text)
+        bounds = np.searchsorted(line_text, np.arange(len(block) + 1))
+        number = k - np.searchsorted(ends_of_lines, block.bounds[line_text])
+        for i in range(len(block)):
+            mine = slice(bounds[i], bounds[i + 1])
+            gone = set(number[mine][np.isin(hashes[mine], dropped[block.first + i])].tolist())
+            out.append("\n".join(x for j, x in enumerate(column[block.first + i].as_py().split("\n")) if j not in gone))
+    return out
+
+
+def _cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        dropped = batch["_dropped"]
+        batch = batch.drop_columns(["_dropped"])
+        some = pc.is_valid(dropped)
+        if some.true_count:
+            column = batch["text"]
+            new = pa.array(_without(column.filter(some), [np.array(x) for x in dropped.filter(some).to_pylist()]), column.type)
+            changed = {"text": pc.replace_with_mask(column, some, new)}
+            if "n_chars" in batch.schema.names:
+                changed["n_chars"] = pc.replace_with_mask(batch["n_chars"], some, pc.utf8_length(new).cast(batch["n_chars"].type))
+            batch = pa.record_batch([changed.get(n, batch[n]) for n in batch.schema.names], batch.schema.names)
+        yield batch
+
+
 def line_rules(docs: DataFrame, work: Workspace | None = None, host: str = "source", share: float = LINE_SHARE) -> DataFrame:
     """All columns of ``docs`` but text, with the measures, n_words_left, base_failed and kept. The rows of ``docs`` are numbered as ``row``.
 
@@ -137,30 +171,35 @@ def line_rules(docs: DataFrame, work: Workspace | None = None, host: str = "sour
     common = work.save(common.select(counts["host"].alias("host"), "line", F.col("first.same").alias("first")), "common")
     removed = (
         lines.alias("l").join(common.alias("c"), (F.col("l.line") == F.col("c.line")) & F.col("l.host").eqNullSafe(F.col("c.host")) & (F.col("l.same") != F.col("c.first")))
-        .groupBy("row").agg(F.sum("words").alias("removed"))
+        .groupBy("row").agg(F.sum("words").alias("removed"), F.collect_set("l.line").alias("dropped"))
     )
     left = F.col("n_words") - F.coalesce("removed", F.lit(0))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words"))
     return (
         measured.drop("lines").join(removed, "row", "left")
         .withColumns({"n_words_left": left, "base_failed": failed}).withColumn("kept", ~F.col("base_failed") & (F.col("n_words_left") >= MIN_LEFT * F.col("n_words")))
-        .select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_words_left", "row", "host", "same")
+        .select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_words_left", "dropped", "row", "host", "same")
     )
 
 
 def without_rejected(docs: DataFrame, work: Workspace | None = None, host: str = "source", share: float = 0) -> DataFrame:
-    """The rows of ``docs`` that are kept, with all their columns. A verdict is one on a text and its host, so it is joined by them.
+    """The rows of ``docs`` that are kept, with all their columns, common lines cut out of their texts and n_chars, if there, to match.
+
+    What is cut are the lines that n_words_left leaves out. A verdict is one on a text and its host, so it is joined by them.
 
     Lines over LINE_DOCS count as common in hosts of any size, unlike in op7, whose SQL asks for LINE_SHARE besides.
     """
-    rejected = line_rules(docs, work, host, share).where("not kept").select(F.col("host").alias("_host"), F.col("same").alias("_same")).distinct()
-    marked = docs.withColumns({"_host_of": F.col(host).cast("string"), "_same_of": F.xxhash64(F.col("text").cast("string"))})
-    gone = marked["_host_of"].eqNullSafe(rejected["_host"]) & (marked["_same_of"] == rejected["_same"])
-    return marked.join(rejected, gone, "left_anti").drop("_host_of", "_same_of")
+    docs = docs.withColumn("text", F.col("text").cast("string"))
+    verdicts = line_rules(docs, work, host, share).where("not kept or dropped is not null").select(F.col("host").alias("_host"), F.col("same").alias("_same"), F.col("kept").alias("_kept"), F.array_sort("dropped").alias("_dropped"))
+    verdicts = verdicts.groupBy("_host", "_same").agg(F.first("_kept").alias("_kept"), F.first("_dropped").alias("_dropped"))  # repeated texts have the same
+    marked = docs.withColumns({"_host_of": F.col(host).cast("string"), "_same_of": F.xxhash64("text")})
+    found = marked["_host_of"].eqNullSafe(verdicts["_host"]) & (marked["_same_of"] == verdicts["_same"])
+    kept = marked.join(verdicts, found, "left").where("coalesce(_kept, true)").select(*docs.columns, "_dropped")
+    return kept.mapInArrow(_cleaned, docs.schema)
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_rules(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("row", "host", "same")
+    return line_rules(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("dropped", "row", "host", "same")
 
 
 ORACLE_SQL = r"""

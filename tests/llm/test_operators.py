@@ -188,6 +188,20 @@ def test_common_lines_of_a_large_host(spark):
     assert sorted(i for i in kept if i < 20_000) == [0, 10_000] and len(kept) == 3502
 
 
+def test_common_lines_are_cut(spark):
+    """Kept documents lose the lines that n_words_left leaves out, the first document keeps them, and n_chars follows."""
+    own = lambda i, n: " ".join(f"{i}x{k}".translate(str.maketrans("0123456789", "abcdefghij")) for k in range(n))
+    licence = ["Licence 1 of all the rights", "ähnlich in all of them 5"]
+    text = lambda i: f"\n{licence[0]}\n{own(i, 40)}\n\n{licence[0].upper().replace('1', '7')}  \n{own(-i - 1, 40)}\n{licence[1]}" + "\n" * (i % 2)
+    docs = spark.createDataFrame([(i, text(i), 1, "x", None) for i in [*range(30), 29]] + [(50, None, 1, "x", None)], "doc_id long, text string, n_chars int, note string, source string")
+    got = line_rules.without_rejected(docs).collect()
+    want = {i: f"\n{own(i, 40)}\n\n{own(-i - 1, 40)}" + "\n" * (i % 2) for i in range(1, 30)} | {0: text(0)}
+    assert sorted(r.doc_id for r in got) == [*range(30), 29] and all(r.text == want[r.doc_id] and r.note == "x" and r.source is None for r in got)
+    assert all(r.n_chars == (len(r.text) if r.doc_id else 1) for r in got)
+    left = {r.doc_id: r.n_words_left for r in line_rules.line_rules(docs).collect()}
+    assert all(len(words(r.text)) == left[r.doc_id] for r in got)
+
+
 def test_urls(spark):
     rows = [(1, "http://A.Example.NET/en/x"), (2, "http://example.net/de/"), (3, "http://fakenet/"), (4, None), (5, "no scheme"), (6, "x://h.example.com/de/?q"), (7, "http://m.casino-win.org/a"), (7, "http://m.casino-win.org/a"), (8, "http://x.net")]
     pages = spark.createDataFrame([(*r, "x") for r in rows], "page_id long, url string, rule string")
