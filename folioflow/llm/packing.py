@@ -34,6 +34,7 @@ END = 1
 WAITING = 4096
 VOCABULARY = "byte_bpe_50k"
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+MASKED = f"{PIECES}, learned long"
 #: Texts of these characters only are encoded by the faster library, which has the same vocabulary and splits them alike.
 _PLAIN = re.compile("[^\u0000-ɏ‐-‧‰-⁞]|<\\|endoftext\\|>")
 
@@ -93,7 +94,7 @@ class Packer:
     def _put(self, x: Example, n: int) -> None:
         ids = x.ids[x.start : x.start + n]
         learned = n if x.learned is None else int(x.learned[x.start : x.start + n].sum())
-        self.done.append((x.doc_id, x.start, n, zlib.crc32(ids.astype("<u4").tobytes()), len(x.ids), self.sequence, self.offset))
+        self.done.append((x.doc_id, x.start, n, zlib.crc32(ids.astype("<u4").tobytes()), len(x.ids), self.sequence, self.offset, learned))
         self.offset += n
         self.room -= (n, 1, learned)
         x.start += n
@@ -103,10 +104,15 @@ class Packer:
             while x.size()[0] >= self.limits[0] and x.size()[2] == x.size()[0] and not self.offset:
                 self._put(x, int(self.limits[0]))
                 self._close()
-            if not x.size()[0]:
-                return
-        elif x.size()[0] > self.limits[0] or x.size()[2] > self.limits[2]:
-            raise ValueError(f"document {x.doc_id}: {x.size()[0]} tokens, and cutting is not allowed")
+        else:
+            while x.size()[0] > self.limits[0] or x.size()[2] > self.limits[2]:  # fits no sequence: its head takes one alone
+                n = int(self.limits[0])
+                if x.learned is not None:
+                    n = min(n, int(np.searchsorted(np.cumsum(x.learned[x.start :]), self.limits[2], "right")))
+                self._put(x, n)
+                self._close()
+        if not x.size()[0]:
+            return
         if not self.empty:
             self.fill()
         k = self.empty.pop()
@@ -159,9 +165,9 @@ def _pieces(vocabulary: str):
     return run
 
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    names = [x.split()[0] for x in PIECES.split(", ")]
-    columns = list(zip(*rows, strict=True)) if rows else [[] for _ in names]
+def _batch(rows: list[tuple], schema: str = PIECES) -> pa.RecordBatch:
+    names = [x.split()[0] for x in schema.split(", ")]
+    columns = list(zip(*rows, strict=True))[: len(names)] if rows else [[] for _ in names]
     return pa.record_batch([pa.array(c, pa.int64()) for c in columns], names)
 
 
@@ -170,5 +176,37 @@ def pack_documents(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_pieces(vocabulary), PIECES)
 
 
+def _masked(limits: tuple[int, int, int]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer = Packer(TaskContext.get().partitionId() << 40, limits, cut=False)
+        for batch in batches:
+            for doc_id, ids, learned in zip(batch["doc_id"], batch["ids"], batch["learned"], strict=True):
+                ids, mask = np.array(ids.as_py() or [], np.uint32), None
+                if learned.is_valid:
+                    mask = np.zeros(len(ids), bool)
+                    told = np.array([x is True for x in learned.as_py()], bool)[: len(ids)]
+                    mask[: len(told)] = told
+                packer.add(Example(doc_id.as_py(), ids, 0, mask))
+                if len(packer.done) > 20_000:
+                    yield _batch(packer.done, MASKED)
+                    packer.done = []
+        packer.finish()
+        yield _batch(packer.done, MASKED)
+
+    return run
+
+
+def pack_masked(examples: DataFrame, limits: tuple[int, int, int] = (TOKENS, SEGMENTS, TOKENS)) -> DataFrame:
+    """MASKED pieces of each row of ``examples`` (doc_id, ids array, learned array: which ids bear loss), under limits on tokens, segments and loss-bearing tokens.
+
+    An example that fits a sequence stays whole. One that fits none is cut: full heads take sequences of their own, the rest is packed
+    like others. A null mask is one of all ids, a short one has no loss after its end. No ids, no rows.
+    """
+    if min(limits) < 1:
+        raise ValueError(f"limits {limits}: each must be 1 or more")
+    columns = F.col("doc_id").cast("long").alias("doc_id"), F.col("ids").cast("array<long>").alias("ids"), F.col("learned").cast("array<boolean>").alias("learned")
+    return examples.select(*columns).mapInArrow(_masked(limits), MASKED)
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))

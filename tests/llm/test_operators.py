@@ -170,6 +170,26 @@ def test_packing_instructions():
     assert all(sum(p[2] for p in x) <= 100 and len(x) <= 4 for x in per.values())
 
 
+def test_packing_masked_rows(spark):
+    """Rows of ids and masks are packed under all three limits; only what fits no sequence is cut, and nothing is lost."""
+    rng = np.random.default_rng(3)
+    ids = {i: rng.integers(0, 50_000, int(rng.integers(1, 60))).tolist() for i in range(300)} | {300: list(range(250)), 301: list(range(80)), 302: [], 303: [7] * 30}
+    masks = {i: (rng.random(len(x)) < 0.7).tolist() for i, x in ids.items()} | {301: [True] * 80, 303: None}
+    rows = spark.createDataFrame([(i, ids[i], masks[i]) for i in ids] + [(304, None, None)], "doc_id long, ids array<int>, learned array<boolean>")
+    got = packing.pack_masked(rows, (100, 4, 50)).toPandas()
+    per = got.groupby("sequence_id").agg(n=("length", "sum"), parts=("doc_id", "size"), learned=("learned", "sum"))
+    assert per.n.max() <= 100 and per.parts.max() <= 4 and 45 <= per.learned.max() <= 50
+    assert set(got.doc_id) == set(ids) - {302}
+    for i, x in got.groupby("doc_id"):
+        x = x.sort_values("start")
+        mask = masks[i] or [True] * len(ids[i])
+        assert len(x) == 1 or len(ids[i]) > 100 or sum(mask) > 50
+        assert x.start.tolist() == [0, *x.length.cumsum()[:-1]] and x.length.sum() == len(ids[i])
+        for r in x.itertuples():
+            part = slice(r.start, r.start + r.length)
+            assert r.learned == sum(mask[part]) and r.ids_crc32 == zlib.crc32(np.array(ids[i][part], "<u4").tobytes())
+
+
 def test_line_rules(spark, docs, empty):
     got = line_rules.line_rules(docs).collect()
     assert len(got) == len(ROWS) and all(not r.kept for r in got if r.base_failed)
