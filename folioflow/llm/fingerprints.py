@@ -3,49 +3,49 @@
 PERMUTATIONS functions of a universal family (a h + b modulo 2**64, a odd) are applied to all shingle hashes of a
 block at once, and the least value of each text is kept. A fingerprint is one byte of each minimum; the share of equal bytes,
 corrected for chance, estimates the Jaccard similarity. For near duplicates, bands of whole minima are
-joined in Spark, and pairs that share a band are verified by the Jaccard similarity of their
-shingle sets.
+joined in Spark, and all pairs of what shares bands are verified by the Jaccard similarity of their
+shingle sets, inside tasks.
 
-Neighbours by descending id are found in one range-partitioned pass: each task streams its sorted rows, and only
-the first and last row of each task are matched afterwards. Equal ids are ordered by text hash. A null id comes last. A null text
-is empty; texts without words have equal fingerprints. Repeated rows stay repeated, other columns are ignored, an empty
+Neighbours by descending id are found in one pass: rows are dealt by ranges of the ids, and the first row of each range goes to the range before
+too, so that each task streams its sorted rows. Equal ids are ordered by text hash. A null id comes last. A null text
+is empty; texts without words have equal fingerprints and no class but their own. Repeated rows stay repeated, other columns are ignored, an empty
 table gives no rows.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .jaccard_join import linked_sets
+from .linkage import link_sets, names_of, same_text
 from .textblocks import SHINGLE, blocks, mix, shingles, signature
-from .workspace import Workspace
+from .workspace import Lookup, Workspace
 
 PERMUTATIONS = 256
-#: Bands of BAND_ROWS minima: at a similarity of 0.75 a pair shares none with a chance of 4e-11.
-BAND_ROWS = 4
+#: BANDS bands of BAND_ROWS minima: at a similarity of 0.75 a pair shares none with a chance of 0.4 %, at 0.9 of 2e-6.
+BANDS, BAND_ROWS = 10, 3
 _BLOCK = 512 << 10
 _A = mix(np.arange(1, PERMUTATIONS + 1, dtype=np.uint64)) | np.uint64(1)
 _B = mix(np.arange(1001, PERMUTATIONS + 1001, dtype=np.uint64))
 
 
-def minima(texts: pa.Array) -> np.ndarray:
-    """One row of PERMUTATIONS minima for each text."""
-    out = np.full((len(texts), PERMUTATIONS), np.iinfo(np.uint64).max, np.uint64)
+def minima(texts: pa.Array, permutations: int = PERMUTATIONS) -> np.ndarray:
+    """One row of minima for each text."""
+    out = np.full((len(texts), permutations), np.iinfo(np.uint64).max, np.uint64)
     for block in blocks(texts, _BLOCK):
         starts, ends, before = block.words()
         values, bounds = shingles(block.hashes(starts, ends), before)
         filled = np.flatnonzero(np.diff(bounds))
         if not len(filled):
             continue
-        cuts, v, rows = bounds[filled], np.empty_like(values), np.empty((PERMUTATIONS, len(filled)), np.uint64)
-        for k in range(PERMUTATIONS):
+        cuts, v, rows = bounds[filled], np.empty_like(values), np.empty((permutations, len(filled)), np.uint64)
+        for k in range(permutations):
             np.multiply(values, _A[k], out=v)
             v += _B[k]
             np.minimum.reduceat(v, cuts, out=rows[k])
@@ -64,93 +64,88 @@ def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.clip((equal - 1 / 256) / (1 - 1 / 256), 0.0, 1.0)
 
 
-_ROWS = "place long, doc_id long, n_chars long, text string, sha binary, own binary, edited binary, near_edited double, near_next double, part int, kind int"
-_NAMES = [x.split()[0] for x in _ROWS.split(", ")]
+_FOUND = "doc_id long, n_chars long, sha binary, own binary, edited binary, near_edited double, near_next double"
 
 
-def _compared(ids: list, texts: list[str], own: np.ndarray, nexts: list[str], next_own: np.ndarray) -> dict[str, list]:
+def _compared(ids: list, texts: list[str], own: np.ndarray, nexts: list[str], next_own: np.ndarray) -> pa.RecordBatch:
     edited = []
     for x, y in zip(texts, nexts, strict=True):
         m = len(x) // 3
         edited.append(x[: len(x) - m] + y[:m])
     sketch = digests(minima(pa.array(edited, pa.large_string())))
-    return {
-        "doc_id": ids, "n_chars": [len(x) for x in texts], "sha": [hashlib.sha256(x.encode()).digest() for x in edited],
-        "own": [x.tobytes() for x in own], "edited": [x.tobytes() for x in sketch], "near_edited": likeness(own, sketch), "near_next": likeness(own, next_own),
-    }
-
-
-def _table(columns: dict[str, list], n: int) -> pa.RecordBatch:
-    types = dict(zip(_NAMES, [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.binary(), pa.float64(), pa.float64(), pa.int32(), pa.int32()], strict=True))
-    return pa.record_batch([pa.array(columns[c], types[c]) if c in columns else pa.nulls(n, types[c]) for c in _NAMES], _NAMES)
+    columns = [
+        pa.array(ids, pa.int64()), pa.array([len(x) for x in texts], pa.int64()), pa.array([hashlib.sha256(x.encode()).digest() for x in edited], pa.binary()),
+        pa.array([x.tobytes() for x in own], pa.binary()), pa.array([x.tobytes() for x in sketch], pa.binary()), pa.array(likeness(own, sketch)), pa.array(likeness(own, next_own)),
+    ]
+    return pa.record_batch(columns, [x.split()[0] for x in _FOUND.split(", ")])
 
 
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """kind 0: a finished row. kind 1: the task's last row, which has no next one here. kind 2: its first row."""
-    part, held = TaskContext.get().partitionId(), None
+    """Compares each row with the one after it in its range. The last row of a range is a copy of the next range's first."""
+    held = None
     for batch in batches:
         if not batch.num_rows:
             continue
-        texts, ids = batch["text"].to_pylist(), batch["doc_id"].to_pylist()
+        texts, ids, ranges, copies = (batch[c].to_pylist() for c in ("text", "doc_id", "range", "copy"))
         own = digests(minima(batch["text"]))
-        if held is None:
-            yield _table({"text": [texts[0]], "own": [own[0].tobytes()], "part": [part], "kind": [2]}, 1)
-        else:
-            texts, ids, own = [held[1], *texts], [held[0], *ids], np.concatenate([held[2], own])
-        if len(texts) > 1:
-            yield _table(_compared(ids[:-1], texts[:-1], own[:-1], texts[1:], own[1:]) | {"part": [part] * (len(ids) - 1), "kind": [0] * (len(ids) - 1)}, len(ids) - 1)
-        held = (ids[-1], texts[-1], own[-1:])
-    if held is not None:
-        yield _table({"doc_id": [held[0]], "text": [held[1]], "own": [held[2][0].tobytes()], "part": [part], "kind": [1]}, 1)
-
-
-def _last_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        if batch.num_rows:
-            x = batch.to_pydict()
-            own, after = (np.frombuffer(b"".join(x[c]), np.uint8).reshape(-1, PERMUTATIONS) for c in ("own", "next_own"))
-            yield _table(_compared(x["doc_id"], x["text"], own, x["next_text"], after) | {"kind": [0] * batch.num_rows}, batch.num_rows)
-
-
-def fingerprint_neighbours(docs: DataFrame, work: Workspace | None = None) -> DataFrame:
+        if held is not None:
+            texts, ids, ranges, copies, own = [held[0], *texts], [held[1], *ids], [held[2], *ranges], [held[3], *copies], np.concatenate([held[4], own])
+        at = np.array([i for i in range(len(ids) - 1) if not copies[i] and ranges[i] == ranges[i + 1]], np.int64)
+        if len(at):
+            yield _compared([ids[i] for i in at], [texts[i] for i in at], own[at], [texts[i + 1] for i in at], own[at + 1])
+        held = (texts[-1], ids[-1], ranges[-1], copies[-1], own[-1:])
+
+
+def _ranged(rows: DataFrame, parts: int) -> DataFrame:
+    """The rows with their ``range`` by descending key; the first of each range is also a ``copy`` in the range before."""
+    firsts = rows.select("key").repartitionByRange(parts, F.col("key").desc()).groupBy(F.spark_partition_id()).agg(F.max("key").alias("key")).collect()  # ``parts`` rows
+    firsts = sorted(((r.key.has, r.key.id, r.key.same) for r in firsts), reverse=True)
+    if not firsts:
+        return rows.select("doc_id", "text", "key", F.lit(0).alias("range"), F.lit(False).alias("copy"))
+    kind = "array<struct<has:boolean,id:bigint,same:bigint>>"
+    listed = lambda x: F.from_json(F.lit(json.dumps([{"has": h, "id": i, "same": s} for h, i, s in x])), kind)
+    wide = int(len(firsts) ** 0.5) + 1
+    not_after = lambda x: F.size(F.filter(x, lambda b: b >= F.col("key")))
+    coarse = not_after(listed(firsts[::wide])) - 1  # a search in two steps
+    marked = rows.withColumn("coarse", coarse).withColumn("near", F.slice(listed(firsts), F.col("coarse") * wide + 1, F.lit(wide)))
+    marked = marked.withColumn("range", F.col("coarse") * wide + not_after(F.col("near")) - 1)
+    first = F.element_at(listed(firsts), F.col("range") + 1) == F.col("key")
+    here = F.struct(F.col("range"), F.lit(False).alias("copy"))
+    before = F.struct(F.pmod(F.col("range") - 1, F.lit(len(firsts))).alias("range"), F.lit(True).alias("copy"))
+    return marked.select("doc_id", "text", "key", F.explode(F.when(first, F.array(here, before)).otherwise(F.array(here))).alias("x")).select("doc_id", "text", "key", "x.range", "x.copy")
+
+
+def fingerprint_neighbours(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of each row of ``docs`` (doc_id, text).
 
     The edited text has its last third replaced by as many first characters of the next document by descending id.
     """
-    spark = docs.sparkSession
-    work = work or Workspace(spark, "fingerprints")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    order = [F.col("doc_id").desc_nulls_last(), F.xxhash64("text").desc()]
-    ordered = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    found = work.save(ordered.mapInArrow(_neighbours, _ROWS), "rows")
-    used = sorted(r.part for r in found.where("kind = 2").select("part").collect())  # a number for each task at most
-    following = spark.createDataFrame([(p, q) for p, q in zip(used, used[1:] + used[:1], strict=True)], "part int, following int")
-    heads = found.where("kind = 2").select(F.col("part").alias("following"), F.col("text").alias("next_text"), F.col("own").alias("next_own"))
-    last = found.where("kind = 1").join(following, "part").join(heads, "following").select("doc_id", "text", "own", "next_text", "next_own").mapInArrow(_last_rows, _ROWS)
+    rows = rows.withColumn("key", F.struct(F.col("doc_id").isNotNull().alias("has"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.xxhash64("text").alias("same")))
+    ranged = _ranged(rows, parts).repartition(parts, "range").sortWithinPartitions("range", "copy", F.col("key").desc())
     text = lambda c: F.lower(F.hex(c))
-    return found.where("kind = 0").unionByName(last).select(
+    return ranged.select("doc_id", "text", "range", "copy").mapInArrow(_neighbours, _FOUND).select(
         "doc_id", "n_chars", text("sha").alias("edited_sha256"), text("own").alias("fingerprint"), text("edited").alias("edited_fingerprint"), "near_edited", "near_next"
     )
 
 
-def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for block in blocks(batch["text"]):
-            starts, ends, before = block.words()
-            values, bounds = shingles(block.hashes(starts, ends), before)
-            least = minima(batch["text"].slice(block.first, len(block)))
-            keys, names, sizes = [], [], []
-            for i in range(len(block)):
-                s = np.unique(values[bounds[i] : bounds[i + 1]])
-                if len(s):
-                    bands = mix(least[i].reshape(-1, BAND_ROWS) * _A[:BAND_ROWS]).sum(axis=1, dtype=np.uint64)
-                    keys.append(mix(bands + np.arange(len(bands), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64))
-                    names.append(np.full(len(bands), signature(s), np.int64))
-                    sizes.append(np.full(len(bands), len(s), np.int32))
-            if keys:
-                n = sum(map(len, keys))
-                yield pa.record_batch([*(pa.array(np.concatenate(x)) for x in (keys, names, sizes)), pa.array(np.zeros(n, np.int32)), pa.array(np.ones(n, bool))], ["key", "name", "n", "pos", "late"])
+def _bands(shared):
+    """key, name, n of the bands of each text; with ``shared`` those only whose key may be one of it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            least = minima(batch["text"], BANDS * BAND_ROWS)
+            bands = mix(least.reshape(-1, BANDS, BAND_ROWS) * _A[:BAND_ROWS]).sum(axis=2, dtype=np.uint64)
+            keys = mix(bands + np.arange(BANDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
+            names, sizes = batch["name"].to_numpy(zero_copy_only=False), batch["n"].to_numpy(zero_copy_only=False)
+            keys, names, sizes = keys.ravel(), np.repeat(names, BANDS), np.repeat(sizes, BANDS)
+            if shared is not None:
+                at = shared.value.has(keys)
+                keys, names, sizes = keys[at], names[at], sizes[at]
+            yield pa.record_batch([pa.array(keys), pa.array(names, pa.int64()), pa.array(sizes, pa.int64())], ["key", "name", "n"])
+
+    return run
 
 
 def _names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,21 +154,37 @@ def _names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             starts, ends, before = block.words()
             values, bounds = shingles(block.hashes(starts, ends), before)
             found = [np.unique(values[bounds[i] : bounds[i + 1]]) for i in range(len(block))]
-            yield pa.record_batch([batch["doc_id"].slice(block.first, len(block)), batch["same"].slice(block.first, len(block)), pa.array([signature(s) if len(s) else None for s in found], pa.int64())], ["doc_id", "same", "name"])
+            part = lambda c: batch[c].slice(block.first, len(block))  # noqa: E731, B023
+            sizes = pa.array([len(s) for s in found], pa.int64())
+            yield pa.record_batch([part("doc_id"), part("same"), sizes, pa.array([signature(s) if len(s) else None for s in found], pa.int64()), part("text")], ["doc_id", "same", "n", "name", "text"])
+
+
+_NAMED = "doc_id long, same long, n long, name long, text string"
 
 
 def near_duplicates(docs: DataFrame, work: Workspace | None = None) -> DataFrame:
-    """doc_id, class_id (least id of its class) for each row: classes of texts joined by bands and verified Jaccard similarities of 0.75 or more."""
+    """doc_id, same (text hash), class_id (least id of its class), n_links (other rows linked to it) for each row: texts that share bands, directly or by others, and whose verified Jaccard similarity is 0.75 or more."""
     work = work or Workspace(docs.sparkSession, "bands")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    hashed = docs.withColumn("same", F.xxhash64(F.coalesce("text", F.lit(""))))
-    meta = work.save(hashed.mapInArrow(_names, "doc_id long, same long, name long"), "names")
-    entries = docs.mapInArrow(_bands, "key long, name long, n int, pos int, late boolean").distinct()
-    none = meta.where("false").select(F.col("name").alias("a"), F.col("name").alias("b"))
-    _, parts = linked_sets(entries, docs, meta, none, work, ordered=False)
-    named = meta.join(parts.withColumnRenamed("node", "name"), "name", "left").withColumn("class", F.coalesce("component", "name"))
-    least = named.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("class_id"))
-    return named.join(least, "class", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
+    named = docs.withColumn("same", same_text(F.col("text"))).mapInArrow(_names, _NAMED)
+    meta = work.save(named.drop("text"), "documents")
+    names = names_of(meta, work)
+
+    def entries(some: DataFrame, shared=None) -> DataFrame:
+        return some.withColumn("same", same_text(F.col("text"))).mapInArrow(_names, _NAMED).where("name is not null").mapInArrow(_bands(shared), "key long, name long, n long")
+
+    least = entries(docs).groupBy("key").agg(F.min("name").alias("b"), F.max("name").alias("last")).where("b <> last").select("key", "b")
+    least = work.save(least, "shared-bands")
+    shared = docs.sparkSession.sparkContext.broadcast(Lookup(least.select("key")))
+    candidates = work.save(entries(docs, shared).join(least, "key").where("name <> b").select(F.col("name").alias("a"), "b").distinct(), "chains")
+    found = link_sets(docs, names, candidates, lambda some: entries(some, shared).select("key", "name"), work)
+    linked = found.join(names.select("name", "least_id", "copies"), "name")
+    classes = linked.groupBy("component").agg(F.min("least_id").alias("class_id"))
+    linked = linked.join(classes, "component").select("name", "class_id", (F.col("links") + F.col("copies") - 1).alias("n_links"))
+    alone = names.where("copies > 1").join(found, "name", "left_anti").select("name", F.col("least_id").alias("class_id"), (F.col("copies") - 1).alias("n_links"))
+    told = work.save(linked.unionByName(alone), "told")
+    work.drop("shared-bands", "chains", "candidates")
+    return meta.join(told, "name", "left").select("doc_id", "same", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,15 +9,14 @@ Two texts link when the Jaccard similarity of their five-word shingle sets is 0.
   is monotone in the sizes, so linking each subset's members to its smallest member
   keeps all components without naming all pairs.
 * Large sets scan inverted lists. Each set enters only the lists of its prefix, under a global
-  order that puts shingles of many documents last: a linked pair shares at least one.
-  Pairs of a list are not enumerated. First, each member is compared with its best
-  few of (list's first, list's previous) members, and the links found are contracted to
-  components. Then every pair of a list whose ends still lie in different components, and
-  whose sizes and positions allow a link, is compared. Pairs inside a component can't change
-  it, so the components are exact, with no cap on lists or partners.
+  order that puts shingles of many documents last, rare ones before common ones: a linked pair shares at least one.
+  Short lists count what each pair shares and keep pairs that share enough. Long lists are not enumerated: their members are chained by size,
+  and chains break where sizes can't link. Lists of shingles known to be in many documents are cut into parts by their
+  length. ``linkage`` then verifies all pairs of what hangs together inside tasks.
+  So components and numbers of links are exact, with no cap on lists or partners.
 
 Nulls and texts without words have an empty set and link with nothing. A null id is kept as a row
-of its own. Repeated rows stay repeated. Other columns are ignored. An empty table gives no rows.
+of its own. Repeated rows stay repeated, and link with one another. Other columns are ignored. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -28,25 +27,24 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .components import components
+from .components import CHUNK, least_members
+from .linkage import link_sets, names_of, same_text
 from .textblocks import blocks, mix, shingle_sets, signature
-from .workspace import Workspace
+from .workspace import Lookup, Workspace, unused
 
 #: At most this many frequent shingles are known to all tasks (8 bytes each); the count from which one is frequent rises with the corpus.
 FREQUENT_LIMIT = 1 << 20
 FREQUENT_FROM = 32
 #: Sizes among which the boundary between small and large sets is chosen.
 BOUNDARY_MAX = 24
-#: Lists of frequent shingles are cut so many ways while first links are sought.
-SALTS = 16
-FIRST_PARTNERS = 2
-#: Lists with over LONG entries outside their main component get up to ROUNDS rounds of CHANCES tries for each, as long as FEW_LINKS of them link, before the rest is compared in full.
-LONG, ROUNDS, CHANCES, FEW_LINKS = 64, 6, 6, 0.01
-#: So many ids of documents are broadcast at most (16 bytes each, with a text hash); more are joined by a shuffle.
-BROADCAST_IDS = 1 << 18
+#: Lists of frequent shingles are cut into parts of about so many sets.
+LIST_ROWS = 4096
+#: Of lists of up to LONG sets all pairs are looked at; longer ones are chained.
+LONG = 64
 
 
 def overlap(n: int, m: int) -> int:
@@ -93,32 +91,36 @@ _META = ["kind", "id", "same", "n", "name"]
 
 
 class _Order:
-    """The global order: shingles outside the frequent ones first, then by hash."""
+    """The global order: shingles outside the frequent ones first, by hash, then those by their count and hash."""
 
-    def __init__(self, frequent: np.ndarray):
-        self.frequent = np.sort(frequent.view(np.uint64))
+    def __init__(self, frequent: np.ndarray, counts: np.ndarray):
+        at = np.argsort(frequent.view(np.uint64), kind="stable")
+        self.frequent, self.counts = frequent.view(np.uint64)[at], counts[at]
         self.hint = np.zeros(1 << 22, bool)
         self.hint[(self.frequent >> np.uint64(42)).astype(np.int64)] = True
 
-    def sort(self, s: np.ndarray) -> tuple[np.ndarray, int]:
-        """The set in this order, and how many of it are not frequent."""
+    def sort(self, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The set in this order, and the counts of its frequent shingles, which are the last of it."""
         late = self.hint[(s >> np.uint64(42)).astype(np.int64)]
-        if late.any():
-            at = np.flatnonzero(late)
-            k = np.minimum(np.searchsorted(self.frequent, s[at]), len(self.frequent) - 1)
-            late[at] = self.frequent[k] == s[at]
-            s = np.concatenate([s[~late], s[late]])
-        return s, len(s) - int(late.sum())
+        if not late.any():
+            return s, self.counts[:0]
+        at = np.flatnonzero(late)
+        k = np.minimum(np.searchsorted(self.frequent, s[at]), len(self.frequent) - 1)
+        late[at] = self.frequent[k] == s[at]
+        counts = self.counts[k[self.frequent[k] == s[at]]]
+        order = np.argsort(counts, kind="stable")
+        return np.concatenate([s[~late], s[late][order]]), counts[order]
 
 
 def _prefixes(order, boundary: int):
+    """Entries (key, name, at) of sets that may link with a large one; at: the set's size and the key's place in it. ``home``: the key of a list that is cut into parts, each under a key of its own."""
     least = -(-3 * boundary // 4)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             seen: set[int] = set()
             for block in blocks(batch["text"]):
-                keys, names, sizes, positions, late = [], [], [], [], []
+                keys, names, ats, homes, cut = [], [], [], [], []
                 for s in shingle_sets(block):
                     n = len(s)
                     if n < max(least, 1):
@@ -127,19 +129,169 @@ def _prefixes(order, boundary: int):
                     if name in seen:
                         continue
                     seen.add(name)
-                    s, light = order.value.sort(s)
-                    p = n - (3 * n + 3) // 4 + 1
-                    keys.append(s[:p])
+                    s, counts = order.value.sort(s)
+                    p = prefix(n)
+                    parts = np.zeros(p, np.uint64)
+                    light = min(p, n - len(counts))
+                    parts[light:] = counts[: p - light] // LIST_ROWS
+                    key = s[:p]
+                    if parts.any():
+                        part = np.uint64(name & 0xFFFFFFFFFFFFFFFF) % (parts + np.uint64(1)) + np.uint64(1)
+                        key = np.where(parts > 0, mix(key + part * np.uint64(0x9E3779B97F4A7C15)), key)
+                    keys.append(key)
+                    homes.append(s[:p])
                     names.append(np.full(p, name, np.int64))
-                    sizes.append(np.full(p, n, np.int32))
-                    positions.append(np.arange(p, dtype=np.int32))
-                    late.append(np.arange(p) >= light)
+                    ats.append((n << 32) + np.arange(p))
+                    cut.append(parts > 0)
                 if keys:
-                    yield pa.record_batch([pa.array(np.concatenate(keys).view(np.int64)), *(pa.array(np.concatenate(x)) for x in (names, sizes, positions, late))], ["key", "name", "n", "pos", "late"])
+                    home = pa.array(np.concatenate(homes).view(np.int64), mask=~np.concatenate(cut))
+                    yield pa.record_batch([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(names)), pa.array(np.concatenate(ats)), home], ["key", "name", "at", "home"])
 
     return run
 
 
+_ENTRIES = "key long, name long, at long, home long"
+
+
+def prefix(n):
+    """How many of a set's n elements, in the global order, enter lists: two sets that link share one of these."""
+    return n - (3 * n + 3) // 4 + 1
+
+
+def _need(n, m):
+    return -(-3 * (n + m) // 7)
+
+
+def _band(n: np.ndarray) -> np.ndarray:
+    """Sizes of bands that are not neighbours can't link."""
+    return np.floor(np.log(n) / np.log(4 / 3)).astype(np.int32)
+
+
+#: What lists give. PAIR: a, b, their sizes n and m, whether the key is within the places where two such sets must share one (k).
+#: LOOSE: k entries of a that stand in long lists. CHAIN: a and b are in one list. PART: in list a, the first of band n in a part is b.
+PAIR, LOOSE, CHAIN, PART = range(4)
+_LISTED = "kind int, a long, b long, n int, m int, k int"
+
+
+def _rows(kind: int, a, b=None, n=None, m=None, k=None) -> pa.RecordBatch:
+    size = len(a)
+    column = lambda x, t: pa.nulls(size, t) if x is None else pa.array(x).cast(t)
+    return pa.record_batch([pa.array(np.full(size, kind, np.int32)), column(a, pa.int64()), column(b, pa.int64()), column(n, pa.int32()), column(m, pa.int32()), column(k, pa.int32())], ["kind", "a", "b", "n", "m", "k"])
+
+
+def _short(key, name, n, pos) -> Iterator[pa.RecordBatch]:
+    """All pairs of lists of LONG entries at most, sorted by key."""
+    for d in range(1, LONG):
+        x = np.flatnonzero(key[d:] == key[:-d])
+        if not len(x):
+            return
+        x = x[(4 * n[x] >= 3 * n[x + d]) & (4 * n[x + d] >= 3 * n[x])]
+        y = x + d
+        need = _need(n[x], n[y])
+        meet = (pos[x] <= n[x] - need) & (pos[y] <= n[y] - need)
+        swap = name[x] > name[y]
+        x, y = np.where(swap, y, x), np.where(swap, x, y)
+        for at in range(0, len(x), 1 << 16):
+            part = slice(at, at + (1 << 16))
+            yield _rows(PAIR, name[x[part]], name[y[part]], n[x[part]], n[y[part]], meet[part])
+
+
+def _long(key, name, n, pos) -> tuple[np.ndarray, np.ndarray]:
+    """Chains of whole lists, whatever their length.
+
+    A key at a place over n - need(n, n) can only be the first that a set shares with a smaller one, of a size up to a bound. Sets with earlier places are
+    chained by size; the others follow the largest of these that their bound allows, since smaller ones that they may link to hang together with it.
+    """
+    hub = pos <= n - _need(n, n)
+    v = np.where(hub, n, np.minimum(n, 7 * (n - pos) // 3 - n))
+    order = np.lexsort((~hub, v, key))
+    key, name, n, hub = key[order], name[order], n[order], hub[order]
+    before = np.concatenate([[-1], np.maximum.accumulate(np.where(hub, np.arange(len(key)), -1))[:-1]])
+    at = np.flatnonzero(before >= 0)
+    to = before[at]
+    ok = (key[at] == key[to]) & (4 * n[to] >= 3 * n[at])
+    return name[at[ok]], name[to[ok]]
+
+
+def _parts(home, key, name, n) -> tuple[np.ndarray, np.ndarray, pa.RecordBatch]:
+    """Chains of parts of lists by size, and the first of each band."""
+    order = np.lexsort((name, n, key))
+    home, key, name, n = home[order], key[order], name[order], n[order]
+    follows = (key[1:] == key[:-1]) & (4 * n[:-1] >= 3 * n[1:])
+    band = _band(n)
+    first = np.concatenate([[True], (key[1:] != key[:-1]) | (band[1:] != band[:-1])])
+    return name[1:][follows], name[:-1][follows], _rows(PART, home[first], name[first], band[first])
+
+
+def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """_LISTED rows of entries sorted by key."""
+
+    def work(key, name, at, home, cut) -> Iterator[pa.RecordBatch]:
+        order = np.lexsort((name, key))
+        key, name, at, home, cut = (x[order] for x in (key, name, at, home, cut))
+        once = np.concatenate([[True], (key[1:] != key[:-1]) | (name[1:] != name[:-1])])
+        key, name, at, home, cut = (x[once] for x in (key, name, at, home, cut))
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        size = np.diff(np.append(first, len(key)))
+        size = np.repeat(size, size)
+        n, pos = at >> 32, at & 0xFFFFFFFF
+        short = ~cut & (size > 1) & (size <= LONG)
+        yield from _short(key[short], name[short], n[short], pos[short])
+        long = ~cut & (size > LONG)
+        loose, k = np.unique(name[long | cut], return_counts=True)
+        yield _rows(LOOSE, loose, k=k)
+        a, b = _long(key[long], name[long], n[long], pos[long]) if long.any() else (name[:0], name[:0])
+        if cut.any():
+            more, others, parts = _parts(home[cut], key[cut], name[cut], n[cut])
+            a, b = np.concatenate([a, more]), np.concatenate([b, others])
+            yield parts
+        if len(a):
+            v, least = least_members(a, b)
+            yield _rows(CHAIN, v[v != least], least[v != least])
+
+    held, rows, over = [], 0, None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cut = batch["home"].is_valid()
+        columns = [batch[c].to_numpy() for c in ("key", "name", "at")]
+        held.append([*columns, pc.coalesce(batch["home"], batch["key"]).to_numpy(), cut.to_numpy(zero_copy_only=False)])
+        rows += len(columns[0])
+        if rows >= CHUNK:
+            key, name, at, home, cut = (np.concatenate(x) for x in zip(*held, strict=True))
+            last = int(np.searchsorted(key, key[-1]))
+            if last == 0:  # a list of over CHUNK entries is cut like those known to be long
+                over = key[-1]
+                last = len(key)
+            cut = cut | (key == over) if over is not None else cut
+            yield from work(key[:last], name[:last], at[:last], home[:last], cut[:last])
+            held, rows = [[x[last:] for x in (key, name, at, home, cut)]], len(key) - last
+    if rows:
+        key, name, at, home, cut = (np.concatenate(x) for x in zip(*held, strict=True))
+        yield from work(key, name, at, home, cut | (key == over) if over is not None else cut)
+
+
+def _list_links(entries: DataFrame, work: Workspace) -> DataFrame:
+    """Candidates (a, b): pairs of short lists that share enough keys, and chains of long lists.
+
+    Two sets share at most as many elements as their prefixes do, plus what follows the prefix that ends first. Keys of short lists are counted for each
+    pair; of those of long lists, a pair may share as many as each of its sets has.
+    """
+    found = work.save(entries.repartition("key").sortWithinPartitions("key").mapInArrow(_listed, _LISTED), "lists")
+    pairs = found.where(f"kind = {PAIR}").groupBy("a", "b", "n", "m").agg(F.count("*").alias("k"), F.max("k").alias("meet")).where("meet = 1").drop("meet")
+    loose = work.save(found.where(f"kind = {LOOSE}").groupBy(F.col("a").alias("name")).agg(F.sum("k").alias("loose")), "loose")
+    n, m = F.col("n"), F.col("m")
+    least = F.ceil(3 * (n + m) / F.lit(7)) - (F.ceil(3 * F.greatest(n, m) / F.lit(4)) - 1)
+    for c in "ab":
+        pairs = pairs.join(loose.select(F.col("name").alias(c), F.col("loose").alias(f"loose_{c}")), c, "left")
+    pairs = pairs.where(F.col("k") + F.least(F.coalesce("loose_a", F.lit(0)), F.coalesce("loose_b", F.lit(0))) >= least).select("a", "b")
+    # the parts of a list hang together by band and by neighbouring bands
+    order = Window.partitionBy("a").orderBy("n", "b")
+    parts = found.where(f"kind = {PART}").select("a", "b", "n").withColumns({"other": F.lag("b").over(order), "below": F.lag("n").over(order)})
+    parts = parts.where("other <> b and n - below <= 1").select(F.col("b").alias("a"), F.col("other").alias("b"))
+    return work.save(pairs, "pairs").unionByName(found.where(f"kind = {CHAIN}").select("a", "b")).unionByName(parts)
+
+
 def _subsets(boundary: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -161,140 +313,12 @@ def _subsets(boundary: int):
     return run
 
 
-def _named_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for block in blocks(batch["text"]):
-            found = [(signature(s), s.view(np.int64)) for s in shingle_sets(block) if len(s)]
-            if found:
-                bounds = np.concatenate([[0], np.cumsum([len(s) for _, s in found])]).astype(np.int32)
-                yield pa.record_batch([pa.array([k for k, _ in found], pa.int64()), pa.ListArray.from_arrays(bounds, np.concatenate([s for _, s in found]))], ["name", "members"])
-
-
-def _verified(pairs: DataFrame, docs: DataFrame, carriers: DataFrame, work: Workspace, name: str) -> DataFrame:
-    """The pairs (a, b) whose sets link. The sets are made anew from the texts of one document each (``carriers``); one side's set travels with a pair."""
-    names = pairs.select(F.explode(F.array("a", "b")).alias("name")).distinct()
-    needed = work.save(carriers.join(names, "name", "left_semi").select("doc_id", "same"), f"{name}-ids")
-    small = needed.count() <= BROADCAST_IDS
-    hashed = docs.withColumn("same", F.xxhash64(F.coalesce("text", F.lit(""))))
-    chosen = hashed["doc_id"].eqNullSafe(needed["doc_id"]) & (hashed["same"] == needed["same"])
-    sets = work.save(hashed.join(F.broadcast(needed) if small else needed, chosen, "left_semi").mapInArrow(_named_sets, "name long, members array<long>"), name)
-    left = sets.select(F.col("name").alias("a"), F.col("members").alias("x"))
-    right = sets.select(F.col("name").alias("b"), F.col("members").alias("y"))
-    shared = F.size(F.array_intersect("x", "y"))
-    return pairs.join(right, "b").join(left, "a").where(175 * shared >= 75 * (F.size("x") + F.size("y"))).select("a", "b").distinct()
-
-
-def linked_sets(entries: DataFrame, docs: DataFrame, meta: DataFrame, known: DataFrame, work: Workspace, boundary: int = 1, ordered: bool = True) -> tuple[DataFrame, DataFrame]:
-    """The links found (a, b), and (node, component), of sets that meet in lists.
-
-    ``entries``: key, name, n (set size), pos (the place of the key in the set's order), late (whether the key is frequent). A list is
-    the entries of a key. ``ordered``: whether lists are those of prefixes under one order of all shingles. ``meta``: doc_id, same (text hash) and name of every row of ``docs``. ``known``: links (a, b) found before.
-    """
-    lists = Window.partitionBy("key", "salt").orderBy("n", "name")
-    whole = lists.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    entries = (
-        entries.withColumn("salt", F.when(F.col("late"), F.pmod(F.xxhash64("key", "name"), F.lit(SALTS)).cast("int")).otherwise(0))
-        .withColumns({"before": F.lag("name").over(lists), "first": F.first("name").over(whole), "first_n": F.first("n").over(whole), "before_n": F.lag("n").over(lists), "last": F.last("name").over(whole)})
-        .where("(late or first <> last) and (before is null or before <> name)")
-        .drop("last", "salt")
-    )
-    entries = work.save(entries, "entries")
-
-    def possible(n, m):
-        return (4 * n >= 3 * m) & (4 * m >= 3 * n) & (F.greatest(n, m) >= boundary)
-
-    def need(n, m):
-        return F.ceil(3 * (n + m) / F.lit(7))
-
-    def after(n):
-        """How many elements follow a set's prefix."""
-        return F.ceil(3 * n / F.lit(4)) - 1
-
-    carriers = work.save(meta.where("name is not null").groupBy("name").agg(F.min(F.struct("doc_id", "same")).alias("x")).select("name", "x.doc_id", "x.same"), "carriers")
-    partners = F.array(F.struct(F.col("first").alias("b"), F.col("first_n").alias("m")), F.struct(F.col("before").alias("b"), F.col("before_n").alias("m")))
-    first = (
-        entries.select(F.col("name").alias("a"), "n", "late", F.explode(F.array_distinct(partners)).alias("p"))
-        .where("p.b is not null and p.b <> a").where(possible(F.col("n"), F.col("p.m")))
-        .groupBy("a", "n", F.col("p.b").alias("b"), F.col("p.m").alias("m")).agg(F.count("*").alias("k"), F.max("late").alias("late"))
-    )
-    if ordered:  # in lists of few documents a pair that can link shares many keys; if its lists name others first, it comes up again below
-        first = first.where(F.col("late") | (2 * F.col("k") >= need(F.col("n"), F.col("m")) - F.least(after(F.col("n")), after(F.col("m")))))
-    first = (
-        first.withColumn("r", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("k"), "b")))
-        .where(F.col("r") <= FIRST_PARTNERS).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    )
-    first = work.save(first, "first-pairs")
-    found = work.save(_verified(first, docs, carriers, work, "first-members"), "first-links").unionAll(known)
-    part = components(found, work, "first-components")
-
-    keys = ["key", "name", "n", "pos", "late"]
-
-    def by_component(rows: DataFrame, tag: str) -> tuple[DataFrame, DataFrame]:
-        """The entries with their components; key, main component, its entries and all entries of each list of two components or more."""
-        now = rows.select(*keys).join(part.withColumnRenamed("node", "name"), "name", "left").withColumn("component", F.coalesce("component", "name"))
-        now = work.save(now, f"entries-{tag}")
-        lists = (
-            now.groupBy("key", "component").agg(F.count("*").alias("k")).groupBy("key")
-            .agg(F.count("*").alias("groups"), F.max_by("component", F.struct("k", "component")).alias("main"), F.max("k").alias("most"), F.sum("k").alias("size")).where("groups > 1").drop("groups")
-        )
-        return now, work.save(lists, f"lists-{tag}")
-
-    now, listed = by_component(entries, "first")
-    long = listed.where(F.col("size") - F.col("most") > LONG)
-    if not long.isEmpty():
-        some = work.save(now.join(long.select("key"), "key", "left_semi").select(*keys), "long-lists")
-        for k in range(ROUNDS):
-            # every entry outside its list's main component tries a few chance members of that
-            inside, mains = by_component(some, f"round-{k}")
-            salt = F.when(F.col("late"), F.pmod(F.xxhash64("name", F.lit(k)), F.lit(SALTS)).cast("int")).otherwise(0)
-            chance = Window.partitionBy("key", "salt").orderBy(F.xxhash64("name", "key", F.lit(k))).rowsBetween(Window.unboundedPreceding, -1)
-            other = F.last(F.when(F.col("component") == F.col("main"), F.struct(F.col("name").alias("b"), F.col("n").alias("m"))), ignorenulls=True).over(chance)
-            tried = (
-                inside.join(mains.select("key", "main"), "key").withColumn("salt", salt).withColumn("other", other).where("component <> main and other is not null").where(possible(F.col("n"), F.col("other.m")))
-                .groupBy(F.col("name").alias("a"), F.col("other.b").alias("b")).agg(F.count("*").alias("k"))
-                .withColumn("r", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("k"), "b"))).where(F.col("r") <= CHANCES)
-                .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-            )
-            tried = work.save(tried, f"pairs-{k}")
-            more = work.save(_verified(tried, docs, carriers, work, f"members-{k}"), f"links-{k}")
-            found = found.unionAll(more)
-            part = components(part.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(more), work, f"components-{k}")
-            for used in (f"members-{k}", f"entries-round-{k}"):
-                work.drop(used)
-            if more.count() < FEW_LINKS * tried.count():
-                break
-        work.drop("entries-first")
-        now, listed = by_component(entries, "last")
-    mixed = work.save(now.join(listed.select("key", "main"), "key"), "mixed-lists")
-    a, b = mixed.where("component <> main").alias("a"), mixed.drop("main").alias("b")
-    an, bn = F.col("a.n"), F.col("b.n")
-    apart = (F.col("a.component") != F.col("b.component")) & ((F.col("b.component") == F.col("a.main")) | (F.col("a.name") < F.col("b.name")))
-    side = lambda x, y: F.when(F.col("a.name") < F.col("b.name"), x).otherwise(y)
-    rest = (
-        a.join(b, (F.col("a.key") == F.col("b.key")) & apart & possible(an, bn))
-        .select(F.least("a.name", "b.name").alias("a"), F.greatest("a.name", "b.name").alias("b"), side(an, bn).alias("n"), side(bn, an).alias("m"), side(F.col("a.pos"), F.col("b.pos")).alias("i"), side(F.col("b.pos"), F.col("a.pos")).alias("j"))
-        .groupBy("a", "b", "n", "m").agg(F.count("*").alias("k"), F.max("i").alias("i"), F.max("j").alias("j"))
-    )
-    if ordered:
-        # k shared keys up to places i and j. Further shared ones follow both places, and the prefix of one of the sets
-        n, m, i, j = (F.col(c) for c in "nmij")
-        most = F.col("k") + F.greatest(F.least(after(n), m - j - 1), F.least(n - i - 1, after(m)))
-        rest = rest.where(most >= need(n, m))
-    rest = work.save(rest.select("a", "b").join(first, ["a", "b"], "left_anti"), "other-pairs")
-    found = found.unionAll(work.save(_verified(rest, docs, carriers, work, "other-members"), "other-links"))
-    for used in ("entries", "first-members", "other-members", "mixed-lists"):
-        work.drop(used)
-    return found, components(found, work, "components")
-
-
-
-def _grouped(docs: DataFrame, work: Workspace) -> tuple[DataFrame, DataFrame]:
-    """doc_id, same (text hash), n_shingles, name (of the set), component (least name of its group) for each row, and the links."""
+def _grouped(docs: DataFrame, work: Workspace) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The rows (doc_id, same, n, name of the set), the names, and name, component, links of sets that link to others."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    hashed = docs.withColumn("same", F.xxhash64(F.coalesce("text", F.lit(""))))
-    both = work.save(hashed.mapInArrow(_sets_and_counts, "kind int, id long, same long, n long, name long"), "sets-and-counts")
-    meta = both.where("kind = 0").select(F.col("id").alias("doc_id"), "same", F.col("n").alias("n_shingles"), "name")
+    both = work.save(docs.withColumn("same", same_text(F.col("text"))).mapInArrow(_sets_and_counts, "kind int, id long, same long, n long, name long"), "sets-and-counts")
+    meta = both.where("kind = 0").select(F.col("id").alias("doc_id"), "same", "n", "name")
 
     counts = both.where("kind = 1").groupBy(F.col("id").alias("key")).agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT_FROM)
     counts = work.save(counts, "frequent")
@@ -304,46 +328,66 @@ def _grouped(docs: DataFrame, work: Workspace) -> tuple[DataFrame, DataFrame]:
         if total + row.k > FREQUENT_LIMIT:
             break
         lowest, total = row.step, total + row.k
-    frequent = np.array([r.key for r in counts.where(F.floor(F.log2("n")) >= lowest).select("key").toLocalIterator()], np.int64)  # at most FREQUENT_LIMIT
-    sizes = meta.where(F.col("n_shingles").between(1, 2 * BOUNDARY_MAX)).groupBy("n_shingles").count().collect()  # at most 2 * BOUNDARY_MAX rows
+    frequent = counts.where(F.floor(F.log2("n")) >= lowest).toArrow()  # at most FREQUENT_LIMIT
+    sizes = meta.where(F.col("n").between(1, 2 * BOUNDARY_MAX)).groupBy("n").count().collect()  # at most 2 * BOUNDARY_MAX rows
     told = both.agg(F.coalesce(F.sum(F.when(F.col("kind") == 1, F.col("n"))), F.lit(0)).alias("shared"), F.coalesce(F.sum(F.when(F.col("kind") == 0, F.col("n"))), F.lit(0)).alias("all")).first()
-    boundary = boundary_by_cost({r.n_shingles: r["count"] for r in sizes}, told.shared / max(1, told.all - told.shared))
+    boundary = boundary_by_cost({r.n: r["count"] for r in sizes}, told.shared / max(1, told.all - told.shared))
+
+    order = spark.sparkContext.broadcast(_Order(frequent["key"].to_numpy(), frequent["n"].to_numpy()))
+    names = names_of(meta, work)
 
-    order = spark.sparkContext.broadcast(_Order(frequent))
-    entries = docs.mapInArrow(_prefixes(order, boundary), "key long, name long, n int, pos int, late boolean")
-    small = work.save(_small_links(docs, boundary), "small-links")
-    found, final = linked_sets(entries, docs, meta, small, work, boundary)
+    def lists(some: DataFrame) -> DataFrame:
+        large = some.select("doc_id", "text").mapInArrow(_prefixes(order, boundary), _ENTRIES).select(F.coalesce("home", "key").alias("key"), "name")
+        return large.unionByName(some.mapInArrow(_subsets(boundary), _SUBSETS).select("key", "name"))
 
-    named = meta.join(final.withColumnRenamed("node", "name"), "name", "left")
-    return named.withColumn("component", F.coalesce("component", "name")), found
+    candidates = _list_links(docs.mapInArrow(_prefixes(order, boundary), _ENTRIES), work).unionByName(work.save(_small_links(docs, boundary), "small-links"))
+    found = link_sets(docs, names, candidates, lists, work)
+    work.drop("lists", "pairs", "loose", "small-links", "frequent", "candidates")
+    return meta, names, found
 
 
 def jaccard_components(docs: DataFrame, work: Workspace | None = None) -> DataFrame:
-    """doc_id, n_shingles, component_id (least id of its group) for each row of ``docs`` (doc_id, text)."""
+    """doc_id, n_shingles, component_id (least id of its group), n_links (other rows that it links to) for each row of ``docs`` (doc_id, text)."""
     work = work or Workspace(docs.sparkSession, "jaccard")
-    rows, _ = _grouped(docs, work)
-    least = rows.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    return rows.join(least, "component", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    meta, names, found = _grouped(docs, work)
+    linked = found.join(names.select("name", "least_id", "copies"), "name")
+    least = linked.groupBy("component").agg(F.min("least_id").alias("component_id"))
+    linked = linked.join(least, "component").select("name", "component_id", (F.col("links") + F.col("copies") - 1).alias("n_links"))
+    alone = names.where("copies > 1").join(found, "name", "left_anti").select("name", F.col("least_id").alias("component_id"), (F.col("copies") - 1).alias("n_links"))
+    told = work.save(linked.unionByName(alone), "told")
+    return meta.join(told, "name", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
 def one_of_each(docs: DataFrame, work: Workspace | None = None) -> DataFrame:
     """``docs`` with one row of each group of linked texts: the one of least id (nulls last), then of least text hash.
 
-    Texts without words link with nothing and stay, repeated rows of one once.
+    Texts without words link with nothing and stay, repeated rows of one once. All columns are kept, whatever their names.
+    Only rows that may have to go are shuffled.
     """
     work = work or Workspace(docs.sparkSession, "jaccard")
-    rows, _ = _grouped(docs, work)
-    chosen = rows.where("component is not null").groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "same")).alias("x")).select("x.doc_id", "x.same")
-    chosen = work.save(chosen.unionByName(rows.where("component is null").select("doc_id", "same").distinct()), "chosen")
-    id_, text = F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    keys = chosen.select(F.coalesce("doc_id", F.lit(-1)).alias("_id"), F.col("doc_id").isNull().alias("_none"), F.col("same").alias("_same"))
-    marked = docs.withColumns({"_id": id_, "_none": F.col("doc_id").isNull(), "_same": text})
-    return marked.join(keys, ["_id", "_none", "_same"], "left_semi").dropDuplicates(["_id", "_none", "_same"]).drop("_id", "_none", "_same")
+    meta, names, found = _grouped(docs, work)
+    chosen = found.join(names, "name").groupBy("component").agg(F.min("first").alias("first"))
+    chosen = chosen.select("first.*").unionByName(names.join(found, "name", "left_anti").select("first.*"))
+    chosen = chosen.select("doc_id", "same", "times")
+    rows = meta.groupBy("name", "doc_id", "same").agg(F.count("*").alias("times"))
+    wordless = rows.where("name is null").select("doc_id", "same", "times")
+    key = F.xxhash64(F.coalesce("doc_id", F.lit(-1)), F.col("doc_id").isNull(), "same")
+    chosen = work.save(chosen.unionByName(wordless).withColumn("key", key), "chosen")
+    others = rows.withColumn("key", key).join(chosen, "key", "left_anti").select("key").unionByName(chosen.where("times > 1").select("key"))
+    others = work.save(others, "others")
+    own = unused(docs.columns, "_row_key")
+    marked = docs.withColumn(own, F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), F.col("doc_id").cast("long").isNull(), same_text(F.col("text"))))
+    doubtful, sure = Lookup(others).split(marked, F.col(own))
+    doubtful = doubtful.join(chosen.select(F.col("key").alias(own)), own, "left_semi").dropDuplicates([own])
+    return sure.drop(own).unionByName(doubtful.select(*marked.columns).drop(own))
+
+
+_SUBSETS = "key long, name long, n int, c int"
 
 
 def _small_links(docs: DataFrame, boundary: int) -> DataFrame:
     """Links (a, b) between small sets: each subset's members with its smallest member."""
-    rows = docs.mapInArrow(_subsets(boundary), "key long, name long, n int, c int").distinct()
+    rows = docs.mapInArrow(_subsets(boundary), _SUBSETS).distinct()
     least = rows.groupBy("key", "c").agg(F.min(F.struct("n", "name")).alias("least"))
     return (
         rows.join(least, ["key", "c"]).where("3 * (n + least.n) <= 7 * c and name <> least.name")
@@ -371,5 +415,6 @@ l AS MATERIALIZED (
 ), r(doc_id, c) AS (
   SELECT doc_id, doc_id FROM n UNION SELECT l.b, r.c FROM r JOIN l ON l.a = r.doc_id
 ), d AS (SELECT a, count(*) AS k FROM l GROUP BY a)
-SELECT n.doc_id, CAST(n.n AS BIGINT) AS n_shingles, CAST(min(r.c) AS BIGINT) AS component_id FROM n JOIN r USING (doc_id) GROUP BY n.doc_id, n.n
+SELECT n.doc_id, CAST(n.n AS BIGINT) AS n_shingles, CAST(min(r.c) AS BIGINT) AS component_id, CAST(coalesce(any_value(d.k), 0) AS BIGINT) AS n_links
+FROM n JOIN r USING (doc_id) LEFT JOIN d ON d.a = n.doc_id GROUP BY n.doc_id, n.n
 """

@@ -1,24 +1,34 @@
-"""Shared scratch tables: the one place where operators cut lineage."""
+"""Shared scratch tables, the one place where operators cut lineage, and bounded lookups for scans."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: A lookup has at most so many bits (16 MB), however many keys it is made of.
+MOST_BITS = 1 << 27
+_PAGE = 1 << 15
 
 
 class Workspace:
     """Parquet tables in a new folder below ``spark.checkpoint.dir``.
 
     Every executor reaches that folder, so a table written here outlives the executors
-    that wrote it. The setting is only replaced by a temporary folder where it is unset
-    (tests on one machine).
+    that wrote it. Where the setting is unset a temporary folder serves, on a local master only.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
-        base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="folioflow-")
+        base = spark.conf.get("spark.checkpoint.dir", None)
+        if not base:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir is unset: it must name a folder that all executors share")
+            base = tempfile.mkdtemp(prefix="folioflow-")
         self.root = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
@@ -26,7 +36,51 @@ class Workspace:
         df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def drop(self, name: str) -> None:
-        """Frees a table that no later step reads."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+    def drop(self, *names: str) -> None:
+        """Frees tables that no later step reads."""
+        for name in names:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def unused(columns: Iterable[str], name: str) -> str:
+    """A column name like ``name`` that is none of ``columns``, whatever their case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+class Lookup:
+    """Bits of some 64-bit keys, so that scans can let go of most rows that have none of the keys.
+
+    Rows that have one always pass. Others pass with a chance that rises with the number of keys, so a join must follow.
+    """
+
+    def __init__(self, keys: DataFrame):
+        """``keys``: one long column."""
+        keys = keys.toDF("key")
+        self.spark, n = keys.sparkSession, keys.count()
+        self.bits = min(MOST_BITS, max(_PAGE, 1 << (16 * n + 1).bit_length()))
+        slot = F.pmod("key", F.lit(self.bits)) + 1
+        found = keys.groupBy(F.bitmap_bucket_number(slot).alias("page")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits")).collect()  # MOST_BITS bits at most
+        self.words = np.zeros((self.bits // _PAGE, _PAGE // 64), np.int64)
+        for r in found:
+            self.words[r.page - 1] = np.frombuffer(bytes(r.bits), "<i8")
+
+    def split(self, df: DataFrame, key: Column) -> tuple[DataFrame, DataFrame]:
+        """Rows that may have one of the keys, and rows that have none."""
+        page, words, slot = (unused(df.columns, c) for c in ("_page", "_words", "_slot"))
+        pages = self.spark.createDataFrame([(i, w.tolist()) for i, w in enumerate(self.words) if w.any()] or [(-1, [0])], f"{page} long, {words} array<long>")
+        marked = df.withColumn(slot, F.pmod(key, F.lit(self.bits))).withColumn(page, F.floor(F.col(slot) / _PAGE))
+        told = marked.join(F.broadcast(pages), page, "left")  # 16 MB at most
+        bit = F.coalesce(F.expr(f"bit_get(element_at({words}, CAST({slot} % {_PAGE} DIV 64 AS INT) + 1), CAST({slot} % 64 AS INT))"), F.lit(0))
+        return told.where(bit == 1).select(*df.columns), told.where(bit == 0).select(*df.columns)
+
+    def has(self, keys: np.ndarray) -> np.ndarray:
+        """Which int64 keys may be among the keys."""
+        slot = np.mod(keys, self.bits)
+        return (self.words.ravel()[slot >> 6] >> (slot & 63)) & 1 == 1
+
+    def __getstate__(self):
+        return {"bits": self.bits, "words": self.words}

@@ -10,7 +10,9 @@ import duckdb
 import numpy as np
 import pytest
 
-from folioflow.llm import chat_format, fingerprints, jaccard_join, line_rules, lm_scoring, mixing, packing, queries, sharding, toxicity, url_filter
+from pyspark.sql import functions as F
+
+from folioflow.llm import chat_format, fingerprints, jaccard_join, line_rules, linkage, lm_scoring, mixing, packing, queries, sharding, toxicity, url_filter, workspace
 
 DATA = "/root/testdata/sf0.001"
 LOWER = str.maketrans(url_filter.UPPER, url_filter.LOWER)
@@ -57,6 +59,8 @@ def test_query_matches_sql(spark, name):
 def test_jaccard_join_edges(docs, empty):
     got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(docs).collect()), key=str)
     n = len(shingle_set(BASE))
+    links = {(r.doc_id, r.n_links) for r in jaccard_join.jaccard_components(docs).collect()}
+    assert {(1, 3), (2, 3), (3, 3), (4, 0), (5, 0), (7, 2), (None, 2), (9, 0)} <= links
     assert (2, n, 1) in got and got.count((2, n, 1)) == 2
     linked = len(shingle_set(BASE) & shingle_set(ROWS[3][1])) / len(shingle_set(BASE) | shingle_set(ROWS[3][1])) >= 0.75
     assert (3, n, 1 if linked else 3) in got
@@ -87,6 +91,80 @@ def test_small_sets_by_subsets(spark):
             jaccard_join.boundary_by_cost = old
 
 
+def near_copies(n, length, edits, seed, texts=1):
+    """Documents made of a few base texts by replacing words of them, so that many pairs are just below or just above the limit."""
+    rng = np.random.default_rng(seed)
+    bases = [[f"b{t}w{k}" for k in range(length)] for t in range(texts)]
+    out = []
+    for i in range(n):
+        w = list(bases[i % texts])
+        for k in rng.choice(length, int(rng.integers(0, edits)), replace=False):
+            w[k] = f"x{i}y{k}" if rng.random() < 0.7 else f"z{k}"
+        out.append((i, " ".join(w[: int(rng.integers(length * 4 // 5, length + 1))])))
+    return out
+
+
+def plain_links(rows):
+    """doc_id: (component, number of links), by comparing all pairs."""
+    sets = [shingle_set(t) for _, t in rows]
+    linked = np.array([[i != j and bool(a) and 100 * len(a & b) >= 75 * len(a | b) for j, b in enumerate(sets)] for i, a in enumerate(sets)])
+    least = np.arange(len(rows))
+    while True:
+        new = np.where(linked, least[None, :], least[:, None]).min(axis=1)
+        if (new == least).all():
+            return {rows[i][0]: (rows[least[i]][0], int(linked[i].sum())) for i in range(len(rows))}
+        least = new
+
+
+@pytest.mark.parametrize("long,rows,cell,chunk", [(64, 4096, 1024, 1 << 20), (2, 5, 12, 1 << 20), (3, 4096, 9, 40)])
+def test_jaccard_links_by_every_path(spark, monkeypatch, long, rows, cell, chunk):
+    """Short and long lists, lists cut into parts, clusters in one cell and in blocks: all give what comparing all pairs gives."""
+    for module, name, value in ((jaccard_join, "LONG", long), (jaccard_join, "LIST_ROWS", rows), (linkage, "CELL_SETS", cell), (jaccard_join, "CHUNK", chunk), (jaccard_join, "FREQUENT_FROM", 3)):
+        monkeypatch.setattr(module, name, value)
+    made = near_copies(90, 60, 6, 1, texts=3) + [(1000 + i, t) for i, t in near_copies(60, 25, 4, 2)] + [(2000, " ".join(f"b0w{k}" for k in range(60)))] * 1
+    docs = spark.createDataFrame(made, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: (r.component_id, r.n_links) for r in jaccard_join.jaccard_components(docs).collect()}
+    assert got == plain_links(made)
+    if cell < 1024:
+        assert {r.doc_id for r in jaccard_join.one_of_each(docs).collect()} == {c for c, _ in got.values()}
+
+
+def test_pairs_are_not_written_out(spark):
+    """A group of 1,500 near copies has over 200,000 links; its candidates are some rows for each set."""
+    made = near_copies(1500, 80, 4, 5)
+    rows = []
+    save = jaccard_join.Workspace.save
+
+    class Counting(jaccard_join.Workspace):
+        def save(self, df, name):
+            out = save(self, df, name)
+            rows.append((name, out.count()))
+            return out
+
+    docs = spark.createDataFrame(made, "doc_id long, text string").repartition(6)
+    got = jaccard_join.jaccard_components(docs, Counting(spark, "t")).toPandas()
+    assert got.n_links.sum() > 400_000 and dict(rows)["lists"] < 30_000 and dict(rows)["linked"] <= 6 * 1500
+
+
+def test_shared_counts():
+    rng = np.random.default_rng(8)
+    for k, universe in ((2, 20), (5, 40), (100, 300), (130, 4000)):
+        sets = [np.sort(rng.choice(universe, int(rng.integers(1, universe // 2)), replace=False)).astype(np.uint64) for _ in range(k)]
+        want = [[len(set(a.tolist()) & set(b.tolist())) if i != j else 0 for j, b in enumerate(sets)] for i, a in enumerate(sets)]
+        assert (linkage.shared_counts(sets) == np.array(want)).all()
+
+
+def test_lookup(spark):
+    keys = spark.createDataFrame([(k,) for k in (-5, 7, (1 << 62) + 700, 700 - (1 << 63), 40_000)], "key long")
+    look = workspace.Lookup(keys)
+    rows = spark.createDataFrame([(k, "x", 1) for k in range(-50, 50)] + [((1 << 62) + 700, None, 2), (700 - (1 << 63), "y", 3), (40_000, "z", 4)], "v long, _words string, _page int")
+    near, rest = look.split(rows, F.col("v"))
+    assert near.columns == rest.columns == rows.columns
+    assert sorted(r.v for r in near.collect()) == [700 - (1 << 63), -5, 7, 40_000, (1 << 62) + 700] and rest.count() == 98
+    assert look.has(np.array([7, 8, -5, 40_000, 40_001])).tolist() == [True, False, True, True, False]
+    assert workspace.Lookup(keys.limit(0)).split(rows, F.col("v"))[0].count() == 0
+
+
 def test_lm_scores(spark, docs, empty):
     got = lm_scoring.score_texts(docs).collect()
     held = lambda i: zlib.crc32(str(i if i is not None else "").encode()) % 7 == 2
