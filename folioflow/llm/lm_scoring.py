@@ -1,18 +1,21 @@
 """LM scoring: a log-bilinear neural model trained in numpy by noise-contrastive estimation.
 
-The model (after Mnih and Teh, 2012) predicts the unit of the next token: its vector is the sum of the vectors of
-the CONTEXT units before it, each scaled by its place, and units score by dot product and bias.
-The most frequent words are units of their own; all other words share CLASSES units by their form, and
-within such a unit a word has its smoothed share of the training tokens. An unknown word counts as one more word of its
-unit. So the log-probabilities, normalised by batched matrix products over all units, sum to one over all words.
-
-All training tokens are counted, and each is used once for training: in ROUNDS rounds over disjoint parts of the
-documents, every task trains from the last round's parameters on what it reads, and the
-results are averaged by tokens. Counts of frequent words (HEAD at most) are known to all tasks. Other
+The model (after Mnih and Teh, 2012) predicts the next token: the vector of what is expected is the sum of the vectors of
+the CONTEXT units before it, each scaled by its place, and outcomes score by dot product and bias. A token is predicted in two steps,
+its class and then its unit within the class, so that batched matrix products give log-probabilities normalised over all words
+at the cost of some hundred outcomes. Classes are made from a word's form (first and last two lower-cased bytes). Frequent words are units of
+their own; how many grows with the training vocabulary. All other words of a class share one unit, within
+which a word has its smoothed share of the training tokens. An unknown word counts as one more word of its
+class. So probabilities sum to one over all words.
+
+All training tokens are counted, and each is used once for training: in ROUNDS rounds over disjoint thirds of the
+documents. A round's documents are dealt into parts by their hash, about PART_TOKENS tokens in each, and sorted within; every
+part trains from the last round's parameters, and the results are averaged by tokens as whole numbers. So scores depend
+neither on partitions nor on the order of rows. Counts of frequent words (HEAD at most) are known to all tasks. Other
 words are joined with their counts by hash, so no vocabulary is gathered.
 
 A null text is empty: its one token is the end. A null id counts as an empty string for the fold. Repeated rows stay repeated
-(and count in training), other columns are ignored, an empty table gives no rows.
+(and count in training), other columns are ignored, an empty table gives no rows. A very long text is one row of token units, 4 bytes each.
 """
 
 from __future__ import annotations
@@ -31,11 +34,14 @@ from .workspace import Workspace
 FOLDS, HELD = 7, 2
 #: Words known to all tasks, by hash and count.
 HEAD = 1 << 18
-OWN, CLASSES = 128, 64
-UNITS = OWN + CLASSES
+#: One in WORDS_PER_UNIT words of the training vocabulary, the most frequent ones, is a unit of its own, up to MOST_UNITS.
+WORDS_PER_UNIT, MOST_UNITS = 8, 4096
 CONTEXT, WIDTH = 4, 32
-ROUNDS = 3
-BATCH, NOISE, RATE = 1024, 64, 0.08
+ROUNDS, PART_TOKENS = 3, 1 << 21
+#: Tokens of a step; noise classes that they share; noise units for each class of the step; AdaGrad's rate.
+BATCH, NOISE, CLASS_NOISE, RATE = 2048, 32, 4, 0.08
+#: Parameters are averaged as whole multiples of this.
+GRAIN = 2.0**-24
 END = np.uint64(0x0E4D0E4D0E4D0E4D)
 
 
@@ -44,21 +50,18 @@ def fold(doc_id: Column) -> Column:
 
 
 def tokens(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Token hashes of a block's texts, each text's end included, their classes by form, and the bounds of the texts."""
+    """Token hashes of a block's texts, each text's end included, hashes of their forms, and the bounds of the texts."""
     starts, ends, before = block.words()
     n, k = np.diff(before), len(block)
     bounds = before + np.arange(k + 1)
     place = np.arange(len(starts)) + np.repeat(np.arange(k), n)
     out, forms = np.empty(len(starts) + k, np.uint64), np.zeros(len(starts) + k, np.uint64)
     out[place] = block.hashes(starts, ends)
-    # the form: the first and the last two bytes
-    d = block.data.astype(np.uint64)
-    last = np.maximum(ends - 2, starts)
     if len(starts):
-        forms[place] = d[last] * np.uint64(65536) + d[ends - 1] * np.uint64(256) + (d[starts] | np.uint64(32))
-    stops = bounds[1:] - 1
-    out[stops] = END
-    return out, (mix(forms) % np.uint64(CLASSES)).astype(np.int64) + OWN, bounds
+        d = np.where((block.data >= 65) & (block.data <= 90), block.data + 32, block.data).astype(np.uint64)
+        forms[place] = d[np.maximum(ends - 2, starts)] * np.uint64(65536) + d[ends - 1] * np.uint64(256) + d[starts]
+    out[bounds[1:] - 1] = END
+    return out, mix(forms), bounds
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -67,178 +70,283 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not found:
             continue
         keys, first, n = np.unique(np.concatenate([h for h, _ in found]), return_index=True, return_counts=True)
-        units = np.concatenate([u for _, u in found])[first]
-        yield pa.record_batch([pa.array(keys.view(np.int64)), pa.array(units.astype(np.int32)), pa.array(n.astype(np.int64))], ["key", "unit", "n"])
+        forms = np.concatenate([u for _, u in found])[first]
+        yield pa.record_batch([pa.array(keys.view(np.int64)), pa.array(forms.view(np.int64)), pa.array(n.astype(np.int64))], ["key", "form", "n"])
 
 
 @dataclass
 class Lexicon:
-    """What all tasks know of the words: hashes, counts and units of frequent ones; the log10 of each unit's mass."""
+    """What all tasks know of the words: hashes, counts and units of frequent ones, the class of each unit, and the mass of shared units.
+
+    Units 0 to own - 1 are words, own + c is what other words of class c share, and own + classes stands for what is before a text.
+    """
 
     keys: np.ndarray
     logs: np.ndarray
     units: np.ndarray
-    unit_log: np.ndarray
-    unit_share: np.ndarray
+    own: int
+    class_of: np.ndarray
+    share: np.ndarray
+    shared_log: np.ndarray
+
+    @property
+    def classes(self) -> int:
+        return len(self.shared_log)
 
-    def look_up(self, keys: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def look_up(self, keys: np.ndarray, forms: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Units of tokens, which are known here, and log10(count + 1) of those (0 for others)."""
+        shared = (forms % np.uint64(self.classes)).astype(np.int64) + self.own
         if not len(self.keys):
-            return classes, np.zeros(len(keys), bool), np.zeros(len(keys))
+            return shared, np.zeros(len(keys), bool), np.zeros(len(keys))
         k = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
         known = self.keys[k] == keys
-        return np.where(known, self.units[k], classes), known, np.where(known, self.logs[k], 0.0)
+        return np.where(known, self.units[k], shared), known, np.where(known, self.logs[k], 0.0)
 
 
 @dataclass
 class Parameters:
-    """Context vectors R (one more for what is before a text), place scales C, target vectors Q and biases b."""
+    """Context vectors R, place scales C, and vectors and biases of classes (K, k) and of units within classes (Q, q)."""
 
     R: np.ndarray
     C: np.ndarray
+    K: np.ndarray
+    k: np.ndarray
     Q: np.ndarray
-    b: np.ndarray
+    q: np.ndarray
+
+    @staticmethod
+    def shapes(own: int, classes: int) -> list[tuple[int, ...]]:
+        return [(own + classes + 1, WIDTH), (CONTEXT, WIDTH), (classes, WIDTH), (classes,), (own + classes, WIDTH), (own + classes,)]
 
     @classmethod
-    def start(cls, share: np.ndarray) -> Parameters:
+    def start(cls, lex: Lexicon) -> Parameters:
         rng = np.random.default_rng(3)
-        return cls((rng.normal(size=(UNITS + 1, WIDTH)) * 0.1).astype(np.float32), np.full((CONTEXT, WIDTH), 0.5, np.float32), (rng.normal(size=(UNITS, WIDTH)) * 0.1).astype(np.float32), np.log(share).astype(np.float32))
+        by_class = np.bincount(lex.class_of, lex.share, lex.classes)
+        x = [(rng.normal(size=s) * 0.1).astype(np.float32) for s in cls.shapes(lex.own, lex.classes)]
+        x[1], x[3], x[5] = np.full((CONTEXT, WIDTH), 0.5, np.float32), np.log(by_class).astype(np.float32), np.log(lex.share / by_class[lex.class_of]).astype(np.float32)
+        return cls(*x)
+
+    def parts(self) -> list[np.ndarray]:
+        return [self.R, self.C, self.K, self.k, self.Q, self.q]
 
     def flat(self) -> np.ndarray:
-        return np.concatenate([x.ravel() for x in (self.R, self.C, self.Q, self.b)])
+        return np.concatenate([x.ravel() for x in self.parts()])
 
     @classmethod
-    def of(cls, flat: np.ndarray) -> Parameters:
+    def of(cls, flat: np.ndarray, own: int, classes: int) -> Parameters:
         parts, at = [], 0
-        for shape in ((UNITS + 1, WIDTH), (CONTEXT, WIDTH), (UNITS, WIDTH), (UNITS,)):
+        for shape in cls.shapes(own, classes):
             n = int(np.prod(shape))
             parts.append(flat[at : at + n].reshape(shape).astype(np.float32))
             at += n
         return cls(*parts)
 
 
-def contexts(units: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """The CONTEXT units before each token, nearest first; UNITS where the text hasn't begun."""
+def contexts(units: np.ndarray, bounds: np.ndarray, before: int) -> np.ndarray:
+    """The CONTEXT units before each token, nearest first; ``before`` where the text hasn't begun."""
     at = np.arange(len(units)) - np.repeat(bounds[:-1], np.diff(bounds))
-    out = np.full((len(units), CONTEXT), UNITS, np.int32)
+    out = np.full((len(units), CONTEXT), before, np.int32)
     for k in range(CONTEXT):
         out[k + 1 :, k] = units[: max(0, len(units) - k - 1)]
-        out[at <= k, k] = UNITS
+        out[at <= k, k] = before
     return out
 
 
-def _summed(units: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
-    """The sum of the rows of each unit."""
+def _summed(units: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The units that occur, and the sum of the rows of each."""
     order = np.argsort(units, kind="stable")
     u = units[order]
     first = np.flatnonzero(np.concatenate([[True], u[1:] != u[:-1]]))
-    out = np.zeros((n, values.shape[1]), np.float32)
-    out[u[first]] = np.add.reduceat(values[order], first, axis=0)
-    return out
-
-
-def train_on(p: Parameters, target: np.ndarray, context: np.ndarray, share: np.ndarray, state: dict) -> None:
-    """One pass of noise-contrastive estimation with AdaGrad steps. All tokens of a step share their noise."""
-    rng, log_noise = state["rng"], np.log(NOISE * share).astype(np.float32)
-    for i in range(0, len(target), BATCH):
-        w, c = target[i : i + BATCH], context[i : i + BATCH]
-        q = sum((p.R * p.C[k])[c[:, k]] for k in range(CONTEXT))
-        noise = rng.choice(UNITS, NOISE, p=share)
-        s = (q * p.Q[w]).sum(axis=1) + p.b[w] - log_noise[w]
-        t = q @ p.Q[noise].T + (p.b[noise] - log_noise[noise])
-        gs = 1 / (1 + np.exp(-s)) - 1
-        gt = 1 / (1 + np.exp(-t))
-        gq = gs[:, None] * p.Q[w] + gt @ p.Q[noise]
-        n = len(w)
-        both = _summed(w, np.column_stack([gs[:, None] * q, gs]), UNITS)
-        dQ, db = both[:, :-1], both[:, -1]
-        np.add.at(dQ, noise, gt.T @ q)
-        np.add.at(db, noise, gt.sum(axis=0))
-        dR, dC = np.zeros_like(p.R), np.empty_like(p.C)
-        for k in range(CONTEXT):
-            by_unit = _summed(c[:, k], gq, UNITS + 1)
-            dR += by_unit * p.C[k]
-            dC[k] = (by_unit * p.R).sum(axis=0)
-        for name, x, g in (("R", p.R, dR), ("C", p.C, dC), ("Q", p.Q, dQ), ("b", p.b, db)):
-            g = g / n
-            seen = state.setdefault(name, np.full_like(x, 1e-4))
-            seen += g * g
-            x -= RATE * g / np.sqrt(seen)
-
-
-def log10_units(p: Parameters, target: np.ndarray, context: np.ndarray) -> np.ndarray:
-    """The normalised log10 probability of each token's unit."""
+    return u[first], np.add.reduceat(values[order], first, axis=0)
+
+
+class Trainer:
+    """Noise-contrastive estimation with AdaGrad steps, of classes and of units within their classes."""
+
+    def __init__(self, p: Parameters, lex: Lexicon):
+        self.p, self.lex, self.rng = p, lex, np.random.default_rng(11)
+        self.seen = {name: np.full_like(x, 1e-4) for name, x in zip("RCKkQq", p.parts(), strict=True)}
+        self.by_class = np.bincount(lex.class_of, lex.share, lex.classes)
+        self.inner = lex.share / self.by_class[lex.class_of]
+        # units by class, to draw noise within a class
+        self.members = np.argsort(lex.class_of, kind="stable")
+        self.ends = np.cumsum(np.bincount(lex.class_of, minlength=lex.classes))
+        self.upto = np.cumsum(self.inner[self.members])
+        self.held: list[np.ndarray] = []
+        self.tokens = self.waiting = 0
+
+    def add(self, units: np.ndarray) -> None:
+        """One document's units. Documents are trained on some at a time, in an order that their tokens alone decide."""
+        self.held.append(units)
+        self.tokens += len(units)
+        self.waiting += len(units)
+        if self.waiting >= 32 * BATCH:
+            self.flush()
+
+    def flush(self) -> None:
+        if not self.held:
+            return
+        units = np.concatenate(self.held)
+        bounds = np.concatenate([[0], np.cumsum([len(u) for u in self.held])])
+        self.held, self.waiting = [], 0
+        context = contexts(units, bounds, self.lex.own + self.lex.classes)
+        mixed = np.random.default_rng(len(units)).permutation(len(units))
+        for i in range(0, len(units), BATCH):
+            self.step(units[mixed[i : i + BATCH]], context[mixed[i : i + BATCH]])
+
+    def _move(self, name: str, x: np.ndarray, g: np.ndarray, rows=slice(None)) -> None:
+        seen = self.seen[name]
+        seen[rows] += g * g
+        x[rows] -= RATE * g / np.sqrt(seen[rows])
+
+    def step(self, w: np.ndarray, context: np.ndarray) -> None:
+        p, n = self.p, len(w)
+        near = [p.R[context[:, k]] for k in range(CONTEXT)]
+        v = sum(near[k] * p.C[k] for k in range(CONTEXT))
+        # classes: all tokens of the step share their noise
+        c = self.lex.class_of[w]
+        noise = self.rng.choice(len(self.by_class), NOISE, p=self.by_class)
+        log_noise = np.log(NOISE * self.by_class).astype(np.float32)
+        gs = (1 / (1 + np.exp(log_noise[c] - p.k[c] - (v * p.K[c]).sum(axis=1))) - 1) / n
+        gt = 1 / (1 + np.exp(log_noise[noise] - p.k[noise] - v @ p.K[noise].T)) / n
+        gv = gs[:, None] * p.K[c] + gt @ p.K[noise]
+        dK, dk = np.zeros_like(p.K), np.bincount(c, gs, len(p.k)).astype(np.float32)
+        np.add.at(dK, noise, gt.T @ v)
+        np.add.at(dk, noise, gt.sum(axis=0))
+        # units: all tokens of a class share theirs
+        drawn = np.searchsorted(self.upto, self.ends[:, None] * 0 + np.arange(len(self.ends))[:, None] + self.rng.random((len(self.ends), CLASS_NOISE)), "right")
+        other = self.members[np.minimum(drawn, self.ends[:, None] - 1)]
+        log_inner = np.log(CLASS_NOISE * self.inner).astype(np.float32)
+        order = np.argsort(c, kind="stable")
+        c, w, v, gv, gs = c[order], w[order], v[order], gv[order], gs[order]
+        first = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]]))
+        hs = (1 / (1 + np.exp(log_inner[w] - p.q[w] - (v * p.Q[w]).sum(axis=1))) - 1) / n
+        near_noise = p.Q[other[c]]
+        ht = 1 / (1 + np.exp((log_inner - p.q)[other[c]] - np.einsum("nd,nmd->nm", v, near_noise))) / n
+        gv += hs[:, None] * p.Q[w] + np.einsum("nm,nmd->nd", ht, near_noise)
+        _, dKc = c[first], np.add.reduceat(gs[:, None] * v, first, axis=0)
+        dK[c[first]] += dKc
+        to_noise = np.add.reduceat((ht[:, :, None] * v[:, None, :]).reshape(n, -1), first, axis=0).reshape(-1, WIDTH)
+        units, both = _summed(
+            np.concatenate([w, other[c[first]].ravel()]), np.concatenate([np.column_stack([hs[:, None] * v, hs]), np.column_stack([to_noise, np.add.reduceat(ht, first, axis=0).ravel()])])
+        )
+        self._move("Q", p.Q, both[:, :-1], units)
+        self._move("q", p.q, both[:, -1], units)
+        self._move("K", p.K, dK)
+        self._move("k", p.k, dk)
+        back = np.empty_like(order)
+        back[order] = np.arange(n)
+        gv = gv[back]
+        dC = np.stack([(gv * near[k]).sum(axis=0) for k in range(CONTEXT)])
+        units, dR = _summed(context.T.ravel(), np.concatenate([gv * p.C[k] for k in range(CONTEXT)]))
+        self._move("R", p.R, dR, units)
+        self._move("C", p.C, dC)
+
+
+def _log_softmax(s: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The log of the normalised exponential of one column of each row."""
+    s = s - s.max(axis=1, keepdims=True)
+    own = s[np.arange(len(s)), at]
+    return own - np.log(np.exp(s, out=s).sum(axis=1))
+
+
+def log10_units(p: Parameters, lex: Lexicon, target: np.ndarray, context: np.ndarray) -> np.ndarray:
+    """The normalised log10 probability of each token's unit: of its class, and of the unit within the class."""
     out = np.empty(len(target))
-    table = p.R[None, :, :] * p.C[:, None, :]
-    for i in range(0, len(target), 8192):
-        w, c = target[i : i + 8192], context[i : i + 8192]
-        q = table[0][c[:, 0]]
+    members = np.argsort(lex.class_of, kind="stable")
+    ends = np.concatenate([[0], np.cumsum(np.bincount(lex.class_of, minlength=lex.classes))])
+    place = np.empty_like(members)
+    place[members] = np.arange(len(members)) - np.repeat(ends[:-1], np.diff(ends))
+    table = [p.R * p.C[k] for k in range(CONTEXT)]
+    for i in range(0, len(target), 1 << 15):
+        w, c = target[i : i + (1 << 15)], context[i : i + (1 << 15)]
+        order = np.argsort(lex.class_of[w], kind="stable")
+        w, c = w[order], c[order]
+        v = table[0][c[:, 0]]
         for k in range(1, CONTEXT):
-            q = q + table[k][c[:, k]]
-        s = q @ p.Q.T
-        s += p.b
-        top = s.max(axis=1)
-        own = s[np.arange(len(w)), w] - top
-        s -= top[:, None]
-        np.exp(s, out=s)
-        out[i : i + 8192] = (own - np.log(s.sum(axis=1))) / np.log(10)
+            v += table[k][c[:, k]]
+        kind = lex.class_of[w]
+        got = _log_softmax(v @ p.K.T + p.k, kind)
+        first = np.flatnonzero(np.concatenate([[True], kind[1:] != kind[:-1]]))
+        for x, y in zip(first, np.append(first[1:], len(w)), strict=True):
+            units = members[ends[kind[x]] : ends[kind[x] + 1]]
+            if len(units) > 1:
+                got[x:y] += _log_softmax(v[x:y] @ p.Q[units].T + p.q[units], place[w[x:y]])
+        out[i + order] = got / np.log(10)
     return out
 
 
-def _trained(lexicon, start):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p, state, n = Parameters.of(start.value.copy()), {"rng": np.random.default_rng(11)}, 0
-        for batch in batches:
-            for block in blocks(batch["text"]):
-                keys, classes, bounds = tokens(block)
-                units, _, _ = lexicon.value.look_up(keys, classes)
-                context = contexts(units, bounds)
-                mixed = np.random.default_rng(len(keys)).permutation(len(keys))
-                train_on(p, units[mixed], context[mixed], lexicon.value.unit_share, state)
-                n += len(keys)
-        if n:
-            flat = p.flat().astype(np.float64) * n
-            yield pa.record_batch([pa.array(np.arange(len(flat), dtype=np.int32)), pa.array(flat), pa.array(np.full(len(flat), n, np.int64))], ["at", "total", "n"])
-
-    return run
-
+_TOKENS = "row struct<doc_id:long,row:long,part:long,round:int,order:long>, n_tokens long, known long, logs double, shares double, units array<int>, rest array<long>"
 
-def _scores(lexicon, parameters):
-    schema = ["row", "n_tokens", "known", "logs", "model", "rest"]
 
+def _unit_rows(lexicon):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p, lex = Parameters.of(parameters.value), lexicon.value
+        lex = lexicon.value
         for batch in batches:
             for block in blocks(batch["text"]):
-                keys, classes, bounds = tokens(block)
-                units, known, logs = lex.look_up(keys, classes)
+                keys, forms, bounds = tokens(block)
+                units, known, logs = lex.look_up(keys, forms)
+                shared = units >= lex.own
                 # a word of a shared unit: its share of the unit is added by its count, here or by the join
-                model = log10_units(p, units, contexts(units, bounds)) - lex.unit_log[units] + np.where(units >= OWN, logs, 0.0)
-                total = lambda x: np.add.reduceat(x, bounds[:-1]) if len(bounds) > 1 else x[:0]
+                share = np.where(shared, logs - lex.shared_log[np.maximum(units - lex.own, 0)], 0.0)
+                total = lambda x: np.add.reduceat(x, bounds[:-1])  # noqa: E731, B023
                 at = np.flatnonzero(~known)
-                cuts = np.searchsorted(at, bounds).astype(np.int32)
+                lists = lambda cuts, x: pa.ListArray.from_arrays(cuts.astype(np.int32), pa.array(x))
                 yield pa.record_batch(
                     [
-                        batch["row"].slice(block.first, len(block)), pa.array(np.diff(bounds)), pa.array(total(known.astype(np.int64))), pa.array(total(logs)), pa.array(total(model)),
-                        pa.ListArray.from_arrays(cuts, keys[at].view(np.int64)),
+                        batch["row"].slice(block.first, len(block)), pa.array(np.diff(bounds)), pa.array(total(known.astype(np.int64))), pa.array(total(logs)), pa.array(total(share)),
+                        lists(bounds, units.astype(np.int32)), lists(np.searchsorted(at, bounds), keys[at].view(np.int64)),
                     ],
-                    schema,
+                    ["row", "n_tokens", "known", "logs", "shares", "units", "rest"],
                 )
 
     return run
 
 
-def score_texts(docs: DataFrame, work: Workspace | None = None) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row of ``docs`` (doc_id, text)."""
-    spark = docs.sparkSession
-    work = work or Workspace(spark, "lm")
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    held = fold(F.col("doc_id")) == HELD
-    training = docs.where(~held)
-    counts = work.save(training.select("text").mapInArrow(_counts, "key long, unit int, n long").groupBy("key").agg(F.first("unit").alias("unit"), F.sum("n").alias("n")), "counts")
-    told = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("tokens"), F.count("*").alias("words")).first()
+def _lists(column) -> tuple[np.ndarray, np.ndarray]:
+    bounds = column.offsets.to_numpy().astype(np.int64)
+    return column.values.to_numpy()[bounds[0] : bounds[-1]].astype(np.int64), bounds - bounds[0]
 
-    step = F.floor(4 * F.log2("n")).cast("int")
+
+def _trained(lexicon, start):
+    """Rows sorted by part: what each part makes of the parameters, as whole numbers weighed by tokens."""
+
+    def result(t: Trainer) -> pa.RecordBatch:
+        t.flush()
+        whole = np.rint(t.p.flat().astype(np.float64) / GRAIN).astype(np.int64)
+        return pa.record_batch([pa.array(np.arange(len(whole), dtype=np.int32)), pa.array(whole * t.tokens), pa.array(np.full(len(whole), t.tokens, np.int64))], ["at", "total", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lex, now, trainer = lexicon.value, None, None
+        for batch in batches:
+            parts = batch["part"].to_numpy()
+            units, bounds = _lists(batch["units"])
+            for i, part in enumerate(parts.tolist()):
+                if part != now:
+                    if trainer is not None:
+                        yield result(trainer)
+                    now, trainer = part, Trainer(Parameters.of(start.value.copy(), lex.own, lex.classes), lex)
+                trainer.add(units[bounds[i] : bounds[i + 1]])
+        if trainer is not None:
+            yield result(trainer)
+
+    return run
+
+
+def _scores(lexicon, parameters):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lex = lexicon.value
+        p = Parameters.of(parameters.value, lex.own, lex.classes)
+        for batch in batches:
+            units, bounds = _lists(batch["units"])
+            model = np.add.reduceat(log10_units(p, lex, units, contexts(units, bounds, lex.own + lex.classes)), bounds[:-1]) if batch.num_rows else np.zeros(0)
+            yield pa.record_batch([batch["row"], pa.array(model)], ["row", "model"])
+
+    return run
+
+
+def _lexicon(counts: DataFrame, told, step: Column) -> tuple[Lexicon, int]:
+    """The lexicon, and the step of counts from which words are in it."""
     lowest, total = 1 << 30, 0
     for r in counts.groupBy(step.alias("step")).agg(F.count("*").alias("k")).orderBy(F.desc("step")).collect():  # at most 4 * 64 rows
         if total + r.k > HEAD:
@@ -246,33 +354,56 @@ def score_texts(docs: DataFrame, work: Workspace | None = None) -> DataFrame:
         lowest, total = r.step, total + r.k
     head = counts.where(step >= lowest).toPandas()  # at most HEAD rows
     head = head.sort_values(["n", "key"], ascending=[False, True]).reset_index(drop=True)
-    own = head.index < OWN
-    mass = np.ones(UNITS)  # a shared unit has an unknown word beside its known ones
-    for r in counts.groupBy("unit").agg(F.sum(F.col("n") + 1).alias("mass")).collect():  # CLASSES rows
-        mass[r.unit] += r.mass
-    np.subtract.at(mass, head.unit[own].to_numpy(), head.n[own].to_numpy() + 1)
-    units = np.where(own, np.arange(len(head)), head.unit.to_numpy())
-    mass[: own.sum()] = head.n[own].to_numpy() + 1
+    own = min(MOST_UNITS, told.words // WORDS_PER_UNIT, len(head))
+    classes = 1 << max(4, (own.bit_length() + 1) // 2)
+    form = F.pmod(F.pmod("form", F.lit(1 << 20)), F.lit(classes))  # classes is a power of two, so a signed form has the same class
+    mass = np.ones(classes)  # an unknown word beside the known ones
+    for r in counts.groupBy(form.alias("c")).agg(F.sum(F.col("n") + 1).alias("mass")).collect():  # ``classes`` rows
+        mass[r.c] += r.mass
+    kind = (head.form.to_numpy(np.int64).view(np.uint64) % np.uint64(classes)).astype(np.int64)
+    np.subtract.at(mass, kind[:own], head.n.to_numpy()[:own] + 1)
+    units = np.where(head.index < own, np.arange(len(head)), kind + own)
+    share = np.concatenate([head.n.to_numpy(float)[:own] + 1, mass])
     order = np.argsort(head.key.to_numpy(np.int64).view(np.uint64))
-    unit_log = np.concatenate([np.zeros(OWN), np.log10(mass[OWN:])])
-    lexicon = spark.sparkContext.broadcast(Lexicon(head.key.to_numpy(np.int64).view(np.uint64)[order], np.log10(head.n.to_numpy() + 1.0)[order], units[order].astype(np.int64), unit_log, mass / mass.sum()))
+    keys, logs = head.key.to_numpy(np.int64).view(np.uint64), np.log10(head.n.to_numpy(float) + 1.0)
+    return Lexicon(keys[order], logs[order], units[order].astype(np.int64), own, np.concatenate([kind[:own], np.arange(classes)]), share / share.sum(), np.log10(mass)), lowest
+
+
+def score_texts(docs: DataFrame, work: Workspace | None = None) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row of ``docs`` (doc_id, text)."""
+    spark = docs.sparkSession
+    work = work or Workspace(spark, "lm")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    held = fold(F.col("doc_id")) == HELD
+    # of words that differ in the case of letters only, all have one form
+    counts = work.save(docs.where(~held).select("text").mapInArrow(_counts, "key long, form long, n long").groupBy("key").agg(F.min("form").alias("form"), F.sum("n").alias("n")), "counts")
+    told = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("tokens"), F.count("*").alias("words")).first()
+    step = F.floor(4 * F.log2("n")).cast("int")
+    lex, lowest = _lexicon(counts, told, step)
+    lexicon = spark.sparkContext.broadcast(lex)
+
+    parts = max(1, -(-told.tokens // (ROUNDS * PART_TOKENS)))
+    order = F.xxhash64("doc_id", "text")
+    part, turn = F.when(held, F.lit(-1)).otherwise(F.pmod(F.xxhash64(order, F.lit(5)), F.lit(parts))).cast("long"), F.pmod(F.xxhash64(order, F.lit(9)), F.lit(ROUNDS)).cast("int")
+    rows = docs.select(F.struct("doc_id", F.monotonically_increasing_id().alias("row"), part.alias("part"), turn.alias("round"), order.alias("order")).alias("row"), "text")
+    found = rows.mapInArrow(_unit_rows(lexicon), _TOKENS)
+    found = work.save(found.select("row.*", "n_tokens", "known", "logs", "shares", "units", "rest"), "tokens")
 
-    flat = Parameters.start(lexicon.value.unit_share).flat()
+    flat = Parameters.start(lex).flat()
     for k in range(ROUNDS):
-        part = training.where(F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(ROUNDS)) == k).select("text")
-        sums = part.mapInArrow(_trained(lexicon, spark.sparkContext.broadcast(flat)), "at int, total double, n long").groupBy("at").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
-        found = sums.orderBy("at").toPandas()  # one row for each parameter
-        if len(found):
-            flat = (found.total / found.n).to_numpy()
-    rows = docs.select(F.struct(F.monotonically_increasing_id().alias("id"), "doc_id").alias("row"), "text")
-    scored = rows.mapInArrow(_scores(lexicon, spark.sparkContext.broadcast(flat)), "row struct<id:long,doc_id:long>, n_tokens long, known long, logs double, model double, rest array<long>")
-    scored = work.save(scored.select("row.id", "row.doc_id", "n_tokens", "known", "logs", "model", "rest"), "scored")
-    rest = scored.select("id", F.explode("rest").alias("key")).groupBy("id", "key").agg(F.count("*").alias("times"))
-    rest = rest.join(counts.where(step < lowest).select("key", "n"), "key").groupBy("id").agg(F.sum("times").alias("more"), F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("more_logs"))
+        dealt = found.where(F.col("round") == k).where("part >= 0").select("part", "order", "units").repartition(parts, "part").sortWithinPartitions("part", "order")
+        sums = dealt.select("part", "units").mapInArrow(_trained(lexicon, spark.sparkContext.broadcast(flat)), "at int, total long, n long")
+        sums = sums.groupBy("at").agg(F.sum(F.col("total").cast("decimal(38,0)")).cast("double").alias("total"), F.sum("n").alias("n")).toPandas().sort_values("at")  # one row for each parameter
+        if len(sums):
+            flat = (sums.total.to_numpy(float) / sums.n.to_numpy(float) * GRAIN).astype(np.float32)
+    scored = found.select("row", "units").mapInArrow(_scores(lexicon, spark.sparkContext.broadcast(flat)), "row long, model double")
+    scored = work.save(scored, "scored")
+    rest = found.select("row", F.explode("rest").alias("key")).groupBy("row", "key").agg(F.count("*").alias("times"))
+    rest = rest.join(counts.where(step < lowest).select("key", "n"), "key").groupBy("row").agg(F.sum("times").alias("more"), F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("more_logs"))
     more, more_logs = F.coalesce("more", F.lit(0)), F.coalesce("more_logs", F.lit(0.0))
-    return scored.drop("rest").join(rest, "id", "left").select(
+    return found.drop("rest", "units").join(scored, "row").join(rest, "row", "left").select(
         "doc_id", (fold(F.col("doc_id")) == HELD).alias("held_out"), "n_tokens", (F.col("known") + more).alias("n_known"), F.lit(told.tokens).cast("long").alias("train_tokens"),
-        (F.col("logs") + more_logs - F.col("n_tokens") * F.log10(F.lit(float(told.tokens + told.words + 1)))).alias("base_score"), (F.col("model") + more_logs).alias("score"),
+        (F.col("logs") + more_logs - F.col("n_tokens") * F.log10(F.lit(float(told.tokens + told.words + 1)))).alias("base_score"), (F.col("model") + F.col("shares") + more_logs).alias("score"),
     )
 
 
