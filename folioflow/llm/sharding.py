@@ -1,8 +1,8 @@
 """Sharding by vector bin packing: bytes, tokens and rows are balanced jointly.
 
 Groups of equal texts stay whole. Small groups are summed into a fixed number of bundles by their hash, large
-groups are items of their own, and only a group of over SPLIT_SHARE of the corpus is cut, by
-the hash of its ids, since no balanced shard could hold it. The items are so few, whatever the corpus, that one
+groups are items of their own, and only a group that is larger than a shard's even share of bytes, tokens or rows is cut,
+by the hash of its rows' numbers, since no balanced shard could hold it. The items are so few, whatever the corpus, that one
 pass on the driver places them: largest first, each into the shard where the dot product of its sizes and
 the shard's residual capacity is highest. Texts are never shuffled.
 
@@ -19,12 +19,11 @@ from pyspark.sql import functions as F
 from .workspace import Workspace
 
 BUNDLES = 2048
-SPLIT_SHARE = 1 / 16
 PIECE_SHARE = 1 / 64
 #: Rows of a block in which slots are counted by one task.
 BLOCK_ROWS = 50_000
 #: Bytes weigh most: their balance is the law that the shards keep.
-WEIGHTS = (64.0, 1.0, 1.0)
+WEIGHTS = (4.0, 1.0, 1.0)
 
 
 def place(items: np.ndarray, shards: int, weights=WEIGHTS) -> np.ndarray:
@@ -47,7 +46,7 @@ def assign_shards(docs: DataFrame, shards: int, work: Workspace | None = None) -
     work = work or Workspace(spark, "shards")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("g"),
+        F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("g"),
         F.size(F.filter(F.split(text, r"[ \x09-\x0D]+"), lambda w: w != "")).cast("long").alias("tokens"),
     )
     rows = work.save(rows, "rows")
@@ -59,21 +58,21 @@ def assign_shards(docs: DataFrame, shards: int, work: Workspace | None = None) -
         return rows.select("doc_id", "size", "text_crc32", "tokens", F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"))
     share = F.greatest(F.col("s") / F.lit(float(total.s)), F.col("t") / F.lit(float(max(1, total.t))), F.col("r") / F.lit(float(total.r)))
     # at most 3 * BUNDLES groups have over 1 / BUNDLES of a dimension
-    large = groups.withColumn("share", share).where(F.col("share") > 1 / BUNDLES).withColumn("pieces", F.when(F.col("share") > SPLIT_SHARE, F.ceil(F.col("share") / PIECE_SHARE)).otherwise(1).cast("int"))
+    large = groups.withColumn("share", share).where(F.col("share") > 1 / BUNDLES).withColumn("pieces", F.when(F.col("share") > 1 / shards, F.ceil(F.col("share") / PIECE_SHARE)).otherwise(1).cast("int"))
     large = work.save(large.select(*group, "pieces", F.xxhash64("g", "text_crc32", "size").alias("own")), "large")
     rows = rows.join(F.broadcast(large), group, "left").withColumns({
         "item": F.when(F.col("pieces").isNull(), F.pmod("g", F.lit(BUNDLES))).otherwise(F.col("own")),
-        "piece": F.when(F.col("pieces").isNull(), F.lit(-1)).otherwise(F.pmod(F.xxhash64("doc_id"), F.col("pieces"))),
+        "piece": F.when(F.col("pieces").isNull(), F.lit(-1)).otherwise(F.pmod(F.xxhash64("row"), F.col("pieces"))),
     })
     items = rows.groupBy("item", "piece").agg(*sums).collect()  # at most 4 * BUNDLES and the pieces, 3 / PIECE_SHARE
     items.sort(key=lambda x: (x.item, x.piece))
     found = place(np.array([(x.s, x.t, x.r) for x in items], float), shards)
     placed = spark.createDataFrame([(x.item, x.piece, int(s), -(-x.r // BLOCK_ROWS)) for x, s in zip(items, found)], "item long, piece long, shard int, blocks long")
-    rows = rows.withColumn("piece", F.col("piece").cast("long")).join(F.broadcast(placed), ["item", "piece"]).withColumn("block", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.col("blocks")))
+    rows = rows.withColumn("piece", F.col("piece").cast("long")).join(F.broadcast(placed), ["item", "piece"]).withColumn("block", F.pmod(F.xxhash64("row", F.lit(7)), F.col("blocks")))
     block = ["shard", "item", "piece", "block"]
     before = Window.partitionBy("shard").orderBy("item", "piece", "block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = rows.groupBy(*block).agg(F.count("*").alias("k")).withColumn("before", F.coalesce(F.sum("k").over(before), F.lit(0))).drop("k")
-    inside = F.row_number().over(Window.partitionBy(*block).orderBy("doc_id", "g"))
+    inside = F.row_number().over(Window.partitionBy(*block).orderBy("doc_id", "g", "row"))
     return rows.withColumn("inside", inside).join(offsets, block).select("doc_id", "size", "text_crc32", "tokens", "shard", (F.col("before") + F.col("inside") - 1).alias("slot"))
 
 
