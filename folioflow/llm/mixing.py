@@ -19,12 +19,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .workspace import Workspace
+from .workspace import Workspace, unused
 
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE = 1.5
 MOST = 2
-STEPS = 8
+#: Newton steps are taken STEPS at a time until every source's dual gradient is below GAP of its words, MOST_STEPS at most.
+STEPS, MOST_STEPS, GAP = 4, 64, 1e-7
 BLOCK_ROWS = 20_000
 #: Rates are fixed-point numbers of this scale, so that reruns round alike.
 SCALE = 1_000_000
@@ -53,14 +54,14 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int =
     )
 
 
-def tilts(counts: DataFrame, goals: DataFrame, steps: int = STEPS) -> DataFrame:
-    """source, a, b: the dual solution of each source. ``counts`` has source, size, k."""
+def tilts(counts: DataFrame, goals: DataFrame, work: Workspace, steps: int = STEPS) -> DataFrame:
+    """source, mean, a, b, gap: the dual solution of each source and the relative gradient that is left. ``counts`` has source, size, k."""
     z = F.ln("size") - F.col("mean")
     words = F.col("k") * F.col("size")
     base = counts.where("size > 0")
     means = base.groupBy("source").agg((F.sum(words * F.ln("size")) / F.sum(words)).alias("mean"))
-    now = goals.where("source_size > 0").alias("g").join(means.alias("m"), F.expr("g.source <=> m.source")).select("g.source", "source_size", "target", "mean", F.lit(0.0).alias("a"), F.lit(0.0).alias("b"))
-    for _ in range(steps):
+    now = goals.where("source_size > 0").alias("g").join(means.alias("m"), F.expr("g.source <=> m.source")).select("g.source", "source_size", "target", "mean", F.lit(0.0).alias("a"), F.lit(0.0).alias("b"), F.lit(0.0).alias("gap"))
+    for k in range(MOST_STEPS):
         w = words * F.exp(F.least(F.col("a") + F.col("b") * z, F.lit(20.0)))
         sums = (
             base.alias("d").join(now.alias("t"), F.expr("d.source <=> t.source")).select("t.source", "size", "k", "source_size", "target", "mean", "a", "b")
@@ -72,26 +73,32 @@ def tilts(counts: DataFrame, goals: DataFrame, steps: int = STEPS) -> DataFrame:
         da = F.when(flat, g / F.col("w")).otherwise((F.col("wzz") * g - F.col("wz") * F.col("wz")) / det)
         db = F.when(flat, F.lit(0.0)).otherwise((F.col("w") * F.col("wz") - F.col("wz") * g) / det)
         step = lambda d: F.greatest(F.lit(-1.0), F.least(F.lit(1.0), d))
-        now = sums.select("source", "source_size", "target", "mean", (F.col("a") - step(da)).alias("a"), (F.col("b") - step(db)).alias("b"))
+        gap = F.greatest(F.abs(g), F.when(flat, 0.0).otherwise(F.abs(F.col("wz")))) / F.col("w")
+        done = gap < GAP
+        now = sums.select("source", "source_size", "target", "mean", F.when(done, F.col("a")).otherwise(F.col("a") - step(da)).alias("a"), F.when(done, F.col("b")).otherwise(F.col("b") - step(db)).alias("b"), gap.alias("gap"))
+        if k % steps == steps - 1:
+            now = work.save(now, f"steps-{k}")
+            if (now.agg(F.max("gap").alias("gap")).first().gap or 0.0) < GAP:
+                break
     return now
 
 
 def mix_sources(docs: DataFrame, work: Workspace | None = None, weights=WEIGHTS, share: float = SHARE, most: int = MOST, number: Column | None = None) -> DataFrame:
-    """doc_id, source, size, source_size, target, rate, taken for each row of ``docs`` (doc_id, text, source), and its number ``row``."""
+    """doc_id, source, size, source_size, target, rate, taken, dual_gap (what Newton left of its source's gradient) for each row of ``docs`` (doc_id, text, source), and its number ``row``."""
     work = work or Workspace(docs.sparkSession, "mix")
     rows = docs.select((F.monotonically_increasing_id() if number is None else number).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), n_words(F.col("text")).alias("size"))
     rows = work.save(rows, "sizes")
     counts = work.save(rows.groupBy("source", "size").agg(F.count("*").alias("k")), "counts")
     goals = work.save(targets(counts.groupBy("source").agg(F.sum(F.col("size") * F.col("k")).alias("source_size"), F.sum("k").alias("docs")), weights, share, most), "targets")
-    solved = work.save(tilts(counts, goals).select("source", "mean", "a", "b"), "tilts")
+    solved = tilts(counts, goals, work).select("source", "mean", "a", "b", "gap")
     rates = (
         counts.alias("c").join(goals.alias("g"), F.expr("c.source <=> g.source")).join(solved.alias("t"), F.expr("c.source <=> t.source"), "left")
-        .select("c.source", "size", "source_size", "target", F.when(F.col("size") > 0, F.least(F.lit(most * SCALE), F.round(SCALE * F.exp(F.col("a") + F.col("b") * (F.ln("size") - F.col("mean")))).cast("long"))).otherwise(0).alias("micro"))
+        .select("c.source", "size", "source_size", "target", F.coalesce("gap", F.lit(0.0)).alias("gap"), F.when(F.col("size") > 0, F.least(F.lit(most * SCALE), F.round(SCALE * F.exp(F.col("a") + F.col("b") * (F.ln("size") - F.col("mean")))).cast("long"))).otherwise(0).alias("micro"))
     )
     parts = counts.groupBy("source").agg(F.ceil(F.sum("k") / BLOCK_ROWS).alias("parts"))
     rates = work.save(rates.alias("r").join(parts.alias("p"), F.expr("r.source <=> p.source")).select("r.*", "parts"), "rates")
 
-    rows = rows.alias("d").join(rates.alias("r"), F.expr("d.source <=> r.source") & (F.col("d.size") == F.col("r.size"))).select("row", "doc_id", "d.source", "d.size", "source_size", "target", "micro", F.xxhash64("doc_id", F.lit(5)).alias("h"), F.pmod(F.xxhash64("doc_id", F.lit(6)), F.col("parts")).alias("block"))
+    rows = rows.alias("d").join(rates.alias("r"), F.expr("d.source <=> r.source") & (F.col("d.size") == F.col("r.size"))).select("row", "doc_id", "d.source", "d.size", "source_size", "target", "gap", "micro", F.xxhash64("doc_id", F.lit(5)).alias("h"), F.pmod(F.xxhash64(F.coalesce("doc_id", "row"), F.lit(6)), F.col("parts")).alias("block"))
     inside = Window.partitionBy("source", "block").orderBy("h", "doc_id", "size", "row").rowsBetween(Window.unboundedPreceding, 0)
     passed = F.sum("micro").over(inside)
     whole = lambda c: F.floor((c + SCALE // 2) / F.lit(SCALE))
@@ -112,27 +119,21 @@ def mix_sources(docs: DataFrame, work: Workspace | None = None, weights=WEIGHTS,
     held = F.col("taken_before") + F.coalesce(F.sum(taken).over(earlier), F.lit(0))
     more = F.greatest(F.lit(0), F.least(F.col("missing") - free, F.col("most") - taken))
     less = F.greatest(F.lit(0), F.least(-F.col("missing") - held, taken))
-    return rows.withColumn("taken", (taken + more - less).cast("long")).select("row", "doc_id", "source", "size", "source_size", "target", (F.col("micro") / SCALE).alias("rate"), "taken")
+    return rows.withColumn("taken", (taken + more - less).cast("long")).select("row", "doc_id", "source", "size", "source_size", "target", (F.col("micro") / SCALE).alias("rate"), "taken", F.col("gap").alias("dual_gap"))
 
 
 def copies(docs: DataFrame, work: Workspace | None = None) -> DataFrame:
-    """The mix itself, with the columns of ``docs``: each document as often as it is taken, the last copy cut if it is partial."""
-    work = work or Workspace(docs.sparkSession, "mix")
-    columns = docs.columns
-    numbered = work.save(docs.withColumn("_mix_row", F.monotonically_increasing_id()), "documents")
-    plan = mix_sources(numbered, work, number=F.col("_mix_row")).select(F.col("row").alias("_mix_row"), F.col("size").alias("_mix_size"), F.col("taken").alias("_mix_taken"))
-    words = F.transform(F.sequence(F.lit(1), F.ceil(F.col("_mix_taken") / F.col("_mix_size")).cast("int")), lambda k: F.least(F.col("_mix_taken") - (k - 1) * F.col("_mix_size"), F.col("_mix_size")))
-    out = numbered.join(plan, "_mix_row").where("_mix_taken > 0").withColumn("_mix_words", F.explode(words)).withColumn("text", _cut_text())
-    if "n_chars" in columns:
-        out = out.withColumn("n_chars", F.when(F.col("_mix_words") == F.col("_mix_size"), F.col("n_chars")).otherwise(F.length("text").cast(dict(docs.dtypes)["n_chars"])))
-    return out.select(*columns)
-
+    """The mix itself, with the columns of ``docs``: each document as often as it is taken, a partial copy rounded to a whole one or none.
 
-def _cut_text() -> Column:
-    """The text up to its first ``_mix_words`` words, white space as single blanks; a full copy stays as it is."""
-    words = F.filter(F.split("text", r"[ \x09-\x0D]+"), lambda w: w != "")
-    return F.when(F.col("_mix_words") == F.col("_mix_size"), F.col("text")).otherwise(F.array_join(F.slice(words, 1, F.greatest(F.lit(1), F.col("_mix_words")).cast("int")), " "))
+    No text is cut. At most one document of each source and block is taken in part, so sources stay near their targets.
+    """
+    work = work or Workspace(docs.sparkSession, "mix")
+    row, taken = unused(docs.columns, "_mix_row"), unused(docs.columns, "_mix_times")
+    numbered = work.save(docs.withColumn(row, F.monotonically_increasing_id()), "documents")
+    times = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(0).cast("int")
+    plan = mix_sources(numbered, work, number=F.col(row)).select(F.col("row").alias(row), times.alias(taken)).where(F.col(taken) > 0)
+    return numbered.join(plan, row).withColumn(taken, F.explode(F.array_repeat(F.lit(0), F.col(taken)))).select(*docs.columns)
 
 
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix_sources(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "size", "source_size", "target", "taken", "source", "rate")
+    return mix_sources(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "size", "source_size", "target", "taken", "source", "rate", "dual_gap")
