@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 TOKENS = 2048
+#: Segments of a sequence of instruction data; documents have no such limit, as each piece has a token at least.
 SEGMENTS = 256
 END = 1
 #: Examples that wait for a place in one task.
@@ -75,7 +76,7 @@ class Example:
 class Packer:
     """Packs examples into sequences, one after the other; ``done`` gathers pieces as PIECES has them."""
 
-    def __init__(self, first_id: int, limits: tuple[int, int, int] = (TOKENS, SEGMENTS, TOKENS), cut: bool = True):
+    def __init__(self, first_id: int, limits: tuple[int, int, int] = (TOKENS, TOKENS, TOKENS), cut: bool = True):
         self.limits, self.cut, self.sequence = np.array(limits, float), cut, first_id
         self.items: list[Example | None] = [None] * WAITING
         self.sizes = np.zeros((WAITING, 3))
