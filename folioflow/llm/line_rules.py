@@ -1,12 +1,12 @@
 """Quality rules: lines that too many documents of a host share go, and documents left with little are rejected.
 
 Lines are normalised (A-Z lower-cased, digits alike, white space runs alike) and hashed. For each
-host the distinct documents of a line are counted; equal texts count as one document, so a
-document is not held to be boilerplate because it was copied. A line above the limits is removed from all documents of
-the host but its first (least doc_id). A document is rejected if it fails a base rule or if less than MIN_LEFT of its words are left.
+host the documents of a line are counted, copies too. A line in over LINE_DOCS documents is removed, whatever the size of the host, from all of
+them but the first (least doc_id, nulls last, then text hash; rows that repeat it count as the same), so that one copy of what is repeated
+stays. A document is rejected if it fails a base rule or if less than MIN_LEFT of its words are left.
 
-A null text has no words and fails. A null host is a host like others. A null id is a row like
-others. Repeated rows stay repeated, other columns are ignored, an empty table gives no rows.
+A null text is empty: it has no words and fails. A null host is a host like others. A null id is a row like
+others. Repeated rows stay repeated, other columns are ignored, an empty table gives no rows. A very long text is measured whole.
 """
 
 from __future__ import annotations
@@ -20,11 +20,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .textblocks import _BYTE, _FOLDED, blocks, mix, powers
-from .workspace import Workspace
+from .workspace import Lookup, Workspace, unused
 
-#: A line is removed where it is in over LINE_DOCS documents of a host and, in op7, in over LINE_SHARE of them.
+#: A line is removed where it is in over LINE_DOCS documents of a host.
 LINE_DOCS = 20
-LINE_SHARE = 0.01
 MIN_LEFT = 0.3
 MIN_WORDS = 50
 MAX_REPEATED = 50
@@ -135,42 +134,45 @@ def _without(column: pa.Array, dropped: list[np.ndarray]) -> list[str]:
     return out
 
 
-def _cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        dropped = batch["_dropped"]
-        batch = batch.drop_columns(["_dropped"])
-        some = pc.is_valid(dropped)
-        if some.true_count:
-            column = batch["text"]
-            new = pa.array(_without(column.filter(some), [np.array(x) for x in dropped.filter(some).to_pylist()]), column.type)
-            changed = {"text": pc.replace_with_mask(column, some, new)}
-            if "n_chars" in batch.schema.names:
-                changed["n_chars"] = pc.replace_with_mask(batch["n_chars"], some, pc.utf8_length(new).cast(batch["n_chars"].type))
-            batch = pa.record_batch([changed.get(n, batch[n]) for n in batch.schema.names], batch.schema.names)
-        yield batch
-
-
-def line_rules(docs: DataFrame, work: Workspace | None = None, host: str = "source", share: float = LINE_SHARE) -> DataFrame:
-    """All columns of ``docs`` but text, with the measures, n_words_left, base_failed and kept. The rows of ``docs`` are numbered as ``row``.
-
-    ``share``: takes the place of LINE_SHARE; with 0 a line over LINE_DOCS is removed whatever the size of its host.
-    """
+def _cleaned(name: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            dropped = batch[name]
+            batch = batch.drop_columns([name])
+            some = pc.is_valid(dropped)
+            if some.true_count:
+                column = batch["text"]
+                new = pa.array(_without(column.filter(some), [np.array(x) for x in dropped.filter(some).to_pylist()]), column.type)
+                changed = {"text": pc.replace_with_mask(column, some, new)}
+                if "n_chars" in batch.schema.names:
+                    changed["n_chars"] = pc.replace_with_mask(batch["n_chars"], some, pc.utf8_length(new).cast(batch["n_chars"].type))
+                batch = pa.record_batch([changed.get(n, batch[n]) for n in batch.schema.names], batch.schema.names)
+            yield batch
+
+    return run
+
+
+def _key(doc_id, host, same):
+    """What documents of a host are told apart by: repeated rows have the same."""
+    return F.xxhash64(F.coalesce(doc_id, F.lit(-1)), doc_id.isNull(), F.coalesce(host, F.lit("")), host.isNull(), same)
+
+
+def line_rules(docs: DataFrame, work: Workspace | None = None, host: str = "source") -> DataFrame:
+    """All columns of ``docs`` but text, with the measures, n_words_left, base_failed, kept, and dropped (hashes of the lines that go). The rows of ``docs`` are numbered as ``row``."""
     work = work or Workspace(docs.sparkSession, "lines")
-    ids = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col(host).cast("string").alias("host"), F.col("text").cast("string").alias("text"))
+    ids = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col(host).cast("string").alias("host"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     # one pass over the texts: the id columns ride along as one packed column
-    measured = ids.select(F.struct("row", "doc_id", "host", F.xxhash64("text").alias("same")).alias("row"), "text").mapInArrow(_measure, _SCHEMA.replace("row long", "row struct<row:long,doc_id:long,host:string,same:long>", 1))
+    ids = ids.withColumn("key", _key(F.col("doc_id"), F.col("host"), F.xxhash64("text")))
+    measured = ids.select(F.struct("row", "doc_id", "host", "key").alias("row"), "text").mapInArrow(_measure, _SCHEMA.replace("row long", "row struct<row:long,doc_id:long,host:string,key:long>", 1))
     measured = work.save(measured.select("row.*", *[F.col(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "lines")]), "measured")
 
-    lines = measured.select("row", "doc_id", "host", "same", F.explode("lines").alias("l")).select("row", "doc_id", "host", "same", "l.line", "l.words")
-    texts = lines.groupBy("host", "line", "same").agg(F.min("doc_id").alias("doc_id"))
-    counts = texts.groupBy("host", "line").agg(F.count("*").alias("docs"), F.min(F.struct("doc_id", "same")).alias("first"))
-    common = counts.where(F.col("docs") > LINE_DOCS)
-    if share:
-        hosts = measured.select("host", "same").distinct().groupBy("host").agg(F.count("*").alias("host_docs"))
-        common = common.join(hosts, counts["host"].eqNullSafe(hosts["host"])).where(F.col("docs") > share * F.col("host_docs"))
-    common = work.save(common.select(counts["host"].alias("host"), "line", F.col("first.same").alias("first")), "common")
+    lines = measured.select("row", "doc_id", "host", "key", F.explode("lines").alias("l")).select("row", "doc_id", "host", "key", "l.line", "l.words")
+    # a document counts a line once: repeats within it are gone before lines are counted
+    once = measured.select("doc_id", "host", "key", F.explode(F.array_distinct("lines.line")).alias("line"))
+    common = once.groupBy("host", "line").agg(F.count("*").alias("docs"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("first")).where(F.col("docs") > LINE_DOCS)
+    common = work.save(common.select("host", "line", F.col("first.key").alias("first")), "common")
     removed = (
-        lines.alias("l").join(common.alias("c"), (F.col("l.line") == F.col("c.line")) & F.col("l.host").eqNullSafe(F.col("c.host")) & (F.col("l.same") != F.col("c.first")))
+        lines.alias("l").join(common.alias("c"), (F.col("l.line") == F.col("c.line")) & F.col("l.host").eqNullSafe(F.col("c.host")) & (F.col("l.key") != F.col("c.first")))
         .groupBy("row").agg(F.sum("words").alias("removed"), F.collect_set("l.line").alias("dropped"))
     )
     left = F.col("n_words") - F.coalesce("removed", F.lit(0))
@@ -178,28 +180,28 @@ def line_rules(docs: DataFrame, work: Workspace | None = None, host: str = "sour
     return (
         measured.drop("lines").join(removed, "row", "left")
         .withColumns({"n_words_left": left, "base_failed": failed}).withColumn("kept", ~F.col("base_failed") & (F.col("n_words_left") >= MIN_LEFT * F.col("n_words")))
-        .select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_words_left", "dropped", "row", "host", "same")
+        .select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_words_left", "dropped", "row", "host", "key")
     )
 
 
-def without_rejected(docs: DataFrame, work: Workspace | None = None, host: str = "source", share: float = 0) -> DataFrame:
+def without_rejected(docs: DataFrame, work: Workspace | None = None, host: str = "source") -> DataFrame:
     """The rows of ``docs`` that are kept, with all their columns, common lines cut out of their texts and n_chars, if there, to match.
 
-    What is cut are the lines that n_words_left leaves out. A verdict is one on a text and its host, so it is joined by them.
-
-    Lines over LINE_DOCS count as common in hosts of any size, unlike in op7, whose SQL asks for LINE_SHARE besides.
+    What is cut are the lines that n_words_left leaves out. Only rows that may be rejected or cut are shuffled. All columns stay, whatever their names.
     """
+    work = work or Workspace(docs.sparkSession, "lines")
     docs = docs.withColumn("text", F.col("text").cast("string"))
-    verdicts = line_rules(docs, work, host, share).where("not kept or dropped is not null").select(F.col("host").alias("_host"), F.col("same").alias("_same"), F.col("kept").alias("_kept"), F.array_sort("dropped").alias("_dropped"))
-    verdicts = verdicts.groupBy("_host", "_same").agg(F.first("_kept").alias("_kept"), F.first("_dropped").alias("_dropped"))  # repeated texts have the same
-    marked = docs.withColumns({"_host_of": F.col(host).cast("string"), "_same_of": F.xxhash64("text")})
-    found = marked["_host_of"].eqNullSafe(verdicts["_host"]) & (marked["_same_of"] == verdicts["_same"])
-    kept = marked.join(verdicts, found, "left").where("coalesce(_kept, true)").select(*docs.columns, "_dropped")
-    return kept.mapInArrow(_cleaned, docs.schema)
+    key, kept, dropped = (unused(docs.columns, c) for c in ("_rule_key", "_rule_kept", "_rule_dropped"))
+    verdicts = line_rules(docs, work, host).where("not kept or dropped is not null").groupBy(F.col("key").alias(key)).agg(F.first("kept").alias(kept), F.first(F.array_sort("dropped")).alias(dropped))  # repeated rows have the same
+    verdicts = work.save(verdicts, "verdicts")
+    marked = docs.withColumn(key, _key(F.col("doc_id").cast("long"), F.col(host).cast("string"), F.xxhash64(F.coalesce("text", F.lit("")))))
+    told, others = Lookup(verdicts.select(key)).split(marked, F.col(key))
+    told = told.join(verdicts, key, "left").where(F.coalesce(F.col(kept), F.lit(True))).select(*docs.columns, F.col(dropped).alias(dropped))
+    return others.select(*docs.columns).unionByName(told.mapInArrow(_cleaned(dropped), docs.schema))
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_rules(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("dropped", "row", "host", "same")
+    return line_rules(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("dropped", "row", "host", "key")
 
 
 ORACLE_SQL = r"""
@@ -213,10 +215,8 @@ ln AS (SELECT doc_id, host, text, unnest(string_split(text, chr(10))) AS line FR
 lw AS (SELECT *, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS ws FROM ln),
 lx AS (SELECT doc_id, host, text, line, len(ws) AS words, regexp_replace(translate(array_to_string(ws, ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9]', '0', 'g') AS norm FROM lw WHERE len(ws) > 0),
 dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM lx GROUP BY doc_id),
-c AS (SELECT host, norm, count(DISTINCT text) AS docs, arg_min(text, doc_id) AS first FROM lx GROUP BY host, norm),
-h AS (SELECT host, count(DISTINCT text) AS docs FROM w GROUP BY host),
-bad AS (SELECT c.host, c.norm, c.first FROM c JOIN h ON c.host IS NOT DISTINCT FROM h.host WHERE c.docs > 20 AND c.docs > 0.01 * h.docs),
-rm AS (SELECT lx.doc_id, sum(lx.words) AS n FROM lx JOIN bad ON lx.norm = bad.norm AND lx.host IS NOT DISTINCT FROM bad.host AND lx.text <> bad.first GROUP BY lx.doc_id),
+bad AS (SELECT host, norm, min(doc_id) AS first FROM lx GROUP BY host, norm HAVING count(DISTINCT doc_id) > 20),
+rm AS (SELECT lx.doc_id, sum(lx.words) AS n FROM lx JOIN bad ON lx.norm = bad.norm AND lx.host IS NOT DISTINCT FROM bad.host AND lx.doc_id <> bad.first GROUP BY lx.doc_id),
 m AS (
   SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars,
     CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
