@@ -2,7 +2,8 @@
 
 Every rule is a regular expression over host and path, with literal tokens that any URL it
 matches must hold. A rule is filed under the token that the fewest URLs hold; a URL's own tokens fetch
-the rules filed under them, and only those run their expression.
+the rules filed under them, and only those run their expression. A rule without a literal token is run on every URL.
+Of rules of equal rank the one that sorts last by name, then by verdict, wins.
 
 Null URLs and URLs without ``://`` have an empty host and path and match no rule. Equal URLs are
 judged once. Repeated rows stay repeated, other columns are ignored, an empty table gives no rows.
@@ -17,8 +18,8 @@ from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
-#: Rules are broadcast up to this count; beyond it they are joined by a shuffle.
-BROADCAST_RULES = 50_000
+#: Rules are broadcast up to this count and size; beyond them they are joined by a shuffle.
+BROADCAST_RULES, BROADCAST_BYTES = 50_000, 32 << 20
 RULE_SCHEMA = "rule string, verdict string, rank long, regex string, tokens array<string>"
 #: Host words of gambling and adult sites, blocked where no site rule fits.
 BLOCKED_WORDS = ["adult", "bet", "bets", "betting", "casino", "casinos", "escort", "gambling", "poker", "porn", "roulette", "slots", "viagra", "xxx"]
@@ -51,9 +52,13 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow") -> Da
     host, path = host_path(F.col("url").cast("string"))
     rows = pages.select("page_id", host.alias("host"), path.alias("path")).withColumn("key", F.concat("host", "path"))
     keys = rows.where("key <> ''").select("key").distinct()
-    spoken = keys.withColumn("token", F.explode(F.array_distinct(F.split(F.translate("key", UPPER, LOWER), "[^a-z0-9]+")))).where("token <> ''")
-    filed = rules.select("*", F.explode("tokens").alias("token"))
-    few = rules.count() <= BROADCAST_RULES
+    told = rules.agg(F.count("*").alias("n"), F.sum(F.length("regex") + F.length(F.concat_ws("", "tokens")) + 100).alias("bytes"), F.max(F.size(F.coalesce("tokens", F.array())) == 0).alias("bare")).first()
+    # every URL speaks the empty token where some rule has no other
+    said = F.array_distinct(F.split(F.translate("key", UPPER, LOWER), "[^a-z0-9]+"))
+    said = F.array_union(F.filter(said, lambda t: t != ""), F.array(F.lit("")) if told.bare else F.array().cast("array<string>"))
+    spoken = keys.withColumn("token", F.explode(said))
+    filed = rules.select("*", F.explode(F.when(F.size(F.coalesce("tokens", F.array())) > 0, F.col("tokens")).otherwise(F.array(F.lit("")))).alias("token"))
+    few = told.n <= BROADCAST_RULES and (told.bytes or 0) <= BROADCAST_BYTES
     small = F.broadcast if few else (lambda x: x)
     used = spoken.join(small(filed.select("token").distinct()), "token", "left_semi").groupBy("token").agg(F.count("*").alias("urls"))
     index = (
@@ -67,6 +72,28 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow") -> Da
     return rows.join(best, "key", "left").select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
 
 
+def rule_table(lines: DataFrame) -> DataFrame:
+    """RULE_SCHEMA rows from ``lines`` (rule, verdict), such as a list read from a file.
+
+    ``host/path`` is a site rule, ``*word*`` one for hosts with the word, ``/expression/`` one for host and path, run as it stands on every URL. Blank rules and those
+    that start with ``#`` are left out. Site rules outrank words, longer ones shorter ones; expressions rank between.
+    """
+    text = F.trim("rule")
+    rows = lines.select(text.alias("rule"), "verdict").where("rule is not null and rule <> '' and not startswith(rule, '#')")
+    host, path = F.translate(F.substring_index("rule", "/", 1), UPPER, LOWER), F.regexp_extract("rule", "(?s)/(.*)$", 1)
+    literal = lambda c: F.regexp_replace(c, r"([^A-Za-z0-9])", r"\\$1")
+    site = F.concat(F.lit(r"(?s)^(?:[^/]*\.)?"), literal(F.concat(host, F.lit("/"), path)))
+    word = F.regexp_extract("rule", r"^\*([A-Za-z0-9]+)\*$", 1)
+    is_word, is_expression = word != "", F.col("rule").rlike("(?s)^/.*/$")
+    # a last token that may go on in the URL is not one to file the rule by
+    own = F.regexp_extract_all(F.translate(F.concat(host, F.lit("/"), path), UPPER, LOWER), F.lit(r"([a-z0-9]+)(?=[^a-z0-9])"), 1)
+    return rows.select(
+        F.when(~is_word & ~is_expression, F.col("rule")).alias("rule"), "verdict", F.when(is_word, F.length(word)).when(is_expression, 500).otherwise(1000 + F.length("rule")).cast("long").alias("rank"),
+        F.when(is_word, F.concat(F.lit("(?s)^(?:[^/]*[^a-z0-9/])?"), F.translate(word, UPPER, LOWER), F.lit("(?:[^a-z0-9]|$)"))).when(is_expression, F.expr("substring(rule, 2, length(rule) - 2)")).otherwise(site).alias("regex"),
+        F.when(is_word, F.array(F.translate(word, UPPER, LOWER))).when(is_expression, F.array().cast("array<string>")).otherwise(own).alias("tokens"),
+    )
+
+
 def standard_rules(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([*(site_rule(*x) for x in SITE_RULES), *(word_rule(w) for w in BLOCKED_WORDS)], RULE_SCHEMA)
 
