@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .linkage import link_sets, names_of, same_text
-from .textblocks import SHINGLE, blocks, mix, shingles, signature
+from .textblocks import SHINGLE, blocks, mix, shingle_sets, shingles, signature
 from .workspace import Lookup, Workspace
 
 PERMUTATIONS = 256
@@ -64,10 +64,10 @@ def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.clip((equal - 1 / 256) / (1 - 1 / 256), 0.0, 1.0)
 
 
-_FOUND = "doc_id long, n_chars long, sha binary, own binary, edited binary, near_edited double, near_next double"
+_FOUND = "doc_id long, n_chars long, sha binary, own binary, edited binary, near_edited double, near_next double, name long"
 
 
-def _compared(ids: list, texts: list[str], own: np.ndarray, nexts: list[str], next_own: np.ndarray) -> pa.RecordBatch:
+def _compared(ids: list, texts: list[str], own: np.ndarray, nexts: list[str], next_own: np.ndarray, names: list) -> pa.RecordBatch:
     edited = []
     for x, y in zip(texts, nexts, strict=True):
         m = len(x) // 3
@@ -75,7 +75,7 @@ def _compared(ids: list, texts: list[str], own: np.ndarray, nexts: list[str], ne
     sketch = digests(minima(pa.array(edited, pa.large_string())))
     columns = [
         pa.array(ids, pa.int64()), pa.array([len(x) for x in texts], pa.int64()), pa.array([hashlib.sha256(x.encode()).digest() for x in edited], pa.binary()),
-        pa.array([x.tobytes() for x in own], pa.binary()), pa.array([x.tobytes() for x in sketch], pa.binary()), pa.array(likeness(own, sketch)), pa.array(likeness(own, next_own)),
+        pa.array([x.tobytes() for x in own], pa.binary()), pa.array([x.tobytes() for x in sketch], pa.binary()), pa.array(likeness(own, sketch)), pa.array(likeness(own, next_own)), pa.array(names, pa.int64()),
     ]
     return pa.record_batch(columns, [x.split()[0] for x in _FOUND.split(", ")])
 
@@ -87,13 +87,13 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not batch.num_rows:
             continue
         texts, ids, ranges, copies = (batch[c].to_pylist() for c in ("text", "doc_id", "range", "copy"))
-        own = digests(minima(batch["text"]))
+        own, names = digests(minima(batch["text"])), [signature(s) if len(s) else None for b in blocks(batch["text"]) for s in shingle_sets(b)]
         if held is not None:
-            texts, ids, ranges, copies, own = [held[0], *texts], [held[1], *ids], [held[2], *ranges], [held[3], *copies], np.concatenate([held[4], own])
+            texts, ids, ranges, copies, own, names = [held[0], *texts], [held[1], *ids], [held[2], *ranges], [held[3], *copies], np.concatenate([held[4], own]), [held[5], *names]
         at = np.array([i for i in range(len(ids) - 1) if not copies[i] and ranges[i] == ranges[i + 1]], np.int64)
         if len(at):
-            yield _compared([ids[i] for i in at], [texts[i] for i in at], own[at], [texts[i + 1] for i in at], own[at + 1])
-        held = (texts[-1], ids[-1], ranges[-1], copies[-1], own[-1:])
+            yield _compared([ids[i] for i in at], [texts[i] for i in at], own[at], [texts[i + 1] for i in at], own[at + 1], [names[i] for i in at])
+        held = (texts[-1], ids[-1], ranges[-1], copies[-1], own[-1:], names[-1])
 
 
 def _ranged(rows: DataFrame, parts: int) -> DataFrame:
@@ -116,7 +116,7 @@ def _ranged(rows: DataFrame, parts: int) -> DataFrame:
 
 
 def fingerprint_neighbours(docs: DataFrame) -> DataFrame:
-    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of each row of ``docs`` (doc_id, text).
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, name (of the shingle set) of each row of ``docs`` (doc_id, text).
 
     The edited text has its last third replaced by as many first characters of the next document by descending id.
     """
@@ -126,7 +126,7 @@ def fingerprint_neighbours(docs: DataFrame) -> DataFrame:
     ranged = _ranged(rows, parts).repartition(parts, "range").sortWithinPartitions("range", "copy", F.col("key").desc())
     text = lambda c: F.lower(F.hex(c))
     return ranged.select("doc_id", "text", "range", "copy").mapInArrow(_neighbours, _FOUND).select(
-        "doc_id", "n_chars", text("sha").alias("edited_sha256"), text("own").alias("fingerprint"), text("edited").alias("edited_fingerprint"), "near_edited", "near_next"
+        "doc_id", "n_chars", text("sha").alias("edited_sha256"), text("own").alias("fingerprint"), text("edited").alias("edited_fingerprint"), "near_edited", "near_next", "name"
     )
 
 
@@ -162,9 +162,8 @@ def _names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _NAMED = "doc_id long, same long, n long, name long, text string"
 
 
-def near_duplicates(docs: DataFrame, work: Workspace | None = None) -> DataFrame:
-    """doc_id, same (text hash), class_id (least id of its class), n_links (other rows linked to it) for each row: texts that share bands, directly or by others, and whose verified Jaccard similarity is 0.75 or more."""
-    work = work or Workspace(docs.sparkSession, "bands")
+def _classes(docs: DataFrame, work: Workspace) -> tuple[DataFrame, DataFrame]:
+    """The rows (doc_id, same, n, name), and class_id and n_links of names in a class of more than one row."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     named = docs.withColumn("same", same_text(F.col("text"))).mapInArrow(_names, _NAMED)
     meta = work.save(named.drop("text"), "documents")
@@ -184,11 +183,30 @@ def near_duplicates(docs: DataFrame, work: Workspace | None = None) -> DataFrame
     alone = names.where("copies > 1").join(found, "name", "left_anti").select("name", F.col("least_id").alias("class_id"), (F.col("copies") - 1).alias("n_links"))
     told = work.save(linked.unionByName(alone), "told")
     work.drop("shared-bands", "chains", "candidates")
-    return meta.join(told, "name", "left").select("doc_id", "same", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    return meta, told
+
+
+def _with_classes(rows: DataFrame, told: DataFrame) -> DataFrame:
+    return rows.join(told, "name", "left").withColumns({"class_id": F.coalesce("class_id", "doc_id"), "n_links": F.coalesce("n_links", F.lit(0)).cast("long")}).drop("name")
+
+
+def near_duplicates(docs: DataFrame, work: Workspace | None = None) -> DataFrame:
+    """doc_id, class_id (least id of its class), n_links (other rows linked to it) for each row.
+
+    Linked are texts that share bands, directly or by others, and whose verified Jaccard similarity is 0.75 or more.
+    """
+    meta, told = _classes(docs, work or Workspace(docs.sparkSession, "bands"))
+    return _with_classes(meta, told).select("doc_id", "class_id", "n_links")
+
+
+def fingerprints(docs: DataFrame, work: Workspace | None = None) -> DataFrame:
+    """``fingerprint_neighbours`` with class_id and n_links of ``near_duplicates``."""
+    _, told = _classes(docs, work or Workspace(docs.sparkSession, "bands"))
+    return _with_classes(fingerprint_neighbours(docs), told)
 
 
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fingerprint_neighbours(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return fingerprints(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
-__all__ = ["SHINGLE", "fingerprint_neighbours", "near_duplicates", "op3_fingerprints"]
+__all__ = ["SHINGLE", "fingerprint_neighbours", "fingerprints", "near_duplicates", "op3_fingerprints"]

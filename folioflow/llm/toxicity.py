@@ -233,10 +233,10 @@ def fit(docs: DataFrame, labels: DataFrame, work: Workspace | None = None) -> Cl
 
 
 def score(docs: DataFrame, classifier: Classifier) -> DataFrame:
-    """The columns of ``docs`` but text, and score, for each row. Only text is read for it."""
+    """The columns of ``docs`` but text, and score (which takes the place of one there), for each row. Only text is read for it."""
     context = docs.sparkSession.sparkContext
     index, model = context.broadcast(KeyIndex(classifier.keys)), context.broadcast(classifier.model)
-    kept = [c for c in docs.columns if c != "text"]
+    kept = [c for c in docs.columns if c.lower() not in ("text", "score")]
     row = F.struct(*kept)
     packed = docs.select(row.alias("row"), F.col("text").cast("string").alias("text"))
     return packed.mapInArrow(_scored(index, model), f"row {packed.schema['row'].dataType.simpleString()}, score double").select("row.*", "score")

@@ -180,11 +180,52 @@ def test_lm_scores(spark, docs, empty):
     assert real[real.held_out].score.sum() > real[real.held_out].base_score.sum()
 
 
-def test_units_are_normalised():
-    share = np.full(lm_scoring.UNITS, 1 / lm_scoring.UNITS)
-    p = lm_scoring.Parameters.start(share)
-    context = np.repeat([[1, 2, 3, lm_scoring.UNITS]], lm_scoring.UNITS, axis=0).astype(np.int32)
-    assert abs((10 ** lm_scoring.log10_units(p, np.arange(lm_scoring.UNITS), context)).sum() - 1) < 1e-4
+def small_lexicon(own=30, classes=16, seed=1):
+    rng = np.random.default_rng(seed)
+    share = rng.random(own + classes) + 0.1
+    return lm_scoring.Lexicon(np.zeros(0, np.uint64), np.zeros(0), np.zeros(0, np.int64), own, np.concatenate([rng.integers(0, classes, own), np.arange(classes)]), share / share.sum(), np.zeros(classes))
+
+
+def test_lm_probabilities():
+    """Units' probabilities sum to one in any context, and are those of a plain log-bilinear model."""
+    lex = small_lexicon()
+    units = lex.own + lex.classes
+    p = lm_scoring.Parameters.start(lex)
+    for x in p.parts():
+        x += np.random.default_rng(2).normal(size=x.shape).astype(np.float32) * 0.3
+    for near in ([1, 2, 3, units], [40, 40, 0, 5]):
+        got = 10 ** lm_scoring.log10_units(p, lex, np.arange(units), np.repeat([near], units, axis=0).astype(np.int32))
+        assert abs(got.sum() - 1) < 1e-4
+        v = sum(p.R[u] * p.C[k] for k, u in enumerate(near))
+        for w in range(units):
+            kind = lex.class_of[w]
+            of_class = np.exp(p.K @ v + p.k)
+            inside = np.exp(p.Q @ v + p.q) * (lex.class_of == kind)
+            assert abs(got[w] - of_class[kind] / of_class.sum() * inside[w] / inside.sum()) < 1e-5
+
+
+def test_lm_training_learns_contexts():
+    """After training on texts in which one unit always follows another, that unit is likelier there than its share."""
+    lex = small_lexicon()
+    rng = np.random.default_rng(3)
+    trainer = lm_scoring.Trainer(lm_scoring.Parameters.start(lex), lex)
+    for _ in range(400):
+        u = rng.choice(46, 200, p=lex.share)
+        u[np.flatnonzero(u[:-1] == 7) + 1] = 9
+        trainer.add(u)
+    trainer.flush()
+    got = 10 ** lm_scoring.log10_units(trainer.p, lex, np.array([9, 9]), np.array([[7, 3, 3, 3], [3, 3, 3, 3]], np.int32))
+    assert got[0] > 5 * got[1]
+
+
+def test_lm_scores_ignore_partitions_and_case(spark, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "PART_TOKENS", 2000)
+    rows = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").limit(120).collect() + [(10_000, "THE the The thE " * 20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    one, two = ({r.doc_id: r.score for r in lm_scoring.score_texts(docs.repartition(k)).collect()} for k in (2, 9))
+    assert one.keys() == two.keys() and all(abs(two[i] - x) < 1e-4 * abs(x) for i, x in one.items())
+    _, forms, _ = lm_scoring.tokens(next(lm_scoring.blocks(lm_scoring.pa.array(["THE the The thE"]))))
+    assert len(set(forms[:4].tolist())) == 1
 
 
 def test_fingerprints(docs, empty):
@@ -196,9 +237,46 @@ def test_fingerprints(docs, empty):
     assert x.edited_sha256 == hashlib.sha256((y[10][: len(y[10]) - m] + y[9][:m]).encode()).hexdigest()
     assert by[1].fingerprint == by[2].fingerprint and by[2].near_next == 1.0 and by[4].n_chars == 0
     assert fingerprints.fingerprint_neighbours(empty).collect() == []
+    # each row against plain MinHash, and likenesses against true similarities
+    order = sorted(ROWS, key=lambda r: (r[0] is None, -(r[0] or 0)))
+    for k, (row, after) in enumerate(zip(order, order[1:] + order[:1], strict=True)):
+        if row[0] in (2, None) or after[0] is None or row[0] == 3:
+            continue
+        text, other = row[1] or "", after[1] or ""
+        m = len(text) // 3
+        edited = text[: len(text) - m] + other[:m]
+        r = by[row[0]]
+        assert r.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest() and r.n_chars == len(text)
+        a, b = shingle_set(text), shingle_set(edited)
+        assert abs(r.near_edited - (len(a & b) / len(a | b) if a | b else 1)) < 0.15
     assert {(r.doc_id, r.class_id) for r in fingerprints.near_duplicates(docs).collect()} == {(r.doc_id, r.component_id) for r in jaccard_join.jaccard_components(docs).collect()}
 
 
+def test_minima_are_plain_minhash():
+    texts = ["one two three four five six seven", "", "a b", "x " * 50]
+    got = fingerprints.minima(lm_scoring.pa.array(texts))
+    for row, text in zip(got, texts, strict=True):
+        values = [s for b in fingerprints.blocks(lm_scoring.pa.array([text])) for s in fingerprints.shingle_sets(b)][0]
+        assert len(values) == len(shingle_set(text))
+        for k in (0, 1, 100, 255):
+            want = min(((int(fingerprints._A[k]) * int(v) + int(fingerprints._B[k])) % 2**64 for v in values), default=2**64 - 1)
+            assert int(row[k]) == want
+
+
+def test_sharding_groups(spark):
+    """Equal texts stay together unless no shard could hold them; null and repeated ids are dealt like others; sizes and checksums are right."""
+    big = [(None, "z" * 700)] * 120 + [(5, "y" * 90)] * 60
+    rows = [*big, *((i, f"t{i} " * (1 + i % 9)) for i in range(100, 900)), (None, None), (1, "")]
+    got = sharding.assign_shards(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), 8).toPandas()
+    want = collections.Counter((None if i is None else i, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for i, t in rows)
+    assert collections.Counter((None if np.isnan(i) else int(i), s, c) for i, s, c in zip(got.doc_id, got["size"], got.text_crc32, strict=True)) == want
+    loads = got.groupby("shard")["size"].sum()
+    assert len(loads) == 8 and loads.max() / loads.mean() < 1.05
+    shards = got.groupby("text_crc32").shard.nunique()
+    assert shards[zlib.crc32(b"z" * 700)] > 1 and (shards.drop(zlib.crc32(b"z" * 700)) == 1).all()
+    assert all(sorted(x.slot) == list(range(len(x))) for _, x in got.groupby("shard"))
+
+
 def test_sharding(docs, empty):
     got = sharding.assign_shards(docs, 3).collect()
     assert len(got) == len(ROWS)
@@ -216,8 +294,37 @@ def test_mixing(spark, docs, empty):
     per = got.groupby("source", dropna=False).agg(taken=("taken", "sum"), target=("target", "first"))
     assert (abs(per.taken - per.target) <= 0.51).all()
     assert mixing.mix_sources(empty).collect() == []
-    out = mixing.copies(docs)
-    assert out.columns == docs.columns and sum(len(words(r.text)) for r in out.collect()) == got.taken.sum()
+    out = mixing.copies(docs.withColumn("_mix_row", F.lit("mine")))
+    assert out.columns == [*docs.columns, "_mix_row"] and {r._mix_row for r in out.collect()} == {"mine"}
+    times = collections.Counter((r.doc_id, r.text) for r in out.collect())
+    assert set(times) <= {(r[0], r[1]) for r in ROWS} and max(times.values()) <= 4
+    assert mixing.copies(empty).collect() == []
+
+
+def test_mixing_targets_and_tilts(spark):
+    """Targets against plain water filling, and sources near them with a small dual gradient."""
+    rng = np.random.default_rng(6)
+    rows = [(i, "w " * int(rng.integers(1, 400)), [None, "a", "b", "c", "d"][min(4, i % 13)]) for i in range(1500)]
+    got = mixing.mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string")).toPandas()
+    size = collections.Counter()
+    for _, t, s in rows:
+        size[s] += len(t.split())
+    names = sorted([s for s in size if s], key=str) + [None]
+    weight, left, want = {s: (3, 1, 2)[k % 3] for k, s in enumerate(names)}, 1.5 * sum(size.values()), {}
+    while True:
+        free = [s for s in names if s not in want]
+        level = (left - sum(want.values())) / sum(weight[s] for s in free) if free else 0
+        over = [s for s in free if level * weight[s] > 2 * size[s]]
+        if not over:
+            want |= {s: level * weight[s] for s in free}
+            break
+        want |= {s: 2 * size[s] for s in over}
+    for s, x in got.groupby(got.source.fillna("-")):
+        s = None if s == "-" else s
+        assert abs(x.target.iloc[0] - want[s]) < 1e-6 * want[s] and x.source_size.iloc[0] == size[s]
+        assert abs(x.taken.sum() - want[s]) <= 1 and (x.taken <= 2 * x["size"]).all() and x.dual_gap.max() < 1e-6
+
+
 
 
 def test_packing(docs, empty):
@@ -233,6 +340,25 @@ def test_packing(docs, empty):
     assert packing.pack_documents(empty).collect() == []
 
 
+def test_packing_tiny_documents(spark):
+    """Documents of one token fill sequences: there is no limit on pieces."""
+    got = packing.pack_documents(spark.createDataFrame([(i, "") for i in range(5000)], "doc_id long, text string").coalesce(1)).toPandas()
+    per = got.groupby("sequence_id").length.sum().sort_values()
+    assert per.tolist() == [5000 - 2 * 2048, 2048, 2048]
+    for _, x in got.groupby("sequence_id"):
+        x = x.sort_values("offset")
+        assert x.offset.tolist() == [0, *x.length.cumsum()[:-1]]
+
+
+def test_encoders_agree():
+    """Ids are those of the tokenizers library on every document of a table."""
+    import pyarrow.parquet as pq
+
+    encode = packing.Encoder()
+    for text in pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"])["text"].to_pylist():
+        assert encode(text or "").tolist() == encode.full.encode(text or "", add_special_tokens=False).ids
+
+
 def test_packing_instructions():
     """Limits on tokens, segments and loss-bearing tokens hold together when nothing may be cut."""
     rng = np.random.default_rng(2)
@@ -286,6 +412,17 @@ def test_common_lines_of_a_large_host(spark):
     assert sorted(i for i in kept if i < 20_000) == [0, 10_000] and len(kept) == 3502
 
 
+def test_copies_and_nulls_count_as_documents(spark):
+    """A line of 30 copies is in 30 documents; the first keeps its text. Null and empty texts are alike, and clashing columns stay."""
+    text = "\n".join(" ".join(f"l{chr(97 + k)}{chr(97 + j)}" for j in range(12)) for k in range(6))
+    docs = spark.createDataFrame([(i, text, "a", "x") for i in range(30)] + [(100, None, "a", "y"), (101, "", None, "z")], "doc_id long, text string, source string, _rule_key string")
+    got = {r.doc_id: r for r in line_rules.line_rules(docs).collect()}
+    assert [i for i, r in got.items() if r.kept] == [0] and got[100].n_words == got[101].n_words == 0 and got[100].base_failed
+    left = line_rules.without_rejected(docs).collect()
+    assert [(r.doc_id, r.text, r._rule_key) for r in left] == [(0, text, "x")]
+    assert line_rules.without_rejected(docs.limit(0)).collect() == []
+
+
 def test_common_lines_are_cut(spark):
     """Kept documents lose the lines that n_words_left leaves out, the first document keeps them, and n_chars follows."""
     own = lambda i, n: " ".join(f"{i}x{k}".translate(str.maketrans("0123456789", "abcdefghij")) for k in range(n))
@@ -309,6 +446,15 @@ def test_urls(spark):
     assert url_filter.judge_urls(pages.limit(0), url_filter.standard_rules(spark)).collect() == []
 
 
+def test_url_rule_tables(spark):
+    """Rules read as text: sites, words and bare expressions, of which one without a literal token is run on every URL."""
+    lines = spark.createDataFrame([("example.com/de/", "block"), (" *casino* ", "block"), ("/^[0-9.]+/", "block"), ("# note", "block"), (None, "block"), ("a+b.org/x.y", "block")], "rule string, verdict string")
+    urls = ["http://10.0.0.1/x", "http://sub.example.com/de/q", "http://the-casino.io", "http://ok.org/", "http://a+b.org/x.yz", "http://a+b.org/xzy"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r.page_id: (r.verdict, r.rule) for r in url_filter.judge_urls(pages, url_filter.rule_table(lines)).collect()}
+    assert got == {0: ("block", None), 1: ("block", "example.com/de/"), 2: ("block", None), 3: ("allow", None), 4: ("block", "a+b.org/x.y"), 5: ("allow", None)}
+
+
 def test_chat_round_trip(spark):
     texts = ["\\### Assistant: </turn> ok", "####", "<</turn>", "", None, "a\\", "é😀\n: x"]
     rows = [(i % 3 if i else None, k, role, t, "x") for i in range(4) for k, t in enumerate(texts) for role in ("user", "assistant")]
@@ -332,7 +478,8 @@ def test_toxicity(spark, docs, empty):
     model = toxicity.fit(many, labels)
     got = toxicity.score(many, model).toPandas()
     assert ((got.score >= 0.5) == (got.doc_id % 5 == 1)).mean() > 0.98
-    odd = toxicity.score(docs, model).collect()
+    odd = toxicity.score(docs.withColumn("Score", F.lit("mine")), model).collect()
+    assert odd[0].asDict().keys() == {"doc_id", "lang", "source", "n_chars", "name", "score"}
     assert len(odd) == len(ROWS) and all(0 <= r.score <= 1 for r in odd)
     assert toxicity.fit(docs, labels.limit(0)).model is None and toxicity.score(empty, model).collect() == []
     assert toxicity.without_toxic(docs, model).columns == docs.columns
