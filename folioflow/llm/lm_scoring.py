@@ -39,7 +39,7 @@ WORDS_PER_UNIT, MOST_UNITS = 8, 4096
 CONTEXT, WIDTH = 4, 32
 ROUNDS, PART_TOKENS = 3, 1 << 21
 #: Tokens of a step; noise classes that they share; noise units for each class of the step; AdaGrad's rate.
-BATCH, NOISE, CLASS_NOISE, RATE = 2048, 32, 4, 0.08
+BATCH, NOISE, CLASS_NOISE, RATE = 4096, 32, 2, 0.1
 #: Parameters are averaged as whole multiples of this.
 GRAIN = 2.0**-24
 END = np.uint64(0x0E4D0E4D0E4D0E4D)
@@ -154,10 +154,14 @@ def contexts(units: np.ndarray, bounds: np.ndarray, before: int) -> np.ndarray:
 
 def _summed(units: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The units that occur, and the sum of the rows of each."""
-    order = np.argsort(units, kind="stable")
+    order = _order(units)
     u = units[order]
     first = np.flatnonzero(np.concatenate([[True], u[1:] != u[:-1]]))
-    return u[first], np.add.reduceat(values[order], first, axis=0)
+    return u[first], np.add.reduceat(np.take(values, order, axis=0), first, axis=0)
+
+
+def _order(x: np.ndarray) -> np.ndarray:
+    return np.argsort(x.astype(np.uint16), kind="stable")  # classes and units are below 2**16; a radix sort
 
 
 class Trainer:
@@ -180,7 +184,7 @@ class Trainer:
         self.held.append(units)
         self.tokens += len(units)
         self.waiting += len(units)
-        if self.waiting >= 32 * BATCH:
+        if self.waiting >= 16 * BATCH:
             self.flush()
 
     def flush(self) -> None:
@@ -192,53 +196,56 @@ class Trainer:
         context = contexts(units, bounds, self.lex.own + self.lex.classes)
         mixed = np.random.default_rng(len(units)).permutation(len(units))
         for i in range(0, len(units), BATCH):
-            self.step(units[mixed[i : i + BATCH]], context[mixed[i : i + BATCH]])
+            part = mixed[i : i + BATCH]
+            part = part[_order(self.lex.class_of[units[part]])]  # by class
+            self.step(units[part], np.ascontiguousarray(context[part].T))
 
-    def _move(self, name: str, x: np.ndarray, g: np.ndarray, rows=slice(None)) -> None:
-        seen = self.seen[name]
-        seen[rows] += g * g
-        x[rows] -= RATE * g / np.sqrt(seen[rows])
+    def _move(self, name: str, x: np.ndarray, g: np.ndarray, rows: np.ndarray | slice = slice(None)) -> None:
+        seen = self.seen[name][rows] + g * g
+        self.seen[name][rows] = seen
+        x[rows] -= RATE * g / np.sqrt(seen)
 
     def step(self, w: np.ndarray, context: np.ndarray) -> None:
-        p, n = self.p, len(w)
-        near = [p.R[context[:, k]] for k in range(CONTEXT)]
-        v = sum(near[k] * p.C[k] for k in range(CONTEXT))
+        """``w``: tokens in the order of their classes; ``context``: for each place, the unit there of each token."""
+        p, n, c = self.p, len(w), self.lex.class_of[w]
+        near = [np.take(p.R, context[k], axis=0) for k in range(CONTEXT)]
+        v = near[0] * p.C[0]
+        for k in range(1, CONTEXT):
+            v += near[k] * p.C[k]
         # classes: all tokens of the step share their noise
-        c = self.lex.class_of[w]
+        first = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]]))
         noise = self.rng.choice(len(self.by_class), NOISE, p=self.by_class)
         log_noise = np.log(NOISE * self.by_class).astype(np.float32)
-        gs = (1 / (1 + np.exp(log_noise[c] - p.k[c] - (v * p.K[c]).sum(axis=1))) - 1) / n
-        gt = 1 / (1 + np.exp(log_noise[noise] - p.k[noise] - v @ p.K[noise].T)) / n
-        gv = gs[:, None] * p.K[c] + gt @ p.K[noise]
-        dK, dk = np.zeros_like(p.K), np.bincount(c, gs, len(p.k)).astype(np.float32)
+        K, N = np.take(p.K, c, axis=0), p.K[noise]
+        gs = (1 / (1 + np.exp((log_noise - p.k)[c] - np.einsum("nd,nd->n", v, K))) - 1) / n
+        gt = 1 / (1 + np.exp((log_noise - p.k)[noise] - v @ N.T)) / n
+        gv = gs[:, None] * K + gt @ N
+        dK, dk = np.zeros_like(p.K), np.bincount(noise, gt.sum(axis=0), len(p.k)).astype(np.float32)
         np.add.at(dK, noise, gt.T @ v)
-        np.add.at(dk, noise, gt.sum(axis=0))
+        dK[c[first]] += np.add.reduceat(gs[:, None] * v, first, axis=0)
+        dk += np.bincount(c, gs, len(p.k)).astype(np.float32)
         # units: all tokens of a class share theirs
-        drawn = np.searchsorted(self.upto, self.ends[:, None] * 0 + np.arange(len(self.ends))[:, None] + self.rng.random((len(self.ends), CLASS_NOISE)), "right")
+        drawn = np.searchsorted(self.upto, np.arange(len(self.ends))[:, None] + self.rng.random((len(self.ends), CLASS_NOISE)), "right")
         other = self.members[np.minimum(drawn, self.ends[:, None] - 1)]
-        log_inner = np.log(CLASS_NOISE * self.inner).astype(np.float32)
-        order = np.argsort(c, kind="stable")
-        c, w, v, gv, gs = c[order], w[order], v[order], gv[order], gs[order]
-        first = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]]))
-        hs = (1 / (1 + np.exp(log_inner[w] - p.q[w] - (v * p.Q[w]).sum(axis=1))) - 1) / n
-        near_noise = p.Q[other[c]]
-        ht = 1 / (1 + np.exp((log_inner - p.q)[other[c]] - np.einsum("nd,nmd->nm", v, near_noise))) / n
-        gv += hs[:, None] * p.Q[w] + np.einsum("nm,nmd->nd", ht, near_noise)
-        _, dKc = c[first], np.add.reduceat(gs[:, None] * v, first, axis=0)
-        dK[c[first]] += dKc
-        to_noise = np.add.reduceat((ht[:, :, None] * v[:, None, :]).reshape(n, -1), first, axis=0).reshape(-1, WIDTH)
-        units, both = _summed(
-            np.concatenate([w, other[c[first]].ravel()]), np.concatenate([np.column_stack([hs[:, None] * v, hs]), np.column_stack([to_noise, np.add.reduceat(ht, first, axis=0).ravel()])])
-        )
-        self._move("Q", p.Q, both[:, :-1], units)
-        self._move("q", p.q, both[:, -1], units)
+        log_inner = np.log(CLASS_NOISE * self.inner).astype(np.float32) - p.q
+        Q = np.take(p.Q, w, axis=0)
+        hs = (1 / (1 + np.exp(log_inner[w] - np.einsum("nd,nd->n", v, Q))) - 1) / n
+        gv += hs[:, None] * Q
+        told, ends = [(w, hs[:, None] * v)], np.bincount(w, hs, len(p.q))
+        for m in range(CLASS_NOISE):
+            u = other[c, m]
+            Q = np.take(p.Q, u, axis=0)
+            ht = 1 / (1 + np.exp(log_inner[u] - np.einsum("nd,nd->n", v, Q))) / n
+            gv += ht[:, None] * Q
+            told.append((other[c[first], m], np.add.reduceat(ht[:, None] * v, first, axis=0)))
+            ends += np.bincount(u, ht, len(p.q))
+        units, dQ = _summed(np.concatenate([u for u, _ in told]), np.concatenate([x for _, x in told]))
+        self._move("Q", p.Q, dQ, units)
+        self._move("q", p.q, ends.astype(np.float32))
         self._move("K", p.K, dK)
         self._move("k", p.k, dk)
-        back = np.empty_like(order)
-        back[order] = np.arange(n)
-        gv = gv[back]
-        dC = np.stack([(gv * near[k]).sum(axis=0) for k in range(CONTEXT)])
-        units, dR = _summed(context.T.ravel(), np.concatenate([gv * p.C[k] for k in range(CONTEXT)]))
+        dC = np.stack([np.einsum("nd,nd->d", gv, near[k]) for k in range(CONTEXT)])
+        units, dR = _summed(context.ravel(), np.concatenate([gv * p.C[k] for k in range(CONTEXT)]))
         self._move("R", p.R, dR, units)
         self._move("C", p.C, dC)
 
@@ -260,11 +267,11 @@ def log10_units(p: Parameters, lex: Lexicon, target: np.ndarray, context: np.nda
     table = [p.R * p.C[k] for k in range(CONTEXT)]
     for i in range(0, len(target), 1 << 15):
         w, c = target[i : i + (1 << 15)], context[i : i + (1 << 15)]
-        order = np.argsort(lex.class_of[w], kind="stable")
-        w, c = w[order], c[order]
-        v = table[0][c[:, 0]]
+        order = _order(lex.class_of[w])
+        w, c = w[order], c[order].T
+        v = np.take(table[0], c[0], axis=0)
         for k in range(1, CONTEXT):
-            v += table[k][c[:, k]]
+            v += np.take(table[k], c[k], axis=0)
         kind = lex.class_of[w]
         got = _log_softmax(v @ p.K.T + p.k, kind)
         first = np.flatnonzero(np.concatenate([[True], kind[1:] != kind[:-1]]))
@@ -355,7 +362,7 @@ def _lexicon(counts: DataFrame, told, step: Column) -> tuple[Lexicon, int]:
     head = counts.where(step >= lowest).toPandas()  # at most HEAD rows
     head = head.sort_values(["n", "key"], ascending=[False, True]).reset_index(drop=True)
     own = min(MOST_UNITS, told.words // WORDS_PER_UNIT, len(head))
-    classes = 1 << max(4, (own.bit_length() + 1) // 2)
+    classes = 1 << max(4, own.bit_length() // 2)
     form = F.pmod(F.pmod("form", F.lit(1 << 20)), F.lit(classes))  # classes is a power of two, so a signed form has the same class
     mass = np.ones(classes)  # an unknown word beside the known ones
     for r in counts.groupBy(form.alias("c")).agg(F.sum(F.col("n") + 1).alias("mass")).collect():  # ``classes`` rows
