@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .components import CHUNK, least_members
+from .components import least_members
 from .linkage import link_sets, names_of, same_text
 from .textblocks import blocks, mix, shingle_sets, signature
 from .workspace import Lookup, Workspace, unused
@@ -45,6 +45,8 @@ BOUNDARY_MAX = 24
 LIST_ROWS = 4096
 #: Of lists of up to LONG sets all pairs are looked at; longer ones are chained.
 LONG = 64
+#: A task works on so many entries of lists at a time (some 200 bytes each).
+CHUNK = 1 << 18
 
 
 def overlap(n: int, m: int) -> int:
@@ -375,6 +377,7 @@ def one_of_each(docs: DataFrame, work: Workspace | None = None) -> DataFrame:
     chosen = work.save(chosen.unionByName(wordless).withColumn("key", key), "chosen")
     others = rows.withColumn("key", key).join(chosen, "key", "left_anti").select("key").unionByName(chosen.where("times > 1").select("key"))
     others = work.save(others, "others")
+    work.drop("sets-and-counts", "names", "linked", "linked-large", "large-clusters")
     own = unused(docs.columns, "_row_key")
     marked = docs.withColumn(own, F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), F.col("doc_id").cast("long").isNull(), same_text(F.col("text"))))
     doubtful, sure = Lookup(others).split(marked, F.col(own))

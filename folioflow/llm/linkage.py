@@ -21,7 +21,7 @@ from .textblocks import blocks, shingle_sets
 from .workspace import Lookup, Workspace
 
 #: A cell holds about so many sets and shingles, or two blocks of so many.
-CELL_SETS, CELL_SHINGLES = 1024, 1 << 19
+CELL_SETS, CELL_SHINGLES = 512, 1 << 18
 #: Keys of over this share of a cell's sets are counted by matrix products, the others pair by pair.
 HEAVY = 1 / 8
 _SMALL_CELL = 64
@@ -46,7 +46,7 @@ def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
     out = np.zeros((k, k), np.float32)
     heavy = (each > 1) & ((k <= _SMALL_CELL) | (each >= HEAVY * k))
     columns = np.cumsum(np.concatenate([[0], np.diff(np.repeat(np.arange(len(times)), times)[heavy]) > 0])) if heavy.any() else np.zeros(0, np.int64)
-    rows, wide = own[heavy], max(1, (1 << 23) // k)
+    rows, wide = own[heavy], max(1, (1 << 21) // k)
     for at in range(0, int(columns[-1]) + 1 if len(columns) else 0, wide):
         part = slice(*np.searchsorted(columns, [at, at + wide]))
         table = np.zeros((k, min(wide, int(columns[-1]) + 1 - at)), np.float32)
@@ -60,10 +60,11 @@ def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
             pair = np.flatnonzero(lists[d:] == lists[:-d])
             if not len(pair):
                 break
-            codes += np.bincount(rows[pair] * k + rows[pair + d], minlength=k * k).astype(np.float32)
+            at, times = np.unique(rows[pair] * k + rows[pair + d], return_counts=True)
+            codes[at] += times
         out += (table := codes.reshape(k, k)) + table.T
     np.fill_diagonal(out, 0)
-    return out.astype(np.int64)
+    return out.astype(np.int32)
 
 
 def _cell(names: list[int], sets: list[np.ndarray], copies: list[int], sides: list[int], whole: bool) -> pa.RecordBatch | None:

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .workspace import Workspace, unused
+from .workspace import Lookup, Workspace, unused
 
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE = 1.5
@@ -125,14 +125,19 @@ def mix_sources(docs: DataFrame, work: Workspace | None = None, weights=WEIGHTS,
 def copies(docs: DataFrame, work: Workspace | None = None) -> DataFrame:
     """The mix itself, with the columns of ``docs``: each document as often as it is taken, a partial copy rounded to a whole one or none.
 
-    No text is cut. At most one document of each source and block is taken in part, so sources stay near their targets.
+    Rows that are alike in id, source and text may stand for one another. No text is cut. At most one document of each source and block is taken in part, so sources stay near their targets.
     """
     work = work or Workspace(docs.sparkSession, "mix")
-    row, taken = unused(docs.columns, "_mix_row"), unused(docs.columns, "_mix_times")
-    numbered = work.save(docs.withColumn(row, F.monotonically_increasing_id()), "documents")
-    times = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(0).cast("int")
-    plan = mix_sources(numbered, work, number=F.col(row)).select(F.col("row").alias(row), times.alias(taken)).where(F.col(taken) > 0)
-    return numbered.join(plan, row).withColumn(taken, F.explode(F.array_repeat(F.lit(0), F.col(taken)))).select(*docs.columns)
+    key, times, rows = (unused(docs.columns, c) for c in ("_mix_key", "_mix_times", "_mix_rows"))
+    marked = docs.withColumn(key, F.xxhash64(F.col("doc_id").cast("long"), F.col("doc_id").isNull(), F.col("source").cast("string"), F.col("source").isNull(), F.col("text").cast("string")))
+    whole = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(0).cast("int")
+    plan = mix_sources(marked, work, number=F.col(key)).groupBy(F.col("row").alias(key)).agg(F.sum(whole).cast("int").alias(times), F.count("*").alias(rows)).where(F.col(times) > 0)
+    plan = work.save(plan, "plan")
+    # rows that are alike share their copies, so one of them stands for all
+    several, single = Lookup(plan.where(F.col(rows) > 1).select(key)).split(marked, F.col(key))
+    several = several.join(plan, key)
+    several = several.where(F.col(rows) == 1).unionByName(several.where(F.col(rows) > 1).dropDuplicates([key]))
+    return single.join(plan, key).unionByName(several).withColumn(times, F.explode(F.array_repeat(F.lit(0), F.col(times)))).select(*docs.columns)
 
 
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -116,7 +116,7 @@ def plain_links(rows):
         least = new
 
 
-@pytest.mark.parametrize("long,rows,cell,chunk", [(64, 4096, 1024, 1 << 20), (2, 5, 12, 1 << 20), (3, 4096, 9, 40)])
+@pytest.mark.parametrize("long,rows,cell,chunk", [(64, 4096, 1024, 1 << 20), (2, 5, 12, 40)])
 def test_jaccard_links_by_every_path(spark, monkeypatch, long, rows, cell, chunk):
     """Short and long lists, lists cut into parts, clusters in one cell and in blocks: all give what comparing all pairs gives."""
     for module, name, value in ((jaccard_join, "LONG", long), (jaccard_join, "LIST_ROWS", rows), (linkage, "CELL_SETS", cell), (jaccard_join, "CHUNK", chunk), (jaccard_join, "FREQUENT_FROM", 3)):
