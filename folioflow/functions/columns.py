@@ -31,3 +31,9 @@ def band(quality: Column) -> Column:
 def url_key(path: Column) -> Column:
     """A path as base64 that URLs can hold, without padding."""
     return F.rtrim(F.translate(F.base64(path.cast("binary")), "+/", "-_"), F.lit("="))
+
+
+def from_url_key(key: Column) -> Column:
+    """The path that a key names; null for what is no key."""
+    padded = F.concat(F.translate(key, "-_", "+/"), F.repeat(F.lit("="), F.pmod(-F.length(key), F.lit(4))))
+    return F.decode(F.try_to_binary(padded, F.lit("base64")), "UTF-8")

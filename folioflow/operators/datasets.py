@@ -23,11 +23,17 @@ def training_filter(spark: SparkSession, d: str) -> DataFrame:
 
 
 def split_by(rows: DataFrame, stratum: str, key: str, train: float = 0.7, validation: float = 0.15) -> DataFrame:
-    """A stratified split in the order of a hash of the key. Rows below a stratum's cuts are counted by the hash's place, so reruns agree."""
+    """A stratified split in the order of a hash of the key, so reruns agree.
+
+    One row goes to train, two go to train and validation; more keep at least one row in each of the three parts.
+    """
     order = Window.partitionBy(stratum).orderBy(F.md5(F.col(key).cast("string").cast("binary")), key)
     sizes = rows.groupBy(stratum).agg(F.count("*").alias("n"))
     placed = rows.withColumn("r", F.row_number().over(order)).join(sizes, stratum)
-    a, b = F.floor(F.col("n") * train), F.floor(F.col("n") * validation)
+    n = F.col("n")
+    a, b = F.greatest(F.lit(1), F.floor(n * train)), F.greatest(F.lit(1), F.floor(n * validation))
+    full = a + b >= n
+    a, b = F.when(n <= 2, 1).when(full, n - 2).otherwise(a), F.when(n <= 2, n - 1).when(full, 1).otherwise(b)
     return placed.withColumn("split", F.when(F.col("r") <= a, "train").when(F.col("r") <= a + b, "validation").otherwise("test")).drop("r", "n")
 
 
@@ -68,7 +74,9 @@ ORACLES = {
     "training_filter": f"""WITH u AS (SELECT lang, count(*) AS used FROM documents WHERE length(trim(text)) >= {LEAST_CHARS} AND doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) GROUP BY lang)
         SELECT d.lang, coalesce(u.used, 0) AS used, d.n - coalesce(u.used, 0) AS skipped FROM (SELECT lang, count(*) AS n FROM documents GROUP BY lang) d LEFT JOIN u USING (lang)""",
     "stratified_split": """WITH r AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id) AS r, count(*) OVER (PARTITION BY lang) AS n FROM documents)
-        SELECT doc_id, lang, CASE WHEN r <= floor(n * 0.7::DOUBLE) THEN 'train' WHEN r <= floor(n * 0.7::DOUBLE) + floor(n * 0.15::DOUBLE) THEN 'validation' ELSE 'test' END AS split FROM r""",
+        , c AS (SELECT *, greatest(1, floor(n * 0.7::DOUBLE)) AS a0, greatest(1, floor(n * 0.15::DOUBLE)) AS b0 FROM r),
+        x AS (SELECT *, CASE WHEN n <= 2 THEN 1 WHEN a0 + b0 >= n THEN n - 2 ELSE a0 END AS a, CASE WHEN n <= 2 THEN n - 1 WHEN a0 + b0 >= n THEN 1 ELSE b0 END AS b FROM c)
+        SELECT doc_id, lang, CASE WHEN r <= a THEN 'train' WHEN r <= a + b THEN 'validation' ELSE 'test' END AS split FROM x""",
     "chat_export": """WITH t AS (SELECT *, lag(role) OVER w AS before_role, lag(text) OVER w AS before FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
         SELECT conv_id, turn, CAST(to_json([{'role': 'user', 'content': before}, {'role': 'assistant', 'content': text}]) AS VARCHAR) AS messages FROM t WHERE role = 'assistant' AND before_role = 'user'""",
     "eval_rates": """WITH p AS (SELECT l_orderkey, sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS predicted FROM lineitem GROUP BY 1),

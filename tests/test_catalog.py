@@ -9,8 +9,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from folioflow import catalog
-from folioflow.functions.columns import band, folded, last_amount, url_key
+from folioflow.functions.columns import band, folded, from_url_key, last_amount, url_key
 from folioflow.operators.datasets import split_by
+from folioflow.operators.fields import amount_texts, amount_value, iso_dates
 from folioflow.operators.history import page
 from folioflow.operators.payloads import leaves, with_match
 from folioflow.operators.routing import route
@@ -55,6 +56,22 @@ def test_pages_part_the_rows(spark):
     assert page(rows, 99, 50).count() == 45
 
 
+def test_splits_of_small_groups(spark):
+    rows = spark.createDataFrame([(100 * n + i, str(n)) for n in (1, 2, 3, 6) for i in range(n)], "id long, s string")
+    got = {(r.s, r.split): r["count"] for r in split_by(rows, "s", "id").groupBy("s", "split").count().collect()}
+    assert got == {("1", "train"): 1, ("2", "train"): 1, ("2", "validation"): 1, ("3", "train"): 1, ("3", "validation"): 1, ("3", "test"): 1, ("6", "train"): 4, ("6", "validation"): 1, ("6", "test"): 1}
+
+
+def test_dates_and_amounts(spark):
+    texts = ["le 2024-02-30 puis 9023.1.5", "12/03/99 et 1-1-2001", "12/03/79 12.03.2079", "rien", None]
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(iso_dates(F.col("t"))).collect()]
+    assert got == [["2023-01-05"], ["2001-01-01", "1999-03-12"], ["2079-03-12"], [], None]
+    rows = spark.createDataFrame([("total 1 234 , 500 et 12.750",)], "t string").select(amount_texts(F.col("t")).alias("a")).select("a", F.transform("a", amount_value).alias("v")).first()
+    assert rows.a == ["234,500", "12.750"] and rows.v == [234.5, 12750.0]
+    keys = spark.createDataFrame([("db://x/1?",), ("é",), ("",)], "p string").select("p", from_url_key(url_key(F.col("p"))).alias("q")).collect()
+    assert all(r.p == r.q for r in keys) and spark.range(1).select(from_url_key(F.lit("*!"))).first()[0] is None
+
+
 def test_split_sizes(spark):
     rows = spark.range(100).select("id", F.lit("a").alias("s"))
     assert {r.split: r["count"] for r in split_by(rows, "s", "id").groupBy("split").count().collect()} == {"train": 70, "validation": 15, "test": 15}
