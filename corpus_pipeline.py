@@ -1,4 +1,8 @@
-"""A training corpus from raw documents: toxic and poor documents go, near copies go, sources are mixed, the rest is packed."""
+"""A training corpus from raw documents: toxic and poor documents go, near copies go, sources are mixed, the rest is packed.
+
+All stages but the last give the columns of what they read, whatever their names. Null ids and sources are values like others, a null text
+is an empty one, texts are used whole, and an empty table stays empty. What becomes of ties and repeated rows is said at each stage.
+"""
 
 from __future__ import annotations
 
@@ -13,27 +17,30 @@ from folioflow.llm.workspace import Workspace
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents scored as toxic."""
+    """Drops documents scored as toxic. Equal texts have equal scores, so repeated rows stay or go together; without toxic labels all stay."""
     return without_toxic(docs, fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that fail a base rule or are depleted by the removal of common lines; those lines go from the others."""
+    """Drops documents that fail a base rule or are depleted by the removal of common lines; those lines go from the others.
+
+    The first document of a common line (least id, nulls last) keeps it, and so do rows that repeat that document. Empty texts fail.
+    """
     return without_rejected(docs)
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near copies."""
+    """Keeps one document of each group of near copies: the one of least id, nulls last, then of least text hash. Of repeated rows one stays; texts without words link with nothing."""
     return one_of_each(docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats, keeps or leaves out documents so that sources come to their target weights."""
+    """Repeats, keeps or leaves out documents so that sources come to their target weights. Copies are whole rows; texts without words are left out."""
     return copies(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all sequences."""
+    """The pieces of all sequences. Each row is a document of its own, also one that the mix has repeated."""
     return pack_documents(docs)
 
 
