@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .operators import dashboard, datasets, fields, history, payloads, records, routing
+from .operators import dashboard, datasets, extraction, fields, history, payloads, records, routing
 
-QUERIES = {**dashboard.QUERIES, **history.QUERIES, **records.QUERIES, **datasets.QUERIES, **routing.QUERIES, **payloads.QUERIES, **fields.QUERIES}
-ORACLES = {**dashboard.ORACLES, **history.ORACLES, **records.ORACLES, **datasets.ORACLES, **routing.ORACLES, **payloads.ORACLES, **fields.ORACLES}
+QUERIES = {**dashboard.QUERIES, **history.QUERIES, **records.QUERIES, **datasets.QUERIES, **routing.QUERIES, **payloads.QUERIES, **fields.QUERIES, **extraction.QUERIES}
+ORACLES = {**dashboard.ORACLES, **history.ORACLES, **records.ORACLES, **datasets.ORACLES, **routing.ORACLES, **payloads.ORACLES, **fields.ORACLES, **extraction.ORACLES}
