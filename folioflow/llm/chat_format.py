@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .textblocks import strings
+from .textblocks import returns_memory, strings
 
 OPEN, MIDDLE, CLOSE = b"### ", b": ", b"</turn>\n"
 LEARNED = b"assistant"
@@ -73,6 +73,7 @@ def assemble(roles: pa.Array, texts: pa.Array) -> tuple[np.ndarray, np.ndarray,
     return out, bounds, text_at, text_at + text_size
 
 
+@returns_memory
 def _format(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Formatted pieces of conversations; spans of the loss mask are in bytes from the piece's start."""
     last, piece = object(), 0
@@ -133,6 +134,7 @@ class _Reader:
         return (self.conv_id, self.turns, self.all.hexdigest(), self.loss_chars, self.loss.hexdigest(), self.chars)
 
 
+@returns_memory
 def _read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     now = None
     names = [x.split()[0] for x in DIGEST.split(", ")]

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .workspace import Workspace
+from .textblocks import returns_memory
 
 #: A task contracts so many links at a time (some 100 bytes each).
 CHUNK = 1 << 20
@@ -34,6 +35,7 @@ def least_members(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]
             parent = above
 
 
+@returns_memory
 def _contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links of vertices to the least one that they reach by CHUNK of a task's links."""
 

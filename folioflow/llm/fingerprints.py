@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .linkage import link_sets, names_of, same_text
-from .textblocks import SHINGLE, blocks, mix, shingle_sets, shingles, signature
+from .textblocks import SHINGLE, blocks, mix, returns_memory, shingle_sets, shingles, signature
 from .workspace import Lookup, Workspace
 
 PERMUTATIONS = 256
@@ -80,6 +80,7 @@ def _compared(ids: list, texts: list[str], own: np.ndarray, nexts: list[str], ne
     return pa.record_batch(columns, [x.split()[0] for x in _FOUND.split(", ")])
 
 
+@returns_memory
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Compares each row with the one after it in its range. The last row of a range is a copy of the next range's first."""
     held = None
@@ -133,6 +134,7 @@ def fingerprint_neighbours(docs: DataFrame) -> DataFrame:
 def _bands(shared):
     """key, name, n of the bands of each text; with ``shared`` those only whose key may be one of it."""
 
+    @returns_memory
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             least = minima(batch["text"], BANDS * BAND_ROWS)
@@ -148,6 +150,7 @@ def _bands(shared):
     return run
 
 
+@returns_memory
 def _names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for block in blocks(batch["text"]):

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .components import least_members
 from .linkage import link_sets, names_of, same_text
-from .textblocks import blocks, mix, shingle_sets, signature
+from .textblocks import blocks, mix, returns_memory, shingle_sets, signature
 from .workspace import Lookup, Workspace, unused
 
 #: At most this many frequent shingles are known to all tasks (8 bytes each); the count from which one is frequent rises with the corpus.
@@ -70,6 +70,7 @@ def boundary_by_cost(sizes: dict[int, int], list_length: float) -> int:
     return min(range(1, BOUNDARY_MAX + 1), key=cost)
 
 
+@returns_memory
 def _sets_and_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """kind 0: id, text hash, set size, set name. kind 1: shingle, its documents in this batch where two or more."""
     for batch in batches:
@@ -118,6 +119,7 @@ def _prefixes(order, boundary: int):
     """Entries (key, name, at) of sets that may link with a large one; at: the set's size and the key's place in it. ``home``: the key of a list that is cut into parts, each under a key of its own."""
     least = -(-3 * boundary // 4)
 
+    @returns_memory
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             seen: set[int] = set()
@@ -225,6 +227,7 @@ def _parts(home, key, name, n) -> tuple[np.ndarray, np.ndarray, pa.RecordBatch]:
     return name[1:][follows], name[:-1][follows], _rows(PART, home[first], name[first], band[first])
 
 
+@returns_memory
 def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """_LISTED rows of entries sorted by key."""
 
@@ -295,6 +298,7 @@ def _list_links(entries: DataFrame, work: Workspace) -> DataFrame:
 
 
 def _subsets(boundary: int):
+    @returns_memory
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in blocks(batch["text"]):

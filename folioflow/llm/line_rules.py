@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .textblocks import _BYTE, _FOLDED, blocks, mix, powers
+from .textblocks import _BYTE, _FOLDED, blocks, mix, powers, returns_memory
 from .workspace import Lookup, Workspace, unused
 
 #: A line is removed where it is in over LINE_DOCS documents of a host.
@@ -52,6 +52,7 @@ def _twice(keys: np.ndarray) -> np.ndarray:
     return out
 
 
+@returns_memory
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for block in blocks(batch["text"]):
@@ -135,6 +136,7 @@ def _without(column: pa.Array, dropped: list[np.ndarray]) -> list[str]:
 
 
 def _cleaned(name: str):
+    @returns_memory
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             dropped = batch[name]

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components, least_members
-from .textblocks import blocks, shingle_sets
+from .textblocks import blocks, returns_memory, shingle_sets
 from .workspace import Lookup, Workspace
 
 #: A cell holds about so many sets and shingles, or two blocks of so many.
@@ -85,6 +85,7 @@ def _cell(names: list[int], sets: list[np.ndarray], copies: list[int], sides: li
     return pa.record_batch([pa.array(vertices), pa.array(least), pa.array([links[v] for v in vertices.tolist()], pa.int64()), pa.array(np.full(len(vertices), whole))], ["name", "component", "links", "whole"])
 
 
+@returns_memory
 def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by cell and name. A name that comes again in a cell is one that a repeated row brought."""
     at, held, ready, rows = None, ([], [], [], []), [], 0

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .textblocks import Block, blocks, mix
+from .textblocks import Block, blocks, mix, returns_memory
 from .workspace import Workspace
 
 FOLDS, HELD = 7, 2
@@ -64,6 +64,7 @@ def tokens(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return out, mix(forms), bounds
 
 
+@returns_memory
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found = [tokens(b)[:2] for b in blocks(batch["text"])]
@@ -287,6 +288,7 @@ _TOKENS = "row struct<doc_id:long,row:long,part:long,round:int,order:long>, n_to
 
 
 def _unit_rows(lexicon):
+    @returns_memory
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lex = lexicon.value
         for batch in batches:
@@ -323,6 +325,7 @@ def _trained(lexicon, start):
         whole = np.rint(t.p.flat().astype(np.float64) / GRAIN).astype(np.int64)
         return pa.record_batch([pa.array(np.arange(len(whole), dtype=np.int32)), pa.array(whole * t.tokens), pa.array(np.full(len(whole), t.tokens, np.int64))], ["at", "total", "n"])
 
+    @returns_memory
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lex, now, trainer = lexicon.value, None, None
         for batch in batches:
@@ -341,6 +344,7 @@ def _trained(lexicon, start):
 
 
 def _scores(lexicon, parameters):
+    @returns_memory
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lex = lexicon.value
         p = Parameters.of(parameters.value, lex.own, lex.classes)

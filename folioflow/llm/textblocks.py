@@ -6,7 +6,9 @@ bytes splits exactly where working on characters would.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import functools
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,6 +23,20 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 
+def returns_memory(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Gives freed memory back to the system when a task ends: its worker lives on, idle or with another task."""
+
+    @functools.wraps(run)
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+        if trim:
+            trim(0)
+
+    return task
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit scrambler, element by element."""
     x = x.astype(np.uint64, copy=True)
@@ -42,12 +58,16 @@ _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n + 1 powers of the base and of its inverse modulo 2**64."""
+    """At least the first n + 1 powers of the base and of its inverse modulo 2**64. Those of a block are kept, those of a longer text are not."""
     if len(_powers[0]) <= n:
-        for k, b in enumerate((_BASE, _INVERSE)):
+        more = []
+        for b in (_BASE, _INVERSE):
             p = np.full(max(n, BLOCK_BYTES) + 1, b, np.uint64)
             p[0] = 1
-            _powers[k] = np.cumprod(p, dtype=np.uint64)
+            more.append(np.cumprod(p, dtype=np.uint64))
+        if n > BLOCK_BYTES:
+            return more[0], more[1]
+        _powers[:] = more
     return _powers[0], _powers[1]
 
 

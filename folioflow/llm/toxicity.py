@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .textblocks import _LOWER, Block, blocks, mix, powers
+from .textblocks import _LOWER, Block, blocks, mix, powers, returns_memory
 from .workspace import Workspace
 
 #: Bounds of the training sample, in documents.
@@ -72,6 +72,7 @@ def _distinct(keys: np.ndarray, texts: np.ndarray) -> tuple[np.ndarray, np.ndarr
 def _counted(known):
     """The documents of each feature in this batch; only of the features in ``known`` if that is given."""
 
+    @returns_memory
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = []
@@ -108,6 +109,7 @@ class KeyIndex:
 def _rows(index):
     """The chosen features that each text has."""
 
+    @returns_memory
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in blocks(batch["text"]):
@@ -173,6 +175,7 @@ def train(lists: list[np.ndarray], n_words: np.ndarray, positive: np.ndarray, fe
 
 
 def _scored(index, model):
+    @returns_memory
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in blocks(batch["text"]):
@@ -243,6 +246,7 @@ def score(docs: DataFrame, classifier: Classifier) -> DataFrame:
 
 
 def _clean(index, model):
+    @returns_memory
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in blocks(batch["text"]):
