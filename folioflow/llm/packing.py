@@ -16,6 +16,7 @@ columns are ignored. An empty table gives no rows.
 from __future__ import annotations
 
 import base64
+import functools
 import re
 import zlib
 from collections.abc import Iterator
@@ -27,6 +28,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .textblocks import returns_memory
+
 TOKENS = 2048
 #: Segments of a sequence of instruction data; documents have no such limit, as each piece has a token at least.
 SEGMENTS = 256
@@ -46,12 +49,19 @@ class Encoder:
     def __init__(self, vocabulary: str = VOCABULARY):
         import public_tokenizers
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.full = Tokenizer.from_file(public_tokenizers.path(f"{vocabulary}.json"))
         with open(public_tokenizers.path(f"{vocabulary}.tiktoken"), "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.fast = tiktoken.Encoding(vocabulary, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.vocabulary = vocabulary
+
+    @functools.cached_property
+    def full(self):
+        """Loaded for the first text that needs it."""
+        import public_tokenizers
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(public_tokenizers.path(f"{self.vocabulary}.json"))
 
     def __call__(self, text: str) -> np.ndarray:
         if _PLAIN.search(text):
@@ -59,6 +69,12 @@ class Encoder:
         return np.array(self.fast.encode_ordinary(text), np.uint32)
 
 
+@functools.lru_cache(1)
+def encoder(vocabulary: str) -> Encoder:
+    """One of a worker's process, whatever the number of its tasks."""
+    return Encoder(vocabulary)
+
+
 @dataclass
 class Example:
     """What is left of a document: its ids from ``start`` on. ``learned``: which of all its ids bear loss, or None for all."""
@@ -152,8 +168,9 @@ class Packer:
 
 
 def _pieces(vocabulary: str):
+    @returns_memory
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, packer = Encoder(vocabulary), Packer(TaskContext.get().partitionId() << 40)
+        encode, packer = encoder(vocabulary), Packer(TaskContext.get().partitionId() << 40)
         for batch in batches:
             for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
                 packer.add(Example(doc_id.as_py(), np.append(encode(text.as_py() or ""), np.uint32(END)), 0))
@@ -178,6 +195,7 @@ def pack_documents(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
 
 
 def _masked(limits: tuple[int, int, int]):
+    @returns_memory
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = Packer(TaskContext.get().partitionId() << 40, limits, cut=False)
         for batch in batches:
