@@ -159,3 +159,19 @@ def signature(values: np.ndarray) -> int:
     with np.errstate(over="ignore"):
         x = np.array([np.bitwise_xor.reduce(mix(values + np.uint64(17))) + values.sum(dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(len(values))], np.uint64)
     return int(mix(x).view(np.int64)[0])
+
+
+_AS_IS = np.arange(256, dtype=np.uint8)
+LOWERED = _AS_IS.copy()
+LOWERED[65:91] += 32
+
+
+def joined(block: Block, starts: np.ndarray, ends: np.ndarray, last: np.ndarray, table: np.ndarray = _AS_IS) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of some words of a block, a space after each but those that are the ``last`` of a text, and where each word begins there."""
+    size = ends - starts
+    begin = np.concatenate([[0], np.cumsum(size + ~last)])
+    out = np.full(begin[-1], 32, np.uint8)
+    passed = np.cumsum(size) - size
+    at = np.arange(size.sum())
+    out[at + np.repeat(begin[:-1] - passed, size)] = table[block.data[at + np.repeat(starts - passed, size)]]
+    return out, begin[:-1]
