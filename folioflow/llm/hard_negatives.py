@@ -171,8 +171,10 @@ def _summed(rows: DataFrame, anchors: DataFrame, within: list[str], sizes: DataF
     """
     # a short vector has empty chunks at the end, so all partial tiles of a tile have one shape
     part = F.posexplode(F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda k: F.slice("v", k * CHUNK + 1, CHUNK)))
-    sizes = F.broadcast(sizes) if not within else sizes
-    on = lambda df: df.join(sizes, within) if within else df.crossJoin(sizes)  # noqa: E731  without a key, sizes is one row
+    one = None if within else sizes.first()
+    if one is None and not within:
+        return rows.limit(0).selectExpr(*(f"CAST(NULL AS {c.split()[1]}) AS {c.split()[0]}" for c in _PART.split(", ")))
+    on = lambda df: df.join(sizes, within) if within else df.withColumns({c: F.lit(one[c]) for c in sizes.columns})
     block = lambda n, seed: F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.col(n))
     each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     none = F.array().cast("array<long>")
@@ -185,9 +187,10 @@ def _summed(rows: DataFrame, anchors: DataFrame, within: list[str], sizes: DataF
 
 
 def _blocks_of(rows: DataFrame, anchors: DataFrame, within: list[str]) -> DataFrame:
+    """row_blocks, anchor_blocks and chunks for each value of ``within``; no row where there are no anchors."""
     n = rows.groupBy(*within).agg(F.ceil(F.count("*") / TILE_ROWS).alias("row_blocks"), F.greatest(F.lit(1), F.ceil(F.max(F.size("v")) / CHUNK).cast("int")).alias("chunks"))
     m = anchors.groupBy(*within).agg(F.ceil(F.count("*") / TILE_ANCHORS).alias("anchor_blocks"))
-    return n.join(m, within) if within else n.crossJoin(m)  # of one row each
+    return n.withColumn("all", F.lit(0)).join(m.withColumn("all", F.lit(0)), [*within, "all"]).drop("all").where("anchor_blocks > 0")
 
 
 def hard_negatives(rows: DataFrame, anchors: DataFrame, positives: int = 5, negatives: int = 5, low: int = 80, high: int = 100, work: Workspace | None = None) -> DataFrame:

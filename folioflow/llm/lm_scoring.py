@@ -8,9 +8,10 @@ their own; how many grows with the training vocabulary. All other words of a cla
 which a word has its smoothed share of the training tokens. An unknown word counts as one more word of its
 class. So probabilities sum to one over all words.
 
-All training tokens are counted, and each is used once for training: in ROUNDS rounds over disjoint thirds of the
-documents. A round's documents are dealt into parts by their hash, about PART_TOKENS tokens in each, and sorted within; every
-part trains from the last round's parameters, and the results are averaged by tokens as whole numbers. So scores depend
+All training tokens are counted and used for training: in ROUNDS rounds over disjoint thirds of the documents, or in one round where all fit
+one part. A round's documents are dealt into parts by their hash, about PART_TOKENS tokens in each (more once there are MOST_PARTS parts), and sorted within; every
+part trains from the last round's parameters, passing over its documents as often as it takes to make LEAST_STEPS steps in all rounds, once at least and MOST_PASSES times at most. The results are averaged by
+tokens as whole numbers, slice by slice in the tasks that they are shuffled to. So scores depend
 neither on partitions nor on the order of rows. Counts of frequent words (HEAD at most) are known to all tasks. Other
 words are joined with their counts by hash, so no vocabulary is gathered.
 
@@ -37,9 +38,13 @@ HEAD = 1 << 18
 #: One in WORDS_PER_UNIT words of the training vocabulary, the most frequent ones, is a unit of its own, up to MOST_UNITS.
 WORDS_PER_UNIT, MOST_UNITS = 8, 4096
 CONTEXT, WIDTH = 4, 32
-ROUNDS, PART_TOKENS = 3, 1 << 21
+ROUNDS, PART_TOKENS, MOST_PARTS = 3, 1 << 21, 1 << 13
+#: Tables that give fewer steps are passed over several times. More passes would learn a small table by heart.
+LEAST_STEPS, MOST_PASSES = 2000, 16
+#: A part's parameters are added up in so many slices.
+SLICES = 64
 #: Tokens of a step; noise classes that they share; noise units for each class of the step; AdaGrad's rate.
-BATCH, NOISE, CLASS_NOISE, RATE = 4096, 32, 2, 0.1
+BATCH, NOISE, CLASS_NOISE, RATE = 2048, 32, 3, 0.1
 #: Parameters are averaged as whole multiples of this.
 GRAIN = 2.0**-24
 END = np.uint64(0x0E4D0E4D0E4D0E4D)
@@ -168,8 +173,8 @@ def _order(x: np.ndarray) -> np.ndarray:
 class Trainer:
     """Noise-contrastive estimation with AdaGrad steps, of classes and of units within their classes."""
 
-    def __init__(self, p: Parameters, lex: Lexicon):
-        self.p, self.lex, self.rng = p, lex, np.random.default_rng(11)
+    def __init__(self, p: Parameters, lex: Lexicon, passes: int = 1):
+        self.p, self.lex, self.rng, self.passes = p, lex, np.random.default_rng(11), passes
         self.seen = {name: np.full_like(x, 1e-4) for name, x in zip("RCKkQq", p.parts(), strict=True)}
         self.by_class = np.bincount(lex.class_of, lex.share, lex.classes)
         self.inner = lex.share / self.by_class[lex.class_of]
@@ -178,6 +183,8 @@ class Trainer:
         self.ends = np.cumsum(np.bincount(lex.class_of, minlength=lex.classes))
         self.upto = np.cumsum(self.inner[self.members])
         self.held: list[np.ndarray] = []
+        #: Documents for further passes, if there are any.
+        self.kept: list[np.ndarray] = []
         self.tokens = self.waiting = 0
 
     def add(self, units: np.ndarray) -> None:
@@ -188,14 +195,28 @@ class Trainer:
         if self.waiting >= 16 * BATCH:
             self.flush()
 
-    def flush(self) -> None:
+    def finish(self) -> None:
+        """Further passes over the documents, each in another order."""
+        self.flush()
+        documents = self.kept
+        for turn in range(1, self.passes):
+            for i in np.random.default_rng(turn).permutation(len(documents)).tolist():
+                self.held.append(documents[i])
+                self.waiting += len(documents[i])
+                if self.waiting >= 16 * BATCH:
+                    self.flush(turn)
+            self.flush(turn)
+
+    def flush(self, turn: int = 0) -> None:
         if not self.held:
             return
         units = np.concatenate(self.held)
         bounds = np.concatenate([[0], np.cumsum([len(u) for u in self.held])])
+        if self.passes > 1 and not turn:
+            self.kept += self.held
         self.held, self.waiting = [], 0
         context = contexts(units, bounds, self.lex.own + self.lex.classes)
-        mixed = np.random.default_rng(len(units)).permutation(len(units))
+        mixed = np.random.default_rng((len(units), turn)).permutation(len(units))
         for i in range(0, len(units), BATCH):
             part = mixed[i : i + BATCH]
             part = part[_order(self.lex.class_of[units[part]])]  # by class
@@ -317,13 +338,14 @@ def _lists(column) -> tuple[np.ndarray, np.ndarray]:
     return column.values.to_numpy()[bounds[0] : bounds[-1]].astype(np.int64), bounds - bounds[0]
 
 
-def _trained(lexicon, start):
-    """Rows sorted by part: what each part makes of the parameters, as whole numbers weighed by tokens."""
+def _trained(lexicon, start, passes: int):
+    """Rows sorted by part: what each part makes of the parameters, as slices of whole numbers weighed by tokens."""
 
     def result(t: Trainer) -> pa.RecordBatch:
-        t.flush()
+        t.finish()
         whole = np.rint(t.p.flat().astype(np.float64) / GRAIN).astype(np.int64)
-        return pa.record_batch([pa.array(np.arange(len(whole), dtype=np.int32)), pa.array(whole * t.tokens), pa.array(np.full(len(whole), t.tokens, np.int64))], ["at", "total", "n"])
+        parts = np.array_split(whole, SLICES)
+        return pa.record_batch([pa.array(np.arange(SLICES, dtype=np.int32)), pa.array([x.tobytes() for x in parts]), pa.array(np.full(SLICES, t.tokens, np.int64))], ["slice", "whole", "n"])
 
     @returns_memory
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -335,7 +357,7 @@ def _trained(lexicon, start):
                 if part != now:
                     if trainer is not None:
                         yield result(trainer)
-                    now, trainer = part, Trainer(Parameters.of(start.value.copy(), lex.own, lex.classes), lex)
+                    now, trainer = part, Trainer(Parameters.of(start.value.copy(), lex.own, lex.classes), lex, passes)
                 trainer.add(units[bounds[i] : bounds[i + 1]])
         if trainer is not None:
             yield result(trainer)
@@ -343,6 +365,20 @@ def _trained(lexicon, start):
     return run
 
 
+@returns_memory
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Slices of parts, each weighed by tokens, as one sum for each slice. Sums are exact: two words of 64 bits each."""
+    sums: dict[int, tuple[np.ndarray, np.ndarray, int]] = {}
+    for batch in batches:
+        for k, whole, n in zip(*(batch[c].to_pylist() for c in ("slice", "whole", "n")), strict=True):
+            x = np.frombuffer(whole, np.int64)
+            high, low, total = sums.get(k, (0, 0, 0))
+            sums[k] = (high + (x >> 16) * n, low + (x & 0xFFFF) * n, total + n)
+    for k, (high, low, n) in sums.items():
+        mean = (high.astype(np.float64) * 65536 + low) / n * GRAIN
+        yield pa.record_batch([pa.array([k], pa.int32()), pa.array([mean.astype(np.float32).tobytes()])], ["slice", "mean"])
+
+
 def _scores(lexicon, parameters):
     @returns_memory
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -393,20 +429,22 @@ def score_texts(docs: DataFrame, work: Workspace | None = None) -> DataFrame:
     lex, lowest = _lexicon(counts, told, step)
     lexicon = spark.sparkContext.broadcast(lex)
 
-    parts = max(1, -(-told.tokens // (ROUNDS * PART_TOKENS)))
+    rounds = ROUNDS if told.tokens > PART_TOKENS else 1
+    parts = min(MOST_PARTS, max(1, -(-told.tokens // (rounds * PART_TOKENS))))
+    passes = min(MOST_PASSES, -(-LEAST_STEPS * BATCH * parts // max(1, told.tokens)))
     order = F.xxhash64("doc_id", "text")
-    part, turn = F.when(held, F.lit(-1)).otherwise(F.pmod(F.xxhash64(order, F.lit(5)), F.lit(parts))).cast("long"), F.pmod(F.xxhash64(order, F.lit(9)), F.lit(ROUNDS)).cast("int")
+    part, turn = F.when(held, F.lit(-1)).otherwise(F.pmod(F.xxhash64(order, F.lit(5)), F.lit(parts))).cast("long"), F.pmod(F.xxhash64(order, F.lit(9)), F.lit(rounds)).cast("int")
     rows = docs.select(F.struct("doc_id", F.monotonically_increasing_id().alias("row"), part.alias("part"), turn.alias("round"), order.alias("order")).alias("row"), "text")
     found = rows.mapInArrow(_unit_rows(lexicon), _TOKENS)
     found = work.save(found.select("row.*", "n_tokens", "known", "logs", "shares", "units", "rest"), "tokens")
 
     flat = Parameters.start(lex).flat()
-    for k in range(ROUNDS):
+    for k in range(rounds):
         dealt = found.where(F.col("round") == k).where("part >= 0").select("part", "order", "units").repartition(parts, "part").sortWithinPartitions("part", "order")
-        sums = dealt.select("part", "units").mapInArrow(_trained(lexicon, spark.sparkContext.broadcast(flat)), "at int, total long, n long")
-        sums = sums.groupBy("at").agg(F.sum(F.col("total").cast("decimal(38,0)")).cast("double").alias("total"), F.sum("n").alias("n")).toPandas().sort_values("at")  # one row for each parameter
-        if len(sums):
-            flat = (sums.total.to_numpy(float) / sums.n.to_numpy(float) * GRAIN).astype(np.float32)
+        sums = dealt.select("part", "units").mapInArrow(_trained(lexicon, spark.sparkContext.broadcast(flat), passes), "slice int, whole binary, n long")
+        sums = sums.repartition("slice").mapInArrow(_added, "slice int, mean binary").orderBy("slice").collect()  # SLICES rows, 4 bytes a parameter
+        if sums:
+            flat = np.concatenate([np.frombuffer(r.mean, np.float32) for r in sums])
     scored = found.select("row", "units").mapInArrow(_scores(lexicon, spark.sparkContext.broadcast(flat)), "row long, model double")
     scored = work.save(scored, "scored")
     rest = found.select("row", F.explode("rest").alias("key")).groupBy("row", "key").agg(F.count("*").alias("times"))
