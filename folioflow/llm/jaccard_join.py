@@ -319,8 +319,8 @@ def _subsets(boundary: int):
     return run
 
 
-def _grouped(docs: DataFrame, work: Workspace) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The rows (doc_id, same, n, name of the set), the names, and name, component, links of sets that link to others."""
+def _grouped(docs: DataFrame, work: Workspace, counted: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The rows (doc_id, same, n, name of the set), the names, and name, component, links (0 if not ``counted``) of sets that link to others."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     both = work.save(docs.withColumn("same", same_text(F.col("text"))).mapInArrow(_sets_and_counts, "kind int, id long, same long, n long, name long"), "sets-and-counts")
@@ -347,7 +347,7 @@ def _grouped(docs: DataFrame, work: Workspace) -> tuple[DataFrame, DataFrame, Da
         return large.unionByName(some.mapInArrow(_subsets(boundary), _SUBSETS).select("key", "name"))
 
     candidates = _list_links(docs.mapInArrow(_prefixes(order, boundary), _ENTRIES), work).unionByName(work.save(_small_links(docs, boundary), "small-links"))
-    found = link_sets(docs, names, candidates, lists, work)
+    found = link_sets(docs, names, candidates, lists, work, counted)
     work.drop("lists", "pairs", "loose", "small-links", "frequent", "candidates")
     return meta, names, found
 
@@ -371,7 +371,7 @@ def one_of_each(docs: DataFrame, work: Workspace | None = None) -> DataFrame:
     Only rows that may have to go are shuffled.
     """
     work = work or Workspace(docs.sparkSession, "jaccard")
-    meta, names, found = _grouped(docs, work)
+    meta, names, found = _grouped(docs, work, counted=False)
     chosen = found.join(names, "name").groupBy("component").agg(F.min("first").alias("first"))
     chosen = chosen.select("first.*").unionByName(names.join(found, "name", "left_anti").select("first.*"))
     chosen = chosen.select("doc_id", "same", "times")

@@ -1,7 +1,7 @@
 """Quality rules: lines that too many documents of a host share go, and documents left with little are rejected.
 
 Lines are normalised (A-Z lower-cased, digits alike, white space runs alike) and hashed. For each
-host the documents of a line are counted, copies too. A line in over LINE_DOCS documents is removed, whatever the size of the host, from all of
+host the distinct documents of a line are counted: copies too, but rows that repeat id, host and text only once. A line in over LINE_DOCS documents is removed, whatever the size of the host, from all of
 them but the first (least doc_id, nulls last, then text hash; rows that repeat it count as the same), so that one copy of what is repeated
 stays. A document is rejected if it fails a base rule or if less than MIN_LEFT of its words are left.
 
@@ -160,7 +160,7 @@ def _key(doc_id, host, same):
 
 
 def line_rules(docs: DataFrame, work: Workspace | None = None, host: str = "source") -> DataFrame:
-    """All columns of ``docs`` but text, with the measures, n_words_left, base_failed, kept, and dropped (hashes of the lines that go). The rows of ``docs`` are numbered as ``row``."""
+    """doc_id, the measures, base_failed, kept, n_words_left, dropped (hashes of the lines that go), row, host and key (the same for repeated rows) for each row of ``docs`` (doc_id, text and ``host``)."""
     work = work or Workspace(docs.sparkSession, "lines")
     ids = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col(host).cast("string").alias("host"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     # one pass over the texts: the id columns ride along as one packed column
@@ -169,8 +169,11 @@ def line_rules(docs: DataFrame, work: Workspace | None = None, host: str = "sour
     measured = work.save(measured.select("row.*", *[F.col(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "lines")]), "measured")
 
     lines = measured.select("row", "doc_id", "host", "key", F.explode("lines").alias("l")).select("row", "doc_id", "host", "key", "l.line", "l.words")
-    # a document counts a line once: repeats within it are gone before lines are counted
-    once = measured.select("doc_id", "host", "key", F.explode(F.array_distinct("lines.line")).alias("line"))
+    # a document counts a line once: repeats within it and rows that repeat it are gone before lines are counted
+    again = work.save(measured.groupBy("key").agg(F.count("*").alias("k"), F.min("row").alias("one")).where(F.col("k") > 1).select("key", "one"), "again")
+    doubtful, single = Lookup(again.select("key")).split(measured, F.col("key"))
+    firsts = doubtful.join(again, "key", "left").where(F.coalesce(F.col("one") == F.col("row"), F.lit(True))).select(*measured.columns)
+    once = single.unionByName(firsts).select("doc_id", "host", "key", F.explode(F.array_distinct("lines.line")).alias("line"))
     common = once.groupBy("host", "line").agg(F.count("*").alias("docs"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("first")).where(F.col("docs") > LINE_DOCS)
     common = work.save(common.select("host", "line", F.col("first.key").alias("first")), "common")
     removed = (
@@ -208,22 +211,22 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE_SQL = r"""
 WITH w AS (
-  SELECT doc_id, source AS host, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
+  SELECT row_number() OVER () AS r, doc_id, source AS host, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
 ), g AS (
-  SELECT doc_id, i, ws[i] || ' ' || ws[i+1] || ' ' || ws[i+2] AS k FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM w WHERE len(ws) > 2)
-), t AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, k) AS c FROM g),
-rep AS (SELECT doc_id, count(DISTINCT i + o) AS n FROM (SELECT doc_id, i, unnest([0, 1, 2]) AS o FROM t WHERE c > 1) GROUP BY doc_id),
-ln AS (SELECT doc_id, host, text, unnest(string_split(text, chr(10))) AS line FROM w),
+  SELECT r, i, ws[i] || ' ' || ws[i+1] || ' ' || ws[i+2] AS k FROM (SELECT r, ws, unnest(range(1, len(ws) - 1)) AS i FROM w WHERE len(ws) > 2)
+), t AS (SELECT r, i, count(*) OVER (PARTITION BY r, k) AS c FROM g),
+rep AS (SELECT r, count(DISTINCT i + o) AS n FROM (SELECT r, i, unnest([0, 1, 2]) AS o FROM t WHERE c > 1) GROUP BY r),
+ln AS (SELECT r, doc_id, host, text, unnest(string_split(text, chr(10))) AS line FROM w),
 lw AS (SELECT *, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS ws FROM ln),
-lx AS (SELECT doc_id, host, text, line, len(ws) AS words, regexp_replace(translate(array_to_string(ws, ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9]', '0', 'g') AS norm FROM lw WHERE len(ws) > 0),
-dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM lx GROUP BY doc_id),
-bad AS (SELECT host, norm, min(doc_id) AS first FROM lx GROUP BY host, norm HAVING count(DISTINCT doc_id) > 20),
-rm AS (SELECT lx.doc_id, sum(lx.words) AS n FROM lx JOIN bad ON lx.norm = bad.norm AND lx.host IS NOT DISTINCT FROM bad.host AND lx.doc_id <> bad.first GROUP BY lx.doc_id),
+lx AS (SELECT r, doc_id, host, text, line, len(ws) AS words, regexp_replace(translate(array_to_string(ws, ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9]', '0', 'g') AS norm FROM lw WHERE len(ws) > 0),
+dup AS (SELECT r, count(*) - count(DISTINCT line) AS n FROM lx GROUP BY r),
+bad AS (SELECT host, norm, min(doc_id) AS first FROM lx GROUP BY host, norm HAVING count(DISTINCT hash(doc_id, text)) > 20),
+rm AS (SELECT lx.r, sum(lx.words) AS n FROM lx JOIN bad ON lx.norm = bad.norm AND lx.host IS NOT DISTINCT FROM bad.host AND lx.doc_id IS DISTINCT FROM bad.first GROUP BY lx.r),
 m AS (
   SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars,
     CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
     CAST(coalesce(dup.n, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words, CAST(len(ws) - coalesce(rm.n, 0) AS BIGINT) AS n_words_left
-  FROM w LEFT JOIN dup USING (doc_id) LEFT JOIN rep USING (doc_id) LEFT JOIN rm USING (doc_id)
+  FROM w LEFT JOIN dup USING (r) LEFT JOIN rep USING (r) LEFT JOIN rm USING (r)
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
   NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND n_words_left >= 0.3 * n_words AS kept, n_words_left FROM m

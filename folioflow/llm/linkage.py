@@ -5,10 +5,14 @@ the number of rows is that of the lists' entries. The chains' components are clu
 of a cluster come to one cell, where matrix products count what any two of its sets share. A cluster too
 large for one cell is cut into blocks, and each pair of blocks that meet in a list is a cell. So every link is
 verified, none is written out as a row of its own, and no task holds more than two blocks.
+
+Where the numbers of links are not wanted, a cell compares one set with all others until one group holds most of them; from then on only the sets
+outside it are compared, with all that they are not joined to yet. Components are the same.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -25,6 +29,8 @@ CELL_SETS, CELL_SHINGLES = 512, 1 << 18
 #: Keys of over this share of a cell's sets are counted by matrix products, the others pair by pair.
 HEAVY = 1 / 8
 _SMALL_CELL = 64
+#: Where links are not counted: sets that are compared with all others first, and how many outside of the largest group are compared one by one.
+PIVOTS, OUTSIDE = 4, 48
 
 
 def same_text(text: Column) -> Column:
@@ -67,26 +73,71 @@ def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
     return out.astype(np.int32)
 
 
-def _cell(names: list[int], sets: list[np.ndarray], copies: list[int], sides: list[int], whole: bool) -> pa.RecordBatch | None:
-    """name, component (least name that it reaches in the cell), links (documents of other sets that it links to) of sets that link."""
+def _linked(shared: np.ndarray, n: np.ndarray, m: np.ndarray | int) -> np.ndarray:
+    return 175 * shared >= 75 * (n + m)
+
+
+def joined_sets(sets: list[np.ndarray], side: np.ndarray) -> np.ndarray | None:
+    """The least place that each set reaches by links (between the two sides only, if there are two), or None if too many groups are left to compare one by one."""
+    k = len(sets)
+    n = np.array([len(s) for s in sets])
+    _, values = np.unique(np.concatenate(sets), return_inverse=True)
+    own, bounds = np.repeat(np.arange(k), n), np.concatenate([[0], np.cumsum(n)])
+    apart = bool(side.any()) and not side.all()
+    group, seen, mark = np.arange(k), np.zeros(k, bool), np.zeros(int(values.max(initial=-1)) + 1, bool)
+
+    def compare(i: int) -> None:
+        nonlocal group
+        mine = values[bounds[i] : bounds[i + 1]]
+        mark[mine] = True
+        near = _linked(np.bincount(own[mark[values]], minlength=k), n, n[i])
+        mark[mine] = False
+        seen[i] = True
+        if apart:
+            near &= side != side[i]
+        met = np.unique(group[near])
+        if len(met):
+            least = min(int(met[0]), int(group[i]))
+            group = np.where(np.isin(group, met) | (group == group[i]), least, group)
+
+    for _ in range(PIVOTS):
+        sizes = np.bincount(group, minlength=k)
+        rest = np.flatnonzero(~seen & (group != np.argmax(sizes))) if seen.any() else np.flatnonzero(~seen)
+        if len(rest):
+            compare(int(rest[0]))
+    # any two groups that may still link have a set outside of the largest one
+    rest = np.flatnonzero((group != np.argmax(np.bincount(group, minlength=k))) & ~seen)
+    if len(rest) > OUTSIDE:
+        return None
+    for i in rest.tolist():
+        compare(i)
+    return group
+
+
+def _cell(names: list[int], sets: list[np.ndarray], copies: list[int], sides: list[int], whole: bool, counted: bool = True) -> pa.RecordBatch | None:
+    """name, component (least name that it reaches in the cell), links (documents of other sets that it links to, 0 if not ``counted``) of sets that link."""
     if len(sets) < 2:
         return None
-    n, side = np.array([len(s) for s in sets]), np.array(sides)
-    linked = 175 * shared_counts(sets) >= 75 * (n[:, None] + n[None, :])
-    if side.any() and not side.all():
-        linked &= side[:, None] != side[None, :]
-    np.fill_diagonal(linked, False)
-    a, b = np.nonzero(np.triu(linked))
+    side, name = np.array(sides), np.array(names, np.int64)
+    group = joined_sets(sets, side) if not counted and len(sets) > 2 else None
+    if group is not None:
+        other = np.flatnonzero(group != np.arange(len(sets)))
+        a, b = group[other], other
+    else:
+        n = np.array([len(s) for s in sets])
+        linked = _linked(shared_counts(sets), n[:, None], n[None, :])
+        if side.any() and not side.all():
+            linked &= side[:, None] != side[None, :]
+        np.fill_diagonal(linked, False)
+        a, b = np.nonzero(np.triu(linked))
     if not len(a):
         return None
-    name = np.array(names, np.int64)
     vertices, least = least_members(name[a], name[b])
-    links = dict(zip(names, (linked @ np.array(copies, np.int64)).tolist(), strict=True))
-    return pa.record_batch([pa.array(vertices), pa.array(least), pa.array([links[v] for v in vertices.tolist()], pa.int64()), pa.array(np.full(len(vertices), whole))], ["name", "component", "links", "whole"])
+    links = dict(zip(names, (linked @ np.array(copies, np.int64)).tolist(), strict=True)) if counted else {}
+    return pa.record_batch([pa.array(vertices), pa.array(least), pa.array([links.get(v, 0) for v in vertices.tolist()], pa.int64()), pa.array(np.full(len(vertices), whole))], ["name", "component", "links", "whole"])
 
 
-@returns_memory
-def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _cells(counted: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by cell and name. A name that comes again in a cell is one that a repeated row brought."""
     at, held, ready, rows = None, ([], [], [], []), [], 0
     for batch in batches:
@@ -94,7 +145,7 @@ def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batch["text"]):
             for i, s in enumerate(shingle_sets(block), block.first):
                 if at is not None and cells[i] != at[0]:
-                    if (found := _cell(*held, at[1])) is not None:
+                    if (found := _cell(*held, at[1], counted)) is not None:
                         ready.append(found)
                         rows += len(found)
                     held = ([], [], [], [])
@@ -105,7 +156,7 @@ def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if not held[0] or held[0][-1] != names[i]:
                     for x, v in zip(held, (names[i], s, copies[i], sides[i]), strict=True):
                         x.append(v)
-    if at is not None and (found := _cell(*held, at[1])) is not None:
+    if at is not None and (found := _cell(*held, at[1], counted)) is not None:
         ready.append(found)
     yield from ready
 
@@ -152,9 +203,10 @@ def _rooted(parts: DataFrame) -> DataFrame:
     return parts.unionByName(parts.select(F.col("component").alias("node"), "component").distinct())
 
 
-def link_sets(docs: DataFrame, names: DataFrame, candidates: DataFrame, lists: Callable[[DataFrame], DataFrame], work: Workspace) -> DataFrame:
+def link_sets(docs: DataFrame, names: DataFrame, candidates: DataFrame, lists: Callable[[DataFrame], DataFrame], work: Workspace, counted: bool = True) -> DataFrame:
     """name, component (least name of its group) and links (documents of other sets linked to it) of all sets that link to another one.
 
+    Without ``counted`` links are 0 and sets that are joined already are not compared.
     ``candidates``: chains (a, b) of names that join all sets of a list. ``lists``: (key, name) entries of all lists of some documents.
     """
     clusters = _rooted(components(candidates, work, "clusters")).toDF("name", "cluster")
@@ -173,7 +225,7 @@ def link_sets(docs: DataFrame, names: DataFrame, candidates: DataFrame, lists: C
         blocked = _blocked(rest.drop("text"), entries)
         cells = cells.unionByName(rest.select("name", "copies", "text").join(blocked, "name").select("cell", "name", "copies", "side", F.lit(False).alias("whole"), "text"))
     ordered = cells.select(*columns).repartition("cell").sortWithinPartitions("cell", "name")
-    found = work.save(ordered.mapInArrow(_cells, "name long, component long, links long, whole boolean"), "linked")
+    found = work.save(ordered.mapInArrow(returns_memory(functools.partial(_cells, counted)), "name long, component long, links long, whole boolean"), "linked")
     work.drop("large-texts", "large-lists")
     if not some:
         return found.drop("whole")

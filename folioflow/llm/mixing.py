@@ -1,21 +1,24 @@
 """Mixing sources to target weights by entropy balancing. DataFrame functions only.
 
-Every word of a document starts with a rate of one. Of all rates that meet the token constraints (each
-source's words come to its target; its documents' mean log size is kept) the balanced ones are nearest to that
-in relative entropy. They are exponential tilts exp(a + b z) of the start, z a document's
-centred log size, with (a, b) of each source the minimum of a convex dual, found by damped Newton steps.
+Every document starts with a rate of one. Of all rates that are MOST at most and meet the token constraint of its source (the rated
+words come to the target) the balanced ones are nearest to the start in relative entropy, summed over documents. They are exponential tilts, min(MOST, exp(tilt * z)) with z a
+document's size over its source's mean, and the tilt is the minimum of a convex dual: of conjugates that are exponential below the bound and linear
+beyond it. Newton steps find it, kept inside a bracket that the signs of the gradient narrow; a step that would leave it halves it instead. A source below its target so repeats its longer
+documents first, one above it gives up the longer ones first, and short ones stay near one.
 Each step is an aggregation over (source, size) counts, whose number doesn't grow with copies.
 
 Rates are rounded into copies by systematic rounding in a random but fixed order of documents
 (hash of id), within blocks of bounded size. What is then missing from a source's target, or too much, is
 settled by partial copies of few documents in the same order, found by prefix sums over blocks.
 
-A null text has no words and nothing is taken. A null source is a source, last. Repeated
+A null text has no words and nothing is taken. A very long text is counted whole, and no tie changes a result. A null source is a source, last. Repeated
 rows count each. Other columns are ignored. An empty table gives no rows. Sources without words have a target of 0.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -24,7 +27,7 @@ from .workspace import Lookup, Workspace, unused
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE = 1.5
 MOST = 2
-#: Newton steps are taken STEPS at a time until every source's dual gradient is below GAP of its words, MOST_STEPS at most.
+#: Newton steps are taken STEPS at a time until every source's dual gradient is below GAP of its target, MOST_STEPS at most.
 STEPS, MOST_STEPS, GAP = 4, 64, 1e-7
 BLOCK_ROWS = 20_000
 #: Rates are fixed-point numbers of this scale, so that reruns round alike.
@@ -54,28 +57,30 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int =
     )
 
 
-def tilts(counts: DataFrame, goals: DataFrame, work: Workspace, steps: int = STEPS) -> DataFrame:
-    """source, mean, a, b, gap: the dual solution of each source and the relative gradient that is left. ``counts`` has source, size, k."""
-    z = F.ln("size") - F.col("mean")
-    words = F.col("k") * F.col("size")
+def tilts(counts: DataFrame, goals: DataFrame, work: Workspace, most: int = MOST, steps: int = STEPS) -> DataFrame:
+    """source, mean, tilt, gap: the dual solution of each source and the relative gradient that is left. ``counts`` has source, size, k."""
     base = counts.where("size > 0")
-    means = base.groupBy("source").agg((F.sum(words * F.ln("size")) / F.sum(words)).alias("mean"))
-    now = goals.where("source_size > 0").alias("g").join(means.alias("m"), F.expr("g.source <=> m.source")).select("g.source", "source_size", "target", "mean", F.lit(0.0).alias("a"), F.lit(0.0).alias("b"), F.lit(0.0).alias("gap"))
+    ends = base.groupBy("source").agg((F.sum(F.col("k") * F.col("size")) / F.sum("k")).alias("mean"), F.min("size").alias("least"))
+    # at ``low`` the rated words are no more than the target, since x * exp(-t * x) is 1 / (e * t) at most; at ``high`` every rate is at its bound
+    low, high = -F.col("source_size") / (F.exp(F.lit(1.0)) * F.col("target")), math.log(most) * F.col("mean") / F.col("least")
+    state = ["source", "target", "mean", "low", "high", "tilt"]
+    now = (
+        goals.where("source_size > 0").alias("g").join(ends.alias("m"), F.expr("g.source <=> m.source")).select("g.source", "source_size", "target", "mean", "least")
+        .withColumns({"low": low, "high": high, "tilt": F.when(F.col("target") >= most * F.col("source_size"), high).otherwise(F.lit(0.0)), "gap": F.lit(None).cast("double")}).select(*state, "gap")
+    )
     for k in range(MOST_STEPS):
-        w = words * F.exp(F.least(F.col("a") + F.col("b") * z, F.lit(20.0)))
-        sums = (
-            base.alias("d").join(now.alias("t"), F.expr("d.source <=> t.source")).select("t.source", "size", "k", "source_size", "target", "mean", "a", "b")
-            .groupBy("source", "source_size", "target", "mean", "a", "b").agg(F.sum(w).alias("w"), F.sum(w * z).alias("wz"), F.sum(w * z * z).alias("wzz"))
+        u = F.col("tilt") * F.col("size") / F.col("mean")
+        words = F.col("k") * F.col("size") * F.exp(F.least(u, F.lit(math.log(most))))
+        free = F.when(u < math.log(most), words * F.col("size") / F.col("mean")).otherwise(0.0)
+        sums = base.alias("d").join(now.alias("t"), F.expr("d.source <=> t.source")).select(*(f"t.{c}" for c in state), "size", "k").groupBy(*state).agg(F.sum(words).alias("words"), F.sum(free).alias("slope"))
+        gradient = F.col("words") - F.col("target")
+        gap = F.abs(gradient) / F.col("target")
+        told = sums.select(
+            *(c for c in state if c not in ("low", "high")), F.when(gradient <= 0, F.col("tilt")).otherwise(F.col("low")).alias("low"), F.when(gradient >= 0, F.col("tilt")).otherwise(F.col("high")).alias("high"),
+            gap.alias("gap"), (F.col("tilt") - gradient / F.when(F.col("slope") > 0, F.col("slope"))).alias("newton"),
         )
-        # gradient: (w - target, wz); Hessian: ((w, wz), (wz, wzz))
-        g, det = F.col("w") - F.col("target"), F.col("w") * F.col("wzz") - F.col("wz") * F.col("wz")
-        flat = det <= 1e-9 * F.col("w") * F.col("w")
-        da = F.when(flat, g / F.col("w")).otherwise((F.col("wzz") * g - F.col("wz") * F.col("wz")) / det)
-        db = F.when(flat, F.lit(0.0)).otherwise((F.col("w") * F.col("wz") - F.col("wz") * g) / det)
-        step = lambda d: F.greatest(F.lit(-1.0), F.least(F.lit(1.0), d))
-        gap = F.greatest(F.abs(g), F.when(flat, 0.0).otherwise(F.abs(F.col("wz")))) / F.col("w")
-        done = gap < GAP
-        now = sums.select("source", "source_size", "target", "mean", F.when(done, F.col("a")).otherwise(F.col("a") - step(da)).alias("a"), F.when(done, F.col("b")).otherwise(F.col("b") - step(db)).alias("b"), gap.alias("gap"))
+        step = F.when(F.col("gap") < GAP, F.col("tilt")).when((F.col("newton") > F.col("low")) & (F.col("newton") < F.col("high")), F.col("newton")).otherwise((F.col("low") + F.col("high")) / 2)
+        now = told.select("source", "target", "mean", "low", "high", step.alias("tilt"), "gap")
         if k % steps == steps - 1:
             now = work.save(now, f"steps-{k}")
             if (now.agg(F.max("gap").alias("gap")).first().gap or 0.0) < GAP:
@@ -90,10 +95,10 @@ def mix_sources(docs: DataFrame, work: Workspace | None = None, weights=WEIGHTS,
     rows = work.save(rows, "sizes")
     counts = work.save(rows.groupBy("source", "size").agg(F.count("*").alias("k")), "counts")
     goals = work.save(targets(counts.groupBy("source").agg(F.sum(F.col("size") * F.col("k")).alias("source_size"), F.sum("k").alias("docs")), weights, share, most), "targets")
-    solved = tilts(counts, goals, work).select("source", "mean", "a", "b", "gap")
+    solved = tilts(counts, goals, work, most).select("source", "mean", "tilt", "gap")
     rates = (
         counts.alias("c").join(goals.alias("g"), F.expr("c.source <=> g.source")).join(solved.alias("t"), F.expr("c.source <=> t.source"), "left")
-        .select("c.source", "size", "source_size", "target", F.coalesce("gap", F.lit(0.0)).alias("gap"), F.when(F.col("size") > 0, F.least(F.lit(most * SCALE), F.round(SCALE * F.exp(F.col("a") + F.col("b") * (F.ln("size") - F.col("mean")))).cast("long"))).otherwise(0).alias("micro"))
+        .select("c.source", "size", "source_size", "target", F.coalesce("gap", F.lit(0.0)).alias("gap"), F.when(F.col("size") > 0, F.round(SCALE * F.exp(F.least(F.lit(math.log(most)), F.col("tilt") * F.col("size") / F.col("mean")))).cast("long")).otherwise(0).alias("micro"))
     )
     parts = counts.groupBy("source").agg(F.ceil(F.sum("k") / BLOCK_ROWS).alias("parts"))
     rates = work.save(rates.alias("r").join(parts.alias("p"), F.expr("r.source <=> p.source")).select("r.*", "parts"), "rates")

@@ -117,7 +117,7 @@ def _rows(index):
                 k, at = index.value.find(keys)
                 k, t = _distinct(k.astype(np.int64), texts[at])
                 bounds = np.searchsorted(t, np.arange(len(block) + 1)).astype(np.int32)
-                yield pa.record_batch([batch["positive"].slice(block.first, len(block)), pa.ListArray.from_arrays(bounds, k.astype(np.int32)), pa.array(n.astype(np.int32))], ["positive", "features", "n_words"])
+                yield pa.record_batch([*(batch[c].slice(block.first, len(block)) for c in ("positive", "unlabelled")), pa.ListArray.from_arrays(bounds, k.astype(np.int32)), pa.array(n.astype(np.int32))], ["positive", "unlabelled", "features", "n_words"])
 
     return run
 
@@ -138,13 +138,27 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def train(lists: list[np.ndarray], n_words: np.ndarray, positive: np.ndarray, features: int, prior: float, epochs: int = EPOCHS, rate: float = 0.02, decay: float = 1e-5, seed: int = 7) -> Model:
-    """Minimises the non-negative risk by Adam steps over batches that hold positives and unlabelled rows in proportion."""
+def slopes(z: np.ndarray, is_p: np.ndarray, prior: float) -> np.ndarray:
+    """What a step follows: the gradient of the non-negative risk by each logit.
+
+    The risk is prior * mean(1 - s) of positives and max(0, mean(s) of unlabelled - prior * mean(s) of positives), s the sigmoid. Where the second part is
+    below zero it is climbed instead, and nothing else.
+    """
+    s = _sigmoid(z)  # sigmoid loss, bounded: 1 - s for the positive class, s for the negative
+    slope, n, m = s * (1 - s), is_p.sum(), (~is_p).sum()
+    part = np.where(is_p, -prior * slope / n, slope / m)
+    if s[~is_p].mean() < prior * s[is_p].mean():
+        return -part
+    return np.where(is_p, -prior * slope / n, 0.0) + part
+
+
+def train(lists: list[np.ndarray], n_words: np.ndarray, positive: np.ndarray, unlabelled: np.ndarray, features: int, prior: float, epochs: int = EPOCHS, rate: float = 0.02, decay: float = 1e-5, seed: int = 7) -> Model:
+    """Minimises the non-negative risk by Adam steps over batches that hold positives and unlabelled rows in proportion. ``unlabelled`` are rows drawn from all documents, so a row may be both."""
     rng = np.random.default_rng(seed)
     size = np.array([len(x) for x in lists])
     flat, start = np.concatenate([*lists, np.zeros(0, np.int64)]).astype(np.int64), np.concatenate([[0], np.cumsum(size)])
     model = Model(np.zeros(features), -1.0)
-    p, u = np.flatnonzero(positive), np.flatnonzero(~positive)
+    p, u = np.flatnonzero(positive), np.flatnonzero(unlabelled)
     if not len(p) or not len(u):
         return model
     steps = max(1, len(u) // 1024)
@@ -158,12 +172,7 @@ def train(lists: list[np.ndarray], n_words: np.ndarray, positive: np.ndarray, fe
             columns = flat[np.repeat(start[chosen] - np.concatenate([[0], np.cumsum(size[chosen])[:-1]]), size[chosen]) + np.arange(len(rows))]
             z = model.logits(columns, rows, n_words[chosen])
             is_p = np.arange(len(chosen)) < len(pp)
-            s = _sigmoid(z)  # sigmoid loss, bounded: 1 - s for the positive class, s for the negative
-            negative = s[~is_p].mean() - prior * s[is_p].mean()
-            slope = s * (1 - s)
-            g = np.where(is_p, -prior * slope / len(pp), 0.0)
-            part = np.where(is_p, -prior * slope / len(pp), slope / len(uu))
-            g = g + part if negative >= 0 else -part
+            g = slopes(z, is_p, prior)
             grad = np.concatenate([np.bincount(columns, g[rows], minlength=features) + decay * model.weights, [g.sum(), (g * np.log1p(n_words[chosen])).sum()]])
             t += 1
             m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
@@ -210,28 +219,28 @@ def fit(docs: DataFrame, labels: DataFrame, work: Workspace | None = None) -> Cl
         return df if n <= bound else df.where(F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 40)) < int(bound / n * (1 << 40)))
 
     toxic = sampled(labels.where("toxic = 1").select("doc_id").distinct(), told.toxic, POSITIVES, 1).withColumn("positive", F.lit(True))
-    # both samples are bounded; only their texts leave the scan
+    # both samples are bounded; only their texts leave the scan. Unlabelled rows are drawn from all documents, positives among them, as the prior is that of all
     marked = docs.join(F.broadcast(toxic), "doc_id", "left").withColumn("positive", F.coalesce("positive", F.lit(False)))
     pick = F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(1 << 40)) < int(min(1.0, UNLABELLED / n_docs) * (1 << 40))
-    sample = work.save(marked.where(F.col("positive") | pick).select("text", "positive"), "sample")
+    sample = work.save(marked.withColumn("unlabelled", pick).where("positive or unlabelled").select("text", "positive", "unlabelled"), "sample")
 
     grouped = sample.where("positive").select("text").mapInArrow(_counted(None), "key long, n long").groupBy("key").agg(F.sum("n").alias("p"))
-    sizes = {r.positive: r["count"] for r in sample.groupBy("positive").count().collect()}
-    least = max(3, sizes.get(True, 0) // 250)  # of the positives that p is counted in, not of all labels
+    sizes = sample.agg(F.coalesce(F.sum(F.col("positive").cast("int")), F.lit(0)).alias("p"), F.coalesce(F.sum(F.col("unlabelled").cast("int")), F.lit(0)).alias("u")).first()
+    least = max(3, sizes.p // 250)  # of the positives that p is counted in, not of all labels
     common = grouped.where(F.col("p") >= least).orderBy(F.desc("p"), "key").limit(CANDIDATES).toPandas()
     index = docs.sparkSession.sparkContext.broadcast(KeyIndex(common["key"].to_numpy(np.int64)))
-    other = sample.where("not positive").select("text").mapInArrow(_counted(index), "key long, n long").groupBy("key").agg(F.sum("n").alias("u")).toPandas()
+    other = sample.where("unlabelled").select("text").mapInArrow(_counted(index), "key long, n long").groupBy("key").agg(F.sum("n").alias("u")).toPandas()
     table = common.merge(other, on="key", how="left").fillna({"u": 0})
-    a, b = (table.p + 0.5) / (sizes.get(True, 0) + 1), (table.u + 0.5) / (sizes.get(False, 0) + 1)
+    a, b = (table.p + 0.5) / (sizes.p + 1), (table.u + 0.5) / (sizes.u + 1)
     # prior * a / b estimates the part of a feature's documents that is toxic; the best of those with enough of it stay
     table["gain"] = np.where(prior * a > PURITY * b, table.p * np.log(a / b), 0.0)
     keys = table[table.gain > 0].sort_values(["gain", "key"], ascending=[False, True]).head(FEATURES)["key"].to_numpy(np.int64)
     index = docs.sparkSession.sparkContext.broadcast(KeyIndex(keys))
-    rows = sample.mapInArrow(_rows(index), "positive boolean, features array<int>, n_words int").toArrow()
+    rows = sample.mapInArrow(_rows(index), "positive boolean, unlabelled boolean, features array<int>, n_words int").toArrow()
     lists = rows["features"].combine_chunks()
     offsets, values = lists.offsets.to_numpy(), lists.flatten().to_numpy()
     offsets = offsets - offsets[0]
-    model = train([values[x:y] for x, y in zip(offsets[:-1], offsets[1:], strict=True)], rows["n_words"].to_numpy(), rows["positive"].to_numpy(), len(keys), prior)
+    model = train([values[x:y] for x, y in zip(offsets[:-1], offsets[1:], strict=True)], rows["n_words"].to_numpy(), rows["positive"].to_numpy(), rows["unlabelled"].to_numpy(), len(keys), prior)
     return Classifier(keys, model)
 
 

@@ -277,6 +277,17 @@ def test_sharding_groups(spark):
     assert all(sorted(x.slot) == list(range(len(x))) for _, x in got.groupby("shard"))
 
 
+def test_sharding_cuts_by_bytes_only(spark):
+    """Many light rows of one text stay together; a text of 30 % of the bytes lies in the three shards that can hold it."""
+    rows = [(i, None if i % 2 else "") for i in range(200)] + [(1000 + i, f"t{i} " * 100) for i in range(1000)]
+    got = sharding.assign_shards(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), 8).toPandas()
+    assert got.groupby("text_crc32").shard.nunique().max() == 1
+    heavy = [(i, "h" * 1000) for i in range(300)]
+    got = sharding.assign_shards(spark.createDataFrame(heavy + [(1000 + i, f"{i:04}" * 250) for i in range(700)], "doc_id long, text string").repartition(5), 8).toPandas()
+    loads = got.groupby("shard")["size"].sum()
+    assert got[got.text_crc32 == zlib.crc32(b"h" * 1000)].shard.nunique() == 3 and loads.max() / loads.mean() < 1.02
+
+
 def test_sharding(docs, empty):
     got = sharding.assign_shards(docs, 3).collect()
     assert len(got) == len(ROWS)
@@ -294,8 +305,9 @@ def test_mixing(spark, docs, empty):
     per = got.groupby("source", dropna=False).agg(taken=("taken", "sum"), target=("target", "first"))
     assert (abs(per.taken - per.target) <= 0.51).all()
     assert mixing.mix_sources(empty).collect() == []
-    out = mixing.copies(docs.withColumn("_mix_row", F.lit("mine")))
-    assert out.columns == [*docs.columns, "_mix_row"] and {r._mix_row for r in out.collect()} == {"mine"}
+    mine = ["_mix_key", "_mix_times", "_Mix_Rows"]
+    out = mixing.copies(docs.withColumns({c: F.lit("mine") for c in mine}))
+    assert out.columns == [*docs.columns, *mine] and {tuple(r[c] for c in mine) for r in out.collect()} == {("mine",) * 3}
     times = collections.Counter((r.doc_id, r.text) for r in out.collect())
     assert set(times) <= {(r[0], r[1]) for r in ROWS} and max(times.values()) <= 4
     assert mixing.copies(empty).collect() == []
@@ -323,8 +335,24 @@ def test_mixing_targets_and_tilts(spark):
         s = None if s == "-" else s
         assert abs(x.target.iloc[0] - want[s]) < 1e-6 * want[s] and x.source_size.iloc[0] == size[s]
         assert abs(x.taken.sum() - want[s]) <= 1 and (x.taken <= 2 * x["size"]).all() and x.dual_gap.max() < 1e-6
-
-
+        # rates are those of a plain solver: exp(t * size) within the bound, t by halving
+        z, low, high = x["size"].to_numpy(float) / x["size"].mean(), -400.0, 400.0
+        for _ in range(200):
+            t = (low + high) / 2
+            low, high = (t, high) if (x["size"] * np.minimum(2, np.exp(np.minimum(t * z, 1)))).sum() < want[s] else (low, t)
+        assert np.abs(x.rate - np.minimum(2, np.exp(np.minimum(low * z, 1)))).max() < 1e-4
+        if want[s] < 1.99 * size[s]:
+            assert x.rate.nunique() > 10
+
+
+def test_mixing_extreme_targets(spark):
+    """Sources of one size, of very different sizes and with a target far below or at the bound meet their targets all the same."""
+    rows = [(i, "w " * 7, "a") for i in range(50)] + [(100 + i, "w " * (1 if i else 60_000), "b") for i in range(400)] + [(1000 + i, "w " * (i % 90 + 1), "c") for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for weights in ((3.0, 1.0, 2.0), (0.001, 5.0, 0.002), (9.0, 0.0001, 9.0)):
+        got = mixing.mix_sources(docs, weights=weights).toPandas()
+        for _, x in got.groupby("source"):
+            assert abs(x.taken.sum() - x.target.iloc[0]) <= 1 and (x.taken <= 2 * x["size"]).all() and x.dual_gap.max() < 1e-6 and x.rate.max() <= 2
 
 
 def test_packing(docs, empty):
@@ -412,6 +440,20 @@ def test_common_lines_of_a_large_host(spark):
     assert sorted(i for i in kept if i < 20_000) == [0, 10_000] and len(kept) == 3502
 
 
+def test_repeated_rows_count_once(spark, tmp_path):
+    """21 rows of one document and another with the same text are two documents; query and SQL agree on them."""
+    text = "\n".join(" ".join(f"l{chr(97 + k)}{chr(97 + j)}" for j in range(12)) for k in range(6))
+    rows = [(1, text, "a")] * 21 + [(2, text, "a")] + [(100 + i, text + f"\n{'own ' * 3}", "b") for i in range(22)] + [(100, text + f"\n{'own ' * 3}", "b")] * 3
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = line_rules.op7_quality_rules(spark, str(tmp_path)).toPandas()
+    assert got[got.doc_id < 100].kept.all() and got[got.doc_id == 100].kept.all() and not got[got.doc_id > 100].kept.any()
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.execute(line_rules.ORACLE_SQL).df()[list(got.columns)]
+    order = ["doc_id", "n_words_left"]
+    assert got.sort_values(order).values.tolist() == want.sort_values(order).values.tolist()
+
+
 def test_copies_and_nulls_count_as_documents(spark):
     """A line of 30 copies is in 30 documents; the first keeps its text. Null and empty texts are alike, and clashing columns stay."""
     text = "\n".join(" ".join(f"l{chr(97 + k)}{chr(97 + j)}" for j in range(12)) for k in range(6))
@@ -492,3 +534,48 @@ def test_toxicity_with_more_labels_than_the_sample(spark, monkeypatch):
     model = toxicity.fit(many, many.selectExpr("doc_id", "CAST(doc_id % 2 AS int) AS toxic"))
     got = toxicity.score(many, model).selectExpr("avg(CAST((score >= 0.5) = (doc_id % 2 = 1) AS int)) AS right").first()
     assert len(model.keys) and got.right > 0.98
+
+
+def test_toxicity_slopes():
+    """Steps follow the non-negative risk's gradient, or climb its second part where that is below zero."""
+    rng = np.random.default_rng(3)
+    for shift in (-1.0, 2.0):
+        is_p = np.arange(40) < 15
+        z = rng.normal(size=40) + np.where(is_p, shift, -2 * shift)
+        s = lambda z: 1 / (1 + np.exp(-z))
+        second = lambda z: s(z[~is_p]).mean() - 0.4 * s(z[is_p]).mean()
+        risk = (lambda z: 0.4 * (1 - s(z[is_p])).mean() + second(z)) if second(z) >= 0 else (lambda z: -second(z))
+        got = toxicity.slopes(z, is_p, 0.4)
+        for k in range(40):
+            step = np.eye(40)[k] * 1e-5
+            assert abs((risk(z + step) - risk(z - step)) / 2e-5 - got[k]) < 1e-7
+
+
+@pytest.mark.parametrize("labelled", [5, 2, 1])
+def test_toxicity_prior_of_all_documents(spark, labelled):
+    """Of 30 % toxic documents about as many are predicted, whatever the share of labelled ones."""
+    text = "concat('w', id % 97, ' v', id % 89, ' u', id % 7, if(id % 10 < 3, concat(' vile', id % 3, ' nasty', id % 4), ''))"
+    many = spark.range(12_000).selectExpr("id AS doc_id", f"{text} AS text")
+    labels = many.where(f"xxhash64(doc_id) % {labelled} = 0").selectExpr("doc_id", "CAST(doc_id % 10 < 3 AS int) AS toxic")
+    share = toxicity.score(many, toxicity.fit(many, labels)).selectExpr("avg(CAST(score >= 0.5 AS int)) AS s").first().s
+    assert 0.28 < share < 0.32
+
+
+def test_joined_sets(monkeypatch):
+    """Groups without counts are those of all pairs, in one side or between two, by pivots alone or with all pairs."""
+    rng = np.random.default_rng(6)
+    for outside in (0, 3, 48):
+        monkeypatch.setattr(linkage, "OUTSIDE", outside)
+        for _ in range(30):
+            k = int(rng.integers(3, 40))
+            bases = [rng.choice(1000, 40, replace=False) for _ in range(3)]
+            sets = []
+            for _ in range(k):
+                b = bases[int(rng.integers(3))]
+                sets.append(np.unique(np.concatenate([b[: int(rng.integers(30, 41))], rng.choice(1000, int(rng.integers(0, 9)))])).astype(np.uint64))
+            side = rng.integers(0, 2, k) if rng.random() < 0.5 else np.zeros(k, int)
+            order = np.argsort(side, kind="stable")
+            sets, side, names = [sets[i] for i in order], side[order], list(range(10, 10 + k))
+            told = [linkage._cell(names, sets, [1] * k, side.tolist(), True, counted) for counted in (True, False)]
+            first, second = ({} if t is None else dict(zip(t["name"].to_pylist(), t["component"].to_pylist())) for t in told)
+            assert first == second
