@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .operators import dashboard, datasets, extraction, fields, history, payloads, quality, records, routing
+from .operators import dashboard, datasets, extraction, fields, history, payloads, positions, quality, records, routing
 
-QUERIES = {**dashboard.QUERIES, **history.QUERIES, **records.QUERIES, **datasets.QUERIES, **routing.QUERIES, **payloads.QUERIES, **fields.QUERIES, **extraction.QUERIES, **quality.QUERIES}
-ORACLES = {**dashboard.ORACLES, **history.ORACLES, **records.ORACLES, **datasets.ORACLES, **routing.ORACLES, **payloads.ORACLES, **fields.ORACLES, **extraction.ORACLES, **quality.ORACLES}
+QUERIES = {**dashboard.QUERIES, **history.QUERIES, **records.QUERIES, **datasets.QUERIES, **routing.QUERIES, **payloads.QUERIES, **fields.QUERIES, **extraction.QUERIES, **quality.QUERIES, **positions.QUERIES}
+ORACLES = {**dashboard.ORACLES, **history.ORACLES, **records.ORACLES, **datasets.ORACLES, **routing.ORACLES, **payloads.ORACLES, **fields.ORACLES, **extraction.ORACLES, **quality.ORACLES, **positions.ORACLES}
