@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
-from difflib import SequenceMatcher
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,7 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import ACCENTED, PLAIN
+from ..functions.similarity import ratio_sql, with_token_set_ratio
 from ..sources.ledger import table
+from .fields import iso_dates
 
 SPACE = r"[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 BREAK = r"\r\n|[\x0A-\x0D\x1C-\x1E\x{85}\x{2028}\x{2029}]"
@@ -100,34 +101,36 @@ def _plain(value: Column, between: str) -> Column:
     return F.trim(F.regexp_replace(F.translate(F.lower(F.coalesce(value, F.lit(""))), ACCENTED, PLAIN), "[^a-z0-9]+", between))
 
 
-@F.pandas_udf(T.DoubleType())
-def likeness(one: pd.Series, two: pd.Series) -> pd.Series:
-    """Ratio of matching blocks; 1 for equal texts, 0 if either is empty or null."""
-    return pd.Series([0.0 if not a or not b else 1.0 if a == b else SequenceMatcher(None, a, b).ratio() for a, b in zip(one, two, strict=True)], dtype="float64")
+# Texts that count as empty in comparisons.
+EMPTY_VALUES = ("", "null", "none", "n/a", "na", "non detecte", "inconnu")
 
 
-def with_match(rows: DataFrame, expected: str, actual: str, amounts: bool = False, least: float = 0.92) -> DataFrame:
-    """Adds ``match``: both empty; amounts within 0.01; equal letters and digits; one within the other (six of them at least); or alike.
+def with_match(rows: DataFrame, expected: str, actual: str, amounts: bool = False, dates: bool = False, least: float = 0.92) -> DataFrame:
+    """Adds ``match``: both empty; amounts within 0.01; the same date; equal letters and digits; one within the other (six of them at least); or a token-set ratio of ``least``.
 
-    Python compares only pairs that the other rules leave open.
+    Texts are compared for pairs that the other rules leave open, each distinct pair once.
     """
     a, b = _plain(F.col(expected), ""), _plain(F.col(actual), "")
     number = lambda c: F.try_element_at(F.regexp_extract_all(F.regexp_replace(F.col(c), r"[\s\x{A0}]", ""), F.lit(r"[0-9]+(?:[,.][0-9]+)?"), F.lit(0)), F.lit(-1))
     value = lambda c: F.replace(number(c), F.lit(","), F.lit(".")).cast("double")
-    blank = lambda c: F.trim(F.coalesce(F.col(c), F.lit(""))) == ""
+    day = lambda c: F.coalesce(F.get(iso_dates(F.col(c)), F.lit(0)), F.nullif(F.regexp_replace(F.col(c), "[^0-9]+", ""), F.lit("")))
+    blank = lambda c: F.lower(F.trim(F.coalesce(F.col(c), F.lit("")))).isin(*EMPTY_VALUES)
     known = F.when(blank(expected) | blank(actual), blank(expected) & blank(actual))
     if amounts:
         known = known.when(value(expected).isNotNull() & value(actual).isNotNull(), F.abs(value(expected) - value(actual)) <= 0.01)
+    if dates:
+        known = known.when(day(expected).isNotNull() & day(actual).isNotNull(), day(expected) == day(actual))
     known = known.when((a != "") & (a == b), True).when((F.length(a) >= 6) & (F.length(b) >= 6) & (F.contains(a, b) | F.contains(b, a)), True)
     out = rows.withColumn("known_", known)
     open_ = lambda c: F.when(F.col("known_").isNull(), _plain(F.col(c), " "))
-    return out.withColumn("match", F.coalesce("known_", likeness(open_(expected), open_(actual)) >= least)).drop("known_")
+    out = with_token_set_ratio(out.withColumns({"one_": open_(expected), "two_": open_(actual)}), "one_", "two_", "ratio_")
+    return out.withColumn("match", F.coalesce("known_", F.col("ratio_") >= least)).drop("known_", "one_", "two_", "ratio_")
 
 
 def matched_names(spark: SparkSession, d: str) -> DataFrame:
-    """Part names against spoiled readings of them: another case, a lost letter, half of it, another name, nothing."""
-    name, kind = F.col("p_name"), F.col("p_partkey") % 5
-    read = F.when(kind == 0, F.upper(name)).when(kind == 1, F.concat(F.substring(name, 1, 3), F.expr("substr(p_name, 5)"))).when(kind == 2, F.expr("substr(p_name, 1, cast(length(p_name) / 2 as int))")).when(kind == 3, F.col("p_type"))
+    """Part names against spoiled readings of them: another case, a lost letter, half of it, another name, words in another order, nothing."""
+    name, kind = F.col("p_name"), F.col("p_partkey") % 6
+    read = F.when(kind == 0, F.upper(name)).when(kind == 1, F.concat(F.substring(name, 1, 3), F.expr("substr(p_name, 5)"))).when(kind == 2, F.expr("substr(p_name, 1, cast(length(p_name) / 2 as int))")).when(kind == 3, F.col("p_type")).when(kind == 4, F.concat(F.regexp_replace(name, r"^(\S+) (.*)$", "$2 $1"), F.lit(" n/a "), F.col("p_type")))
     return with_match(table(spark, d, "part").select(F.col("p_partkey").alias("part_id"), name.alias("expected"), read.alias("actual")), "expected", "actual")
 
 
@@ -138,6 +141,13 @@ ORACLES = {
         UNION ALL SELECT event_id, 'items[0].k', CASE WHEN {_K} % 2 = 0 THEN CAST({_K} AS VARCHAR) END FROM events UNION ALL SELECT event_id, 'items[1].k', CAST({_K} + 1 AS VARCHAR) FROM events""",
     "payload_completeness": f"""WITH f AS (SELECT event_id, CAST((user_id IS NOT NULL)::INT + coalesce({_K} % 2 = 0, false)::INT + ({_K} IS NOT NULL)::INT AS INTEGER) AS filled FROM events)
         SELECT event_id, filled, CAST(5 AS INTEGER) AS leaves, round(100.0::DOUBLE * filled / 5, 1) AS share FROM f""",
+    "matched_names": f"""WITH RECURSIVE m AS (
+          SELECT p_partkey AS part_id, p_name AS expected, CASE p_partkey % 6 WHEN 0 THEN upper(p_name) WHEN 1 THEN p_name[1:3] || p_name[5:] WHEN 2 THEN p_name[1 : length(p_name) // 2] WHEN 3 THEN p_type
+            WHEN 4 THEN regexp_replace(p_name, '^(\\S+) (.*)$', '\\2 \\1') || ' n/a ' || p_type END AS actual FROM part),
+        n AS (SELECT *, trim(regexp_replace(lower(expected), '[^a-z0-9]+', ' ', 'g')) AS a, trim(regexp_replace(lower(coalesce(actual, '')), '[^a-z0-9]+', ' ', 'g')) AS b FROM m), {ratio_sql('n')}
+        SELECT part_id, expected, actual, CASE WHEN actual IS NULL THEN false WHEN replace(a, ' ', '') = replace(b, ' ', '') THEN true
+          WHEN length(replace(a, ' ', '')) >= 6 AND length(replace(b, ' ', '')) >= 6 AND (contains(replace(a, ' ', ''), replace(b, ' ', '')) OR contains(replace(b, ' ', ''), replace(a, ' ', ''))) THEN true
+          ELSE coalesce(ratio, 0) >= 0.92 END AS match FROM n LEFT JOIN tsr USING (a, b)""",
     "usable_texts": f"""WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '^{SPACE}+|{SPACE}+$', '', 'g') AS t FROM documents),
         l AS (SELECT *, list_filter(regexp_split_to_array(t, '{BREAK}'), lambda x: regexp_replace(x, '{SPACE}', '', 'g') <> '') AS ls FROM t),
         c AS (SELECT doc_id, CAST(length(t) AS INTEGER) AS characters, CAST(len(regexp_extract_all(t, '{WORD}')) AS INTEGER) AS words, CAST(len(ls) AS INTEGER) AS lines, CAST(len(regexp_extract_all(t, '{DIGIT}')) AS INTEGER) AS digits,

@@ -2,6 +2,7 @@
 
 import datetime
 import json
+import random
 from pathlib import Path
 
 import duckdb
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from folioflow import catalog
 from folioflow.functions.columns import band, folded, from_url_key, last_amount, url_key
+from folioflow.functions.similarity import with_token_set_ratio
 from folioflow.operators.datasets import split_by
 from folioflow.operators.fields import amount_texts, amount_value, iso_dates
 from folioflow.operators.history import page
@@ -104,7 +106,39 @@ def brute_match(a, b):
         return not a.strip() and not b.strip()
     x, y = re.sub("[^a-z0-9]+", " ", a.lower()).strip(), re.sub("[^a-z0-9]+", " ", b.lower()).strip()
     p, q = x.replace(" ", ""), y.replace(" ", "")
-    return p == q != "" or (min(len(p), len(q)) >= 6 and (p in q or q in p)) or bool(x and y and difflib.SequenceMatcher(None, x, y).ratio() >= 0.92)
+    return p == q != "" or (min(len(p), len(q)) >= 6 and (p in q or q in p)) or token_set_ratio(x, y) >= 0.92
+
+
+def indel(a, b):
+    row = [0] * (len(b) + 1)
+    for c in a:
+        row = [0] + [max(row[j + 1], row[j] + 1 if c == d else 0) for j, d in enumerate(b)]
+        for j in range(1, len(row)):
+            row[j] = max(row[j], row[j - 1])
+    return len(a) + len(b) - 2 * row[-1]
+
+
+def token_set_ratio(a, b):
+    if not a or not b:
+        return 0.0
+    both, x, y = (" ".join(sorted(s)) for s in (set(a.split()) & set(b.split()), set(a.split()) - set(b.split()), set(b.split()) - set(a.split())))
+    if both and not (x and y):
+        return 1.0
+    k = bool(both)
+    found = [1 - indel(x, y) / (2 * (len(both) + k) + len(x) + len(y))]
+    if both:
+        found += [1 - (k + len(z)) / (2 * len(both) + k + len(z)) for z in (x, y)]
+    return max(found)
+
+
+def test_token_set_ratio(spark):
+    """Against a plain table of common subsequences; each distinct pair is compared once, nulls and empty texts are unlike everything."""
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcé") for _ in range(rng.randrange(1, 7)))
+    rows = [(" ".join(word() for _ in range(rng.randrange(5))), " ".join(word() for _ in range(rng.randrange(5)))) for _ in range(300)] + [(None, "a"), ("a", None), ("x", "x"), ("a b", "a b"), ("b a", "a b")]
+    got = with_token_set_ratio(spark.createDataFrame(rows * 2, "a string, b string"), "a", "b").collect()
+    assert len(got) == 2 * len(rows)
+    assert all(abs(r.ratio - (1.0 if r.a == r.b and r.a else token_set_ratio(r.a, r.b))) < 1e-9 for r in got)
 
 
 def test_matched_names(spark):
@@ -114,9 +148,15 @@ def test_matched_names(spark):
 
 
 def test_match_of_amounts_and_blanks(spark):
-    rows = [("12,50 TND", "12.5", True), ("12.50", "12.52", False), (None, " ", True), ("x", None, False), ("n/a", "n a", True)]
+    rows = [("12,50 TND", "12.5", True), ("12.50", "12.52", False), (None, " ", True), ("x", None, False), ("n/a", "n a", False), ("N/A", None, True)]
     got = with_match(spark.createDataFrame(rows, "a string, b string, want boolean"), "a", "b", amounts=True).collect()
-    assert [r["match"] for r in got] == [r[2] for r in rows]
+    assert sorted((str(r.a), str(r.b), r.match) for r in got) == sorted((str(a), str(b), m) for a, b, m in rows)
+
+
+def test_match_of_dates(spark):
+    rows = [("2024-05-06", "06/05/2024", True), ("2024-05-06", "2024.05.07", False), ("le 6/5/2024 a Tunis", "2024-05-06", True), ("20240506", "2024 05 06", True), ("demain", "demain", True), ("x", "2024-05-06", False)]
+    got = with_match(spark.createDataFrame(rows, "a string, b string, want boolean"), "a", "b", dates=True).collect()
+    assert sorted((r.a, r.match) for r in got) == sorted((r[0], r[2]) for r in rows)
 
 
 def test_leaves_of_odd_payloads(spark):
