@@ -283,6 +283,7 @@ def _list_links(entries: DataFrame, work: Workspace) -> DataFrame:
     pair; of those of long lists, a pair may share as many as each of its sets has.
     """
     found = work.save(entries.repartition("key").sortWithinPartitions("key").mapInArrow(_listed, _LISTED), "lists")
+    work.tidy()
     pairs = found.where(f"kind = {PAIR}").groupBy("a", "b", "n", "m").agg(F.count("*").alias("k"), F.max("k").alias("meet")).where("meet = 1").drop("meet")
     loose = work.save(found.where(f"kind = {LOOSE}").groupBy(F.col("a").alias("name")).agg(F.sum("k").alias("loose")), "loose")
     n, m = F.col("n"), F.col("m")
@@ -347,6 +348,7 @@ def _grouped(docs: DataFrame, work: Workspace, counted: bool = True) -> tuple[Da
         return large.unionByName(some.mapInArrow(_subsets(boundary), _SUBSETS).select("key", "name"))
 
     candidates = _list_links(docs.mapInArrow(_prefixes(order, boundary), _ENTRIES), work).unionByName(work.save(_small_links(docs, boundary), "small-links"))
+    work.tidy()
     found = link_sets(docs, names, candidates, lists, work, counted)
     work.drop("lists", "pairs", "loose", "small-links", "frequent", "candidates")
     return meta, names, found

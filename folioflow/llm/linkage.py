@@ -212,6 +212,7 @@ def link_sets(docs: DataFrame, names: DataFrame, candidates: DataFrame, lists: C
     clusters = _rooted(components(candidates, work, "clusters")).toDF("name", "cluster")
     told = names.join(clusters, "name").select("name", "cluster", "n", "copies", "first.doc_id", "first.same")
     told = work.save(told, "candidates")
+    work.tidy()
     sizes = told.groupBy("cluster").agg(F.count("*").alias("sets"), F.sum("n").alias("shingles"))
     parts = F.greatest(F.ceil(F.col("sets") / CELL_SETS), F.ceil(F.col("shingles") / CELL_SHINGLES)).cast("long")
     large = work.save(sizes.where((F.col("sets") > CELL_SETS) | (F.col("shingles") > CELL_SHINGLES) & (F.col("sets") > 1)).select("cluster", parts.alias("parts")), "large-clusters")
@@ -222,11 +223,14 @@ def link_sets(docs: DataFrame, names: DataFrame, candidates: DataFrame, lists: C
     if some:
         rest = work.save(_texts(docs, told.join(large, "cluster"), work).dropDuplicates(["name"]), "large-texts")
         entries = work.save(lists(rest.select("doc_id", "text")).distinct(), "large-lists")
-        blocked = _blocked(rest.drop("text"), entries)
+        work.tidy()
+        blocked = work.save(_blocked(rest.drop("text"), entries), "blocked")
+        work.tidy()
         cells = cells.unionByName(rest.select("name", "copies", "text").join(blocked, "name").select("cell", "name", "copies", "side", F.lit(False).alias("whole"), "text"))
     ordered = cells.select(*columns).repartition("cell").sortWithinPartitions("cell", "name")
     found = work.save(ordered.mapInArrow(returns_memory(functools.partial(_cells, counted)), "name long, component long, links long, whole boolean"), "linked")
-    work.drop("large-texts", "large-lists")
+    work.drop("large-texts", "large-lists", "blocked")
+    work.tidy()
     if not some:
         return found.drop("whole")
     parted = _rooted(components(found.where("not whole").select(F.col("name").alias("a"), F.col("component").alias("b")), work, "parted")).toDF("name", "component")

@@ -36,6 +36,10 @@ class Workspace:
         df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def tidy(self) -> None:
+        """Lets Spark delete shuffle files that no plan in use refers to: it does so for what the driver's garbage collector finds, which a driver with memory to spare may not run for long."""
+        self.spark._jvm.java.lang.System.gc()
+
     def drop(self, *names: str) -> None:
         """Frees tables that no later step reads."""
         for name in names:
