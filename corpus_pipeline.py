@@ -20,13 +20,15 @@ from folioflow.llm.workspace import Workspace
 BATCH_ROWS = 1000
 
 
-def _short_batches(spark: SparkSession) -> None:
+def _prepare(spark: SparkSession) -> None:
+    """Short batches from here on; shuffle files of earlier stages go."""
+    Workspace(spark, "pipeline").tidy()
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents scored as toxic. Equal texts have equal scores, so repeated rows stay or go together; without toxic labels all stay."""
-    _short_batches(spark)
+    _prepare(spark)
     return without_toxic(docs, fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
@@ -35,25 +37,25 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
     The first document of a common line (least id, nulls last) keeps it, and so do rows that repeat that document. Empty texts fail.
     """
-    _short_batches(spark)
+    _prepare(spark)
     return without_rejected(docs)
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near copies: the one of least id, nulls last, then of least text hash. Of repeated rows one stays; texts without words link with nothing."""
-    _short_batches(spark)
+    _prepare(spark)
     return one_of_each(docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeats, keeps or leaves out documents so that sources come to their target weights. Copies are whole rows; texts without words are left out."""
-    _short_batches(spark)
+    _prepare(spark)
     return copies(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all sequences. Each row is a document of its own, also one that the mix has repeated."""
-    _short_batches(spark)
+    _prepare(spark)
     return pack_documents(docs)
 
 
