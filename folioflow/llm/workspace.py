@@ -15,6 +15,11 @@ MOST_BITS = 1 << 27
 _PAGE = 1 << 15
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Lets Spark delete shuffle files that no plan in use refers to: it does so for what the driver's garbage collector finds, which a driver with memory to spare may not run for long."""
+    spark._jvm.java.lang.System.gc()
+
+
 class Workspace:
     """Parquet tables in a new folder below ``spark.checkpoint.dir``.
 
@@ -37,8 +42,7 @@ class Workspace:
         return self.spark.read.schema(df.schema).parquet(path)
 
     def tidy(self) -> None:
-        """Lets Spark delete shuffle files that no plan in use refers to: it does so for what the driver's garbage collector finds, which a driver with memory to spare may not run for long."""
-        self.spark._jvm.java.lang.System.gc()
+        free_shuffles(self.spark)
 
     def drop(self, *names: str) -> None:
         """Frees tables that no later step reads."""
