@@ -13,7 +13,7 @@ from folioflow.llm.line_rules import without_rejected
 from folioflow.llm.mixing import copies
 from folioflow.llm.packing import pack_documents
 from folioflow.llm.toxicity import fit, without_toxic
-from folioflow.llm.workspace import Workspace
+from folioflow.llm.workspace import Workspace, free_shuffles
 
 
 #: Rows that a Python worker is given at once: documents are long, and a worker holds several batches.
@@ -22,7 +22,7 @@ BATCH_ROWS = 1000
 
 def _prepare(spark: SparkSession) -> None:
     """Short batches from here on; shuffle files of earlier stages go."""
-    Workspace(spark, "pipeline").tidy()
+    free_shuffles(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
