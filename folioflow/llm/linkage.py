@@ -176,15 +176,19 @@ def _texts(docs: DataFrame, wanted: DataFrame, work: Workspace) -> DataFrame:
     return near.join(wanted, (F.col("d.same") == F.col("w.same")) & F.col("d.doc_id").eqNullSafe(F.col("w.doc_id"))).select("w.*", "d.text")
 
 
-def _blocked(large: DataFrame, entries: DataFrame) -> DataFrame:
-    """cell, side and the columns of ``large`` (with its cluster's number of blocks, parts) for each cell that a set is in."""
+def _dealt(large: DataFrame, entries: DataFrame) -> DataFrame:
+    """name, cluster, parts and block of the sets of ``large`` (with their cluster's number of blocks, parts): sets with one least key share a block unless they are too many."""
     least = entries.groupBy("name").agg(F.min("key").alias("least"))
     rows = large.select("name", "cluster", "parts", "n").join(least, "name", "left")
     groups = rows.groupBy("cluster", "least").agg(F.sum("n").alias("group_n"), F.count("*").alias("group_sets"))
     hot = (F.col("group_n") > CELL_SHINGLES // 2) | (F.col("group_sets") > CELL_SETS // 2)
     rows, groups = rows.alias("r"), groups.alias("g")
     rows = rows.join(groups, (F.col("r.cluster") == F.col("g.cluster")) & F.col("r.least").eqNullSafe(F.col("g.least")))
-    rows = rows.select("name", "r.cluster", "parts", F.pmod(F.when(hot, F.xxhash64("name")).otherwise(F.xxhash64("r.least", F.lit(1))), "parts").alias("block"))
+    return rows.select("name", "r.cluster", "parts", F.pmod(F.when(hot, F.xxhash64("name")).otherwise(F.xxhash64("r.least", F.lit(1))), "parts").alias("block"))
+
+
+def _blocked(rows: DataFrame, entries: DataFrame) -> DataFrame:
+    """name, cell and side for each cell that a set is in; ``rows`` as _dealt gives them."""
     # pairs of blocks that meet in a list, or all pairs where that is fewer rows
     met = entries.join(rows, "name").select("cluster", "key", "block").distinct()
     cost = met.groupBy("cluster", "key").agg(F.count("*").alias("k")).groupBy("cluster").agg(F.sum(F.col("k") * F.col("k")).alias("meetings"))
@@ -220,22 +224,57 @@ def link_sets(docs: DataFrame, names: DataFrame, candidates: DataFrame, lists: C
     some = not large.isEmpty()
     small = told.join(large, "cluster", "left_anti") if some else told
     cells = _texts(docs, small, work).select(F.col("cluster").alias("cell"), "name", "copies", F.lit(0).alias("side"), F.lit(True).alias("whole"), "text")
-    if some:
-        rest = work.save(_texts(docs, told.join(large, "cluster"), work).dropDuplicates(["name"]), "large-texts")
-        entries = work.save(lists(rest.select("doc_id", "text")).distinct(), "large-lists")
-        work.tidy()
-        blocked = work.save(_blocked(rest.drop("text"), entries), "blocked")
+    ordered = lambda df: df.select(*columns).repartition("cell").sortWithinPartitions("cell", "name").mapInArrow(returns_memory(functools.partial(_cells, counted)), "name long, component long, links long, whole boolean")
+    if not some:
+        return work.save(ordered(cells), "linked").drop("whole")
+    rest = work.save(_texts(docs, told.join(large, "cluster"), work).dropDuplicates(["name"]), "large-texts")
+    entries = work.save(lists(rest.select("doc_id", "text")).distinct(), "large-lists")
+    dealt = work.save(_dealt(rest.drop("text"), entries), "dealt")
+    work.tidy()
+    texts = rest.select("name", "copies", "text")
+    in_cells = lambda df: texts.join(df, "name").select("cell", "name", "copies", "side", F.lit(False).alias("whole"), "text")
+    if counted:
+        blocked = work.save(_blocked(dealt, entries), "blocked")
         work.tidy()
-        cells = cells.unionByName(rest.select("name", "copies", "text").join(blocked, "name").select("cell", "name", "copies", "side", F.lit(False).alias("whole"), "text"))
-    ordered = cells.select(*columns).repartition("cell").sortWithinPartitions("cell", "name")
-    found = work.save(ordered.mapInArrow(returns_memory(functools.partial(_cells, counted)), "name long, component long, links long, whole boolean"), "linked")
-    work.drop("large-texts", "large-lists", "blocked")
+        found = work.save(ordered(cells.unionByName(in_cells(blocked))), "linked")
+        parts = found.where("not whole")
+    else:
+        found = work.save(ordered(cells), "linked")
+        parts = _joined_blocks(rest, dealt, entries, lambda df, name: work.save(ordered(in_cells(df)), name), work)
+    parted = _rooted(components(parts.select(F.col("name").alias("a"), F.col("component").alias("b")), work, "parted")).toDF("name", "component")
+    links = parts.groupBy("name").agg(F.sum("links").alias("links"))
+    linked = work.save(parted.join(links, "name"), "linked-large")
+    work.drop("large-texts", "large-lists", "dealt", "blocked", "own-blocks", "outside", "across")
     work.tidy()
-    if not some:
-        return found.drop("whole")
-    parted = _rooted(components(found.where("not whole").select(F.col("name").alias("a"), F.col("component").alias("b")), work, "parted")).toDF("name", "component")
-    links = found.where("not whole").groupBy("name").agg(F.sum("links").alias("links"))
-    return found.where("whole").drop("whole").unionByName(work.save(parted.join(links, "name"), "linked-large"))
+    return found.where("whole").drop("whole").unionByName(linked)
+
+
+def _joined_blocks(rest: DataFrame, dealt: DataFrame, entries: DataFrame, run: Callable[[DataFrame, str], DataFrame], work: Workspace) -> DataFrame:
+    """Links enough for the components of large clusters, without comparing all pairs of their blocks.
+
+    First each block is a cell, with one set of its cluster in all of them, so that a group whose sets are like that one hangs together at once. Any link that is still missing has an end
+    outside of the largest group of its cluster: those sets then meet the blocks with which they share a list.
+    """
+    pivots = rest.groupBy("cluster").agg(F.min("name").alias("name"), F.first("parts").alias("parts"))
+    pivots = pivots.select("name", "cluster", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("block"))
+    own = dealt.select("name", "cluster", "block").unionByName(pivots).select("name", F.xxhash64("cluster", "block").alias("cell"), F.lit(0).alias("side")).distinct()
+    found = run(own, "own-blocks")
+    stars = _rooted(components(found.select(F.col("name").alias("a"), F.col("component").alias("b")), work, "own-parted")).toDF("name", "group")
+    told = dealt.join(stars, "name", "left").withColumn("group", F.coalesce("group", "name"))
+    sizes = told.groupBy("cluster", "group").agg(F.count("*").alias("k"))
+    largest = sizes.groupBy("cluster").agg(F.max(F.struct("k", "group"))["group"].alias("largest"))
+    outside = told.join(largest, "cluster").where("group <> largest").join(rest.select("name", "n"), "name").select("name", "cluster", "n")
+    sizes = outside.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / CELL_SETS), F.ceil(F.sum("n") / CELL_SHINGLES)).alias("pieces"))
+    outside = work.save(outside.join(sizes, "cluster").select("name", "cluster", F.pmod(F.xxhash64("name", F.lit(2)), "pieces").alias("piece")), "outside")
+    work.tidy()
+    if outside.isEmpty():
+        return found
+    mine = entries.join(outside, "name").select("cluster", "key", "piece").distinct()
+    theirs = entries.join(dealt, "name").select("cluster", "key", "block").distinct()
+    met = mine.join(theirs, ["cluster", "key"]).select("cluster", "piece", "block").distinct()
+    cells = met.join(outside, ["cluster", "piece"]).select("name", "cluster", "piece", "block").unionByName(met.join(dealt.select("name", "cluster", "block"), ["cluster", "block"]).select("name", "cluster", "piece", "block"))
+    cells = cells.select("name", F.xxhash64("cluster", "piece", "block", F.lit(3)).alias("cell"), F.lit(0).alias("side")).distinct()
+    return found.unionByName(run(cells, "across"))
 
 
 def chained(entries: DataFrame, compatible: Column) -> DataFrame:

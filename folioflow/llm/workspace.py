@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 #: A lookup has at most so many bits (16 MB), however many keys it is made of.
 MOST_BITS = 1 << 27
 _PAGE = 1 << 15
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def free_shuffles(spark: SparkSession) -> None:
@@ -37,8 +38,13 @@ class Workspace:
         self.root = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
-        path = f"{self.root}/{name}"
-        df.write.mode("overwrite").parquet(path)
+        """The table as written. Shuffle files of the job are deleted as soon as it ends: its plan is run for this only."""
+        path, kept = f"{self.root}/{name}", self.spark.conf.get(_CLEANUP, "false")
+        self.spark.conf.set(_CLEANUP, "true")
+        try:
+            df.write.mode("overwrite").parquet(path)
+        finally:
+            self.spark.conf.set(_CLEANUP, kept)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def tidy(self) -> None:
