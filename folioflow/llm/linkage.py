@@ -31,6 +31,8 @@ HEAVY = 1 / 8
 _SMALL_CELL = 64
 #: Where links are not counted: sets that are compared with all others first, and how many outside of the largest group are compared one by one.
 PIVOTS, OUTSIDE = 4, 48
+#: Where links are not counted: how many times as much a cell holds, since it compares fewer pairs, and the share of sets outside of the largest groups from which blocks meet as if links were counted.
+WIDER, MANY_OUTSIDE = 4, 1 / 4
 
 
 def same_text(text: Column) -> Column:
@@ -218,8 +220,9 @@ def link_sets(docs: DataFrame, names: DataFrame, candidates: DataFrame, lists: C
     told = work.save(told, "candidates")
     work.tidy()
     sizes = told.groupBy("cluster").agg(F.count("*").alias("sets"), F.sum("n").alias("shingles"))
-    parts = F.greatest(F.ceil(F.col("sets") / CELL_SETS), F.ceil(F.col("shingles") / CELL_SHINGLES)).cast("long")
-    large = work.save(sizes.where((F.col("sets") > CELL_SETS) | (F.col("shingles") > CELL_SHINGLES) & (F.col("sets") > 1)).select("cluster", parts.alias("parts")), "large-clusters")
+    most_sets, most_shingles = (CELL_SETS, CELL_SHINGLES) if counted else (WIDER * CELL_SETS, WIDER * CELL_SHINGLES)
+    parts = F.greatest(F.ceil(F.col("sets") / most_sets), F.ceil(F.col("shingles") / most_shingles)).cast("long")
+    large = work.save(sizes.where((F.col("sets") > most_sets) | (F.col("shingles") > most_shingles) & (F.col("sets") > 1)).select("cluster", parts.alias("parts")), "large-clusters")
     columns = ["cell", "name", "copies", "side", "whole", "text"]
     some = not large.isEmpty()
     small = told.join(large, "cluster", "left_anti") if some else told
@@ -253,7 +256,7 @@ def _joined_blocks(rest: DataFrame, dealt: DataFrame, entries: DataFrame, run: C
     """Links enough for the components of large clusters, without comparing all pairs of their blocks.
 
     First each block is a cell, with one set of its cluster in all of them, so that a group whose sets are like that one hangs together at once. Any link that is still missing has an end
-    outside of the largest group of its cluster: those sets then meet the blocks with which they share a list.
+    outside of the largest group of its cluster: those sets then meet the blocks with which they share a list. Where they are many, all blocks that share a list meet.
     """
     pivots = rest.groupBy("cluster").agg(F.min("name").alias("name"), F.first("parts").alias("parts"))
     pivots = pivots.select("name", "cluster", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("block"))
@@ -264,11 +267,14 @@ def _joined_blocks(rest: DataFrame, dealt: DataFrame, entries: DataFrame, run: C
     sizes = told.groupBy("cluster", "group").agg(F.count("*").alias("k"))
     largest = sizes.groupBy("cluster").agg(F.max(F.struct("k", "group"))["group"].alias("largest"))
     outside = told.join(largest, "cluster").where("group <> largest").join(rest.select("name", "n"), "name").select("name", "cluster", "n")
-    sizes = outside.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / CELL_SETS), F.ceil(F.sum("n") / CELL_SHINGLES)).alias("pieces"))
+    sizes = outside.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / (WIDER * CELL_SETS)), F.ceil(F.sum("n") / (WIDER * CELL_SHINGLES))).alias("pieces"))
     outside = work.save(outside.join(sizes, "cluster").select("name", "cluster", F.pmod(F.xxhash64("name", F.lit(2)), "pieces").alias("piece")), "outside")
     work.tidy()
-    if outside.isEmpty():
+    n = outside.count()
+    if not n:
         return found
+    if n > MANY_OUTSIDE * dealt.count():
+        return found.unionByName(run(_blocked(dealt, entries), "across"))
     mine = entries.join(outside, "name").select("cluster", "key", "piece").distinct()
     theirs = entries.join(dealt, "name").select("cluster", "key", "block").distinct()
     met = mine.join(theirs, ["cluster", "key"]).select("cluster", "piece", "block").distinct()

@@ -126,7 +126,10 @@ def test_jaccard_links_by_every_path(spark, monkeypatch, long, rows, cell, chunk
     got = {r.doc_id: (r.component_id, r.n_links) for r in jaccard_join.jaccard_components(docs).collect()}
     assert got == plain_links(made)
     if cell < 1024:
-        assert {r.doc_id for r in jaccard_join.one_of_each(docs).collect()} == {c for c, _ in got.values()}
+        for share in (0, 2):  # blocks meet as for counts, or those outside of the largest groups only
+            monkeypatch.setattr(linkage, "WIDER", 1)
+            monkeypatch.setattr(linkage, "MANY_OUTSIDE", share)
+            assert {r.doc_id for r in jaccard_join.one_of_each(docs).collect()} == {c for c, _ in got.values()}
 
 
 def test_pairs_are_not_written_out(spark):
