@@ -2,15 +2,11 @@
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.columns import ACCENTED, PLAIN
+from ..functions.json_tree import json_leaves
 from ..functions.similarity import ratio_sql, with_token_set_ratio
 from ..sources.ledger import table
 from .fields import iso_dates
@@ -20,41 +16,21 @@ BREAK = r"\r\n|[\x0A-\x0D\x1C-\x1E\x{85}\x{2028}\x{2029}]"
 WORD, DIGIT = r"[\p{L}\p{N}_]+", r"\p{Nd}"
 
 
-def _leaves(value: object, path: str) -> Iterator[tuple[str, str | None]]:
-    todo = [(path, value)]
-    while todo:
-        at, v = todo.pop()
-        if isinstance(v, dict) and v:
-            todo += [(f"{at}.{k}" if at else k, x) for k, x in v.items()]
-        elif isinstance(v, list) and v:
-            todo += [(f"{at}[{i}]", x) for i, x in enumerate(v)]
-        else:
-            blank = v is None or (isinstance(v, (dict, list))) or (isinstance(v, str) and not v.strip())
-            yield at, None if blank else v if isinstance(v, str) else json.dumps(v)
-
-
-@F.pandas_udf(T.ArrayType(T.StructType().add("path", T.StringType()).add("value", T.StringType())))
-def leaves_of(payloads: pd.Series) -> pd.Series:
-    """The leaves of each JSON text in order of path. Blank text, null, {} and [] are leaves without a value; what is no JSON has none."""
-
-    def one(text):
-        try:
-            found = sorted(_leaves(json.loads(text), ""), key=lambda x: x[0])
-        except (TypeError, ValueError):
-            return []
-        return [{"path": p, "value": v} for p, v in found]
-
-    return payloads.map(one)
+def leaves_of(payload: Column) -> Column:
+    """Path and value of the leaves of a JSON text by path. Blank text, null, {} and [] are leaves without a value; what is no JSON has none."""
+    blank = lambda x: F.regexp_replace(x, SPACE, F.lit("")) == ""
+    found = F.transform(json_leaves(payload), lambda x: F.struct(x["path"].alias("path"), F.when(~blank(x["value"]), x["value"]).alias("value")))
+    return F.array_sort(F.coalesce(found, F.array().cast("array<struct<path: string, value: string>>")))
 
 
 def leaves(rows: DataFrame, key: str, payload: str) -> DataFrame:
     """key, path and value of every leaf."""
-    return rows.select(key, F.explode(leaves_of(payload)).alias("leaf")).select(key, "leaf.path", "leaf.value")
+    return rows.select(key, F.explode(leaves_of(F.col(payload))).alias("leaf")).select(key, "leaf.path", "leaf.value")
 
 
 def completeness(rows: DataFrame, key: str, payload: str) -> DataFrame:
     """Filled leaves of each payload, all leaves, and the filled share in percent; null if there is none."""
-    found = rows.select(key, leaves_of(payload).alias("leaves"))
+    found = rows.select(key, leaves_of(F.col(payload)).alias("leaves"))
     filled = F.size(F.filter("leaves", lambda x: x["value"].isNotNull()))
     return found.select(key, filled.alias("filled"), F.size("leaves").alias("leaves")).withColumn("share", F.round(F.try_divide(100.0 * F.col("filled"), F.col("leaves")), 1))
 
