@@ -13,19 +13,18 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 BLOCK = 256
-_TOKEN = r'(?s)"(?:[^"\\]++|\\.)*+"(?:\s*+:)?|[{}\[\],]|[^{}\[\],:"\s]++'
+_STRING = r'"(?:[^"\\]++|\\.)*+"'
+#: A key with the value or the bracket that follows it, or one of these without a key. Commas say nothing that the order does not.
+_TOKEN = rf'(?s)(?:({_STRING})\s*+:\s*+)?({_STRING}|[{{}}\[\]]|[^{{}}\[\],:"\s]++)'
 _OBJECT = -1
 
 
 def _tokens(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(_TOKEN), F.lit(0))
+    part = lambda group: F.regexp_extract_all(text, F.lit(_TOKEN), F.lit(group))
+    return F.zip_with(part(1), part(2), lambda k, v: F.struct(k.alias("key"), v.alias("value")))
 
 
-def _turn(t: Column) -> Column:
-    return F.when(t.isin("{", "["), 1).when(t.isin("}", "]"), -1).otherwise(0)
-
-
-def _let(value: Column, f: Callable[[Column], Column]) -> Column:
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
     """f(value) with ``value`` computed once."""
     return F.get(F.transform(F.array(value), f), F.lit(0))
 
@@ -35,24 +34,15 @@ def _decoded(quoted: Column) -> Column:
     return F.when(F.contains(quoted, F.lit("\\")), F.get_json_object(F.concat(F.lit('{"k":'), quoted, F.lit("}")), "$.k")).otherwise(F.substr(quoted, F.lit(2), F.length(quoted) - 2))
 
 
-def _key(t: Column) -> Column:
-    return _decoded(F.rtrim(F.substr(t, F.lit(1), F.length(t) - 1)))
-
-
-def _is_key(t: Column) -> Column:
-    return F.startswith(t, F.lit('"')) & F.endswith(t, F.lit(":"))
-
-
 def valid_json(text: Column) -> Column:
-    """The text if it is one JSON value and nothing after it, else null."""
-    state = lambda depth, ends: F.struct(depth.alias("depth"), ends.alias("ends"))
-    ends = F.aggregate(_tokens(text), state(F.lit(0), F.lit(0)), lambda a, t: _let(a["depth"] + _turn(t), lambda d: state(d, a["ends"] + F.when(d == 0, 1).otherwise(0))), lambda a: a["ends"])
-    return F.when(F.when(F.try_parse_json(text).isNotNull(), ends) == 1, text)
+    """The text if it is one JSON value, else null. The parser minds nothing after a value, so the text is put between both kinds of brackets: no rest closes both."""
+    between = lambda one, other: F.concat(F.lit(one), text, F.lit(other))
+    return F.when((F.json_array_length(between("[", "]")) == 1) & F.try_parse_json(between('{"v":', "}")).isNotNull(), text)
 
 
 def _fold(text: Column, begin: Callable[[Column | None], Column], step: Callable[[Column, Column], Column], join: Callable[[Column, Column], Column], last: Callable[[Column], Column]) -> Column:
     """``begin`` gives a block's state after that of another, ``step`` takes a token in, ``join`` adds a block's result to all before it."""
-    blocks = _let(_tokens(text), lambda all_: F.transform(F.sequence(F.lit(0), F.greatest(F.size(all_) - 1, F.lit(0)), F.lit(BLOCK)), lambda i: F.slice(all_, i + 1, BLOCK)))
+    blocks = let(_tokens(text), lambda all_: F.transform(F.sequence(F.lit(0), F.greatest(F.size(all_) - 1, F.lit(0)), F.lit(BLOCK)), lambda i: F.slice(all_, i + 1, BLOCK)))
     return F.aggregate(blocks, begin(None), lambda s, b: F.aggregate(b, begin(s), step, lambda r: join(s, r)), last)
 
 
@@ -61,10 +51,10 @@ def without_keys(text: Column, everywhere: Sequence[str] = (), root: Sequence[st
 
     What is left keeps its order and its spelling; blanks between tokens go. ``any_case``: for ``everywhere`` the case of a key is nothing.
     """
-    start = lambda out, depth, skip, comma: F.struct(out.alias("out"), depth.alias("depth"), skip.alias("skip"), comma.alias("comma"))
+    start = lambda out, depth, skip, opened: F.struct(out.alias("out"), depth.alias("depth"), skip.alias("skip"), opened.alias("opened"))
 
     def begin(s):
-        return start(F.lit(""), F.lit(0), F.lit(-1), F.lit(False)) if s is None else start(F.lit(""), s["depth"], s["skip"], s["comma"])
+        return start(F.lit(""), F.lit(0), F.lit(-1), F.lit(True)) if s is None else start(F.lit(""), s["depth"], s["skip"], s["opened"])
 
     def hidden(key, depth):
         out = (F.lower(key) if any_case else key).isin(*everywhere) if everywhere else F.lit(False)
@@ -72,19 +62,19 @@ def without_keys(text: Column, everywhere: Sequence[str] = (), root: Sequence[st
         return out | ((depth == 1) & ~key.isin(*only)) if only is not None else out
 
     def step(a, t):
-        inside, level = a["skip"] >= 0, a["skip"] == a["depth"]
-        depth, closes = a["depth"] + _turn(t), t.isin("}", "]")
-        kept = F.concat(a["out"], F.when(a["comma"] & ~closes, ",").otherwise(""), t)
+        key, value, depth, inside = t["key"], t["value"], a["depth"], a["skip"] >= 0
+        opens = value.isin("{", "[")
+        deeper = F.when(opens, depth + 1).otherwise(depth)
+        member = F.concat(a["out"], F.when(a["opened"], "").otherwise(","), F.when(key != "", F.concat(key, F.lit(":"))).otherwise(""), value)
         return (
-            F.when(inside & level & (t == ","), start(a["out"], a["depth"], F.lit(-1), a["comma"]))
-            .when(inside & ~(level & closes), start(a["out"], depth, a["skip"], a["comma"]))
-            .when(t == ",", start(a["out"], a["depth"], F.lit(-1), F.lit(True)))
-            .when(_is_key(t) & hidden(_key(t), a["depth"]), start(a["out"], a["depth"], a["depth"], a["comma"]))
-            .otherwise(start(kept, depth, F.lit(-1), F.lit(False)))
+            F.when(value.isin("}", "]"), F.when(inside, start(a["out"], depth - 1, F.when(depth - 1 == a["skip"], -1).otherwise(a["skip"]), a["opened"])).otherwise(start(F.concat(a["out"], value), depth - 1, F.lit(-1), F.lit(False))))
+            .when(inside, start(a["out"], deeper, a["skip"], a["opened"]))
+            .when((key != "") & hidden(_decoded(key), depth), start(a["out"], deeper, F.when(opens, depth).otherwise(-1), a["opened"]))
+            .otherwise(start(member, deeper, F.lit(-1), opens))
         )
 
-    join = lambda s, r: start(F.concat(s["out"], r["out"]), r["depth"], r["skip"], r["comma"])
-    return F.when(valid_json(text).isNotNull(), _fold(text, begin, step, join, lambda s: s["out"]))
+    join = lambda s, r: start(F.concat(s["out"], r["out"]), r["depth"], r["skip"], r["opened"])
+    return let(text, lambda x: F.when(valid_json(x).isNotNull(), _fold(x, begin, step, join, lambda s: s["out"])))
 
 
 def json_leaves(text: Column) -> Column:
@@ -97,28 +87,26 @@ def json_leaves(text: Column) -> Column:
     leaf = lambda path, kind, value: F.struct(path.alias("path"), kind.alias("kind"), value.alias("value"))
     text_or_null = F.lit(None).cast("string")
 
-    def state(out, stack, at, fresh):
-        return F.struct(out.alias("out"), stack.alias("stack"), at.alias("at"), fresh.alias("fresh"))
-
     none = F.array().cast("array<struct<path: string, kind: string, value: string>>")
+    state = lambda out, stack, fresh: F.struct(out.alias("out"), stack.alias("stack"), fresh.alias("fresh"))
 
     def begin(s):
-        return state(none, F.array().cast("array<struct<path: string, n: int>>"), F.lit(""), F.lit(False)) if s is None else state(none, s["stack"], s["at"], s["fresh"])
+        return state(none, F.array().cast("array<struct<path: string, n: int>>"), F.lit(False)) if s is None else state(none, s["stack"], s["fresh"])
 
     def step(a, t):
-        top, height = F.try_element_at(a["stack"], F.lit(-1)), F.size(a["stack"])
-        here = F.when(top["n"] >= 0, F.concat(top["path"], F.lit("["), top["n"].cast("string"), F.lit("]"))).otherwise(a["at"])
-        below = F.slice(a["stack"], F.lit(1), F.greatest(height - 1, F.lit(0)))
+        key, value, stack = t["key"], t["value"], a["stack"]
+        top = F.try_element_at(stack, F.lit(-1))
+        below = F.slice(stack, F.lit(1), F.size(stack) - 1)
+        here = F.when(key != "", F.concat(top["path"], F.when(top["path"] != "", ".").otherwise(""), _decoded(key))).when(top.isNull(), "").otherwise(F.concat(top["path"], F.lit("["), top["n"].cast("string"), F.lit("]")))
+        counted = F.when((key != "") | top.isNull(), stack).otherwise(F.concat(below, F.array(level(top["path"], top["n"] + 1))))
         empty = leaf(top["path"], F.when(top["n"] >= 0, "list").otherwise("object"), text_or_null)
-        is_text = F.startswith(t, F.lit('"'))
-        value = leaf(here, F.when(is_text, "text").when(t == "null", "null").otherwise("other"), F.when(is_text, _decoded(t)).when(t != "null", t))
+        is_text = F.startswith(value, F.lit('"'))
+        one = leaf(here, F.when(is_text, "text").when(value == "null", "null").otherwise("other"), F.when(is_text, _decoded(value)).when(value != "null", value))
         return (
-            F.when(_is_key(t), state(a["out"], a["stack"], F.concat(top["path"], F.when(top["path"] != "", ".").otherwise(""), _key(t)), F.lit(False)))
-            .when(t == ",", state(a["out"], F.when(top["n"] >= 0, F.concat(below, F.array(level(top["path"], top["n"] + 1)))).otherwise(a["stack"]), a["at"], F.lit(False)))
-            .when(t.isin("{", "["), state(a["out"], F.concat(a["stack"], F.array(level(here, F.when(t == "[", 0).otherwise(_OBJECT)))), a["at"], F.lit(True)))
-            .when(t.isin("}", "]"), state(F.when(a["fresh"], F.concat(a["out"], F.array(empty))).otherwise(a["out"]), below, a["at"], F.lit(False)))
-            .otherwise(state(F.concat(a["out"], F.array(value)), a["stack"], a["at"], F.lit(False)))
+            F.when(value.isin("}", "]"), state(F.when(a["fresh"], F.concat(a["out"], F.array(empty))).otherwise(a["out"]), below, F.lit(False)))
+            .when(value.isin("{", "["), state(a["out"], F.concat(counted, F.array(level(here, F.when(value == "[", 0).otherwise(_OBJECT)))), F.lit(True)))
+            .otherwise(state(F.concat(a["out"], F.array(one)), counted, F.lit(False)))
         )
 
-    join = lambda s, r: state(F.concat(s["out"], r["out"]), r["stack"], r["at"], r["fresh"])
-    return F.when(valid_json(text).isNotNull(), _fold(text, begin, step, join, lambda s: s["out"]))
+    join = lambda s, r: state(F.concat(s["out"], r["out"]), r["stack"], r["fresh"])
+    return let(text, lambda x: F.when(valid_json(x).isNotNull(), _fold(x, begin, step, join, lambda s: s["out"])))

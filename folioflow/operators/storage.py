@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.json_tree import json_leaves, valid_json, without_keys
+from ..functions.json_tree import json_leaves, let, valid_json, without_keys
 from ..sources.ledger import LEDGER_SQL, ledger, table
 from ..sources.store import append, current, delete, shared_folder
 from .payloads import SPACE
@@ -31,7 +31,7 @@ def entry_path(kind: Column, saved_at: Column, name: Column) -> Column:
 
 
 def _with_member(text: Column, key: str, value: Column) -> Column:
-    return F.concat(F.substr(text, F.lit(1), F.length(text) - 1), F.when(text != "{}", ",").otherwise(""), F.lit(f'"{key}":'), value, F.lit("}"))
+    return let(text, lambda x: F.concat(F.substr(x, F.lit(1), F.length(x) - 1), F.when(x != "{}", ",").otherwise(""), F.lit(f'"{key}":'), value, F.lit("}")))
 
 
 def stored_payload(payload: Column, status: Column, message: Column, meta: Column, keep_text: bool = False) -> Column:
@@ -43,9 +43,9 @@ def stored_payload(payload: Column, status: Column, message: Column, meta: Colum
     private = () if keep_text else PRIVATE_KEYS
     good = without_keys(text, private, root=("_meta",), any_case=True)
     bad = F.coalesce(without_keys(text, private, only=ERROR_KEYS, any_case=True), F.lit("{}"))
-    told = F.coalesce(message != "", F.lit(False)) & ~F.coalesce(F.array_contains(F.json_object_keys(bad), "error"), F.lit(False))
     quoted = F.regexp_replace(F.to_json(F.struct(message.alias("m"))), r'^\{"m":|\}$', "")
-    bad = F.when(told, _with_member(bad, "error", quoted)).otherwise(bad)
+    told = lambda x: (message != "") & ~F.coalesce(F.array_contains(F.json_object_keys(x), "error"), F.lit(False))
+    bad = let(bad, lambda x: F.when(told(x), _with_member(x, "error", quoted)).otherwise(x))
     kept = F.coalesce(F.when(F.coalesce(status == "ok", F.lit(True)), good).otherwise(bad), F.lit("{}"))
     return _with_member(kept, "_meta", F.to_json(meta, {"ignoreNullFields": "false"}))
 
@@ -59,11 +59,10 @@ def json_of_answer(answer: Column) -> Column:
     """
     fence = r"(?i)```(?:json)?\s*([\s\S]*?)```"
     inside = F.when(F.regexp_like(answer, F.lit(fence)), F.regexp_extract(answer, fence, 1)).otherwise(answer)
-    blob = F.nullif(F.regexp_extract(inside, r"(?s)\{.*\}", 0), F.lit(""))
-    mended = F.regexp_replace(blob, r",(?=[,\s]*+[}\]])", "")
-    plain, mended = valid_json(blob), valid_json(mended)
-    state = F.when(_stripped(F.coalesce(answer, F.lit(""))) == "", "empty").when(blob.isNull(), "no object").when(plain.isNotNull(), "as is").when(mended.isNotNull(), "repaired").otherwise("broken")
-    return F.struct(state.alias("state"), F.coalesce(plain, mended).alias("text"))
+    said = lambda state, text: F.struct(F.lit(state).alias("state"), text.alias("text"))
+    mended = lambda blob: let(valid_json(F.regexp_replace(blob, r",(?=[,\s]*+[}\]])", "")), lambda x: F.when(x.isNotNull(), said("repaired", x)).otherwise(said("broken", x)))
+    found = let(F.nullif(F.regexp_extract(inside, r"(?s)\{.*\}", 0), F.lit("")), lambda blob: F.when(blob.isNull(), said("no object", blob)).when(valid_json(blob).isNotNull(), said("as is", blob)).otherwise(mended(blob)))
+    return F.when(_stripped(F.coalesce(answer, F.lit(""))) == "", said("empty", F.lit(None).cast("string"))).otherwise(found)
 
 
 def items_of(payload: Column, path: str) -> Column:
