@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-LEDGER = "id long, kind string, source_filename string, saved_at timestamp, payload_json string, status string, error_message string"
 FAMILIES = {"view": "traffic", "click": "traffic", "purchase": "commerce", "signup": "account", "error": "Error"}
 
 
