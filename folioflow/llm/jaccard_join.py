@@ -23,7 +23,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
-from math import comb
+from math import comb, expm1
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +39,8 @@ from .workspace import Lookup, Workspace, unused
 #: At most this many frequent shingles are known to all tasks (8 bytes each); the count from which one is frequent rises with the corpus.
 FREQUENT_LIMIT = 1 << 20
 FREQUENT_FROM = 32
+#: Shingles are counted in parts of a task of about so many of them (8 bytes each, some copies), however short its batches are.
+COUNTED = 1 << 21
 #: Sizes among which the boundary between small and large sets is chosen.
 BOUNDARY_MAX = 24
 #: Lists of frequent shingles are cut into parts of about so many sets.
@@ -72,22 +74,41 @@ def boundary_by_cost(sizes: dict[int, int], list_length: float) -> int:
 
 @returns_memory
 def _sets_and_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """kind 0: id, text hash, set size, set name. kind 1: shingle, its documents in this batch where two or more."""
+    """kind 0: id, text hash, set size, set name. kind 1: shingle, its documents in a part of the task where two or more. kind 2: one for each such part."""
+
+    def counted(values: list[np.ndarray]) -> pa.RecordBatch:
+        keys = np.concatenate(values)
+        values.clear()
+        keys.sort()
+        at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        times = np.diff(np.append(at, len(keys)))
+        at, times = at[times > 1], times[times > 1]
+        kinds = np.append(np.ones(len(at), np.int32), np.int32(2))
+        return pa.record_batch([pa.array(kinds), pa.array(np.append(keys[at].view(np.int64), 0)), pa.nulls(len(kinds), pa.int64()), pa.array(np.append(times, 1).astype(np.int64)), pa.nulls(len(kinds), pa.int64())], _META)
+
+    held, total, seen = [], 0, set()
     for batch in batches:
-        sizes, names, values = [], [], []
+        sizes, names = [], []
         for block in blocks(batch["text"]):
             for s in shingle_sets(block):
                 sizes.append(len(s))
                 names.append(signature(s) if len(s) else None)
-                values.append(s)
+                if len(s) and names[-1] not in seen:
+                    seen.add(names[-1])
+                    held.append(s)
+                    total += len(s) + 16  # the name and the array itself
+            if total >= COUNTED:
+                yield counted(held)
+                total, seen = 0, set()
         yield pa.record_batch([pa.array(np.zeros(len(sizes), np.int32)), batch["doc_id"], batch["same"], pa.array(sizes, pa.int64()), pa.array(names, pa.int64())], _META)
-        firsts = {name: i for i, name in enumerate(names) if name is not None}
-        keys = np.sort(np.concatenate([values[i] for i in firsts.values()])) if firsts else np.zeros(0, np.uint64)
-        del values
-        at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
-        times = np.diff(np.append(at, len(keys)))
-        at, times = at[times > 1], times[times > 1]
-        yield pa.record_batch([pa.array(np.ones(len(at), np.int32)), pa.array(keys[at].view(np.int64)), pa.nulls(len(at), pa.int64()), pa.array(times.astype(np.int64)), pa.nulls(len(at), pa.int64())], _META)
+    if held:
+        yield counted(held)
+
+
+def frequent_from(parts: int) -> int:
+    """What is counted of a shingle that FREQUENT_FROM documents have, dealt over so many parts: those that are alone in their part are not."""
+    each = FREQUENT_FROM / max(1, parts)
+    return max(2, round(FREQUENT_FROM * -expm1(-each)))
 
 
 _META = ["kind", "id", "same", "n", "name"]
@@ -327,7 +348,9 @@ def _grouped(docs: DataFrame, work: Workspace, counted: bool = True) -> tuple[Da
     both = work.save(docs.withColumn("same", same_text(F.col("text"))).mapInArrow(_sets_and_counts, "kind int, id long, same long, n long, name long"), "sets-and-counts")
     meta = both.where("kind = 0").select(F.col("id").alias("doc_id"), "same", "n", "name")
 
-    counts = both.where("kind = 1").groupBy(F.col("id").alias("key")).agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT_FROM)
+    summed = lambda kind, name: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("n"))), F.lit(0)).alias(name)
+    told = both.agg(summed(0, "all"), summed(1, "shared"), summed(2, "parts")).first()
+    counts = both.where("kind = 1").groupBy(F.col("id").alias("key")).agg(F.sum("n").alias("n")).where(F.col("n") >= frequent_from(told.parts))
     counts = work.save(counts, "frequent")
     steps = counts.groupBy(F.floor(F.log2("n")).cast("int").alias("step")).agg(F.count("*").alias("k")).orderBy(F.desc("step")).collect()  # at most 64 rows
     lowest, total = 63, 0
@@ -337,7 +360,6 @@ def _grouped(docs: DataFrame, work: Workspace, counted: bool = True) -> tuple[Da
         lowest, total = row.step, total + row.k
     frequent = counts.where(F.floor(F.log2("n")) >= lowest).toArrow()  # at most FREQUENT_LIMIT
     sizes = meta.where(F.col("n").between(1, 2 * BOUNDARY_MAX)).groupBy("n").count().collect()  # at most 2 * BOUNDARY_MAX rows
-    told = both.agg(F.coalesce(F.sum(F.when(F.col("kind") == 1, F.col("n"))), F.lit(0)).alias("shared"), F.coalesce(F.sum(F.when(F.col("kind") == 0, F.col("n"))), F.lit(0)).alias("all")).first()
     boundary = boundary_by_cost({r.n: r["count"] for r in sizes}, told.shared / max(1, told.all - told.shared))
 
     order = spark.sparkContext.broadcast(_Order(frequent["key"].to_numpy(), frequent["n"].to_numpy()))

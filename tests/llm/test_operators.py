@@ -149,6 +149,34 @@ def test_pairs_are_not_written_out(spark):
     assert got.n_links.sum() > 400_000 and dict(rows)["lists"] < 30_000 and dict(rows)["linked"] <= 6 * 1500
 
 
+def test_frequent_shingles_in_short_batches(spark):
+    """Texts that share but a frequent shingle are no candidates, however few rows a batch has: it is counted over a whole part of a task."""
+    passages = [" ".join(f"p{k}w{j}" for j in range(5)) for k in range(60)]
+    made = [(i, " ".join(f"{passages[(i * 7 + 11 * j * (1 + i // 60)) % 60]} " + " ".join(f"d{i}x{j}y{w}" for w in range(12)) for j in range(3))) for i in range(2000)]
+    rows = []
+
+    class Counting(jaccard_join.Workspace):
+        def save(self, df, name):
+            out = super().save(df, name)
+            rows.append((name, out.count()))
+            return out
+
+    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(batch)
+    spark.conf.set(batch, "2")
+    try:
+        docs = spark.createDataFrame(made, "doc_id long, text string").repartition(4)
+        assert jaccard_join.one_of_each(docs, Counting(spark, "t")).count() == 2000
+    finally:
+        spark.conf.set(batch, before)
+    assert dict(rows)["frequent"] == 60 and dict(rows)["candidates"] == 0
+
+
+def test_frequent_from():
+    assert jaccard_join.frequent_from(0) == jaccard_join.frequent_from(1) == 32
+    assert jaccard_join.frequent_from(51) == 15 and jaccard_join.frequent_from(10_000) == 2
+
+
 def test_shared_counts():
     rng = np.random.default_rng(8)
     for k, universe in ((2, 20), (5, 40), (100, 300), (130, 4000)):
