@@ -31,10 +31,38 @@ PERMUTATIONS = 256
 #: BANDS bands of BAND_ROWS minima: at a similarity of 0.75 a pair shares none with a chance of 0.4 %, at 0.9 of 2e-6.
 BANDS, BAND_ROWS = 10, 3
 _BLOCK = 512 << 10
+PIECE_ROWS = 500
 _A = mix(np.arange(1, PERMUTATIONS + 1, dtype=np.uint64)) | np.uint64(1)
 _B = mix(np.arange(1001, PERMUTATIONS + 1001, dtype=np.uint64))
 
 
+def _described(texts: pa.Array, permutations: int) -> tuple[np.ndarray, list[int | None], list[int]]:
+    """For each text a row of minima, the name of its shingle set (none without words) and the set's size."""
+    out = np.full((len(texts), permutations), np.iinfo(np.uint64).max, np.uint64)
+    names: list[int | None] = []
+    sizes: list[int] = []
+    for block in blocks(texts, _BLOCK):
+        starts, ends, before = block.words()
+        values, bounds = shingles(block.hashes(starts, ends), before)
+        for i in range(len(block)):
+            s = np.unique(values[bounds[i] : bounds[i + 1]])
+            names.append(signature(s) if len(s) else None)
+            sizes.append(len(s))
+        filled = np.flatnonzero(np.diff(bounds))
+        if len(filled):
+            out[block.first + filled] = _least(values, bounds[filled], permutations)
+    return out, names, sizes
+
+
+def _least(values: np.ndarray, cuts: np.ndarray, permutations: int) -> np.ndarray:
+    v, rows = np.empty_like(values), np.empty((permutations, len(cuts)), np.uint64)
+    for k in range(permutations):
+        np.multiply(values, _A[k], out=v)
+        v += _B[k]
+        np.minimum.reduceat(v, cuts, out=rows[k])
+    return rows.T
+
+
 def minima(texts: pa.Array, permutations: int = PERMUTATIONS) -> np.ndarray:
     """One row of minima for each text."""
     out = np.full((len(texts), permutations), np.iinfo(np.uint64).max, np.uint64)
@@ -42,17 +70,18 @@ def minima(texts: pa.Array, permutations: int = PERMUTATIONS) -> np.ndarray:
         starts, ends, before = block.words()
         values, bounds = shingles(block.hashes(starts, ends), before)
         filled = np.flatnonzero(np.diff(bounds))
-        if not len(filled):
-            continue
-        cuts, v, rows = bounds[filled], np.empty_like(values), np.empty((permutations, len(filled)), np.uint64)
-        for k in range(permutations):
-            np.multiply(values, _A[k], out=v)
-            v += _B[k]
-            np.minimum.reduceat(v, cuts, out=rows[k])
-        out[block.first + filled] = rows.T
+        if len(filled):
+            out[block.first + filled] = _least(values, bounds[filled], permutations)
     return out
 
 
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows PIECE_ROWS at a time: a row takes some 10 kB while it is worked on, and batches may have 10,000 of them."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, PIECE_ROWS):
+            yield batch.slice(at, PIECE_ROWS)
+
+
 def digests(least: np.ndarray) -> np.ndarray:
     """A byte of each minimum."""
     return (mix(least) & np.uint64(0xFF)).astype(np.uint8)
@@ -84,11 +113,10 @@ def _compared(ids: list, texts: list[str], own: np.ndarray, nexts: list[str], ne
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Compares each row with the one after it in its range. The last row of a range is a copy of the next range's first."""
     held = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
+    for batch in _pieces(batches):
         texts, ids, ranges, copies = (batch[c].to_pylist() for c in ("text", "doc_id", "range", "copy"))
-        own, names = digests(minima(batch["text"])), [signature(s) if len(s) else None for b in blocks(batch["text"]) for s in shingle_sets(b)]
+        least, names, _ = _described(batch["text"], PERMUTATIONS)
+        own = digests(least)
         if held is not None:
             texts, ids, ranges, copies, own, names = [held[0], *texts], [held[1], *ids], [held[2], *ranges], [held[3], *copies], np.concatenate([held[4], own]), [held[5], *names]
         at = np.array([i for i in range(len(ids) - 1) if not copies[i] and ranges[i] == ranges[i + 1]], np.int64)
@@ -132,20 +160,21 @@ def fingerprint_neighbours(docs: DataFrame) -> DataFrame:
 
 
 def _bands(shared):
-    """key, name, n of the bands of each text; with ``shared`` those only whose key may be one of it."""
+    """key, name, n of the bands of each text that has words, all in one pass; with ``shared`` those only whose key may be one of it."""
 
     @returns_memory
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            least = minima(batch["text"], BANDS * BAND_ROWS)
-            bands = mix(least.reshape(-1, BANDS, BAND_ROWS) * _A[:BAND_ROWS]).sum(axis=2, dtype=np.uint64)
-            keys = mix(bands + np.arange(BANDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
-            names, sizes = batch["name"].to_numpy(zero_copy_only=False), batch["n"].to_numpy(zero_copy_only=False)
-            keys, names, sizes = keys.ravel(), np.repeat(names, BANDS), np.repeat(sizes, BANDS)
+        for batch in _pieces(batches):
+            least, names, sizes = _described(batch["text"], BANDS * BAND_ROWS)
+            worded = np.array(sizes) > 0
+            bands = mix(least[worded].reshape(-1, BANDS, BAND_ROWS) * _A[:BAND_ROWS]).sum(axis=2, dtype=np.uint64)
+            keys = mix(bands + np.arange(BANDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64).ravel()
+            names = np.repeat(np.array([x for x in names if x is not None], np.int64), BANDS)
+            sizes = np.repeat(np.array(sizes, np.int64)[worded], BANDS)
             if shared is not None:
                 at = shared.value.has(keys)
                 keys, names, sizes = keys[at], names[at], sizes[at]
-            yield pa.record_batch([pa.array(keys), pa.array(names, pa.int64()), pa.array(sizes, pa.int64())], ["key", "name", "n"])
+            yield pa.record_batch([pa.array(keys), pa.array(names), pa.array(sizes)], ["key", "name", "n"])
 
     return run
 
@@ -153,27 +182,18 @@ def _bands(shared):
 @returns_memory
 def _names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for block in blocks(batch["text"]):
-            starts, ends, before = block.words()
-            values, bounds = shingles(block.hashes(starts, ends), before)
-            found = [np.unique(values[bounds[i] : bounds[i + 1]]) for i in range(len(block))]
-            part = lambda c: batch[c].slice(block.first, len(block))  # noqa: E731, B023
-            sizes = pa.array([len(s) for s in found], pa.int64())
-            yield pa.record_batch([part("doc_id"), part("same"), sizes, pa.array([signature(s) if len(s) else None for s in found], pa.int64()), part("text")], ["doc_id", "same", "n", "name", "text"])
-
-
-_NAMED = "doc_id long, same long, n long, name long, text string"
+        found = [(len(s), signature(s) if len(s) else None) for block in blocks(batch["text"]) for s in shingle_sets(block)]
+        yield pa.record_batch([batch["doc_id"], batch["same"], pa.array([n for n, _ in found], pa.int64()), pa.array([x for _, x in found], pa.int64())], ["doc_id", "same", "n", "name"])
 
 
 def _classes(docs: DataFrame, work: Workspace) -> tuple[DataFrame, DataFrame]:
     """The rows (doc_id, same, n, name), and class_id and n_links of names in a class of more than one row."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    named = docs.withColumn("same", same_text(F.col("text"))).mapInArrow(_names, _NAMED)
-    meta = work.save(named.drop("text"), "documents")
+    meta = work.save(docs.withColumn("same", same_text(F.col("text"))).mapInArrow(_names, "doc_id long, same long, n long, name long"), "documents")
     names = names_of(meta, work)
 
     def entries(some: DataFrame, shared=None) -> DataFrame:
-        return some.withColumn("same", same_text(F.col("text"))).mapInArrow(_names, _NAMED).where("name is not null").mapInArrow(_bands(shared), "key long, name long, n long")
+        return some.select("text").mapInArrow(_bands(shared), "key long, name long, n long")
 
     least = entries(docs).groupBy("key").agg(F.min("name").alias("b"), F.max("name").alias("last")).where("b <> last").select("key", "b")
     least = work.save(least, "shared-bands")

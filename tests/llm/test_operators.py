@@ -294,6 +294,25 @@ def test_minima_are_plain_minhash():
             assert int(row[k]) == want
 
 
+def test_fingerprints_take_long_batches_in_pieces(monkeypatch):
+    """What a worker holds does not grow with the rows of a batch; no row is lost at a seam."""
+    pa, seen, digests = lm_scoring.pa, [], fingerprints.digests
+    monkeypatch.setattr(fingerprints, "digests", lambda least: seen.append(len(least)) or digests(least))
+    n = 1801
+    texts = [f"one{i} two three four five six" if i % 9 else "" for i in range(n)]
+    batch = pa.record_batch([pa.array(texts), pa.array(range(n, 0, -1)), pa.array([0] * n), pa.array([False] * (n - 1) + [True])], ["text", "doc_id", "range", "copy"])
+    got = [x for b in fingerprints._neighbours(iter([batch])) for x in b["doc_id"].to_pylist()]
+    assert got == list(range(n, 1, -1)) and max(seen) < 1000
+
+
+def test_bands_read_texts_in_one_pass():
+    pa = lm_scoring.pa
+    texts = ["a b c d e f g", None, "", "a b"]
+    got = [(k, x, n) for b in fingerprints._bands(None)(iter([pa.record_batch([pa.array(texts)], ["text"])])) for k, x, n in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+    sets = [s for b in fingerprints.blocks(pa.array(texts)) for s in fingerprints.shingle_sets(b)]
+    assert [(x, n) for _, x, n in got] == [(fingerprints.signature(s), len(s)) for s in sets if len(s) for _ in range(fingerprints.BANDS)]
+
+
 def test_sharding_groups(spark):
     """Equal texts stay together unless no shard could hold them; null and repeated ids are dealt like others; sizes and checksums are right."""
     big = [(None, "z" * 700)] * 120 + [(5, "y" * 90)] * 60
