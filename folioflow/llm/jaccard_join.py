@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from .components import least_members
 from .linkage import link_sets, names_of, same_text
 from .textblocks import blocks, mix, returns_memory, shingle_sets, signature
-from .workspace import Lookup, Workspace, unused
+from .workspace import Classes, Workspace, unused
 
 #: At most this many frequent shingles are known to all tasks (8 bytes each); the count from which one is frequent rises with the corpus.
 FREQUENT_LIMIT = 1 << 20
@@ -392,7 +392,7 @@ def one_of_each(docs: DataFrame, work: Workspace | None = None) -> DataFrame:
     """``docs`` with one row of each group of linked texts: the one of least id (nulls last), then of least text hash.
 
     Texts without words link with nothing and stay, repeated rows of one once. All columns are kept, whatever their names.
-    Only rows that may have to go are shuffled.
+    Only rows that may repeat another one, or that their key alone does not tell to stay or go, are shuffled.
     """
     work = work or Workspace(docs.sparkSession, "jaccard")
     meta, names, found = _grouped(docs, work, counted=False)
@@ -403,14 +403,15 @@ def one_of_each(docs: DataFrame, work: Workspace | None = None) -> DataFrame:
     wordless = rows.where("name is null").select("doc_id", "same", "times")
     key = F.xxhash64(F.coalesce("doc_id", F.lit(-1)), F.col("doc_id").isNull(), "same")
     chosen = work.save(chosen.unionByName(wordless).withColumn("key", key), "chosen")
-    others = rows.withColumn("key", key).join(chosen, "key", "left_anti").select("key").unionByName(chosen.where("times > 1").select("key"))
-    others = work.save(others, "others")
+    # 0: stays, 1: goes, 2: one of its rows stays
+    kinds = rows.select(key.alias("key")).join(chosen.select("key", "times"), "key", "left").select("key", F.when(F.col("times").isNull(), 1).when(F.col("times") > 1, 2).otherwise(0).alias("kind"))
+    classes = Classes(work.save(kinds, "kinds"), 3)
     work.drop("sets-and-counts", "names", "linked", "linked-large", "large-clusters")
-    own = unused(docs.columns, "_row_key")
+    own, kind = unused(docs.columns, "_row_key"), unused(docs.columns, "_row_kind")
     marked = docs.withColumn(own, F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), F.col("doc_id").cast("long").isNull(), same_text(F.col("text"))))
-    doubtful, sure = Lookup(others).split(marked, F.col(own))
-    doubtful = doubtful.join(chosen.select(F.col("key").alias(own)), own, "left_semi").dropDuplicates([own])
-    return sure.drop(own).unionByName(doubtful.select(*marked.columns).drop(own))
+    told = classes.told(marked, F.col(own), kind)
+    doubtful = told.where(~F.col(kind).isin(0, 1)).join(chosen.select(F.col("key").alias(own)), own, "left_semi").dropDuplicates([own])
+    return told.where(F.col(kind) == 0).select(*docs.columns).unionByName(doubtful.select(*docs.columns))
 
 
 _SUBSETS = "key long, name long, n int, c int"

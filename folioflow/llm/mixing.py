@@ -22,7 +22,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .workspace import Lookup, Workspace, unused
+from .workspace import Classes, Workspace, unused
 
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE = 1.5
@@ -133,16 +133,20 @@ def copies(docs: DataFrame, work: Workspace | None = None) -> DataFrame:
     Rows that are alike in id, source and text may stand for one another. No text is cut. At most one document of each source and block is taken in part, so sources stay near their targets.
     """
     work = work or Workspace(docs.sparkSession, "mix")
-    key, times, rows = (unused(docs.columns, c) for c in ("_mix_key", "_mix_times", "_mix_rows"))
+    key, times, rows, kind = (unused(docs.columns, c) for c in ("_mix_key", "_mix_times", "_mix_rows", "_mix_kind"))
     marked = docs.withColumn(key, F.xxhash64(F.col("doc_id").cast("long"), F.col("doc_id").isNull(), F.col("source").cast("string"), F.col("source").isNull(), F.col("text").cast("string")))
     whole = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(0).cast("int")
-    plan = mix_sources(marked, work, number=F.col(key)).groupBy(F.col("row").alias(key)).agg(F.sum(whole).cast("int").alias(times), F.count("*").alias(rows)).where(F.col(times) > 0)
+    plan = mix_sources(marked, work, number=F.col(key)).groupBy(F.col("row").alias(key)).agg(F.sum(whole).cast("int").alias(times), F.count("*").alias(rows))
     plan = work.save(plan, "plan")
+    # texts stay where they are read: most rows are told how often they are taken, only the others are joined
+    classes = Classes(plan.select(key, F.when(F.col(rows) > 1, MOST + 1).otherwise(F.col(times))), MOST + 2)
+    told = classes.told(marked, F.col(key), kind)
+    sure = told.where(F.col(kind).between(1, MOST)).withColumn(times, F.col(kind))
+    several = told.where(~F.col(kind).between(0, MOST)).join(plan.where(F.col(times) > 0), key)
     # rows that are alike share their copies, so one of them stands for all
-    several, single = Lookup(plan.where(F.col(rows) > 1).select(key)).split(marked, F.col(key))
-    several = several.join(plan, key)
     several = several.where(F.col(rows) == 1).unionByName(several.where(F.col(rows) > 1).dropDuplicates([key]))
-    return single.join(plan, key).unionByName(several).withColumn(times, F.explode(F.array_repeat(F.lit(0), F.col(times)))).select(*docs.columns)
+    columns = [*docs.columns, times]
+    return sure.select(*columns).unionByName(several.select(*columns)).withColumn(times, F.explode(F.array_repeat(F.lit(0), F.col(times)))).select(*docs.columns)
 
 
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

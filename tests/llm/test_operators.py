@@ -629,3 +629,53 @@ def test_joined_sets(monkeypatch):
             told = [linkage._cell(names, sets, [1] * k, side.tolist(), True, counted) for counted in (True, False)]
             first, second = ({} if t is None else dict(zip(t["name"].to_pylist(), t["component"].to_pylist())) for t in told)
             assert first == second
+
+
+def test_classes(spark):
+    """What is told of a key is its class; keys that share a slot with another class are left open, and most are not."""
+    keys = spark.range(3000).selectExpr("xxhash64(id) AS v", "CAST(id % 3 AS int) AS c")
+    told = workspace.Classes(keys, 3).told(keys.withColumn("_page", F.lit("mine")), F.col("v"), "got")
+    assert told.columns == ["v", "c", "_page", "got"]
+    rows = told.collect()
+    assert len(rows) == 3000 and all(r.got in (r.c, -1) for r in rows) and sum(r.got == -1 for r in rows) < 450
+    clash = spark.createDataFrame([(5, 0), (5 + workspace._PAGE, 1), (6, 1)], "v long, c int")
+    assert {r.v: r.got for r in workspace.Classes(clash, 2).told(clash, F.col("v"), "got").collect()} == {5: -1, 5 + workspace._PAGE: -1, 6: 1}
+    assert workspace.Classes(keys.limit(0), 3).told(keys.limit(0), F.col("v"), "got").collect() == []
+
+
+def shuffled(spark, run):
+    """What a run gives, and the bytes that it shuffles where no table is small enough to be broadcast unasked."""
+    sc = spark.sparkContext._jsc.sc()
+
+    def total():
+        sc.listenerBus().waitUntilEmpty()
+        found = sc.statusStore().executorList(False)
+        return sum(found.apply(k).totalShuffleWrite() for k in range(found.size()))
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = total()
+        got = run().collect()
+        return got, total() - before
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_stages_shuffle_few_texts(spark):
+    """Texts stay where they are read while sources are mixed, near copies go and common lines are cut."""
+    own = lambda i, n: " ".join(hashlib.sha256(f"{i} {k}".encode()).hexdigest().translate(str.maketrans("0123456789", "ghijklmnop")) for k in range(n))
+    text = lambda i: f"{own(i, 60)}\nall of them have this line\n{own(-i - 1, 60)}"
+    docs = spark.createDataFrame([(i, text(i), "ab"[i % 2]) for i in range(400)], "doc_id long, text string, source string").repartition(4).localCheckpoint()
+    size = docs.selectExpr("sum(length(text)) AS n").first().n
+    got, n = shuffled(spark, lambda: mixing.copies(docs))
+    assert n < size / 4 and {r.text for r in got} <= {text(i) for i in range(400)}
+    got, n = shuffled(spark, lambda: line_rules.without_rejected(docs))
+    assert n < size / 4 and sorted((r.doc_id, r.text) for r in got) == [(i, text(i) if i < 2 else text(i).replace("all of them have this line\n", "")) for i in range(400)]
+
+
+def test_cut_lines_with_many_common_ones(spark, monkeypatch):
+    """Where the common lines are too many to be known to all tasks, the same are cut."""
+    text = lambda i: "\n".join([" ".join(f"{chr(97 + i // 26)}{chr(97 + i % 26)}{chr(97 + k)}" for k in range(26)), "one common line", "one more of them", "", " ".join(f"{chr(97 + k)}{chr(97 + i % 26)}{chr(97 + i // 26)}" for k in range(26))])
+    docs = spark.createDataFrame([(i, text(i), 5, "a" if i % 3 else None) for i in range(120)], "doc_id long, text string, n_chars long, source string")
+    told = [sorted(tuple(r) for r in line_rules.without_rejected(docs).collect()) for limit in (1 << 20, 1) if not monkeypatch.setattr(line_rules, "COMMON_LIMIT", limit)]
+    assert told[0] == told[1] and len(told[0]) == 120 and sum("common" in r[1] for r in told[0]) == 2
