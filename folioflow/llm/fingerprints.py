@@ -93,10 +93,10 @@ def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.clip((equal - 1 / 256) / (1 - 1 / 256), 0.0, 1.0)
 
 
-_FOUND = "doc_id long, n_chars long, sha binary, own binary, edited binary, near_edited double, near_next double, name long"
+_FOUND = "doc_id long, n_chars long, sha binary, own binary, edited binary, near_edited double, near_next double, name long, class_id long, n_links long"
 
 
-def _compared(ids: list, texts: list[str], own: np.ndarray, nexts: list[str], next_own: np.ndarray, names: list) -> pa.RecordBatch:
+def _compared(ids: list, texts: list[str], own: np.ndarray, nexts: list[str], next_own: np.ndarray, names: list, classes: list) -> pa.RecordBatch:
     edited = []
     for x, y in zip(texts, nexts, strict=True):
         m = len(x) // 3
@@ -105,32 +105,50 @@ def _compared(ids: list, texts: list[str], own: np.ndarray, nexts: list[str], ne
     columns = [
         pa.array(ids, pa.int64()), pa.array([len(x) for x in texts], pa.int64()), pa.array([hashlib.sha256(x.encode()).digest() for x in edited], pa.binary()),
         pa.array([x.tobytes() for x in own], pa.binary()), pa.array([x.tobytes() for x in sketch], pa.binary()), pa.array(likeness(own, sketch)), pa.array(likeness(own, next_own)), pa.array(names, pa.int64()),
+        pa.array([c and c[0] for c in classes], pa.int64()), pa.array([c and c[1] for c in classes], pa.int64()),
     ]
     return pa.record_batch(columns, [x.split()[0] for x in _FOUND.split(", ")])
 
 
+def _classed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list]]:
+    """The rows with a text, and (class_id, n_links) of each that follows a row without text of its id and text hash, else None."""
+    held = None
+    for batch in _pieces(batches):
+        if "class_id" not in batch.schema.names:
+            yield batch, [None] * len(batch)
+            continue
+        worded, found = batch["text"].is_valid(), []
+        for text, *key, class_id, n_links in zip(worded.to_pylist(), *(batch[c].to_pylist() for c in ("doc_id", "same", "class_id", "n_links")), strict=True):
+            if not text:
+                held = key, (class_id, n_links)
+            else:
+                found.append(held[1] if held is not None and held[0] == key else None)
+        if found:
+            yield batch.filter(worded), found
+
+
 @returns_memory
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Compares each row with the one after it in its range. The last row of a range is a copy of the next range's first."""
     held = None
-    for batch in _pieces(batches):
+    for batch, classes in _classed(batches):
         texts, ids, ranges, copies = (batch[c].to_pylist() for c in ("text", "doc_id", "range", "copy"))
         least, names, _ = _described(batch["text"], PERMUTATIONS)
         own = digests(least)
         if held is not None:
-            texts, ids, ranges, copies, own, names = [held[0], *texts], [held[1], *ids], [held[2], *ranges], [held[3], *copies], np.concatenate([held[4], own]), [held[5], *names]
+            texts, ids, ranges, copies, own, names, classes = [held[0], *texts], [held[1], *ids], [held[2], *ranges], [held[3], *copies], np.concatenate([held[4], own]), [held[5], *names], [held[6], *classes]
         at = np.array([i for i in range(len(ids) - 1) if not copies[i] and ranges[i] == ranges[i + 1]], np.int64)
         if len(at):
-            yield _compared([ids[i] for i in at], [texts[i] for i in at], own[at], [texts[i + 1] for i in at], own[at + 1], [names[i] for i in at])
-        held = (texts[-1], ids[-1], ranges[-1], copies[-1], own[-1:], names[-1])
+            yield _compared([ids[i] for i in at], [texts[i] for i in at], own[at], [texts[i + 1] for i in at], own[at + 1], [names[i] for i in at], [classes[i] for i in at])
+        held = (texts[-1], ids[-1], ranges[-1], copies[-1], own[-1:], names[-1], classes[-1])
 
 
 def _ranged(rows: DataFrame, parts: int) -> DataFrame:
-    """The rows with their ``range`` by descending key; the first of each range is also a ``copy`` in the range before."""
-    firsts = rows.select("key").repartitionByRange(parts, F.col("key").desc()).groupBy(F.spark_partition_id()).agg(F.max("key").alias("key")).collect()  # ``parts`` rows
+    """The rows with their ``range`` by descending key; the first of each range is also a ``copy`` in the range before. Rows without text go where those of their key go."""
+    firsts = rows.where("text is not null").select("key").repartitionByRange(parts, F.col("key").desc()).groupBy(F.spark_partition_id()).agg(F.max("key").alias("key")).collect()  # ``parts`` rows
     firsts = sorted(((r.key.has, r.key.id, r.key.same) for r in firsts), reverse=True)
     if not firsts:
-        return rows.select("doc_id", "text", "key", F.lit(0).alias("range"), F.lit(False).alias("copy"))
+        return rows.select(*rows.columns, F.lit(0).alias("range"), F.lit(False).alias("copy"))
     kind = "array<struct<has:boolean,id:bigint,same:bigint>>"
     listed = lambda x: F.from_json(F.lit(json.dumps([{"has": h, "id": i, "same": s} for h, i, s in x])), kind)
     wide = int(len(firsts) ** 0.5) + 1
@@ -138,24 +156,30 @@ def _ranged(rows: DataFrame, parts: int) -> DataFrame:
     coarse = not_after(listed(firsts[::wide])) - 1  # a search in two steps
     marked = rows.withColumn("coarse", coarse).withColumn("near", F.slice(listed(firsts), F.col("coarse") * wide + 1, F.lit(wide)))
     marked = marked.withColumn("range", F.col("coarse") * wide + not_after(F.col("near")) - 1)
-    first = F.element_at(listed(firsts), F.col("range") + 1) == F.col("key")
+    first = (F.element_at(listed(firsts), F.col("range") + 1) == F.col("key")) & F.col("text").isNotNull()
     here = F.struct(F.col("range"), F.lit(False).alias("copy"))
     before = F.struct(F.pmod(F.col("range") - 1, F.lit(len(firsts))).alias("range"), F.lit(True).alias("copy"))
-    return marked.select("doc_id", "text", "key", F.explode(F.when(first, F.array(here, before)).otherwise(F.array(here))).alias("x")).select("doc_id", "text", "key", "x.range", "x.copy")
+    return marked.select(*rows.columns, F.explode(F.when(first, F.array(here, before)).otherwise(F.array(here))).alias("x")).select(*rows.columns, "x.range", "x.copy")
 
 
-def fingerprint_neighbours(docs: DataFrame) -> DataFrame:
+def fingerprint_neighbours(docs: DataFrame, classes: DataFrame | None = None) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, name (of the shingle set) of each row of ``docs`` (doc_id, text).
 
-    The edited text has its last third replaced by as many first characters of the next document by descending id.
+    With ``classes`` (doc_id, same, class_id, n_links) class_id and n_links too, null where there is none for the row's id and text hash: they come to the rows
+    in the same shuffle, so that fingerprints are not shuffled after it. The edited text has its last third replaced by as many first characters of the next document by descending id.
     """
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = rows.withColumn("key", F.struct(F.col("doc_id").isNotNull().alias("has"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.xxhash64("text").alias("same")))
-    ranged = _ranged(rows, parts).repartition(parts, "range").sortWithinPartitions("range", "copy", F.col("key").desc())
+    told = []
+    if classes is not None:
+        key = F.struct(F.col("doc_id").isNotNull().alias("has"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("same"))
+        rows = rows.withColumns({c: F.lit(None).cast("long") for c in ("class_id", "n_links")})
+        rows, told = rows.unionByName(classes.select("doc_id", F.lit(None).cast("string").alias("text"), key.alias("key"), "class_id", "n_links")), [F.col("key.same").alias("same"), "class_id", "n_links"]
+    ranged = _ranged(rows, parts).repartition(parts, "range").sortWithinPartitions("range", "copy", F.col("key").desc(), F.col("text").isNotNull())
     text = lambda c: F.lower(F.hex(c))
-    return ranged.select("doc_id", "text", "range", "copy").mapInArrow(_neighbours, _FOUND).select(
-        "doc_id", "n_chars", text("sha").alias("edited_sha256"), text("own").alias("fingerprint"), text("edited").alias("edited_fingerprint"), "near_edited", "near_next", "name"
+    return ranged.select("doc_id", "text", "range", "copy", *told).mapInArrow(_neighbours, _FOUND).select(
+        "doc_id", "n_chars", text("sha").alias("edited_sha256"), text("own").alias("fingerprint"), text("edited").alias("edited_fingerprint"), "near_edited", "near_next", "name", *(x for x in ("class_id", "n_links") if told)
     )
 
 
@@ -224,8 +248,11 @@ def near_duplicates(docs: DataFrame, work: Workspace | None = None) -> DataFrame
 
 def fingerprints(docs: DataFrame, work: Workspace | None = None) -> DataFrame:
     """``fingerprint_neighbours`` with class_id and n_links of ``near_duplicates``."""
-    _, told = _classes(docs, work or Workspace(docs.sparkSession, "bands"))
-    return _with_classes(fingerprint_neighbours(docs), told)
+    work = work or Workspace(docs.sparkSession, "bands")
+    meta, told = _classes(docs, work)
+    # rows that repeat id and text have the same class
+    classes = work.save(meta.join(told, "name").select("doc_id", "same", "class_id", "n_links").distinct(), "classes")
+    return fingerprint_neighbours(docs, classes).drop("name").withColumns({"class_id": F.coalesce("class_id", "doc_id"), "n_links": F.coalesce("n_links", F.lit(0)).cast("long")})
 
 
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

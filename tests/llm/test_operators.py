@@ -679,3 +679,17 @@ def test_cut_lines_with_many_common_ones(spark, monkeypatch):
     docs = spark.createDataFrame([(i, text(i), 5, "a" if i % 3 else None) for i in range(120)], "doc_id long, text string, n_chars long, source string")
     told = [sorted(tuple(r) for r in line_rules.without_rejected(docs).collect()) for limit in (1 << 20, 1) if not monkeypatch.setattr(line_rules, "COMMON_LIMIT", limit)]
     assert told[0] == told[1] and len(told[0]) == 120 and sum("common" in r[1] for r in told[0]) == 2
+
+
+def test_fingerprints_are_not_shuffled(spark, docs):
+    """Classes come to the rows with the texts: nothing is shuffled once fingerprints are made. Repeated rows, null ids and texts keep theirs."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        made = fingerprints.fingerprints(docs)
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan[: plan.index("MapInArrow")]
+        want = sorted((r.doc_id or -1, r.class_id or -1, r.n_links) for r in fingerprints.near_duplicates(docs).collect())
+        assert sorted((r.doc_id or -1, r.class_id or -1, r.n_links) for r in made.collect()) == want and any(n for _, _, n in want)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert fingerprints.fingerprints(docs.limit(0)).collect() == []
