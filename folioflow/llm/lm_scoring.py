@@ -45,6 +45,8 @@ LEAST_STEPS, MOST_PASSES = 2000, 16
 SLICES = 64
 #: Tokens of a step; noise classes that they share; noise units for each class of the step; AdaGrad's rate.
 BATCH, NOISE, CLASS_NOISE, RATE = 2048, 32, 3, 0.1
+#: Tokens that are scored at once.
+SCORED = 2048
 #: Parameters are averaged as whole multiples of this.
 GRAIN = 2.0**-24
 END = np.uint64(0x0E4D0E4D0E4D0E4D)
@@ -69,15 +71,29 @@ def tokens(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return out, mix(forms), bounds
 
 
+def _distinct(keys: np.ndarray, forms: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct token hashes, the form of each, and which of them each token has."""
+    found = pa.array(keys.view(np.int64)).dictionary_encode()
+    which, known = found.indices.to_numpy(), found.dictionary.to_numpy().view(np.uint64)
+    form = np.empty(len(known), np.uint64)
+    form[which] = forms
+    return known, form, which
+
+
+def _keeps_blocks() -> None:
+    """The arrays of one step serve the next: glibc gives freed blocks back, and faults new ones in, only above the size of the largest that it has seen freed (32 MB at most)."""
+    np.empty(31 << 20, np.uint8)
+
+
 @returns_memory
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    _keeps_blocks()
     for batch in batches:
         found = [tokens(b)[:2] for b in blocks(batch["text"])]
         if not found:
             continue
-        keys, first, n = np.unique(np.concatenate([h for h, _ in found]), return_index=True, return_counts=True)
-        forms = np.concatenate([u for _, u in found])[first]
-        yield pa.record_batch([pa.array(keys.view(np.int64)), pa.array(forms.view(np.int64)), pa.array(n.astype(np.int64))], ["key", "form", "n"])
+        keys, forms, which = _distinct(*(np.concatenate(x) for x in zip(*found, strict=True)))
+        yield pa.record_batch([pa.array(keys.view(np.int64)), pa.array(forms.view(np.int64)), pa.array(np.bincount(which, minlength=len(keys)))], ["key", "form", "n"])
 
 
 @dataclass
@@ -158,12 +174,21 @@ def contexts(units: np.ndarray, bounds: np.ndarray, before: int) -> np.ndarray:
     return out
 
 
-def _summed(units: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The units that occur, and the sum of the rows of each."""
-    order = _order(units)
-    u = units[order]
-    first = np.flatnonzero(np.concatenate([[True], u[1:] != u[:-1]]))
-    return u[first], np.add.reduceat(np.take(values, order, axis=0), first, axis=0)
+def _runs(x: np.ndarray) -> np.ndarray:
+    """Where a new value begins."""
+    return np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))
+
+
+def _run_sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The sum of the rows of each run. Two floats are added at a time, as one complex number: reduceat is called for each column."""
+    return np.add.reduceat(values.view(np.complex64), first, axis=0).view(np.float32)
+
+
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    """1 / (1 + exp(x)), in place."""
+    np.exp(x, out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
 
 
 def _order(x: np.ndarray) -> np.ndarray:
@@ -178,10 +203,17 @@ class Trainer:
         self.seen = {name: np.full_like(x, 1e-4) for name, x in zip("RCKkQq", p.parts(), strict=True)}
         self.by_class = np.bincount(lex.class_of, lex.share, lex.classes)
         self.inner = lex.share / self.by_class[lex.class_of]
-        # units by class, to draw noise within a class
+        self.log_classes, self.log_units = (np.log(k * x).astype(np.float32) for k, x in ((NOISE, self.by_class), (CLASS_NOISE, self.inner)))
+        # classes and, by class, units to draw noise from
+        self.below = np.cumsum(self.by_class)
+        self.below /= self.below[-1]
         self.members = np.argsort(lex.class_of, kind="stable")
         self.ends = np.cumsum(np.bincount(lex.class_of, minlength=lex.classes))
         self.upto = np.cumsum(self.inner[self.members])
+        self.place = np.empty_like(self.members)
+        self.place[self.members] = np.arange(len(self.members))
+        #: Gradients of units, zero between steps.
+        self.dQ = np.zeros_like(p.Q)
         self.held: list[np.ndarray] = []
         #: Documents for further passes, if there are any.
         self.kept: list[np.ndarray] = []
@@ -219,64 +251,84 @@ class Trainer:
         mixed = np.random.default_rng((len(units), turn)).permutation(len(units))
         for i in range(0, len(units), BATCH):
             part = mixed[i : i + BATCH]
-            part = part[_order(self.lex.class_of[units[part]])]  # by class
+            part = part[_order(self.place[units[part]])]  # by class and unit
             self.step(units[part], np.ascontiguousarray(context[part].T))
 
-    def _move(self, name: str, x: np.ndarray, g: np.ndarray, rows: np.ndarray | slice = slice(None)) -> None:
-        seen = self.seen[name][rows] + g * g
-        self.seen[name][rows] = seen
-        x[rows] -= RATE * g / np.sqrt(seen)
+    def _move(self, name: str, x: np.ndarray, g: np.ndarray, rows: np.ndarray | None = None) -> None:
+        """``rows``: where the gradient isn't zero, each once; all of them if None."""
+        seen = self.seen[name] if rows is None else np.take(self.seen[name], rows, axis=0)
+        seen += g * g
+        g = RATE * g
+        g /= np.sqrt(seen)
+        if rows is None:
+            x -= g
+        else:
+            self.seen[name][rows] = seen
+            x[rows] = np.take(x, rows, axis=0) - g
 
     def step(self, w: np.ndarray, context: np.ndarray) -> None:
-        """``w``: tokens in the order of their classes; ``context``: for each place, the unit there of each token."""
+        """``w``: tokens in the order of their classes, and of units within; ``context``: for each place, the unit there of each token."""
         p, n, c = self.p, len(w), self.lex.class_of[w]
-        near = [np.take(p.R, context[k], axis=0) for k in range(CONTEXT)]
+        near = np.take(p.R, context, axis=0)
         v = near[0] * p.C[0]
         for k in range(1, CONTEXT):
             v += near[k] * p.C[k]
         # classes: all tokens of the step share their noise
-        first = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]]))
-        noise = self.rng.choice(len(self.by_class), NOISE, p=self.by_class)
-        log_noise = np.log(NOISE * self.by_class).astype(np.float32)
-        K, N = np.take(p.K, c, axis=0), p.K[noise]
-        gs = (1 / (1 + np.exp((log_noise - p.k)[c] - np.einsum("nd,nd->n", v, K))) - 1) / n
-        gt = 1 / (1 + np.exp((log_noise - p.k)[noise] - v @ N.T)) / n
-        gv = gs[:, None] * K + gt @ N
-        dK, dk = np.zeros_like(p.K), np.bincount(noise, gt.sum(axis=0), len(p.k)).astype(np.float32)
-        np.add.at(dK, noise, gt.T @ v)
-        dK[c[first]] += np.add.reduceat(gs[:, None] * v, first, axis=0)
-        dk += np.bincount(c, gs, len(p.k)).astype(np.float32)
-        # units: all tokens of a class share theirs
+        noise = np.searchsorted(self.below, self.rng.random(NOISE), "right")
+        log_noise = self.log_classes - p.k
+        N = p.K[noise]
+        gt = _sigmoid(log_noise[noise] - v @ N.T)
+        gt /= n
+        # units: all tokens of a class share theirs, which stand beside the class itself
         drawn = np.searchsorted(self.upto, np.arange(len(self.ends))[:, None] + self.rng.random((len(self.ends), CLASS_NOISE)), "right")
         other = self.members[np.minimum(drawn, self.ends[:, None] - 1)]
-        log_inner = np.log(CLASS_NOISE * self.inner).astype(np.float32) - p.q
+        log_inner = self.log_units - p.q
+        shared = np.take(np.concatenate([p.K[:, None], p.Q[other]], axis=1), c, axis=0)
+        gs = _sigmoid(np.concatenate([log_noise[:, None], log_inner[other]], axis=1)[c] - np.einsum("nd,nmd->nm", v, shared))
+        gs[:, 0] -= 1
+        gs /= n
         Q = np.take(p.Q, w, axis=0)
-        hs = (1 / (1 + np.exp(log_inner[w] - np.einsum("nd,nd->n", v, Q))) - 1) / n
-        gv += hs[:, None] * Q
-        told, ends = [(w, hs[:, None] * v)], np.bincount(w, hs, len(p.q))
+        hs = (_sigmoid(log_inner[w] - np.einsum("nd,nd->n", v, Q)) - 1) / n
+        gv = np.einsum("nm,nmd->nd", gs, shared)
+        gv += gt @ N
+        Q *= hs[:, None]
+        gv += Q
+        # gradients of classes and of units; no unit is in two classes
+        dK, dk = np.zeros_like(p.K), np.bincount(noise, np.ones(n, np.float32) @ gt, len(p.k)) + np.bincount(c, gs[:, 0], len(p.k))
+        np.add.at(dK, noise, gt.T @ v)
+        dq = np.bincount(w, hs, len(p.q))
+        runs, first = _runs(w), _runs(c)
+        self.dQ[w[runs]] = _run_sums(np.multiply(hs[:, None], v, out=Q), runs)
+        kinds, pull, told = c[first], gs.T, np.empty((len(first), 1 + CLASS_NOISE, WIDTH), np.float32)
+        for k, (x, y) in enumerate(zip(first.tolist(), [*first[1:].tolist(), n], strict=True)):
+            np.matmul(pull[:, x:y], v[x:y], out=told[k])
+        dK[kinds] += told[:, 0]
+        drawn = other[kinds]
         for m in range(CLASS_NOISE):
-            u = other[c, m]
-            Q = np.take(p.Q, u, axis=0)
-            ht = 1 / (1 + np.exp(log_inner[u] - np.einsum("nd,nd->n", v, Q))) / n
-            gv += ht[:, None] * Q
-            told.append((other[c[first], m], np.add.reduceat(ht[:, None] * v, first, axis=0)))
-            ends += np.bincount(u, ht, len(p.q))
-        units, dQ = _summed(np.concatenate([u for u, _ in told]), np.concatenate([x for _, x in told]))
-        self._move("Q", p.Q, dQ, units)
-        self._move("q", p.q, ends.astype(np.float32))
+            self.dQ[drawn[:, m]] += told[:, m + 1]
+            dq += np.bincount(other[c, m], gs[:, m + 1], len(p.q))
+        units = np.flatnonzero(np.bincount(np.concatenate([w[runs], drawn.ravel()])))
+        self._move("Q", p.Q, np.take(self.dQ, units, axis=0), units)
+        self.dQ[units] = 0
+        self._move("q", p.q, dq.astype(np.float32))
         self._move("K", p.K, dK)
-        self._move("k", p.k, dk)
+        self._move("k", p.k, dk.astype(np.float32))
         dC = np.stack([np.einsum("nd,nd->d", gv, near[k]) for k in range(CONTEXT)])
-        units, dR = _summed(context.ravel(), np.concatenate([gv * p.C[k] for k in range(CONTEXT)]))
-        self._move("R", p.R, dR, units)
+        at = context.ravel()
+        order = _order(at)
+        at, near = at[order], np.multiply(gv, p.C[:, None], out=near)
+        first = _runs(at)
+        self._move("R", p.R, _run_sums(np.take(near.reshape(-1, WIDTH), order, axis=0), first), at[first])
         self._move("C", p.C, dC)
 
 
 def _log_softmax(s: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The log of the normalised exponential of one column of each row."""
-    s = s - s.max(axis=1, keepdims=True)
-    own = s[np.arange(len(s)), at]
-    return own - np.log(np.exp(s, out=s).sum(axis=1))
+    """The log of the normalised exponential of one column of each row. ``s`` is overwritten."""
+    if max(s.max(), -s.min()) > 60:  # else no exponential or sum leaves the range of a float
+        s -= s.max(axis=1, keepdims=True)
+    own = np.take(s.ravel(), np.arange(len(s)) * s.shape[1] + at)
+    np.exp(s, out=s)
+    return own - np.log(s @ np.ones(s.shape[1], s.dtype))
 
 
 def log10_units(p: Parameters, lex: Lexicon, target: np.ndarray, context: np.ndarray) -> np.ndarray:
@@ -287,20 +339,30 @@ def log10_units(p: Parameters, lex: Lexicon, target: np.ndarray, context: np.nda
     place = np.empty_like(members)
     place[members] = np.arange(len(members)) - np.repeat(ends[:-1], np.diff(ends))
     table = [p.R * p.C[k] for k in range(CONTEXT)]
+    inside = [(p.Q[members[x:y]].T, p.q[members[x:y]]) for x, y in zip(ends[:-1], ends[1:], strict=True)]
     for i in range(0, len(target), 1 << 15):
         w, c = target[i : i + (1 << 15)], context[i : i + (1 << 15)]
         order = _order(lex.class_of[w])
-        w, c = w[order], c[order].T
-        v = np.take(table[0], c[0], axis=0)
-        for k in range(1, CONTEXT):
-            v += np.take(table[k], c[k], axis=0)
+        w, c = w[order], np.ascontiguousarray(c[order].T)
         kind = lex.class_of[w]
-        got = _log_softmax(v @ p.K.T + p.k, kind)
-        first = np.flatnonzero(np.concatenate([[True], kind[1:] != kind[:-1]]))
-        for x, y in zip(first, np.append(first[1:], len(w)), strict=True):
-            units = members[ends[kind[x]] : ends[kind[x] + 1]]
-            if len(units) > 1:
-                got[x:y] += _log_softmax(v[x:y] @ p.Q[units].T + p.q[units], place[w[x:y]])
+        v, got = np.empty((len(w), WIDTH), np.float32), np.empty(len(w), np.float32)
+        for x in range(0, len(w), SCORED):  # few enough for a core's cache
+            y = min(x + SCORED, len(w))
+            sums = np.take(table[0], c[0, x:y], axis=0, out=v[x:y], mode="clip")
+            for k in range(1, CONTEXT):
+                sums += np.take(table[k], c[k, x:y], axis=0)
+            scores = sums @ p.K.T
+            scores += p.k
+            got[x:y] = _log_softmax(scores, kind[x:y])
+        at, first = place[w], _runs(kind)
+        for x, end in zip(first.tolist(), [*first[1:].tolist(), len(w)], strict=True):
+            Q, q = inside[kind[x]]
+            if len(q) > 1:
+                for a in range(x, end, SCORED):
+                    b = min(a + SCORED, end)
+                    scores = v[a:b] @ Q
+                    scores += q
+                    got[a:b] += _log_softmax(scores, at[a:b])
         out[i + order] = got / np.log(10)
     return out
 
@@ -311,11 +373,13 @@ _TOKENS = "row struct<doc_id:long,row:long,part:long,round:int,order:long>, n_to
 def _unit_rows(lexicon):
     @returns_memory
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _keeps_blocks()
         lex = lexicon.value
         for batch in batches:
             for block in blocks(batch["text"]):
                 keys, forms, bounds = tokens(block)
-                units, known, logs = lex.look_up(keys, forms)
+                words, form, which = _distinct(keys, forms)
+                units, known, logs = (np.take(x, which) for x in lex.look_up(words, form))
                 shared = units >= lex.own
                 # a word of a shared unit: its share of the unit is added by its count, here or by the join
                 share = np.where(shared, logs - lex.shared_log[np.maximum(units - lex.own, 0)], 0.0)
@@ -349,6 +413,7 @@ def _trained(lexicon, start, passes: int):
 
     @returns_memory
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _keeps_blocks()
         lex, now, trainer = lexicon.value, None, None
         for batch in batches:
             parts = batch["part"].to_numpy()
@@ -382,6 +447,7 @@ def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _scores(lexicon, parameters):
     @returns_memory
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _keeps_blocks()
         lex = lexicon.value
         p = Parameters.of(parameters.value, lex.own, lex.classes)
         for batch in batches:

@@ -249,6 +249,73 @@ def test_lm_training_learns_contexts():
     assert got[0] > 5 * got[1]
 
 
+def plain_step(p, seen, lex, rng, w, context):
+    """One step of noise-contrastive estimation with AdaGrad, token by token."""
+    n, (R, C, K, k, Q, q) = len(w), (x.astype(float) for x in p.parts())
+    by_class = np.bincount(lex.class_of, lex.share, lex.classes)
+    inner = lex.share / by_class[lex.class_of]
+    members = [np.flatnonzero(lex.class_of == c) for c in range(lex.classes)]
+    noise = rng.choice(lex.classes, lm_scoring.NOISE, p=by_class)
+    drawn = rng.random((lex.classes, lm_scoring.CLASS_NOISE))
+    other = [[m[min(np.searchsorted(np.cumsum(inner[m]), x, "right"), len(m) - 1)] for x in row] for m, row in zip(members, drawn, strict=True)]
+    dR, dC, dK, dk, dQ, dq = (np.zeros_like(x) for x in (R, C, K, k, Q, q))
+    for i in range(n):
+        near, c = context[:, i], lex.class_of[w[i]]
+        v, gv = (R[near] * C).sum(axis=0), np.zeros(lm_scoring.WIDTH)
+        told = [(K, k, dK, dk, c, lm_scoring.NOISE * by_class[c], 1)] + [(K, k, dK, dk, x, lm_scoring.NOISE * by_class[x], 0) for x in noise]
+        told += [(Q, q, dQ, dq, u, lm_scoring.CLASS_NOISE * inner[u], j == 0) for j, u in enumerate([w[i], *other[c]])]
+        for table, bias, dtable, dbias, u, mass, real in told:
+            g = (1 / (1 + mass * np.exp(-v @ table[u] - bias[u])) - real) / n
+            gv += g * table[u]
+            dtable[u] += g * v
+            dbias[u] += g
+        for place, u in enumerate(near):
+            dR[u] += gv * C[place]
+            dC[place] += gv * R[u]
+    return [x - lm_scoring.RATE * g / np.sqrt(s + g * g) for x, g, s in zip((R, C, K, k, Q, q), (dR, dC, dK, dk, dQ, dq), seen, strict=True)]
+
+
+def test_lm_step_is_plain_estimation():
+    """A step's products over classes and runs of units give what single tokens add up to."""
+    lex, rng = small_lexicon(), np.random.default_rng(4)
+    trainer = lm_scoring.Trainer(lm_scoring.Parameters.start(lex), lex)
+    for n in (1, 300):
+        w = rng.choice(46, n, p=lex.share)
+        w = w[np.argsort(trainer.place[w], kind="stable")]
+        context = rng.integers(0, 47, (lm_scoring.CONTEXT, n)).astype(np.int32)
+        state = np.random.default_rng()
+        state.bit_generator.state = trainer.rng.bit_generator.state
+        want = plain_step(trainer.p, [trainer.seen[x].astype(float) for x in "RCKkQq"], lex, state, list(w), context)
+        trainer.step(w, context)
+        assert all(abs(x - y).max() < 1e-4 for x, y in zip(trainer.p.parts(), want, strict=True)) and not trainer.dQ.any()
+
+
+def test_lm_work_is_shared(monkeypatch):
+    """A word is looked up once for a block, however often it occurs, and tokens are scored few enough at once for a core's cache."""
+    seen, rows = [], []
+
+    class Counting(lm_scoring.Lexicon):
+        def look_up(self, keys, forms):
+            seen.append(len(keys))
+            return super().look_up(keys, forms)
+
+    lex = Counting(**vars(small_lexicon()))
+    pa, softmax = lm_scoring.pa, lm_scoring._log_softmax
+    batch = pa.record_batch([pa.array([{"doc_id": 1}, {"doc_id": 2}]), pa.array(["a b a " * 300, ""])], ["row", "text"])
+    got = list(lm_scoring._unit_rows(type("Shared", (), {"value": lex}))(iter([batch])))
+    assert seen == [3] and [x for b in got for x in b["n_tokens"].to_pylist()] == [901, 1]
+    monkeypatch.setattr(lm_scoring, "_log_softmax", lambda s, at: rows.append(len(s)) or softmax(s, at))
+    units = np.random.default_rng(5).integers(0, 46, 9000)
+    near = np.full((9000, lm_scoring.CONTEXT), 46, np.int32)
+    p = lm_scoring.Parameters.start(lex)
+    whole = lm_scoring.log10_units(p, lex, units, near)
+    assert max(rows) <= 2048 and sum(rows) >= 9000
+    # far scores are shifted
+    p.k[3] += 500
+    far = 10 ** lm_scoring.log10_units(p, lex, np.arange(46), near[:46])
+    assert np.isfinite(whole).all() and abs(far.sum() - 1) < 1e-4
+
+
 def test_lm_scores_ignore_partitions_and_case(spark, monkeypatch):
     monkeypatch.setattr(lm_scoring, "PART_TOKENS", 2000)
     rows = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").limit(120).collect() + [(10_000, "THE the The thE " * 20)]
