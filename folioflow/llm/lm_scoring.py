@@ -166,12 +166,13 @@ class Parameters:
 
 def contexts(units: np.ndarray, bounds: np.ndarray, before: int) -> np.ndarray:
     """The CONTEXT units before each token, nearest first; ``before`` where the text hasn't begun."""
-    at = np.arange(len(units)) - np.repeat(bounds[:-1], np.diff(bounds))
-    out = np.full((len(units), CONTEXT), before, np.int32)
+    out = np.full((CONTEXT, len(units)), before, np.int32)
     for k in range(CONTEXT):
-        out[k + 1 :, k] = units[: max(0, len(units) - k - 1)]
-        out[at <= k, k] = before
-    return out
+        out[k, k + 1 :] = units[: max(0, len(units) - k - 1)]
+        for place in range(k + 1):
+            at = bounds[:-1] + place
+            out[k, at[at < bounds[1:]]] = before
+    return out.T
 
 
 def _runs(x: np.ndarray) -> np.ndarray:
@@ -179,9 +180,14 @@ def _runs(x: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))
 
 
-def _run_sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """The sum of the rows of each run. Two floats are added at a time, as one complex number: reduceat is called for each column."""
-    return np.add.reduceat(values.view(np.complex64), first, axis=0).view(np.float32)
+def _run_sums(values: np.ndarray, order: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The sums of runs of rows in an order. Rows alone are only copied, and two floats are added at a time, as one complex number: reduceat loops over columns and runs."""
+    size = np.diff(np.append(first, len(order)))
+    sums, long = np.take(values, order[first], axis=0), size > 1
+    if long.any():
+        rows = np.take(values, order[np.repeat(long, size)], axis=0)
+        sums[long] = np.add.reduceat(rows.view(np.complex64), np.cumsum(size[long]) - size[long], axis=0).view(np.float32)
+    return sums
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -252,7 +258,7 @@ class Trainer:
         for i in range(0, len(units), BATCH):
             part = mixed[i : i + BATCH]
             part = part[_order(self.place[units[part]])]  # by class and unit
-            self.step(units[part], np.ascontiguousarray(context[part].T))
+            self.step(units[part], np.take(context.T, part, axis=1))
 
     def _move(self, name: str, x: np.ndarray, g: np.ndarray, rows: np.ndarray | None = None) -> None:
         """``rows``: where the gradient isn't zero, each once; all of them if None."""
@@ -284,7 +290,7 @@ class Trainer:
         other = self.members[np.minimum(drawn, self.ends[:, None] - 1)]
         log_inner = self.log_units - p.q
         shared = np.take(np.concatenate([p.K[:, None], p.Q[other]], axis=1), c, axis=0)
-        gs = _sigmoid(np.concatenate([log_noise[:, None], log_inner[other]], axis=1)[c] - np.einsum("nd,nmd->nm", v, shared))
+        gs = _sigmoid(np.take(np.concatenate([log_noise[:, None], log_inner[other]], axis=1), c, axis=0) - np.einsum("nd,nmd->nm", v, shared))
         gs[:, 0] -= 1
         gs /= n
         Q = np.take(p.Q, w, axis=0)
@@ -298,7 +304,7 @@ class Trainer:
         np.add.at(dK, noise, gt.T @ v)
         dq = np.bincount(w, hs, len(p.q))
         runs, first = _runs(w), _runs(c)
-        self.dQ[w[runs]] = _run_sums(np.multiply(hs[:, None], v, out=Q), runs)
+        self.dQ[w[runs]] = _run_sums(np.multiply(hs[:, None], v, out=Q), np.arange(n), runs)
         kinds, pull, told = c[first], gs.T, np.empty((len(first), 1 + CLASS_NOISE, WIDTH), np.float32)
         for k, (x, y) in enumerate(zip(first.tolist(), [*first[1:].tolist(), n], strict=True)):
             np.matmul(pull[:, x:y], v[x:y], out=told[k])
@@ -318,7 +324,7 @@ class Trainer:
         order = _order(at)
         at, near = at[order], np.multiply(gv, p.C[:, None], out=near)
         first = _runs(at)
-        self._move("R", p.R, _run_sums(np.take(near.reshape(-1, WIDTH), order, axis=0), first), at[first])
+        self._move("R", p.R, _run_sums(near.reshape(-1, WIDTH), order, first), at[first])
         self._move("C", p.C, dC)
 
 
@@ -343,7 +349,7 @@ def log10_units(p: Parameters, lex: Lexicon, target: np.ndarray, context: np.nda
     for i in range(0, len(target), 1 << 15):
         w, c = target[i : i + (1 << 15)], context[i : i + (1 << 15)]
         order = _order(lex.class_of[w])
-        w, c = w[order], np.ascontiguousarray(c[order].T)
+        w, c = w[order], np.take(c.T, order, axis=1)
         kind = lex.class_of[w]
         v, got = np.empty((len(w), WIDTH), np.float32), np.empty(len(w), np.float32)
         for x in range(0, len(w), SCORED):  # few enough for a core's cache
@@ -367,7 +373,7 @@ def log10_units(p: Parameters, lex: Lexicon, target: np.ndarray, context: np.nda
     return out
 
 
-_TOKENS = "row struct<doc_id:long,row:long,part:long,round:int,order:long>, n_tokens long, known long, logs double, shares double, units array<int>, rest array<long>"
+_TOKENS = "row struct<doc_id:long,row:long,part:long,round:int,order:long>, n_tokens long, known long, logs double, shares double, units array<int>, rest array<long>, times array<int>"
 
 
 def _unit_rows(lexicon):
@@ -384,14 +390,20 @@ def _unit_rows(lexicon):
                 # a word of a shared unit: its share of the unit is added by its count, here or by the join
                 share = np.where(shared, logs - lex.shared_log[np.maximum(units - lex.own, 0)], 0.0)
                 total = lambda x: np.add.reduceat(x, bounds[:-1])  # noqa: E731, B023
+                # words that aren't known here, once for each text that has them
                 at = np.flatnonzero(~known)
-                lists = lambda cuts, x: pa.ListArray.from_arrays(cuts.astype(np.int32), pa.array(x))
+                text = np.searchsorted(bounds, at, "right") - 1
+                by = np.lexsort((keys[at], text))
+                rare, text = keys[at][by], text[by]
+                first = np.flatnonzero(np.concatenate([[True], (rare[1:] != rare[:-1]) | (text[1:] != text[:-1])])[: len(at)])
+                cuts, times = np.searchsorted(text[first], np.arange(len(block) + 1)), np.diff(np.append(first, len(at)))
+                lists = lambda ends, x: pa.ListArray.from_arrays(ends.astype(np.int32), pa.array(x))
                 yield pa.record_batch(
                     [
                         batch["row"].slice(block.first, len(block)), pa.array(np.diff(bounds)), pa.array(total(known.astype(np.int64))), pa.array(total(logs)), pa.array(total(share)),
-                        lists(bounds, units.astype(np.int32)), lists(np.searchsorted(at, bounds), keys[at].view(np.int64)),
+                        lists(bounds, units.astype(np.int32)), lists(cuts, rare[first].view(np.int64)), lists(cuts, times.astype(np.int32)),
                     ],
-                    ["row", "n_tokens", "known", "logs", "shares", "units", "rest"],
+                    ["row", "n_tokens", "known", "logs", "shares", "units", "rest", "times"],
                 )
 
     return run
@@ -502,7 +514,7 @@ def score_texts(docs: DataFrame, work: Workspace | None = None) -> DataFrame:
     part, turn = F.when(held, F.lit(-1)).otherwise(F.pmod(F.xxhash64(order, F.lit(5)), F.lit(parts))).cast("long"), F.pmod(F.xxhash64(order, F.lit(9)), F.lit(rounds)).cast("int")
     rows = docs.select(F.struct("doc_id", F.monotonically_increasing_id().alias("row"), part.alias("part"), turn.alias("round"), order.alias("order")).alias("row"), "text")
     found = rows.mapInArrow(_unit_rows(lexicon), _TOKENS)
-    found = work.save(found.select("row.*", "n_tokens", "known", "logs", "shares", "units", "rest"), "tokens")
+    found = work.save(found.select("row.*", "n_tokens", "known", "logs", "shares", "units", "rest", "times"), "tokens")
 
     flat = Parameters.start(lex).flat()
     for k in range(rounds):
@@ -513,10 +525,10 @@ def score_texts(docs: DataFrame, work: Workspace | None = None) -> DataFrame:
             flat = np.concatenate([np.frombuffer(r.mean, np.float32) for r in sums])
     scored = found.select("row", "units").mapInArrow(_scores(lexicon, spark.sparkContext.broadcast(flat)), "row long, model double")
     scored = work.save(scored, "scored")
-    rest = found.select("row", F.explode("rest").alias("key")).groupBy("row", "key").agg(F.count("*").alias("times"))
+    rest = found.select("row", F.inline(F.arrays_zip("rest", "times")).alias("key", "times"))
     rest = rest.join(counts.where(step < lowest).select("key", "n"), "key").groupBy("row").agg(F.sum("times").alias("more"), F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("more_logs"))
     more, more_logs = F.coalesce("more", F.lit(0)), F.coalesce("more_logs", F.lit(0.0))
-    return found.drop("rest", "units").join(scored, "row").join(rest, "row", "left").select(
+    return found.drop("rest", "times", "units").join(scored, "row").join(rest, "row", "left").select(
         "doc_id", (fold(F.col("doc_id")) == HELD).alias("held_out"), "n_tokens", (F.col("known") + more).alias("n_known"), F.lit(told.tokens).cast("long").alias("train_tokens"),
         (F.col("logs") + more_logs - F.col("n_tokens") * F.log10(F.lit(float(told.tokens + told.words + 1)))).alias("base_score"), (F.col("model") + F.col("shares") + more_logs).alias("score"),
     )

@@ -316,6 +316,23 @@ def test_lm_work_is_shared(monkeypatch):
     assert np.isfinite(whole).all() and abs(far.sum() - 1) < 1e-4
 
 
+def test_lm_rare_words_come_once():
+    """Words that tasks don't know leave once for each text, with how often they occur there; all texts' contexts end at their beginnings."""
+    pa, lex = lm_scoring.pa, small_lexicon()
+    end = lm_scoring.Lexicon(**vars(lex) | {"keys": np.array([lm_scoring.END]), "logs": np.array([0.5]), "units": np.array([2])})
+    batch = pa.record_batch([pa.array([{"doc_id": i} for i in range(4)]), pa.array(["b a b b", "", None, "A c\ta"])], ["row", "text"])
+    got = pa.Table.from_batches(lm_scoring._unit_rows(type("Shared", (), {"value": end}))(iter([batch]))).to_pydict()
+    assert [sorted(x) for x in got["times"]] == [[1, 3], [], [], [1, 2]] and [len(set(x)) for x in got["rest"]] == [2, 0, 0, 2]
+    assert got["known"] == [1, 1, 1, 1] and got["n_tokens"] == [5, 1, 1, 4]
+    a, b = (dict(zip(got["rest"][i], got["times"][i], strict=True)) for i in (0, 3))
+    assert [(a[k], b[k]) for k in a.keys() & b.keys()] == [(1, 2)]
+    units, bounds = np.arange(20, 32), np.array([0, 1, 2, 8, 12])
+    near = lm_scoring.contexts(units, bounds, 99)
+    for x, y in zip(bounds[:-1], bounds[1:], strict=True):
+        for i in range(x, y):
+            assert near[i].tolist() == [units[i - k] if i - k >= x else 99 for k in range(1, lm_scoring.CONTEXT + 1)]
+
+
 def test_lm_scores_ignore_partitions_and_case(spark, monkeypatch):
     monkeypatch.setattr(lm_scoring, "PART_TOKENS", 2000)
     rows = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").limit(120).collect() + [(10_000, "THE the The thE " * 20)]
