@@ -1,20 +1,24 @@
 """Words with places on a page: rows out of them, values beside labels, amounts near keywords.
 
 A token has a page, its number ``n`` in reading order, a text and a box (x, y, w, h; whole numbers of pixels). Pages are of bounded size: only
-what belongs to one page comes together, and tokens meet labels through a grid of cells, never each with each. Null texts and tokens without a place are no tokens. Ties go to the
+what belongs to one page comes together, and tokens meet labels in windows of a sorted page, never each with each. Null texts and tokens without a place are no tokens. Ties go to the
 one further left, then to the one read first.
 """
 
 from __future__ import annotations
 
-import functools
+import re
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.columns import folded
+from ..functions.columns import ACCENTED, PLAIN, folded
 from ..sources.ledger import table
-from .fields import latin_digits
+from .fields import EASTERN, LATIN, latin_digits
 
 #: Size of the rendered pages.
 WIDTH, HEIGHT = 1000, 1400
@@ -24,6 +28,20 @@ TOLERANCES = {"median": (14, 0.012), "mean": (14, 0.02), "line": (10, 0.015)}
 WINDOW, WIDE_WINDOW, UNIT_WINDOW, RANGE_WINDOW = 72, 170, 18, 45
 VALUES_FROM, VALUES_TO, UNIT_SPAN, RANGES_FROM, LINE_TO = 0.30, 0.68, 0.16, 0.74, 0.76
 LONGEST_LINE = 220
+# Words of nine laboratory labels, and which of them a label has; the first label that fits is a row's.
+LABEL_WORDS = ("glycem", "thyreostimuline|\\btsh\\b", "cholesterol", "hdl", "ldl", "total", "triglycer", "uree", "creatinin", "\\bcrp\\b")
+LABELS = ("Glycemie a jeun", "Thyreostimuline (TSH)", "Cholesterol HDL", "Cholesterol LDL", "Cholesterol total", "Triglycerides", "Uree", "Creatinine", "CRP")
+_BITS = (1, 2, 4 + 8, 4 + 16, 4 + 32, 64, 128, 256, 512)
+TSH, LABEL_OF = 1, np.array([next((k for k, b in enumerate(_BITS) if mask & b == b), -1) for mask in range(1 << len(LABEL_WORDS))])
+_END = r"(?:\r\n|[\n\r\x85\u2028\u2029])?\Z"  # as $ is read on the JVM
+NOT_PLAIN, NUMBER = re.compile(r"(?a)[^a-z0-9/%\s]"), re.compile(r"(?a)^[<>]?\d{1,4}(?:\.\d{1,3})?" + _END)
+RANGE = re.compile(r"(?a)^(\d{1,4}(?:\.\d{1,3})?)\s*(?:-|[aA])\s*(\d{1,4}(?:\.\d{1,3})?)" + _END)
+UNIT_RULES = tuple((re.compile(pattern + _END), name) for pattern, name in (("^g/?l", "g/l"), ("^mmol/?l", "mmol/l"), ("^m?ui/?l", "mUI/l"), ("^u?mol/?l", "umol/l"), ("^mg/?d?l", None)))
+OTHER_UNITS = ("%", "g%", "ng/ml", "ui/l")
+FOLDED, DIGITS = str.maketrans(ACCENTED, PLAIN), str.maketrans(EASTERN, LATIN)
+VALUES = ("page", "label", "row", "value", "unit", "reference", "line")
+# Tokens that a task takes at a time (a page is never cut), rows that it hands back at a time, words that it remembers.
+BLOCK, BATCH, MOST_RULES = 200_000, 10_000, 200_000
 # Scores of amounts near keywords.
 FAR, SHAPE_BONUS = 1000, 150
 
@@ -72,17 +90,6 @@ def page_rows(tokens: DataFrame, kind: str, height: int = HEIGHT) -> DataFrame:
     )
 
 
-def table_label(text: Column) -> Column:
-    """The one of nine laboratory labels that a row's text names, or null."""
-    plain = F.trim(F.regexp_replace(F.regexp_replace(folded(text), r"[^a-z0-9/%\s]", " "), r"\s+", " "))
-    has = lambda word, *more: functools.reduce(lambda a, w: a & F.contains(plain, F.lit(w)), more, F.contains(plain, F.lit(word)))
-    return (
-        F.when(has("glycem"), "Glycemie a jeun").when(has("thyreostimuline") | plain.rlike(r"\btsh\b"), "Thyreostimuline (TSH)")
-        .when(has("cholesterol", "hdl"), "Cholesterol HDL").when(has("cholesterol", "ldl"), "Cholesterol LDL").when(has("cholesterol", "total"), "Cholesterol total")
-        .when(has("triglycer"), "Triglycerides").when(has("uree"), "Uree").when(has("creatinin"), "Creatinine").when(plain.rlike(r"\bcrp\b"), "CRP")
-    )
-
-
 def default_unit(label: Column) -> Column:
     return F.when(label.rlike("(?i)glycem|cholesterol|triglycer"), "g/l").when(label.rlike("(?i)tsh|thyreostimuline"), "mUI/l")
 
@@ -97,10 +104,6 @@ def clean_unit(text: Column) -> Column:
     )
 
 
-def is_result_number(text: Column) -> Column:
-    return F.replace(latin_digits(F.trim(text)), F.lit(","), F.lit(".")).rlike(r"^[<>]?\d{1,4}(?:\.\d{1,3})?$")
-
-
 def reference_range(text: Column) -> Column:
     """A range like 4.5-12, in which three digits without a dot are read as d.dd; null for what is none."""
     plain = F.replace(latin_digits(F.trim(text)), F.lit(","), F.lit("."))
@@ -109,39 +112,159 @@ def reference_range(text: Column) -> Column:
     return F.when(plain.rlike(pattern), F.concat(part(1), F.lit("-"), part(2)))
 
 
-def _beside(left: DataFrame, right: DataFrame, size: Column | int, y: str, other: str, on: list[str]) -> DataFrame:
-    """Pairs of rows of a page whose places differ by ``size`` at most: each of ``left`` is put into its cell and both neighbours, each of ``right`` into its own.
+def word_rules(word: str) -> tuple[int, str | None, str | None, str | None]:
+    """What a word is by itself: the LABEL_WORDS in it as bits, and the value, the unit and the range that it stands for, each null if it is none. Unit and range are those of ``clean_unit`` and ``reference_range``."""
+    plain = NOT_PLAIN.sub(" ", word.lower().translate(FOLDED))
+    latin = word.translate(DIGITS)
+    dotted, trimmed = latin.replace(",", "."), latin.strip(" ")
+    unit = re.sub(r"(?a:\s+)", "", word.strip(" ").translate(DIGITS | {ord(c): "l" for c in "Iı1"}))
+    low = re.sub(r"(?a:\s+)", " ", unit.lower().translate(FOLDED)).strip(" ").replace("mul", "mui")
+    unit = next((name or unit for pattern, name in UNIT_RULES if pattern.search(low)), unit if low in OTHER_UNITS else None)
+    ends = RANGE.search(trimmed.replace(",", "."))
+    return (
+        sum(1 << k for k, w in enumerate(LABEL_WORDS) if re.search(w, plain)), re.sub("^[<>]+", "", dotted) if NUMBER.search(trimmed.replace(",", ".")) else None, unit,
+        ends and "-".join(re.sub(r"(?a:^(\d)(\d\d)$)", r"\1.\2", e) for e in ends.groups()),
+    )
+
 
-    ``size`` is a number or a column that both have (which then is one of ``on``).
+def _row_starts(y: np.ndarray, starts: np.ndarray, within: int) -> np.ndarray:
+    """Whether a row begins at a token, as ``page_rows`` has it for *median*: the next token of all pages at a time."""
+    new = np.zeros(len(y), bool)
+    new[starts] = True
+    sizes = np.diff(starts, append=len(y))
+    by = np.argsort(-sizes, kind="stable")
+    longest, begin = sizes[by], starts[by]
+    first = begin.copy()
+    for k in range(1, int(longest[0])):
+        m = np.searchsorted(-longest, -k)
+        i, b = begin[:m] + k, first[:m]
+        apart = np.abs(y[i] - (y[b + (i - b - 1) // 2] + y[b + (i - b) // 2]) // 2) > within
+        new[i[apart]] = True
+        first[:m] = np.where(apart, i, b)
+    return new
+
+
+def _within(keys: np.ndarray, at: np.ndarray, reach: np.ndarray | int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each of ``at`` the places of the sorted ``keys`` that differ by ``reach`` at most, as pairs (which, place) and counts."""
+    low, high = np.searchsorted(keys, at - reach), np.searchsorted(keys, at + reach, "right")
+    counts = high - low
+    which = np.repeat(np.arange(len(at)), counts)
+    return which, np.arange(len(which)) - np.repeat(np.cumsum(counts) - counts - low, counts), counts
+
+
+def _values_of_pages(tokens: pa.Table, width: int, height: int, rules: dict[str, tuple]) -> pa.Table:
+    """VALUES of the whole pages of a block (page, n, x, y, text; a page's tokens one after another). ``rules`` keeps what is known of words."""
+    pages, n, x, y, texts = (tokens.column(k).combine_chunks() for k in ("page", "n", "x", "y", "text"))
+    starts = np.flatnonzero(np.append(True, pc.not_equal(pages.slice(1), pages.slice(0, len(pages) - 1)).to_numpy(zero_copy_only=False)))
+    n, x, y = n.fill_null(np.iinfo(np.int64).min).to_numpy(), x.to_numpy().astype(np.int64), y.to_numpy().astype(np.int64)
+    coded = texts.dictionary_encode()
+    code, vocabulary = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+    if len(rules) > MOST_RULES:
+        rules.clear()
+    told = [rules.get(w) or rules.setdefault(w, word_rules(w)) for w in vocabulary]
+    rank = np.empty(len(vocabulary), np.int64)
+    rank[sorted(range(len(vocabulary)), key=vocabulary.__getitem__)] = np.arange(len(vocabulary))
+    known = [np.array([t[k] is not None for t in told]) for k in (1, 2, 3)]
+    # places as one number: pages lie further apart than any window reaches
+    page, low = np.repeat(np.arange(len(starts)), np.diff(starts, append=len(y))), int(y.min())
+    apart = int(y.max()) - low + WIDE_WINDOW + 1
+    key = page * apart + (y - low)
+    order = np.lexsort((rank[code], n, x, key))
+    n, x, y, key, code = n[order], x[order], y[order], key[order], code[order]
+    # rows with a label
+    row = np.flatnonzero(_row_starts(y, starts, tolerance("median", height)))
+    size = np.diff(row, append=len(y))
+    number = np.arange(len(row)) - np.searchsorted(row, starts)[page[row]] + 1
+    label = LABEL_OF[np.bitwise_or.reduceat(np.array([t[0] for t in told])[code], row)]
+    has = np.flatnonzero(label >= 0)
+    row, size, number, label = row[has], size[has], number[has], label[has]
+    middle = page[row] * apart + (y[row + (size - 1) // 2] + y[row + size // 2]) // 2 - low
+    reach = np.where(label == TSH, WIDE_WINDOW, WINDOW)
+    # the nearest number of a row: the first of those at the next place from it on, or of those at the last place before it
+    is_value = np.flatnonzero(known[0][code] & (x >= int(width * VALUES_FROM)) & (x <= int(width * VALUES_TO)))
+    places = np.append(key[is_value], np.iinfo(np.int64).max)
+    is_value = np.append(is_value, 0)
+    after = np.searchsorted(places, middle)
+    before = np.searchsorted(places, places[after - 1])
+    far = np.iinfo(np.int64).max
+    to_after, to_before = places[after] - middle, np.where(after > 0, middle - places[before], far)
+    one, other = is_value[before], is_value[after]
+    first = (to_before < to_after) | ((to_before == to_after) & ((x[one] < x[other]) | ((x[one] == x[other]) & (n[one] <= n[other]))))
+    hit = np.where(first, one, other)
+    # of each label the first row with a number
+    found = np.flatnonzero(np.minimum(to_before, to_after) <= reach)
+    found = found[np.sort(np.unique(page[row[found]] * len(LABELS) + label[found], return_index=True)[1])]
+    row, size, number, label, middle, reach, hit = (a[found] for a in (row, size, number, label, middle, reach, hit))
+
+    def least(of: np.ndarray, window: int, right: np.ndarray | None, k: int, by_x: bool) -> pa.Array:
+        """Of what ``of`` marks, beside each value: the first from the left or of the reading order."""
+        of = np.flatnonzero(of)
+        which, at, _ = _within(key[of], key[hit], window)
+        at = of[at]
+        if right is not None:
+            near = (x[at] >= x[hit][which]) & (x[at] <= right[which])
+            which, at = which[near], at[near]
+        names = sorted({t[k] for t in told if t[k] is not None})
+        place = {name: i for i, name in enumerate(names)}
+        name = np.array([place.get(t[k], -1) for t in told])[code[at]]
+        best = np.lexsort((name, n[at], *([x[at]] if by_x else []), which))
+        which, at = np.unique(which[best], return_index=True)
+        out = np.full(len(hit), -1)
+        out[which] = name[best][at]
+        return pa.array(names, pa.string()).take(pa.array(out, mask=out < 0))
+
+    units = least(known[1][code], UNIT_WINDOW, x[hit] + int(width * UNIT_SPAN), 2, True)
+    ranges = least(known[2][code] & (x >= int(width * RANGES_FROM)), RANGE_WINDOW, None, 3, False)
+    left = np.flatnonzero(x <= int(width * LINE_TO))
+    _, at, counts = _within(key[left], middle, reach)
+    words = lambda code: pa.array(vocabulary, pa.string()).take(pa.array(code))
+    line = pc.binary_join(pa.ListArray.from_arrays(np.append(0, np.cumsum(counts)).astype(np.int32), words(code[left[at]])), " ")
+    bare = np.flatnonzero(pc.equal(line, "").to_numpy(zero_copy_only=False))
+    if len(bare):  # nothing to the left: the row itself, from left to right
+        lines = line.to_pylist()
+        for i in bare:
+            own = np.arange(row[i], row[i] + size[i])
+            lines[i] = " ".join(vocabulary[c] for c in code[own[np.lexsort((rank[code[own]], n[own], y[own], x[own]))]])
+        line = pa.array(lines, pa.string())
+    values = pa.array([t[1] for t in told], pa.string()).take(pa.array(code[hit]))
+    return pa.table([pages.take(pa.array(starts[page[row]])), pa.array(LABELS, pa.string()).take(pa.array(label)), pa.array(number.astype(np.int32)), values, units, ranges, pc.utf8_slice_codeunits(line, 0, LONGEST_LINE)], VALUES)
+
+
+def _blocks(width: int, height: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rules: dict[str, tuple] = {}
+        held: list[pa.RecordBatch] = []
+        size, most = 0, BLOCK
+        for batch in batches:
+            held.append(batch)
+            size += batch.num_rows
+            if size < most:
+                continue
+            block = pa.Table.from_batches(held)
+            pages = block.column("page").combine_chunks()
+            borders = np.flatnonzero(pc.not_equal(pages.slice(1), pages.slice(0, size - 1)).to_numpy(zero_copy_only=False))
+            if not len(borders):  # one page so far
+                most *= 2
+                continue
+            yield from _values_of_pages(block.slice(0, int(borders[-1]) + 1), width, height, rules).to_batches(max_chunksize=BATCH)
+            held = block.slice(int(borders[-1]) + 1).combine_chunks().to_batches()
+            size, most = sum(b.num_rows for b in held), BLOCK
+        if size:
+            yield from _values_of_pages(pa.Table.from_batches(held), width, height, rules).to_batches(max_chunksize=BATCH)
+
+    return run
+
+
+def lab_values(tokens: DataFrame, width: int = WIDTH, height: int = HEIGHT, together: bool = False) -> DataFrame:
+    """page, label, row, value, unit, reference, line: for each label the number nearest to its first row that has one within reach, with the unit and the range beside that number.
+
+    Pages are dealt out once, and a task takes many whole ones at a time. ``together``: the tokens of each page lie in one partition already, one after another.
     """
-    size = F.lit(size) if isinstance(size, int) else size
-    cell = lambda c: F.floor(F.col(c) / size).cast("int")
-    near = left.withColumn("cell", F.explode(F.sequence(cell(y) - 1, cell(y) + 1)))
-    return near.join(right.withColumn("cell", cell(other)), [*on, "cell"]).where(F.abs(F.col(y) - F.col(other)) <= size).drop("cell")
-
-
-def lab_values(tokens: DataFrame, width: int = WIDTH, height: int = HEIGHT) -> DataFrame:
-    """page, label, row, value, unit, reference, line: for each label the number nearest to its first row that has one within reach, with the unit and the range beside that number."""
-    labels = page_rows(tokens, "median", height).withColumn("label", table_label(F.col("text"))).where("label is not null")
-    labels = labels.select("page", "row", "label", F.col("y").alias("label_y"), F.when(F.col("label") == "Thyreostimuline (TSH)", WIDE_WINDOW).otherwise(WINDOW).alias("reach"), F.col("text").alias("row_text"))
-    tokens = tokens.where("text is not null and x is not null and y is not null").select("page", "n", "x", "y", "text")
-    gridded = tokens.withColumn("reach", F.explode(F.array(F.lit(WINDOW), F.lit(WIDE_WINDOW))))
-    numbers = gridded.where(is_result_number(F.col("text"))).where(F.col("x").between(int(width * VALUES_FROM), int(width * VALUES_TO)))
-    near = _beside(labels, numbers, F.col("reach"), "label_y", "y", ["page", "reach"])
-    hit = F.struct(F.abs(F.col("y") - F.col("label_y")).alias("away"), "x", "n", "y", "text")
-    best = near.groupBy("page", "label", "row", "label_y", "reach", "row_text").agg(F.min(hit).alias("hit"))
-    first = best.groupBy("page", "label").agg(F.min(F.struct("row", "label_y", "reach", "row_text", "hit")).alias("b"))
-    values = first.select("page", "label", "b.row", "b.label_y", "b.reach", "b.row_text", F.col("b.hit.x").alias("value_x"), F.col("b.hit.y").alias("value_y"), F.regexp_replace(F.replace(latin_digits(F.col("b.hit.text")), F.lit(","), F.lit(".")), "^[<>]+", "").alias("value"))
-    key = values.select("page", "label", "value_x", "value_y")
-    units = _beside(key, tokens.withColumn("unit", clean_unit(F.col("text"))).where("unit is not null"), UNIT_WINDOW, "value_y", "y", ["page"])
-    units = units.where((F.col("x") >= F.col("value_x")) & (F.col("x") <= F.col("value_x") + int(width * UNIT_SPAN))).groupBy("page", "label").agg(F.min(F.struct("x", "n", "unit"))["unit"].alias("unit"))
-    ranges = tokens.where(F.col("x") >= int(width * RANGES_FROM)).withColumn("reference", reference_range(F.col("text"))).where("reference is not null")
-    ranges = _beside(key, ranges, RANGE_WINDOW, "value_y", "y", ["page"]).groupBy("page", "label").agg(F.min(F.struct("n", "reference"))["reference"].alias("reference"))
-    line = _beside(values.select("page", "label", "label_y", "reach"), gridded.where(F.col("x") <= int(width * LINE_TO)), F.col("reach"), "label_y", "y", ["page", "reach"])
-    line = line.groupBy("page", "label").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("y", "x", "n", "text"))), lambda t: t["text"]), " ").alias("line"))
-    out = values.join(units, ["page", "label"], "left").join(ranges, ["page", "label"], "left").join(line, ["page", "label"], "left")
-    text = F.coalesce(F.nullif(F.col("line"), F.lit("")), F.col("row_text"))
-    return out.select("page", "label", "row", "value", F.coalesce("unit", default_unit(F.col("label"))).alias("unit"), "reference", F.substring(text, 1, LONGEST_LINE).alias("line"))
+    tokens = tokens.where("page is not null and text is not null and x is not null and y is not null").select("page", F.col("n").cast("long").alias("n"), F.col("x").cast("int").alias("x"), F.col("y").cast("int").alias("y"), "text")
+    tokens = tokens if together else tokens.repartition("page").sortWithinPartitions("page")
+    kind = tokens.schema["page"].dataType.simpleString()
+    out = tokens.mapInArrow(_blocks(width, height), f"page {kind}, label string, row int, value string, unit string, reference string, line string")
+    return out.withColumn("unit", F.coalesce("unit", default_unit(F.col("label"))))
 
 
 def amount_candidates(text: Column) -> Column:
@@ -184,8 +307,8 @@ NAMES = ("Glycémie à jeun", "TSH", "Cholestérol HDL", "Cholesterol LDL", "CHO
 UNITS = ("g/l", "mmol/1", "mUI/I", "umol/L", "??", "mg/d1")
 
 
-def lab_tokens(spark: SparkSession, d: str) -> DataFrame:
-    """Pages of laboratory lines, one for each order: a name, a value, a unit and a range for each of its lines."""
+def lab_tokens(spark: SparkSession, d: str, together: bool = False) -> DataFrame:
+    """Pages of laboratory lines, one for each order: a name, a value, a unit and a range for each of its lines. ``together``: lines are dealt out by page before they are cut into words."""
     pick = lambda values, by: F.element_at(F.array(*map(F.lit, values)), (by % len(values) + 1).cast("int"))
     quantity = F.col("l_quantity").cast("int")
     value = F.when(F.col("l_partkey") % 11 == 0, "n.d.").otherwise(F.concat(F.when(F.col("l_partkey") % 13 == 0, "<").otherwise(""), quantity.cast("string"), F.lit(","), (F.col("l_suppkey") % 10).cast("string")))
@@ -195,7 +318,9 @@ def lab_tokens(spark: SparkSession, d: str) -> DataFrame:
     n = F.size("words")
     x = F.when(F.col("k") < F.col("size") - 3, 20 + 90 * F.col("k")).when(F.col("k") == F.col("size") - 3, 400 + (F.col("l_suppkey") % 40) * 8).when(F.col("k") == F.col("size") - 2, 480 + (F.col("l_suppkey") % 40) * 8).otherwise(780)
     y = 60 * F.col("l_linenumber") + (F.col("l_partkey") * 7 + F.col("k") * 5) % 23 - 11
-    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", words.alias("words"))
+    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
+    rows = rows.repartition("l_orderkey").sortWithinPartitions("l_orderkey") if together else rows
+    rows = rows.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", words.alias("words"))
     rows = rows.select("*", n.alias("size"), F.posexplode("words").alias("k", "text"))
     return rows.select(
         F.col("l_orderkey").alias("page"), (F.col("l_linenumber").cast("long") * 10**12 + F.col("l_partkey") * 10**4 + F.col("l_suppkey") % 100 * 100 + F.col("k")).alias("n"), "text",
@@ -227,7 +352,7 @@ def token_rows(spark: SparkSession, d: str) -> DataFrame:
 
 def lab_grid(spark: SparkSession, d: str) -> DataFrame:
     """Values, units and ranges beside the labels of all laboratory pages."""
-    return lab_values(lab_tokens(spark, d))
+    return lab_values(lab_tokens(spark, d, together=True), together=True)
 
 
 def near_amounts(spark: SparkSession, d: str) -> DataFrame:

@@ -106,3 +106,35 @@ def test_amounts_near_keywords(spark):
             want += [(near - 150 * bool(re.fullmatch(r"\d{1,6},\d{3}", a)), a) for a in found]
         want.sort(key=lambda w: w[0])
         assert [(r.score, r.amount) for r in sorted((r for r in got if r.page == p), key=lambda r: r.rank)] == want
+
+
+def test_lab_grid_deals_lines_out_once(spark):
+    """One shuffle, of lines before they are words; no sort or join of words after it."""
+    plan = positions.lab_grid(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan and plan.index("posexplode(") < plan.index("Exchange hashpartitioning(l_orderkey")
+
+
+def test_blocks_cut_no_page(monkeypatch):
+    """Pages that lie over batches and blocks, one longer than a block, null numbers and equal places: the same rows as from one block."""
+    import pyarrow as pa
+
+    rng = random.Random(4)
+    words = ["tsh", "CRP", "Urée", "12,5", "<7", "g/l", "mUI/I", "3-9", "120-450", "x", ""]
+    rows = [(p, rng.choice([None, 1, 2]), rng.randrange(0, 1000, 100), rng.choice([0, 15, 16, 17, 72, 73, 170, -20, 18, 45]), rng.choice(words)) for p in range(30) for _ in range(300 if p == 11 else rng.randrange(1, 20))]
+    whole = pa.table(list(zip(*rows, strict=True)), schema=pa.schema([("page", pa.int64()), ("n", pa.int64()), ("x", pa.int32()), ("y", pa.int32()), ("text", pa.string())]))
+    run = lambda size: [tuple(r.values()) for b in positions._blocks(1000, 1400)(iter(whole.to_batches(max_chunksize=size))) for r in b.to_pylist()]
+    want = run(10_000)
+    monkeypatch.setattr(positions, "BLOCK", 50)
+    assert run(7) == want and len(want) > 20
+
+
+def test_word_rules_are_those_of_columns(spark):
+    rng = random.Random(9)
+    odd = ["12\n", "12\r", "7 ", " 4 a 5 ", "1A2", "<>3", "< 3", "٣,٥", "1234-12345", "450-1", "g / l", "G/L ", "mUl/I", "ui/l", "ngml", "%", "İtsh", "tsh_", "glycém-", "uréeß", " 5", "mg/dl\n", ""]
+    texts = [*odd, *("".join(rng.choice("gl/mu1Iı0.,-aA %dоmo٣<") for _ in range(rng.randrange(1, 7))) for _ in range(3000))]
+    got = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", positions.clean_unit(F.col("t")), positions.reference_range(F.col("t"))).collect()
+    for i, unit, ref in got:
+        assert positions.word_rules(texts[i])[2:] == (unit, ref), repr(texts[i])
+    assert [positions.word_rules(t)[1] for t in ("<12,5", " 7 ", "12345", "1.2345", "n.d.", "٣,٥")] == ["12.5", " 7 ", None, None, None, "3.5"]
+    bits = lambda t: positions.LABEL_OF[positions.word_rules(t)[0]]
+    assert [positions.LABELS[bits(t)] if bits(t) >= 0 else None for t in ("GLYCÉMIE", "tsh", "tshx", "Cholestérol HDL total", "cholesterol", "crp-us", "Créatinine urée", "hdl")] == ["Glycemie a jeun", "Thyreostimuline (TSH)", None, "Cholesterol HDL", None, "CRP", "Uree", None]
