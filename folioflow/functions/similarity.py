@@ -1,4 +1,4 @@
-"""Likeness of short texts, computed over distinct pairs with array functions only."""
+"""Likeness of short texts, computed over distinct pairs: with array functions only, or pair by pair inside tasks that hold both sides."""
 
 from __future__ import annotations
 
@@ -38,6 +38,34 @@ def with_token_set_ratio(rows: DataFrame, one: str, two: str, out: str = "ratio"
     return rows.join(told, (a == F.col("a_")) & (b == F.col("b_")), "left").select(*rows.columns, out_.alias(out))
 
 
+def common_length_of(one: str, two: str) -> int:
+    """``common_length`` of two texts; a row of the table is one number."""
+    places: dict[str, int] = {}
+    for i, c in enumerate(one):
+        places[c] = places.get(c, 0) | 1 << i
+    full = (1 << len(one)) - 1
+    row = full
+    for c in two:
+        same = row & places.get(c, 0)
+        row = (row + same | row - same) & full
+    return len(one) - row.bit_count()
+
+
+def token_set_ratio_of(one: str, two: str) -> float:
+    """The ratio of ``with_token_set_ratio`` for two texts."""
+    if not one or not two:
+        return 0.0
+    if one == two:
+        return 1.0
+    a, b = set(one.split(" ")) - {""}, set(two.split(" ")) - {""}
+    da, db, n = " ".join(sorted(a - b)), " ".join(sorted(b - a)), len(" ".join(a & b))
+    x, y, some = len(da), len(db), int(n > 0)
+    if n and not (x and y):
+        return 1.0
+    best = 1 - (x + y - 2 * common_length_of(da, db)) / (2 * (n + some) + x + y)
+    return max(best, 1 - (some + x) / (2 * n + some + x), 1 - (some + y) / (2 * n + some + y)) if n else best
+
+
 def lcs_sql(pairs: str) -> str:
     """CTEs of the same lengths for DuckDB: ``lcs`` (x, y, n) of the distinct pairs that ``pairs`` (x, y) has."""
     return f"""lp AS (SELECT DISTINCT x, y FROM {pairs} WHERE x <> '' AND y <> ''),

@@ -16,6 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.blocks import group_starts, whole_groups
 from ..functions.columns import ACCENTED, PLAIN, folded
 from ..sources.ledger import table
 from .fields import EASTERN, LATIN, latin_digits
@@ -155,7 +156,7 @@ def _within(keys: np.ndarray, at: np.ndarray, reach: np.ndarray | int) -> tuple[
 def _values_of_pages(tokens: pa.Table, width: int, height: int, rules: dict[str, tuple]) -> pa.Table:
     """VALUES of the whole pages of a block (page, n, x, y, text; a page's tokens one after another). ``rules`` keeps what is known of words."""
     pages, n, x, y, texts = (tokens.column(k).combine_chunks() for k in ("page", "n", "x", "y", "text"))
-    starts = np.flatnonzero(np.append(True, pc.not_equal(pages.slice(1), pages.slice(0, len(pages) - 1)).to_numpy(zero_copy_only=False)))
+    starts = group_starts(pages)
     n, x, y = n.fill_null(np.iinfo(np.int64).min).to_numpy(), x.to_numpy().astype(np.int64), y.to_numpy().astype(np.int64)
     coded = texts.dictionary_encode()
     code, vocabulary = coded.indices.to_numpy(), coded.dictionary.to_pylist()
@@ -233,24 +234,8 @@ def _values_of_pages(tokens: pa.Table, width: int, height: int, rules: dict[str,
 def _blocks(width: int, height: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rules: dict[str, tuple] = {}
-        held: list[pa.RecordBatch] = []
-        size, most = 0, BLOCK
-        for batch in batches:
-            held.append(batch)
-            size += batch.num_rows
-            if size < most:
-                continue
-            block = pa.Table.from_batches(held)
-            pages = block.column("page").combine_chunks()
-            borders = np.flatnonzero(pc.not_equal(pages.slice(1), pages.slice(0, size - 1)).to_numpy(zero_copy_only=False))
-            if not len(borders):  # one page so far
-                most *= 2
-                continue
-            yield from _values_of_pages(block.slice(0, int(borders[-1]) + 1), width, height, rules).to_batches(max_chunksize=BATCH)
-            held = block.slice(int(borders[-1]) + 1).combine_chunks().to_batches()
-            size, most = sum(b.num_rows for b in held), BLOCK
-        if size:
-            yield from _values_of_pages(pa.Table.from_batches(held), width, height, rules).to_batches(max_chunksize=BATCH)
+        for block in whole_groups(batches, "page", BLOCK):
+            yield from _values_of_pages(block, width, height, rules).to_batches(max_chunksize=BATCH)
 
     return run
 
