@@ -105,3 +105,8 @@ def test_texts_match_as_columns_do(spark):
         got = {r.i: r.match for r in with_match(frame, "a", "b", amounts=amounts).collect()}
         assert got == {i: texts_match(a, b, amounts) for i, (a, b) in enumerate(pairs)}
     assert all(abs(token_set_ratio_of(a, b) - (1.0 if a == b else token_set_ratio(a, b))) < 1e-12 for a, b in pairs[len(odd) ** 2 :])
+
+
+def test_eval_row_rates_shuffles_only_counters_more(spark):
+    """Beyond eval_rows: counters and orders for their join, and the sums."""
+    assert exchanges(spark, matching.eval_row_rates) <= 6
