@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.columns import folded
+from ..functions.columns import ACCENTED, PLAIN
 from ..sources.ledger import table
 from .fields import latin_digits
 
@@ -127,11 +127,21 @@ def band_deadlines(rows: DataFrame, key: str, text: str) -> DataFrame:
     return times.groupBy(key).agg(F.min(F.struct((-F.col("n")).alias("n"), "first", "iso"))["iso"].alias("band"))
 
 
+def first_plausible_number(text: Column) -> Column:
+    """The first number from 0 to 500,000, as it stands."""
+    return F.get(F.filter(F.regexp_extract_all(text, F.lit(r"\d{1,6}(?:[,.]\d{1,3})?"), F.lit(0)), lambda x: F.replace(x, F.lit(","), F.lit(".")).cast("double") <= MOST_PLAUSIBLE), F.lit(0))
+
+
 def _lined(rows: DataFrame, key: str, text: str) -> DataFrame:
-    """``key``, i, line and the two lines after it (null past the end), blanks squeezed."""
+    """``key``, i, line and the two lines after it (null past the end), blanks squeezed; plain, plain_second and plain_third: the same folded, null where they are empty; number: the first plausible one of the three."""
     lines = F.transform(F.split(latin_digits(F.col(text)), r"\r\n|[\n\r]"), lambda x: F.trim(squeezed(x)))
-    rows = rows.select(key, lines.alias("lines")).select(key, "lines", F.posexplode("lines").alias("i", "line"))
-    return rows.select(key, "i", "line", F.get("lines", F.col("i") + 1).alias("second"), F.get("lines", F.col("i") + 2).alias("third"))
+    rows = rows.select(key, lines.alias("lines"))
+    rows = rows.select(key, "lines", F.transform("lines", lambda x: F.translate(F.lower(x), ACCENTED, PLAIN)).alias("plains"), F.transform("lines", first_plausible_number).alias("numbers"))
+    rows = rows.select(key, "lines", "plains", "numbers", F.posexplode_outer("lines").alias("i", "line"))
+    after = lambda lines, k: F.get(lines, F.col("i") + k)
+    plain = lambda k: F.nullif(after("plains", k), F.lit(""))
+    number = F.coalesce(*(after("numbers", k) for k in range(3)))
+    return rows.select(key, "i", "line", after("lines", 1).alias("second"), after("lines", 2).alias("third"), plain(0).alias("plain"), plain(1).alias("plain_second"), plain(2).alias("plain_third"), number.alias("number"))
 
 
 def _any(text: Column, words: tuple[str, ...]) -> Column:
@@ -141,36 +151,67 @@ def _any(text: Column, words: tuple[str, ...]) -> Column:
     return out
 
 
-def next_line_tests(rows: DataFrame, key: str, text: str) -> DataFrame:
-    """``key``, label, i, value, unit, reference, line: each test's first line with a value and a unit; a line without digits is read together with the next one."""
-    lined = _lined(rows, key, text).where(F.length("line") >= 4)
-    joined = F.when(F.col("second").isNotNull() & ~F.col("line").rlike(r"\d"), F.concat_ws(" ", "line", "second")).otherwise(F.col("line"))
-    lined = lined.withColumn("joined", joined).withColumn("plain", folded(F.col("joined")))
+def _named(rule: str, label: Column, unit: Column) -> Column:
+    return F.struct(F.lit(rule).alias("rule"), label.alias("label"), unit.alias("unit"))
+
+
+def _next_line(lined: DataFrame) -> tuple[DataFrame, list[Column], dict[str, Column]]:
+    """The lines with what the rule needs, the tests that it may find at each, and what it says of one."""
+    with_next = F.col("second").isNotNull() & ~F.col("line").rlike(r"\d")
+    lined = lined.select("*", F.when(with_next, F.concat_ws(" ", "line", "second")).otherwise(F.col("line")).alias("joined"), F.when(with_next, F.concat_ws(" ", "plain", "plain_second")).otherwise(F.col("plain")).alias("plain_joined"))
     label = F.lit(None).cast("string")
     for name, words in reversed(FAST_TESTS):
-        label = F.when(_any(F.col("plain"), words), name).otherwise(label)
-    pattern = rf"(?i)(\d{{1,4}}(?:[,.]\d{{1,3}})?)\s*({UNIT_WORDS})"
-    lined = lined.withColumns({"label": label, "at": F.regexp_instr("joined", F.lit(pattern)), "hit": F.regexp_extract("joined", pattern, 0)}).where("label is not null and at > 0")
-    rest = F.substring(F.col("joined"), F.col("at") + F.length("hit"), F.length("joined"))
-    found = lined.select(
-        key, "label", "i", F.replace(F.regexp_extract("joined", pattern, 1), F.lit(","), F.lit(".")).alias("value"), F.translate(F.regexp_replace(F.regexp_extract("joined", pattern, 2), r"\s+", ""), "1t", "ll").alias("unit"),
-        F.nullif(F.trim(F.regexp_extract(rest, r"\(([^)]*\d[^)]*)\)", 1)), F.lit("")).alias("reference"), F.substring("joined", 1, LONGEST_LINE).alias("line"),
-    )
-    return found.groupBy(key, "label").agg(F.min(F.struct("i", "value", "unit", "reference", "line")).alias("f")).select(key, "label", "f.*")
+        label = F.when(_any(F.col("plain_joined"), words), name).otherwise(label)
+    lined = lined.select("*", F.when(F.length("line") >= 4, label).alias("label"))
+    joined, pattern = F.col("joined"), rf"(?i)(\d{{1,4}}(?:[,.]\d{{1,3}})?)\s*({UNIT_WORDS})"
+    rest = F.substring(joined, F.regexp_instr(joined, F.lit(pattern)) + F.length(F.regexp_extract(joined, pattern, 0)), F.length(joined))
+    says = {
+        "value": F.replace(F.regexp_extract(joined, pattern, 1), F.lit(","), F.lit(".")), "unit": F.translate(F.regexp_replace(F.regexp_extract(joined, pattern, 2), r"\s+", ""), "1t", "ll"),
+        "reference": F.when(F.contains(joined, F.lit("(")), F.nullif(F.trim(F.regexp_extract(rest, r"\(([^)]*\d[^)]*)\)", 1)), F.lit(""))), "line": F.substring(joined, 1, LONGEST_LINE),
+    }
+    return lined, [F.when(F.col("label").isNotNull() & joined.rlike(pattern), _named("next line", F.col("label"), F.lit(None).cast("string")))], says
 
 
-def first_plausible_number(text: Column) -> Column:
-    """The first number from 0 to 500,000, as it stands."""
-    return F.get(F.filter(F.regexp_extract_all(text, F.lit(r"\d{1,6}(?:[,.]\d{1,3})?"), F.lit(0)), lambda x: F.replace(x, F.lit(","), F.lit(".")).cast("double") <= MOST_PLAUSIBLE), F.lit(0))
+def _known_line(lined: DataFrame) -> tuple[DataFrame, list[Column], dict[str, Column]]:
+    """The lines with what the rule needs, the tests that it may find at each, and what it says of one."""
+    lined = lined.select("*", F.concat_ws(" ", "line", "second", "third").alias("window"), F.when((F.col("line") != "") & F.col("number").isNotNull(), F.concat_ws(" ", "plain", "plain_second", "plain_third")).alias("plain_window"))
+    says = {"value": F.col("number"), "unit": F.col("t.unit"), "reference": F.lit(None).cast("string"), "line": F.substring("window", 1, LONGEST_LINE)}
+    return lined, [F.when(_any(F.col("plain_window"), words), _named("window", F.lit(name), F.lit(unit))) for name, words, unit in KNOWN_TESTS], says
+
+
+def _first_tests(rows: DataFrame, key: str, text: str, **rules) -> DataFrame:
+    """rule, ``key``, label, i, value, unit, reference, line: each test's first line by each rule.
+
+    Each line is cut, folded and looked at once: tests that it lacks are nulls of an array, dropped when it has been taken apart, as a filter on them before that would find them anew.
+    """
+    lined, tests, told = _lined(rows, key, text), [], {}
+    for name, rule in rules.items():
+        lined, more, told[name.replace("_", " ")] = rule(lined)
+        tests += more
+    found = lined.select("*", F.explode_outer(F.array(*tests)).alias("t")).where("t is not null")
+    said = []
+    for c in ("value", "unit", "reference", "line"):
+        by = F.lit(None).cast("string")
+        for name, says in told.items():
+            by = F.when(F.col("t.rule") == name, says[c]).otherwise(by)
+        said.append(by.alias(c))
+    found = found.select(key, "i", "t.rule", "t.label", *said)
+    return found.groupBy(key, "rule", "label").agg(F.min(F.struct("i", "value", "unit", "reference", "line")).alias("f")).select("rule", key, "label", "f.*")
+
+
+def next_line_tests(rows: DataFrame, key: str, text: str) -> DataFrame:
+    """``key``, label, i, value, unit, reference, line: each test's first line with a value and a unit; a line without digits is read together with the next one."""
+    return _first_tests(rows, key, text, next_line=_next_line).drop("rule")
 
 
 def known_line_tests(rows: DataFrame, key: str, text: str) -> DataFrame:
     """``key``, label, i, value, unit, reference (null), line: each of fifteen known tests at its first window of three lines that names it and has a plausible number."""
-    lined = _lined(rows, key, text).where("line <> ''").withColumn("window", F.concat_ws(" ", "line", "second", "third"))
-    lined = lined.withColumns({"plain": folded(F.col("window")), "value": first_plausible_number(F.col("window"))}).where("value is not null")
-    named = F.filter(F.array(*(F.when(_any(F.col("plain"), words), F.struct(F.lit(name).alias("label"), F.lit(unit).alias("unit"))) for name, words, unit in KNOWN_TESTS)), lambda x: x.isNotNull())
-    found = lined.select(key, "i", "value", F.explode(named).alias("t"), F.substring("window", 1, LONGEST_LINE).alias("line"))
-    return found.groupBy(key, F.col("t.label").alias("label")).agg(F.min(F.struct("i", "value", F.col("t.unit").alias("unit"), F.lit(None).cast("string").alias("reference"), "line")).alias("f")).select(key, "label", "f.*")
+    return _first_tests(rows, key, text, window=_known_line).drop("rule")
+
+
+def tests_of_lines(rows: DataFrame, key: str, text: str) -> DataFrame:
+    """Both in one pass, told by ``rule``: *next line* and *window*."""
+    return _first_tests(rows, key, text, next_line=_next_line, window=_known_line)
 
 
 # Fixtures: bills and laboratory pages as noisy text.
@@ -204,7 +245,8 @@ def _lab_pages(spark: SparkSession, d: str) -> DataFrame:
         .otherwise(F.concat(name, F.lit("  "), value))
     )
     lines = F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", line.alias("line"))))
-    return table(spark, d, "lineitem").groupBy("l_orderkey").agg(lines.alias("lines")).select("l_orderkey", F.array_join(F.transform("lines", lambda x: x["line"]), "\n").alias("text"))
+    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity").repartition("l_orderkey")  # before the texts are made
+    return rows.groupBy("l_orderkey").agg(lines.alias("lines")).select("l_orderkey", F.array_join(F.transform("lines", lambda x: x["line"]), "\n").alias("text"))
 
 
 def bill_deadlines(spark: SparkSession, d: str) -> DataFrame:
@@ -216,9 +258,7 @@ def bill_deadlines(spark: SparkSession, d: str) -> DataFrame:
 
 def line_tests(spark: SparkSession, d: str) -> DataFrame:
     """Tests of all laboratory pages, by the line with the next one and by windows of three lines."""
-    pages = _lab_pages(spark, d)
-    by = lambda rule, rows: rows.select(F.lit(rule).alias("rule"), "l_orderkey", "label", "i", "value", "unit", "reference", "line")
-    return by("next line", next_line_tests(pages, "l_orderkey", "text")).unionByName(by("window", known_line_tests(pages, "l_orderkey", "text")))
+    return tests_of_lines(_lab_pages(spark, d), "l_orderkey", "text").select("rule", "l_orderkey", "label", "i", "value", "unit", "reference", "line")
 
 
 QUERIES = {f.__name__: f for f in (bill_deadlines, line_tests)}

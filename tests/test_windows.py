@@ -107,3 +107,42 @@ def test_line_windows(spark):
     assert got == {("Glycemie a jeun", 0, "5.4", "g/l", "3 - 9"), ("TSH", 2, "2", "ui/l", None)}
     known = {(r.label, r.i, r.value) for r in w.known_line_tests(frame(spark, [text, None, ""]), "id", "text").collect()}
     assert known == {("TSH", 0, "5,4"), ("Plaquettes", 2, "2"), ("Hemoglobine", 6, "88"), ("Lymphocytes", 9, "12"), ("Monocytes", 9, "12")}
+
+
+def test_lines_are_folded_once(spark):
+    """One shuffle, of lines before they are texts; each line is folded, and its numbers are looked for, in one place of the plan."""
+    plan = w.line_tests(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and plan.count("lower(") == 1 and plan.count("regexp_extract_all(") == 1
+
+
+def plain_tests(text):
+    """Both rules line by line."""
+    fold = lambda s: re.sub(r"\s+", " ", s.lower().translate(str.maketrans("éèà", "eea"))).strip()
+    lines, out = [re.sub(r"\s+", " ", x).strip(" ") for x in re.split(r"\r\n|[\n\r]", text.translate(EASTERN))], {}
+    for i, line in enumerate(lines):
+        joined = f"{line} {lines[i + 1]}" if i + 1 < len(lines) and not re.search("[0-9]", line) else line
+        label = next((name for name, words in w.FAST_TESTS if any(x in fold(joined) for x in words)), None)
+        m = re.search(rf"(\d{{1,4}}(?:[,.]\d{{1,3}})?)\s*({w.UNIT_WORDS})", joined, re.I | re.A)
+        if len(line) >= 4 and label and m:
+            ref = re.search(r"\(([^)]*\d[^)]*)\)", joined[m.end() :])
+            out.setdefault(("next line", label), (i, m[1].replace(",", "."), re.sub(r"\s+", "", m[2]).translate(str.maketrans("1t", "ll")), (ref and ref[1].strip(" ")) or None, joined[:220]))
+        window = " ".join(lines[i : i + 3])
+        number = next((x for x in re.findall(r"\d{1,6}(?:[,.]\d{1,3})?", window) if float(x.replace(",", ".")) <= 500_000), None)
+        for name, words, unit in w.KNOWN_TESTS:
+            if line and number is not None and any(x in fold(window) for x in words):
+                out.setdefault(("window", name), (i, number, unit, None, window[:220]))
+    return out
+
+
+def test_both_rules_on_noisy_pages(spark):
+    """Names and numbers over line ends, empty lines, words that only two lines together have, numbers too large, against a plain loop."""
+    rng = random.Random(13)
+    words = ["Globules", "rouges", "blancs", "cholesterol", "HDL", "total", "TSH", "Glycémie", "vitamine", "D", "12,5", "999999", "500000,1", "٧", "g/l", "mmol / t", "%", "( 3 - 9 )", "x" * 100, "", "ab"]
+    texts = ["", *("".join(rng.choice(words) + rng.choice([" ", "  ", "\n", "\n", "\r\n", "\t"]) for _ in range(rng.randrange(1, 16))) for _ in range(400))]
+    rows = w.tests_of_lines(frame(spark, [*texts, None]), "id", "text").collect()
+    got = {i: {} for i in range(len(texts))}
+    for r in rows:
+        got[r.id][r.rule, r.label] = (r.i, r.value, r.unit, r.reference, r.line)
+    assert got == {i: plain_tests(t) for i, t in enumerate(texts)}
+    alone = {(r.id, r.label, r.i, r.value) for r in w.known_line_tests(frame(spark, texts), "id", "text").collect()}
+    assert alone == {(r.id, r.label, r.i, r.value) for r in rows if r.rule == "window"} and len(alone) > 50
